@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldlake.llm import bpe, exact, langid, mixing, neardup, quality, ring
+from foldlake.llm import bpe, chat, exact, html, langid, mixing, neardup, quality, ring
 from foldlake.llm.common import read_table
 
 MIX_WEIGHTS = [5.0, 2.0, 1.0]
@@ -37,6 +37,10 @@ def op4_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.preferences(chat.pair_neighbours(read_table(spark, sf_dir, "conversations")))
+
+
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,10 @@ def op7_fair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.mix(read_table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_RATIO, epochs=2))
 
 
+def op9_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read_table(spark, sf_dir, "pages"), outputs=("text", "n_chars", "n_lines", "text_sha256"))
+
+
 def op10_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
@@ -58,7 +66,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_minhash": op2_minhash, "op3_exact": op3_exact, "op4_ring": op4_ring, "op6_lines": op6_lines, "op7_fair": op7_fair, "op10_rank": op10_rank, "pipeline": pipeline}
+    return {"op1_bpe": op1_bpe, "op2_minhash": op2_minhash, "op3_exact": op3_exact, "op4_ring": op4_ring, "op5_preference": op5_preference, "op6_lines": op6_lines, "op7_fair": op7_fair, "op9_layout": op9_layout, "op10_rank": op10_rank, "pipeline": pipeline}
 
 
 EXACT_SQL = """
@@ -67,5 +75,25 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+PREFERENCE_SQL = """
+WITH turns AS (
+  SELECT conv_id // 2 AS pair_id, CASE WHEN conv_id % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS side, conv_id, turn, coalesce(role, 'unknown') AS role,
+    '<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS content
+  FROM conversations),
+placed AS (
+  SELECT *, row_number() OVER w - 1 AS pos, coalesce(sum(length(content)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, content)),
+met AS (
+  SELECT pair_id, pos, count(*) FILTER (side = 'chosen') = 1 AND count(*) FILTER (side = 'rejected') = 1 AND count(DISTINCT content) = 1 AS same
+  FROM placed GROUP BY pair_id, pos),
+prefix AS (SELECT pair_id, coalesce(min(pos) FILTER (NOT same), count(*)) AS n FROM met GROUP BY pair_id),
+kept AS (SELECT p.*, n, pos < n AS shared FROM placed p JOIN prefix USING (pair_id) WHERE NOT (pos < n AND side = 'rejected')),
+lead_ AS (SELECT pair_id, coalesce(sum(length(content)) FILTER (shared), 0) AS chars FROM kept GROUP BY pair_id)
+SELECT pair_id, conv_id, CASE WHEN shared THEN 'prompt' ELSE side END AS segment, CAST(CASE WHEN shared THEN pos ELSE pos - n END AS BIGINT) AS position,
+  CAST(CASE WHEN shared THEN before ELSE before - chars END AS BIGINT) AS start, role, content, NOT shared AND role = 'assistant' AS trained, CAST(n AS BIGINT) AS n_prompt_turns
+FROM kept JOIN lead_ USING (pair_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact": EXACT_SQL}
+    return {"op3_exact": EXACT_SQL, "op5_preference": PREFERENCE_SQL}
