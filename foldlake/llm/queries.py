@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldlake.llm import bpe, chat, exact, html, langid, mixing, neardup, quality, ring
+from foldlake.llm import bpe, chat, exact, html, langid, mixing, neardup, quality, ring, suffix
 from foldlake.llm.common import read_table
 
 MIX_WEIGHTS = [5.0, 2.0, 1.0]
@@ -49,6 +49,10 @@ def op7_fair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.mix(read_table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_RATIO, epochs=2))
 
 
+def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove(read_table(spark, sf_dir, "documents"), length=200)
+
+
 def op9_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(read_table(spark, sf_dir, "pages"), outputs=("text", "n_chars", "n_lines", "text_sha256"))
 
@@ -66,7 +70,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_minhash": op2_minhash, "op3_exact": op3_exact, "op4_ring": op4_ring, "op5_preference": op5_preference, "op6_lines": op6_lines, "op7_fair": op7_fair, "op9_layout": op9_layout, "op10_rank": op10_rank, "pipeline": pipeline}
+    return {"op1_bpe": op1_bpe, "op2_minhash": op2_minhash, "op3_exact": op3_exact, "op4_ring": op4_ring, "op5_preference": op5_preference, "op6_lines": op6_lines, "op7_fair": op7_fair, "op8_suffix": op8_suffix, "op9_layout": op9_layout, "op10_rank": op10_rank, "pipeline": pipeline}
 
 
 EXACT_SQL = """
