@@ -16,17 +16,35 @@ word have target 0; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldlake.llm.common import WORD, drop_table, shared_table
+from foldlake.llm.common import drop_table, flat, shared_table, slices, word_runs
 
 #: Even cells of the shuffled order within a source, and steps of virtual time per unit.
 CELLS, STEPS = 512, 2048
 
 
-def words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """``doc_id, source, size`` (words of the whole text) and ``_crc`` of every row."""
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
+    kind = source.schema[0].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                data, offsets = flat(part.column("text"))
+                starts, _ = word_runs(data, offsets)
+                size = np.diff(np.searchsorted(starts, offsets))
+                crc = [zlib.crc32(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array(size), pa.array(crc, pa.int64())], names=["doc_id", "source", "size", "_crc"])
+
+    return source.mapInArrow(run, f"doc_id {kind}, source string, size long, _crc long")
 
 
 def fair_targets(sizes: list[int], weights: list[float], budget: float, cap: float) -> list[float]:
@@ -54,7 +72,7 @@ def mix(docs: DataFrame, weights: list[float], budget_ratio: float = 1.5, epochs
     mix is configured by and goes to the driver; nothing else does.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("_crc"))
+    base = sized(docs, id_col, text_col, source_col)
     base = shared_table(base)  # a few numbers a row: the texts are read once
     totals = [(s, int(n)) for s, n in base.groupBy("source").agg(F.sum("size")).collect()]
     totals.sort(key=lambda x: (x[0] is None, (x[0] or "").encode("utf-32-be")))

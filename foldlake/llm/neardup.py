@@ -6,10 +6,16 @@ sketch: every sample flips one bit, so the samples that two documents share canc
 its population count estimates a high similarity precisely.  A candidate pair whose bitmaps differ in more than ``max_odd``
 bits is dropped before its sets are read; what remains is confirmed on the full sets.
 
-Documents with equal sets are one node from the start.  Candidates never form all pairs of a band's bucket: each
-bucket first links every node to one leader (two rounds with different leaders); the links found so far are
-contracted to components, and only nodes of different components that still share a bucket are paired, so no link
-between different texts is lost while a large group costs one pair a member.
+Documents with equal sets are one node from the start.  Candidates never form all pairs of a band's bucket:
+
+* each bucket links its nodes to its centre, the member that shares most buckets with others; the links found are
+  contracted to components, and buckets of one component are done;
+* in what is left open, shingles that few of the open sets hold bound what two sets can share (all but the rare shingles
+  of either, plus the rare ones they do share).  A node with too many shingles of its own drops out of the bucket, and
+  only pairs of different components whose bound allows the similarity are confirmed on their full sets.
+
+Both bounds are exact, so no link between different texts is lost, while a large group of edited copies costs one pair a
+member and the few that its centre leaves open.
 
 With the default 32 bands of 4 rows a pair of similarity 0.8 shares no bucket with probability 5e-8, and the
 bitmap drops it with a probability below 1e-9.
@@ -36,8 +42,10 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 #: 64-bit words of an odd sketch.
 SKETCH = 8
-#: Rows (24 bytes each) up to which the candidates' ids are broadcast to the texts.
+#: Rows (24 bytes each) up to which a table of keys is broadcast.
 BROADCAST_ROWS = 400_000
+#: Open sets that may hold a shingle for it to count as rare.
+RARE = 32
 
 
 def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,46 +151,75 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def link(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, max_odd: int = 115, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``."""
     made = shared_table(sketch(docs, words, bands, rows, seed, id_col, text_col))
-    # equal sets: one node, named by the smallest id (by a row key where the id is null)
-    nodes = made.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"))
-    nodes = shared_table(nodes)
-    own = made.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "n_shingles", "keys", "odd")
-    odd = own.select("node", "n_shingles", "odd")
-    buckets = shared_table(own.select("node", F.explode("keys").alias("key")))
-    shared = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("n > 1")
-    shared = shared_table(shared)
+    # equal sets: one node, named by a row key
+    nodes = shared_table(made.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")))
+    own = made.join(if_small(nodes.select(F.col("node").alias("row"))), "row", "left_semi").select(F.col("row").alias("node"), "doc_id", "f1", F.col("n_shingles").alias("n"), "keys", "odd")
+    buckets = own.select("node", F.explode("keys").alias("key"))
+    shared = shared_table(buckets.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
+    members = shared_table(buckets.join(if_small(shared), "key"))
+    info = shared_table(own.join(if_small(members.select("node").distinct()), "node", "left_semi").drop("keys"))
 
     def near(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs whose sizes and odd sketches allow the similarity."""
-        p = pairs.distinct().join(odd.toDF("a", "na", "oa"), "a").join(odd.toDF("b", "nb", "ob"), "b")
+        """Pairs whose sizes and odd sketches allow the similarity."""
+        left, right = info.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa")), info.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("ob"))
         apart = F.aggregate(F.zip_with("oa", "ob", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+        p = pairs.join(left, "a").join(right, "b")
         return p.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).where(apart <= max_odd).select("a", "b")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = shared_table(pairs)
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = shared_table(wanted.join(made.select(F.col("row").alias("node"), "f1", F.col("doc_id").alias("_id")), "node"))
-        small = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    def full_sets(of: DataFrame) -> DataFrame:
+        wanted = if_small(info.join(of, "node", "left_semi").select("node", "f1", F.col("doc_id").alias("_id")))
         texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        found = texts.join(small, texts["doc_id"].eqNullSafe(wanted["_id"])).select("node", "f1", "text")
-        return confirm(pairs, shared_table(sets_of(found, words)), percent)
-
-    members = buckets.join(shared.select("key", "lo", "hi"), "key")
-    star = members.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.a", "p.b").where("a <> b")
-    links = shared_table(confirmed(near(star)))
+        return shared_table(sets_of(texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["_id"])).select("node", "f1", "text"), words).dropDuplicates(["node"]))
+
+    def confirmed(pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+        if sets is None:
+            pairs = shared_table(pairs)
+            sets = full_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+        return shared_table(confirm(pairs, sets, percent))
+
+    # each bucket around its most connected node: for edited copies of a text that is the one nearest to the text
+    score = members.groupBy("node").agg(F.sum("members").alias("score"))
+    scored = members.join(score, "node")
+    centre = scored.groupBy("key").agg(F.max(F.struct("score", "node")).getField("node").alias("a"))
+    star = members.join(centre, "key").where("a <> node").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+    links = confirmed(near(star))
     groups = shared_table(components(links))
+
     # nodes of different components that still share a bucket
-    placed = members.select("key", "node").join(groups.select(F.col("id").alias("node"), "component"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("key")
+    placed = shared_table(members.join(groups.select(F.col("id").alias("node"), "component"), "node", "left").join(info.select("node", "n"), "node").select("key", "node", "n", F.coalesce("component", "node").alias("component")))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min("n").alias("low")).where("c1 <> c2").select("key", "low")
     open_ = shared_table(placed.join(mixed, "key"))
-    left, right = open_.toDF("key", "a", "ca"), open_.toDF("key", "b", "cb")
-    more = left.join(right, "key").where("a < b and ca <> cb").select("a", "b").join(star.distinct(), ["a", "b"], "left_anti")
-    more = confirmed(near(more))
+    sets = full_sets(open_.select("node").distinct())
+    open_ = shared_table(open_.join(rare_shingles(sets), "node", "left").select("key", "node", "n", "component", "low", F.coalesce("alone", F.lit(0)).alias("alone"), F.coalesce("rare", F.lit(0)).alias("rare"), F.coalesce("few", F.array().cast("array<long>")).alias("few")))
+    # a node with too many shingles of its own is linked with nobody in the bucket, whose sets have ``low`` at least
+    open_ = open_.where(100 * (F.col("n") - F.col("alone")) >= percent * (F.col("low") + F.col("alone")))
+    left = open_.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("rare").alias("ra"), F.col("few").alias("fa"))
+    right = open_.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("rare").alias("rb"), F.col("few").alias("fb"))
+    # the most that two sets can share: all but the rare shingles of either, and the rare ones they do share
+    most = F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb"))
+    able = 100 * (most + F.least("ra", "rb")) >= percent * (F.col("na") + F.col("nb") - most - F.least("ra", "rb"))
+    common = most + F.size(F.array_intersect("fa", "fb"))
+    bound = 100 * common >= percent * (F.col("na") + F.col("nb") - common)
+    same = (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & able & bound
+    more = confirmed(near(left.join(right, same).select("a", "b").distinct()), sets)
     groups = components(links.union(more))
-    table = nodes.join(groups.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    table = shared_table(table)
+
+    table = shared_table(nodes.join(groups.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node")))
     least = table.groupBy("component").agg(F.min("least").alias("component_id"))
     table = table.join(least, "component").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n_shingles").alias("gn"), "component_id")
-    out = made.join(table, (made["f1"] == table["g1"]) & (made["f2"] == table["g2"]) & (made["n_shingles"] == table["gn"]), "left")
+    out = made.select("doc_id", "n_shingles", "f1", "f2").join(table, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n_shingles") == F.col("gn")), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def rare_shingles(sets: DataFrame) -> DataFrame:
+    """Per node: shingles that no other of ``sets`` holds (``alone``), that at most RARE hold (``rare``), and the shared ones of those (``few``)."""
+    each = sets.select("node", F.explode("set").alias("shingle"))
+    held = each.groupBy("shingle").agg(F.count("*").alias("times")).where(F.col("times") <= RARE)
+    return each.join(held, "shingle").groupBy("node").agg(F.count(F.when(F.col("times") == 1, 1)).alias("alone"), F.count("*").alias("rare"), F.collect_list(F.when(F.col("times") > 1, F.col("shingle"))).alias("few"))
+
+
+def if_small(df: DataFrame) -> DataFrame:
+    """``df`` as a table, to be broadcast if it has at most BROADCAST_ROWS rows."""
+    table = shared_table(df)
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
