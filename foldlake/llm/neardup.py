@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldlake.llm.common import components, flat, mix, powers, runs_hash, shared_table, slices, word_runs
@@ -162,9 +162,8 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, ro
     def near(pairs: DataFrame) -> DataFrame:
         """Pairs whose sizes and odd sketches allow the similarity."""
         left, right = info.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa")), info.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("ob"))
-        apart = F.aggregate(F.zip_with("oa", "ob", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
         p = pairs.join(left, "a").join(right, "b")
-        return p.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).where(apart <= max_odd).select("a", "b")
+        return p.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).where(odd_distance("oa", "ob") <= max_odd).select("a", "b")
 
     def full_sets(of: DataFrame) -> DataFrame:
         wanted = if_small(info.join(of, "node", "left_semi").select("node", "f1", F.col("doc_id").alias("_id")))
@@ -193,15 +192,20 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, ro
     open_ = shared_table(open_.join(rare_shingles(sets), "node", "left").select("key", "node", "n", "component", "low", F.coalesce("alone", F.lit(0)).alias("alone"), F.coalesce("rare", F.lit(0)).alias("rare"), F.coalesce("few", F.array().cast("array<long>")).alias("few")))
     # a node with too many shingles of its own is linked with nobody in the bucket, whose sets have ``low`` at least
     open_ = open_.where(100 * (F.col("n") - F.col("alone")) >= percent * (F.col("low") + F.col("alone")))
-    left = open_.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("rare").alias("ra"), F.col("few").alias("fa"))
-    right = open_.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("rare").alias("rb"), F.col("few").alias("fb"))
+    open_ = shared_table(open_.join(info.select("node", "odd"), "node"))
+    places = open_.groupBy("node").agg(F.collect_set("key").alias("keys"))
+    open_ = open_.join(places, "node")
+    side = lambda x: open_.select("key", F.col("node").alias(x), *[F.col(c).alias(f"{c[0]}_{x}") for c in ("n", "component", "rare", "few", "odd", "keys")])
+    left, right = side("a").withColumnRenamed("key", "_key"), side("b")
     # the most that two sets can share: all but the rare shingles of either, and the rare ones they do share
-    most = F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb"))
-    able = 100 * (most + F.least("ra", "rb")) >= percent * (F.col("na") + F.col("nb") - most - F.least("ra", "rb"))
-    common = most + F.size(F.array_intersect("fa", "fb"))
-    bound = 100 * common >= percent * (F.col("na") + F.col("nb") - common)
-    same = (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & able & bound
-    more = confirmed(near(left.join(right, same).select("a", "b").distinct()), sets)
+    most = F.least(F.col("n_a") - F.col("r_a"), F.col("n_b") - F.col("r_b"))
+    able = 100 * (most + F.least("r_a", "r_b")) >= percent * (F.col("n_a") + F.col("n_b") - most - F.least("r_a", "r_b"))
+    common = most + F.size(F.array_intersect("f_a", "f_b"))
+    bound = 100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)
+    # of all buckets that two nodes share, the least proposes the pair: no pair is made twice
+    once = F.col("key") == F.array_min(F.array_intersect("k_a", "k_b"))
+    same = (F.col("_key") == F.col("key")) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & able & (odd_distance("o_a", "o_b") <= max_odd) & once & bound
+    more = confirmed(left.join(right, same).select("a", "b"), sets)
     groups = components(links.union(more))
 
     table = shared_table(nodes.join(groups.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node")))
@@ -212,6 +216,11 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, ro
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def odd_distance(a: str, b: str) -> Column:
+    """Population count of the XOR of two odd sketches."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+
+
 def rare_shingles(sets: DataFrame) -> DataFrame:
     """Per node: shingles that no other of ``sets`` holds (``alone``), that at most RARE hold (``rare``), and the shared ones of those (``few``)."""
     each = sets.select("node", F.explode("set").alias("shingle"))
