@@ -10,23 +10,24 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foldlake.functions import chunking, crypto, digest, encoding
 
 RAW, ZSTD = 0, 1
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def blake3(data: pd.Series) -> pd.Series:
     return data.map(lambda b: None if b is None else digest.blake3(bytes(b)))
 
 
-@F.pandas_udf("struct<codec:int,data:binary>")
+@F.pandas_udf(T.StructType().add("codec", "integer").add("data", "binary"))
 def compress(data: pd.Series) -> pd.DataFrame:
     """zstd if that is smaller, else the bytes as they are."""
     import zstandard
@@ -52,35 +53,35 @@ def decompress_one(codec: int, data: bytes, limit: int) -> bytes | None:
         return None
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def decompress(codec: pd.Series, data: pd.Series, limit: pd.Series) -> pd.Series:
     """The bytes; null for an unknown codec, damage, or more than ``limit`` bytes."""
     return pd.Series([decompress_one(c, bytes(d), n) for c, d, n in zip(codec, data, limit)])
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def identity(kind: pd.Series, path: pd.Series, mode: pd.Series, target: pd.Series, chunks: pd.Series) -> pd.Series:
     """Canonical identity bytes; ``chunks`` is an array of (id, length) in order.  Hash them with ``sha2`` or ``blake3``."""
     rows = zip(kind, path, mode, target, chunks)
     return pd.Series([encoding.identity_bytes(int(k), p, int(m), t or "", [(bytes(c["id"]), int(c["length"])) for c in cs]) for k, p, m, t, cs in rows])
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def vector_bytes(nodes: pd.Series, counters: pd.Series) -> pd.Series:
     return pd.Series([encoding.encode_vector(dict(zip(map(str, n), map(int, c)))) for n, c in zip(nodes, counters)])
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def blind_id(key: pd.Series, chunk_id: pd.Series) -> pd.Series:
     return pd.Series([crypto.blind_id(bytes(k), bytes(c)) for k, c in zip(key, chunk_id)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def base32(data: pd.Series) -> pd.Series:
     return data.map(lambda b: encoding.base32_id(bytes(b)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def clean_path(paths: pd.Series) -> pd.Series:
     """Lexically cleaned link target: ``..`` inside is resolved, one that leaves the root stays in front."""
     import posixpath

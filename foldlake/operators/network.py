@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 OCTET = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IPV4 = rf"^{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}$"
@@ -38,7 +39,7 @@ def inside(number: Column, *names: str) -> Column:
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def ip_class(ips: pd.Series) -> pd.Series:
     """For IPv6 and IPv4: ``bad``, ``unroutable``, ``private`` or ``public``.  The expressions above do for IPv4."""
     import ipaddress

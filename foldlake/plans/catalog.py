@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from foldlake.plans import content, folder, network, peers  # noqa: F401  fills the registry
+from foldlake.plans.relations import ORACLES, QUERIES, Query
 
-def queries():
-    return {}
 
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
-def oracle_sql():
-    return {}
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)

@@ -76,7 +76,7 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunk index: ``chunk_id, plaintext_length, last_seen_ms, blob_id``."""
     at = F.col("length") + 1000 * F.col("ord")
-    return manifest_chunks(spark, sf_dir).groupBy("chunk_id").agg(F.any_value("length").alias("plaintext_length"), F.max(at).alias("last_seen_ms"), (F.min(at) % 20).alias("blob_id"))
+    return manifest_chunks(spark, sf_dir).groupBy("chunk_id").agg(F.any_value("length").alias("plaintext_length"), F.max(at).alias("last_seen_ms"), (F.floor(F.min(at) / 100) % 20).alias("blob_id"))
 
 
 def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
