@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldlake.session import settled
+
 #: Days a tombstone is kept.
 TOMBSTONE_DAYS = 90
 SIGNATURE = ("kind", "mode", "mtime_ns", "size", "inode")
@@ -84,8 +86,8 @@ def numbered(df: DataFrame, order: list[str], first: int, name: str) -> DataFram
 
     Rows are range-partitioned by ``order``; each partition numbers its own rows, after the counts of those before.
     """
-    # a fixed number of partitions, which adaptive execution leaves alone, so both uses see the same ranges
-    ranged = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_part", F.spark_partition_id())
+    # settled: the ranges are drawn from a sample, and two runs of it could cut at different rows
+    ranged = settled(df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_part", F.spark_partition_id()))
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
     own = F.row_number().over(Window.partitionBy("_part").orderBy(*order)).cast("bigint")

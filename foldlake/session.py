@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, app: str = "foldlake", **conf: str) -> SparkSession:
@@ -17,3 +20,20 @@ def session(master: str | None = None, app: str = "foldlake", **conf: str) -> Sp
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
     return builder.config(map=settings | conf).getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``; a private one only where it is unset, as in tests."""
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not path:
+        path = "file://" + tempfile.mkdtemp(prefix="foldlake-shared-")
+        context.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to a table in the shared folder and read back: every later use sees the same rows in the same places."""
+    path = f"{shared_dir(df.sparkSession)}/foldlake-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from foldlake.plans import catalog
@@ -11,7 +12,7 @@ QUERIES, ORACLES = catalog.queries(), catalog.oracle_sql()
 
 
 def cell(v):
-    if v is None or v != v or str(v) in ("<NA>", "NaT"):
+    if pd.isna(v):
         return "~"
     return str(int(v)) if isinstance(v, float) and v == int(v) else str(v)
 
