@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -39,8 +40,8 @@ from foldlake.llm.common import flat, mix, powers, shared_table, slices
 GRAM = 48
 #: Stretches of one anchor beyond which it is dealt in bands, and starts to a band.
 HOT, BAND = 2000, 8
-#: Bytes of distinct stretches sorted at a time.
-BLOCK = 1 << 20
+#: Bytes of distinct stretches sorted at a time, and of those that a task deals at a time.
+BLOCK, SHARE = 1 << 20, 4 << 20
 #: Anchors (16 bytes each) and texts up to which the small side of a join is broadcast.
 BROADCAST_ROWS = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -206,7 +207,10 @@ def anchored(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def stretches(held: DataFrame, length: int) -> DataFrame:
-    """The stretch of every repeated anchor: ``deal`` key, row of the text, first start and bytes."""
+    """The stretch of every repeated anchor: ``deal`` key, row of the text, first start, bytes and ``again`` (known to repeat).
+
+    Stretches that are equal within a share of a task go as one; the other places are rows of ``begins`` and ``ends``.
+    """
 
     def cut(text: bytes, f: dict) -> Iterator[tuple[int, int, bytes]]:
         first, last = f["first"], f["last"]
@@ -224,33 +228,48 @@ def stretches(held: DataFrame, length: int) -> DataFrame:
             yield deal - 2**63, a, text[a : b + length]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # one row per distinct stretch of the share; its other places are known repeats and go as spans of their text
+        seen, known, size, places = {}, {}, 0, 0
         for batch in batches:
-            out, size = [], 0
             texts = batch.column("text")
             for i, (row, found) in enumerate(zip(batch.column("row").to_pylist(), batch.column("found").to_pylist())):
                 text = (texts[i].as_py() or "").encode()
                 for f in found:
                     for deal, first, body in cut(text, f):
-                        out.append((deal, row, first, body))
-                        size += len(body)
-                if size > 4 << 20:
-                    yield made(out)
-                    out, size = [], 0
-            if out:
-                yield made(out)
-
-    def made(out: list) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=["deal", "row", "first", "body"])
-
-    return held.mapInArrow(run, "deal long, row long, first int, body binary")
+                        own = seen.get((deal, body))
+                        if own is None:
+                            seen[deal, body] = [row, first, False]
+                            size += len(body)
+                            continue
+                        own[2] = True
+                        known.setdefault(row, []).append((first, first + len(body)))
+                        places += 1
+                if size > SHARE or places > SHARE // 64:
+                    yield from made(seen, known)
+                    seen, known, size, places = {}, {}, 0, 0
+        yield from made(seen, known)
+
+    def made(seen: dict, known: dict) -> Iterator[pa.RecordBatch]:
+        rows = [(deal, row, first, body, again, None, None) for (deal, body), (row, first, again) in seen.items()]
+        for row, found in known.items():
+            begins, ends = zip(*united(*zip(*found)))
+            rows.append((xxhash.xxh64_intdigest(f"{row} {begins[0]}") - 2**63, row, None, None, None, begins, ends))
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+        for k in range(0, len(rows), 5000):
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[k : k + 5000]), kinds)], names=["deal", "row", "first", "body", "again", "begins", "ends"])
+
+    return held.mapInArrow(run, "deal long, row long, first int, body binary, again boolean, begins array<int>, ends array<int>")
 
 
 def sort_block(groups: list[dict[bytes, list]], length: int) -> Iterator[tuple[int, list[int], list[int]]]:
-    """Spans (row, begins, ends) of the repeated strings of some anchors; a group maps each stretch to its places."""
-    single = [(b, p) for g in groups if len(g) == 1 for b, p in g.items() if len(p) > 1]
+    """Spans (row, begins, ends) of the repeated strings of some anchors; a group maps each stretch to its places.
+
+    A place is (row, first, again); a stretch of several places, or of one marked ``again``, repeats as a whole.
+    """
+    whole = lambda places: len(places) > 1 or places[0][2]
+    single = [(b, p) for g in groups if len(g) == 1 for b, p in g.items() if whole(p)]
     for body, places in single:
-        for row, first in places:
+        for row, first, _ in places:
             yield row, [first], [first + len(body)]
     several = [(b, p) for g in groups if len(g) > 1 for b, p in g.items()]
     if not several:
@@ -261,7 +280,7 @@ def sort_block(groups: list[dict[bytes, list]], length: int) -> Iterator[tuple[i
     fit = sizes - length + 1
     owner = np.repeat(np.arange(len(several)), fit)
     starts = np.repeat(base - (np.cumsum(fit) - fit), fit) + np.arange(len(owner))
-    again = repeated_starts(data, starts, length) | (np.array([len(p) for _, p in several]) > 1)[owner]
+    again = repeated_starts(data, starts, length) | (np.array([whole(p) for _, p in several]))[owner]
     where = starts - base[owner]
     new = again.copy()
     new[1:] &= ~(again[:-1] & (owner[1:] == owner[:-1]))
@@ -272,7 +291,7 @@ def sort_block(groups: list[dict[bytes, list]], length: int) -> Iterator[tuple[i
     for i, (_, places) in enumerate(several):
         b, e = begins[cut[i] : cut[i + 1]], ends[cut[i] : cut[i + 1]]
         if len(b):
-            for row, first in places:
+            for row, first, _ in places:
                 yield row, (b + first).tolist(), (e + first).tolist()
 
 
@@ -289,7 +308,13 @@ def repeats(dealt: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.list_(pa.int32())), pa.array([r[2] for r in part], pa.list_(pa.int32()))], names=["row", "begins", "ends"])
 
         for batch in batches:
-            for deal, row, first, body in zip(batch.column("deal").to_pylist(), batch.column("row").to_pylist(), batch.column("first").to_pylist(), batch.column("body")):
+            names = ("deal", "row", "first", "again")
+            straight = batch.filter(pc.is_null(batch.column("body")))
+            if straight.num_rows:
+                yield straight.select(["row", "begins", "ends"])
+            for deal, row, first, again, body in zip(*(batch.column(c).to_pylist() for c in names), batch.column("body")):
+                if not body.is_valid:
+                    continue
                 if deal != now:
                     if group:
                         groups.append(group)
@@ -300,10 +325,10 @@ def repeats(dealt: DataFrame, length: int) -> DataFrame:
                 body = body.as_py()
                 places = group.get(body)
                 if places is None:
-                    group[body] = [(row, first)]
+                    group[body] = [(row, first, again)]
                     size += len(body)
                 else:
-                    places.append((row, first))
+                    places.append((row, first, again))
         if group:
             groups.append(group)
         yield from flush()
