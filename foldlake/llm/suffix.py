@@ -41,7 +41,7 @@ GRAM = 48
 #: Stretches of one anchor beyond which it is dealt in bands, and starts to a band.
 HOT, BAND = 2000, 8
 #: Bytes of distinct stretches sorted at a time, and of those that a task deals at a time.
-BLOCK, SHARE = 1 << 20, 4 << 20
+BLOCK, SHARE = 1 << 19, 4 << 20
 #: Anchors (16 bytes each) and texts up to which the small side of a join is broadcast.
 BROADCAST_ROWS = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -195,7 +195,7 @@ def anchored(texts: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):
                 data, offsets = flat(part.column("text"))
                 text, first, last, place, hashed = anchors(data, offsets, length, gram)
                 at = pa.array(np.searchsorted(text, np.arange(part.num_rows + 1)).astype(np.int32))
@@ -232,9 +232,9 @@ def stretches(held: DataFrame, length: int) -> DataFrame:
         seen, known, size, places = {}, {}, 0, 0
         for batch in batches:
             texts = batch.column("text")
-            for i, (row, found) in enumerate(zip(batch.column("row").to_pylist(), batch.column("found").to_pylist())):
-                text = (texts[i].as_py() or "").encode()
-                for f in found:
+            for row, text, found in zip(batch.column("row").to_pylist(), texts, batch.column("found")):
+                text = (text.as_py() or "").encode()
+                for f in found.as_py():
                     for deal, first, body in cut(text, f):
                         own = seen.get((deal, body))
                         if own is None:
