@@ -203,6 +203,28 @@ def test_quality_removes_boilerplate(spark):
     assert set(out) == set(range(40)) and all("Home" not in t for t in out.values())
 
 
+def test_quality_limit_of_production(spark):
+    import random
+
+    rng = random.Random(9)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    # hosts of 400 and 50 documents: a tenth holds the planted line, a fiftieth another one; two are little else than it
+    docs = []
+    for host, size in (("big", 400), ("small", 50)):
+        for k in range(size):
+            lead = "Home | About 2024\n" if k % 10 == 0 else "in a few\n" if k % 50 == 1 else ""
+            docs.append((len(docs), lead + text(80), "en", host, 0))
+        for k in range(2):
+            docs.append((len(docs), "\n".join(f"home |  ABOUT {1000 + 10 * k + i}" for i in range(30)) + "\n" + text(5), "en", host, 0))
+    table = spark.createDataFrame(docs, DOCS)
+    got = {r.doc_id: r for r in quality.judge(table, max_repeat=1.0).collect()}
+    out = {r.doc_id: r.text for r in quality.clean(table, max_repeat=1.0).collect()}
+    for d, body, *_ in docs:
+        planted = sum(line.lower().startswith("home |") for line in body.split("\n"))
+        assert (got[d].n_boilerplate_words, got[d].kept) == (4 * planted, planted < 2)
+        assert out.get(d) == (None if planted > 1 else body.removeprefix("Home | About 2024\n"))
+
+
 def test_mixing(spark):
     plain, empty, clash = tables(spark)
     got = result(mixing.taken(mixing.mix(plain, MIX_WEIGHTS)))
