@@ -1,7 +1,7 @@
 """A training-corpus pipeline over ``documents``: quality rules, exact dedup, near-dedup, mixing, tokens.
 
 Every stage takes all rows its predecessor kept; all but the last return the columns of ``documents``.  A document that
-the mix takes twice is there twice.
+the mix takes twice is there twice.  Stages decide by row: ids may be null or repeated.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldlake.llm import bpe, exact, mixing, neardup, quality
-from foldlake.llm.common import read_table, shared_dir
+from foldlake.llm.common import read_table, row_key, rows_of, shared_dir
 from foldlake.llm.queries import MIX_RATIO, MIX_WEIGHTS, tokenizer_path
 
 
@@ -26,14 +26,17 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    stay = neardup.link(docs).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_keep"]), "left_semi")
+    keyed = docs.select(row_key(docs).alias("_row"), "doc_id", "text")
+    groups = neardup.link(keyed, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    first = groups.join(keyed.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "_row"))["_row"].alias("_row"))
+    return rows_of(docs, first.select("_row"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    chosen = mixing.mix(docs, MIX_WEIGHTS, MIX_RATIO, epochs=2).where("chosen").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_times"))
-    taken = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_id"]))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)
+    keyed = docs.withColumn("_row", row_key(docs))
+    # equal rows share a key: one of them is copied as often as they were chosen together
+    chosen = mixing.mix(keyed, MIX_WEIGHTS, MIX_RATIO, epochs=2, key_col="_row").where("chosen").groupBy("_row").agg(F.count("*").alias("_times"))
+    return rows_of(docs, chosen).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that end a word: space and 0x09 to 0x0D.
@@ -55,6 +55,16 @@ def drop_table(df: DataFrame) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def row_key(docs: DataFrame) -> Column:
+    """64-bit hash of a whole row; only equal rows share it.  Nulls are marked, as ``xxhash64`` passes over them."""
+    return F.xxhash64(*[x for c in docs.columns for x in (F.col(c), F.isnull(c))])
+
+
+def rows_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose key is in ``chosen`` (``_row``, once each, and columns to add); of equal rows one."""
+    return docs.withColumn("_row", row_key(docs)).join(chosen, "_row").dropDuplicates(["_row"]).drop("_row")
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``limit`` bytes of text each (a longer single text is a part of its own)."""
     if not batch.num_rows:

@@ -30,9 +30,9 @@ from foldlake.llm.common import drop_table, flat, shared_table, slices, word_run
 CELLS, STEPS = 512, 2048
 
 
-def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """``doc_id, source, size`` (words of the whole text) and ``_crc`` of every row."""
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, key: list[str]) -> DataFrame:
+    """``doc_id, source, size`` (words of the whole text), ``_crc`` and the columns ``key`` of every row."""
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"), *key)
     kind = source.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,9 +42,9 @@ def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
                 starts, _ = word_runs(data, offsets)
                 size = np.diff(np.searchsorted(starts, offsets))
                 crc = [zlib.crc32(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array(size), pa.array(crc, pa.int64())], names=["doc_id", "source", "size", "_crc"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array(size), pa.array(crc, pa.int64()), *map(part.column, key)], names=["doc_id", "source", "size", "_crc", *key])
 
-    return source.mapInArrow(run, f"doc_id {kind}, source string, size long, _crc long")
+    return source.mapInArrow(run, ", ".join([f"doc_id {kind}, source string, size long, _crc long", *(f"{k} long" for k in key)]))
 
 
 def fair_targets(sizes: list[int], weights: list[float], budget: float, cap: float) -> list[float]:
@@ -65,14 +65,15 @@ def fair_targets(sizes: list[int], weights: list[float], budget: float, cap: flo
     return out
 
 
-def mix(docs: DataFrame, weights: list[float], budget_ratio: float = 1.5, epochs: int = 2, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document and pass: ``doc_id, source, size, source_size, target, epoch, finish, chosen``.
+def mix(docs: DataFrame, weights: list[float], budget_ratio: float = 1.5, epochs: int = 2, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", key_col: str | None = None) -> DataFrame:
+    """One row per document and pass: ``doc_id, source, size, source_size, target, epoch, finish, chosen``, and ``key_col`` (a long) if given.
 
     ``weights`` repeat over the sources in code point order, null last.  The list of sources and their sizes is what a
     mix is configured by and goes to the driver; nothing else does.
     """
     spark = docs.sparkSession
-    base = sized(docs, id_col, text_col, source_col)
+    own = [key_col] if key_col else []
+    base = sized(docs, id_col, text_col, source_col, own)
     base = shared_table(base)  # a few numbers a row: the texts are read once
     totals = [(s, int(n)) for s, n in base.groupBy("source").agg(F.sum("size")).collect()]
     totals.sort(key=lambda x: (x[0] is None, (x[0] or "").encode("utf-32-be")))
@@ -89,13 +90,13 @@ def mix(docs: DataFrame, weights: list[float], budget_ratio: float = 1.5, epochs
     cells = rows.groupBy(key).agg(F.sum("size").alias("_sum"))
     before = Window.partitionBy("source").orderBy("epoch", "_cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select(*key, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(key).orderBy("_mix", "doc_id", "size", "_crc").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(key).orderBy("_mix", "doc_id", "size", "_crc", *own).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_in", F.sum("size").over(inside))
     right = cells.toDF("_s", "_e", "_c", "_before")
     rows = rows.join(right, rows["source"].eqNullSafe(right["_s"]) & (rows["epoch"] == right["_e"]) & (rows["_cell"] == right["_c"])).drop("_s", "_e", "_c")
     finish = F.when(F.col("target") > 0, (F.col("_before") + F.col("_in")) / F.col("target")).otherwise(F.lit(0.0))
     rows = rows.withColumn("finish", finish).withColumn("_step", F.least(F.floor(F.col("finish") * STEPS), F.lit(4 * STEPS)).cast("int"))
-    rows = shared_table(rows.select("doc_id", "source", "size", "source_size", "target", "epoch", "finish", "_crc", "_mix", "_step"))
+    rows = shared_table(rows.select("doc_id", "source", "size", "source_size", "target", "epoch", "finish", "_crc", "_mix", "_step", *own))
     drop_table(base)
     # where does the budget end?  at most 4 x STEPS + 1 numbers
     steps, taken, cut = sorted((k, int(n)) for k, n in rows.groupBy("_step").agg(F.sum("size")).collect()), 0, None
@@ -105,12 +106,12 @@ def mix(docs: DataFrame, weights: list[float], budget_ratio: float = 1.5, epochs
             break
         taken += n
     if cut is None:
-        return rows.withColumn("chosen", F.lit(True)).select(*RESULT)
+        return rows.withColumn("chosen", F.lit(True)).select(*RESULT, *own)
     last = rows.where(F.col("_step") == cut)
-    running = Window.partitionBy("_step").orderBy("finish", "source", "epoch", "_mix", "doc_id", "size", "_crc").rowsBetween(Window.unboundedPreceding, 0)
+    running = Window.partitionBy("_step").orderBy("finish", "source", "epoch", "_mix", "doc_id", "size", "_crc", *own).rowsBetween(Window.unboundedPreceding, 0)
     last = last.withColumn("chosen", F.sum("size").over(running) <= budget - taken)
     rest = rows.where(F.col("_step") != cut).withColumn("chosen", F.col("_step") < cut)
-    return rest.select(*RESULT).unionByName(last.select(*RESULT))
+    return rest.select(*RESULT, *own).unionByName(last.select(*RESULT, *own))
 
 
 RESULT = ("doc_id", "source", "size", "source_size", "target", "epoch", "finish", "_crc", "_mix", "chosen")

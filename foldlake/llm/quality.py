@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldlake.llm.common import flat, mix, powers, runs_hash, shared_table, slices, word_runs
+from foldlake.llm.common import flat, mix, powers, row_key, runs_hash, shared_table, slices, word_runs
 
 SYMBOLS = b"#*$%&|<>"
 IS_SYMBOL = np.zeros(256, bool)
@@ -150,13 +150,14 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHAR
 
 def clean(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_rest: float = 0.2, min_words: int = 50, max_repeat: float = 0.5) -> DataFrame:
     """The documents that pass, with their own columns; boilerplate lines are taken out of the texts that hold any."""
-    rows = shared_table(profile(docs))
+    keyed = docs.withColumn("_row", row_key(docs))  # ids may be null or repeated; equal rows have one verdict
+    rows = shared_table(profile(keyed, id_col="_row"))
     held = frequent_lines(rows, min_docs, max_share).groupBy("row").agg(F.sum("words").alias("lost"), F.collect_set("line_key").alias("keys"))
     passed = rows.select("row", "doc_id", "text_hash", "n_words", "n_repeat_words").join(held, "row", "left")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > int(100 * max_repeat) * F.col("n_words"))
     depleted = (F.col("n_words") - F.coalesce("lost", F.lit(0))) < min_rest * F.col("n_words")
-    passed = passed.where(~failed & ~depleted).groupBy(F.col("doc_id").alias("_id")).agg(F.flatten(F.collect_list(F.coalesce("keys", F.array().cast("array<long>")))).alias("_keys"))
-    out = docs.join(passed, docs["doc_id"].eqNullSafe(passed["_id"])).drop("_id")
+    passed = passed.where(~failed & ~depleted).groupBy(F.col("doc_id").alias("_row")).agg(F.first(F.coalesce("keys", F.array().cast("array<long>"))).alias("_keys"))
+    out = keyed.join(passed, "_row").drop("_row")
     names = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
