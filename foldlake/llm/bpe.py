@@ -25,6 +25,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from foldlake.llm.common import lean
+
 _LOADED: dict[str, "WordBpe"] = {}
 #: Words remembered in a worker before its table is emptied.
 REMEMBERED = 1_000_000
@@ -239,4 +241,4 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 }
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(made[o](), kinds[o][1]) for o in outputs)], names=[id_col, *outputs])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)

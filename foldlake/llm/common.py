@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="foldlake-shared-")
         context.setCheckpointDir(path)
     return path.rstrip("/")
@@ -56,8 +60,10 @@ def drop_table(df: DataFrame) -> None:
 
 
 def row_key(docs: DataFrame) -> Column:
-    """64-bit hash of a whole row; only equal rows share it.  Nulls are marked, as ``xxhash64`` passes over them."""
-    return F.xxhash64(*[x for c in docs.columns for x in (F.col(c), F.isnull(c))])
+    """128-bit hash of a whole row; only equal rows share it.  Nulls are marked, as ``xxhash64`` passes over them."""
+    cells = [x for c in docs.columns for x in (F.col(f"`{c}`"), F.isnull(f"`{c}`"))]
+    half = lambda seed: F.lpad(F.hex(F.xxhash64(F.lit(seed), *cells)), 16, "0")
+    return F.unhex(F.concat(half(1), half(2)))
 
 
 def rows_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -65,7 +71,37 @@ def rows_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     return docs.withColumn("_row", row_key(docs)).join(chosen, "_row").dropDuplicates(["_row"]).drop("_row")
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+#: From mallopt(3): blocks of this size and more are mapped one by one, and so go back when freed.
+M_MMAP_THRESHOLD, MAPPED = -3, 256 << 10
+_SET: list[bool] = []
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for a reused Python worker: memory that it freed goes back to the system instead of adding up over the stages."""
+
+    @functools.wraps(run)
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            libc = ctypes.CDLL(None)
+            trim = libc.malloc_trim
+            if not _SET:
+                libc.mallopt(M_MMAP_THRESHOLD, MAPPED)
+                pa.set_memory_pool(pa.system_memory_pool())
+                _SET.append(True)
+        except (AttributeError, OSError):  # another C library
+            trim = lambda _: None
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim(0)
+
+    return held
+
+
+#: Bytes of text that the array operations take at a time; they hold some ten numbers of 8 bytes for each.
+PART = 1 << 19
+
+
+def slices(batch: pa.RecordBatch, column: str, limit: int = PART) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``limit`` bytes of text each (a longer single text is a part of its own)."""
     if not batch.num_rows:
         return

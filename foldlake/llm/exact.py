@@ -4,42 +4,47 @@ Texts are dealt by length and content hash.  Each task inserts the whole byte st
 compressed radix trie; the terminal node of a string keeps the smallest identifier (or the largest, as a
 parameter) and the number of rows.  The same trie runs first over every input task, so one task sends a text
 once however often it holds it, and a group of copies that holds a third of all rows arrives at its owner as one
-string per input task.  When a trie outgrows its budget, the subtree with the most bytes is spilled to a
-scratch file of the task and finished after the rest.
+string per input task.
+
+When a trie outgrows its budget, the heaviest subtrees are spilled: their strings leave the task as rows of a table
+in the shared folder, and so does every later string that ends below one.  Spilled rows are dealt
+again in another round, by another hash, until none is left.  Nothing is kept on a machine's own disk, so a lost executor
+costs its tasks only.  A subtree hangs at a branching node, however long the prefix that its strings share.
 
 Defined cases: null counts as the empty text, and empty texts equal each other; a null id orders before all others for
 ``keep="largest"`` and after all for ``keep="smallest"``, so it stays only where all ids of the group are null; a row that
 repeats an id and text is a copy like any other, and both rows carry the same verdict; an empty table gives no
-rows; other columns are not read.
+rows; other columns are not read.  A text larger than the budget is held whole.
 """
 
 from __future__ import annotations
 
-import os
-import pickle
-import tempfile
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldlake.llm.common import row_key, rows_of
+from foldlake.llm.common import lean, row_key, rows_of, shared_table
 
 #: Bytes of edge labels and nodes that a task's trie may hold before a subtree is spilled.
-TRIE_BYTES = 192 << 20
+TRIE_BYTES = 96 << 20
 #: Bytes of a trie over an input task, which is emitted and begun anew instead.
-LOCAL_BYTES = 64 << 20
+LOCAL_BYTES = 24 << 20
 NODE_BYTES = 400
 
 
 class Node:
-    """An edge label, the children by first byte, and for a terminal the best identifier and the number of rows."""
+    """An edge label, the children by first byte, and for a terminal the best identifier and the number of rows.
+
+    Below a ``spilled`` node there is nothing in memory any more.
+    """
 
-    __slots__ = ("label", "children", "best", "rows")
+    __slots__ = ("label", "children", "best", "rows", "spilled")
 
     def __init__(self, label: bytes, best: int | None = None, rows: int = 0):
-        self.label, self.children, self.best, self.rows = label, {}, best, rows
+        self.label, self.children, self.best, self.rows, self.spilled = label, {}, best, rows, False
 
 
 def shared_prefix(a: bytes, b: bytes, start: int) -> int:
@@ -61,25 +66,25 @@ def shared_prefix(a: bytes, b: bytes, start: int) -> int:
 
 
 class PatriciaTrie:
-    """A compressed radix trie of byte strings with owners; spills whole subtrees beyond its budget."""
+    """A compressed radix trie of byte strings with owners; beyond its budget whole subtrees go to ``spill_out``."""
 
-    def __init__(self, budget: int = TRIE_BYTES, prefer=min, folder: str | None = None):
-        self.root, self.used, self.budget, self.prefer, self.folder = Node(b""), 0, budget, prefer, folder
-        self.spilled: dict[bytes, object] = {}  # first bytes -> open scratch file
+    def __init__(self, budget: int = TRIE_BYTES, prefer=min):
+        self.root, self.used, self.budget, self.prefer = Node(b""), 0, budget, prefer
+        self.spill_out: list[tuple[bytes, int | None, int]] = []  # for the caller to take
         self.spills = 0
 
     def better(self, a: int | None, b: int | None) -> int | None:
         return b if a is None else a if b is None else self.prefer(a, b)
 
     def add(self, text: bytes, best: int | None, rows: int = 1) -> None:
-        if text and self.spilled and (f := self.spilled.get(text[:1])) is not None:
-            pickle.dump((text, best, rows), f, pickle.HIGHEST_PROTOCOL)
-            return
         node, at = self.root, 0
         while True:
             if at == len(text):
                 node.best, node.rows = (self.better(node.best, best), node.rows + rows) if node.rows else (best, rows)
                 return
+            if node.spilled:
+                self.spill_out.append((text, best, rows))
+                return
             child = node.children.get(text[at])
             if child is None:
                 node.children[text[at]] = Node(text[at:], best, rows)
@@ -94,10 +99,11 @@ class PatriciaTrie:
                 self.used += NODE_BYTES
                 child = upper
             node, at = child, at + k
-        if self.used > self.budget and len(self.root.children) > 0:
+        if self.used > self.budget:
             self.spill()
 
     def walk(self, node: Node, prefix: bytes) -> Iterator[tuple[bytes, int | None, int]]:
+        """The strings at and below a node; ``prefix`` ends above its label."""
         stack = [(node, prefix)]
         while stack:
             node, prefix = stack.pop()
@@ -106,51 +112,79 @@ class PatriciaTrie:
                 yield text, node.best, node.rows
             stack += [(c, text) for c in node.children.values()]
 
-    def weight(self, node: Node) -> int:
-        total, stack = 0, [node]
+    def weights(self) -> dict[int, int]:
+        """Bytes at and below each node."""
+        order, stack = [], [self.root]
         while stack:
             n = stack.pop()
-            total += len(n.label) + NODE_BYTES
+            order.append(n)
             stack += n.children.values()
-        return total
+        out: dict[int, int] = {}
+        for n in reversed(order):
+            out[id(n)] = len(n.label) + NODE_BYTES + sum(out[id(c)] for c in n.children.values())
+        return out
 
     def spill(self) -> None:
-        """Move the heaviest first-byte subtree to a scratch file; later strings of it go there directly."""
-        first, weight = max(((b, self.weight(n)) for b, n in self.root.children.items()), key=lambda x: x[1])
-        f = tempfile.TemporaryFile(dir=self.folder)
-        for entry in self.walk(self.root.children.pop(first), b""):
-            pickle.dump(entry, f, pickle.HIGHEST_PROTOCOL)
-        self.spilled[bytes([first])] = f
-        self.used -= weight
-        self.spills += 1
-
-    def owners(self) -> Iterator[tuple[bytes, int | None, int]]:
-        """Each distinct text with its identifier and rows: what is in memory, then every spilled subtree."""
-        yield from self.walk(self.root, b"")
-        self.root, self.used = Node(b""), 0
-        for first, f in self.spilled.items():
-            f.seek(0)
-            inner = _Subtree(self.budget, self.prefer, self.folder)
+        """Spill the heaviest subtrees that hold at most half of the bytes, until a quarter of the budget is free."""
+        weight = self.weights()
+        while self.used > 3 * self.budget // 4:
+            path, prefix = [self.root], b""
             while True:
-                try:
-                    text, best, rows = pickle.load(f)
-                except EOFError:
+                first, heavy = max(path[-1].children.items(), key=lambda c: weight[id(c[1])])
+                if weight[id(heavy)] <= self.used // 2 or not heavy.children:
                     break
-                inner.add(text[1:], best, rows)
-            f.close()
-            for text, best, rows in inner.owners():
-                yield first + text, best, rows
-        self.spilled = {}
-
+                path.append(heavy)
+                prefix += heavy.label
+            # a stub of one byte stays; a string that ends at it is no part of the subtree
+            stub = Node(heavy.label[:1])
+            freed = weight[id(heavy)] - 1 - NODE_BYTES
+            if freed < self.used // 1024:
+                self.budget = 2 * self.used  # many short strings side by side: there is no subtree to give away
+                return
+            if len(heavy.label) == 1:
+                stub.best, stub.rows, heavy.rows = heavy.best, heavy.rows, 0
+            self.spill_out += self.walk(heavy, prefix)
+            stub.spilled = True
+            path[-1].children[first] = stub
+            weight[id(stub)] = 1 + NODE_BYTES
+            for n in path:
+                weight[id(n)] -= freed
+            self.used -= freed
+            self.spills += 1
 
-class _Subtree(PatriciaTrie):
-    """The trie below a spilled first byte; it may spill again one byte further down."""
+    def owners(self) -> Iterator[tuple[bytes, int | None, int]]:
+        """Each distinct text with its identifier and rows: what is in the trie, then what is left of ``spill_out``."""
+        trie = self
+        while True:
+            yield from trie.walk(trie.root, b"")
+            if not trie.spill_out:
+                return
+            rest, trie = trie.spill_out, PatriciaTrie(self.budget, self.prefer)
+            for entry in rest:
+                trie.add(*entry)
 
 
 def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", budget: int = TRIE_BYTES) -> DataFrame:
     """One row per distinct text: ``text_sha256``, ``keep_id`` and ``group_size``."""
     prefer = {"smallest": min, "largest": max}[keep]
-    import hashlib
+    names = ("body", "best", "rows", "text_sha256")
+    kinds = (pa.binary(), pa.int64(), pa.int64(), pa.string())
+    schema = "body binary, best long, rows long, text_sha256 string"
+
+    def packed(entries, digest: bool) -> Iterator[pa.RecordBatch]:
+        """Rows of whole strings, or of their digests."""
+        rows, size = [], 0
+        for text, best, n in entries:
+            rows.append((None, best, n, hashlib.sha256(text).hexdigest()) if digest else (text, best, n, None))
+            size += 100 if digest else len(text) + 100
+            if size > 1 << 20:
+                yield made(rows)
+                rows, size = [], 0
+        if rows:
+            yield made(rows)
+
+    def made(rows) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=list(names))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = PatriciaTrie(1 << 62, prefer)
@@ -158,46 +192,31 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
             for text, best in zip(batch.column(1), batch.column(0).to_pylist()):
                 trie.add((text.as_py() or "").encode(), best)
                 if trie.used > LOCAL_BYTES:
-                    yield from packed(trie)
+                    yield from packed(trie.walk(trie.root, b""), False)
                     trie = PatriciaTrie(1 << 62, prefer)
-        yield from packed(trie)
-
-    def packed(trie: PatriciaTrie) -> Iterator[pa.RecordBatch]:
-        rows, size = [], 0
-        for entry in trie.owners():
-            rows.append(entry)
-            size += len(entry[0])
-            if size > 4 << 20:
-                yield batch_of(rows)
-                rows, size = [], 0
-        if rows:
-            yield batch_of(rows)
-
-    def batch_of(rows) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["body", "best", "rows"])
+        yield from packed(trie.walk(trie.root, b""), False)
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = PatriciaTrie(budget, prefer, os.environ.get("TMPDIR"))
+        trie = PatriciaTrie(budget, prefer)
         for batch in batches:
             for body, best, rows in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 trie.add(body.as_py(), best, rows)
-        out = []
-        for text, best, rows in trie.owners():
-            out.append((hashlib.sha256(text).hexdigest(), best, rows))
-            if len(out) == 8192:
-                yield digests(out)
-                out = []
-        if out:
-            yield digests(out)
-
-    def digests(out) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int64())], names=["text_sha256", "keep_id", "group_size"])
-
-    source = docs.select(F.col(id_col).cast("long"), F.col(text_col))
-    dealt = source.mapInArrow(local, "body binary, best long, rows long")
-    # length and content hash together pick the task; a text is never in two tasks
-    dealt = dealt.withColumn("deal", F.xxhash64(F.octet_length("body"), F.xxhash64("body"))).repartition("deal").drop("deal")
-    return dealt.mapInArrow(final, "text_sha256 string, keep_id long, group_size long")
+                if trie.spill_out:
+                    yield from packed(trie.spill_out, False)
+                    trie.spill_out = []
+        yield from packed(trie.walk(trie.root, b""), True)
+
+    whole = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(lean(local), schema)
+    out, deal = None, 0
+    while True:
+        # length and content hash together pick the task; a text is never in two tasks
+        dealt = whole.withColumn("_deal", F.xxhash64(F.lit(deal), F.octet_length("body"), F.xxhash64("body"))).repartition("_deal").drop("_deal")
+        table = shared_table(dealt.mapInArrow(lean(final), schema))
+        done = table.where("body is null").select("text_sha256", F.col("best").alias("keep_id"), F.col("rows").alias("group_size"))
+        out, deal = done if out is None else out.unionByName(done), deal + 1
+        whole = table.where("body is not null")
+        if whole.isEmpty():
+            return out
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", budget: int = TRIE_BYTES) -> DataFrame:

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldlake.llm.common import lean
+
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption listing plaintext xmp".split())
@@ -376,4 +378,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", o
                 }
                 yield pa.RecordBatch.from_arrays([part.column(0), *(made[o]() for o in outputs)], names=[id_col, *outputs])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)

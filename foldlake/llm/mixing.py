@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldlake.llm.common import drop_table, flat, shared_table, slices, word_runs
+from foldlake.llm.common import drop_table, flat, lean, shared_table, slices, word_runs
 
 #: Even cells of the shuffled order within a source, and steps of virtual time per unit.
 CELLS, STEPS = 512, 2048
@@ -44,7 +44,7 @@ def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, key: lis
                 crc = [zlib.crc32(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array(size), pa.array(crc, pa.int64()), *map(part.column, key)], names=["doc_id", "source", "size", "_crc", *key])
 
-    return source.mapInArrow(run, ", ".join([f"doc_id {kind}, source string, size long, _crc long", *(f"{k} long" for k in key)]))
+    return source.mapInArrow(lean(run), ", ".join([f"doc_id {kind}, source string, size long, _crc long", *(f"{k} {source.schema[k].dataType.simpleString()}" for k in key)]))
 
 
 def fair_targets(sizes: list[int], weights: list[float], budget: float, cap: float) -> list[float]:
@@ -66,7 +66,7 @@ def fair_targets(sizes: list[int], weights: list[float], budget: float, cap: flo
 
 
 def mix(docs: DataFrame, weights: list[float], budget_ratio: float = 1.5, epochs: int = 2, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", key_col: str | None = None) -> DataFrame:
-    """One row per document and pass: ``doc_id, source, size, source_size, target, epoch, finish, chosen``, and ``key_col`` (a long) if given.
+    """One row per document and pass: ``doc_id, source, size, source_size, target, epoch, finish, chosen``, and ``key_col`` if given.
 
     ``weights`` repeat over the sources in code point order, null last.  The list of sources and their sizes is what a
     mix is configured by and goes to the driver; nothing else does.

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldlake.llm.common import components, flat, mix, powers, runs_hash, shared_table, slices, word_runs
+from foldlake.llm.common import components, flat, lean, mix, powers, runs_hash, shared_table, slices, word_runs
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
@@ -100,21 +100,21 @@ def signatures(value: np.ndarray, offsets: np.ndarray, bands: int, rows: int, se
 
 def sketch(docs: DataFrame, words: int, bands: int, rows: int, seed: int, id_col: str, text_col: str) -> DataFrame:
     """Per document: row key, id, set size, 128-bit set fingerprint, band keys and odd sketch."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "row long, doc_id long, n_shingles long, f1 long, f2 long, keys array<long>, odd array<long>"
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t"))
+    schema = f"row long, doc_id {source.schema[0].dataType.simpleString()}, t long, n_shingles long, f1 long, f2 long, keys array<long>, odd array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text"):
                 n = part.num_rows
                 value, offsets = shingle_sets(part.column("text"), words)
                 keys, odd = signatures(value, offsets, bands, rows, seed)
                 lists = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel().view(np.int64))) for x in (keys, odd)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), part.column("doc_id"), pa.array(np.diff(offsets)), *(pa.array(p) for p in fingerprint(value, offsets)), *lists], names=[x.split(" ")[0] for x in schema.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), part.column("doc_id"), part.column("t"), pa.array(np.diff(offsets)), *(pa.array(p) for p in fingerprint(value, offsets)), *lists], names=[x.split(" ")[0] for x in schema.split(", ")])
                 row += n
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def fingerprint(value: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -137,7 +137,7 @@ def sets_of(found: DataFrame, words: int) -> DataFrame:
                 made = pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(value.view(np.int64)))], names=["node", "set"])
                 yield made.filter(pa.array(fingerprint(value, offsets)[0] == part.column("f1").to_numpy()))
 
-    return found.mapInArrow(run, "node long, set array<long>")
+    return found.mapInArrow(lean(run), "node long, set array<long>")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -153,7 +153,7 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, ro
     made = shared_table(sketch(docs, words, bands, rows, seed, id_col, text_col))
     # equal sets: one node, named by a row key
     nodes = shared_table(made.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")))
-    own = made.join(if_small(nodes.select(F.col("node").alias("row"))), "row", "left_semi").select(F.col("row").alias("node"), "doc_id", "f1", F.col("n_shingles").alias("n"), "keys", "odd")
+    own = made.join(if_small(nodes.select(F.col("node").alias("row"))), "row", "left_semi").select(F.col("row").alias("node"), "doc_id", "t", "f1", F.col("n_shingles").alias("n"), "keys", "odd")
     buckets = own.select("node", F.explode("keys").alias("key"))
     shared = shared_table(buckets.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
     members = shared_table(buckets.join(if_small(shared), "key"))
@@ -166,9 +166,10 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, ro
         return p.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).where(odd_distance("oa", "ob") <= max_odd).select("a", "b")
 
     def full_sets(of: DataFrame) -> DataFrame:
-        wanted = if_small(info.join(of, "node", "left_semi").select("node", "f1", F.col("doc_id").alias("_id")))
-        texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        return shared_table(sets_of(texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["_id"])).select("node", "f1", "text"), words).dropDuplicates(["node"]))
+        wanted = if_small(info.join(of, "node", "left_semi").select("node", "f1", F.col("doc_id").alias("_id"), F.col("t").alias("_t")))
+        texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t"))
+        # by text and id: rows without an id, or with one id, are told apart by what they hold
+        return shared_table(sets_of(texts.join(wanted, (texts["t"] == wanted["_t"]) & texts["doc_id"].eqNullSafe(wanted["_id"])).select("node", "f1", "text"), words).dropDuplicates(["node"]))
 
     def confirmed(pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
         if sets is None:
