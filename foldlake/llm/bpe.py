@@ -6,10 +6,10 @@ the pair's joined string gives the pair again).  Pairs are tested together in nu
 tokens' merge trees; only words with a failing token or pair are merged step by step.
 
 The tokenizer file is the JSON of a BPE tokenizer with a Split pattern, byte-level symbols, an
-end-of-word suffix, no decoder (tokens are joined by a space) and special tokens found in the raw text.
-Its path is a parameter; the file is read once in each Python worker.
+end-of-word suffix, no decoder (tokens are joined by a space) and special tokens found in the raw text, normalised by
+NFC, folded white space (which its words never hold) and lower case; any other kind is refused.  Its path is a parameter; the file is read once in each Python worker.
 
-Defined cases: null and empty texts give no tokens; null ids pass through; repeated rows each get a row;
+Defined cases: null and empty texts give no tokens; a word of any length is merged in about n log n steps; null ids pass through; repeated rows each get a row;
 an empty table gives no rows; other columns are not read.
 """
 
@@ -19,18 +19,21 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from foldlake.llm.common import lean
+from foldlake.llm.common import map_arrow
 
 _LOADED: dict[str, "WordBpe"] = {}
 #: Words remembered in a worker before its table is emptied.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 NONE = np.iinfo(np.int32).max
+#: Bits of a place in a word, in the heap of merges.
+PLACE = 40
 
 
 def byte_symbols() -> list[str]:
@@ -49,6 +52,9 @@ class WordBpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        steps = (spec["normalizer"] or {}).get("normalizers", [])
+        if [x["type"] for x in steps] != ["NFC", "Replace", "Lowercase"] or steps[1]["pattern"] != {"Regex": r"\s+"} or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")) or spec["decoder"]:
+            raise ValueError(f"{path}: another kind of tokenizer than this encoder computes")
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"] or ""
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
@@ -119,21 +125,29 @@ class WordBpe:
         return out
 
     def merged(self, ids: list[int]) -> list[int]:
-        """Exact merging: always the lowest rank, leftmost first."""
-        get, none = self.rank.get, (NONE, -1)
-        steps = [get(p, none) for p in zip(ids, ids[1:])]
-        while steps:
-            step = min(steps)
-            if step is none:
-                break
-            i = steps.index(step)
-            ids[i : i + 2] = [step[1]]
-            del steps[i]
-            if i:
-                steps[i - 1] = get((ids[i - 1], ids[i]), none)
-            if i < len(steps):
-                steps[i] = get((ids[i], ids[i + 1]), none)
-        return ids
+        """Exact merging: always the lowest rank, leftmost first.
+
+        A heap of rank and place over a linked list, so a word of n symbols takes n log n steps.  An entry whose pair has
+        changed since is passed over.
+        """
+        n, get = len(ids), self.rank.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(step[0] << PLACE) | i for i in range(n - 1) if (step := get((ids[i], ids[i + 1])))]
+        heapify(heap)
+        while heap:
+            rank, i = divmod(heappop(heap), 1 << PLACE)
+            j = after[i]
+            if j >= n or (step := get((ids[i], ids[j]))) is None or step[0] != rank:
+                continue
+            ids[i], ids[j] = step[1], -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if step := get((ids[i], ids[k])):
+                    heappush(heap, (step[0] << PLACE) | i)
+            if (h := before[i]) >= 0 and (step := get((ids[h], ids[i]))):
+                heappush(heap, (step[0] << PLACE) | h)
+        return [x for x in ids if x >= 0]
 
     def symbol_ids(self, s: str) -> list[int]:
         return [self.vocab[c] for c in s[:-1]] + [self.vocab[s[-1] + self.suffix]]
@@ -241,4 +255,4 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 }
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(made[o](), kinds[o][1]) for o in outputs)], names=[id_col, *outputs])
 
-    return source.mapInArrow(lean(run), schema)
+    return map_arrow(source, run, schema)

@@ -59,6 +59,15 @@ def drop_table(df: DataFrame) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+#: Rows up to which a table of numbers is broadcast.
+BROADCAST_ROWS = 400_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A table of ``shared_table``, to be broadcast if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def row_key(docs: DataFrame) -> Column:
     """128-bit hash of a whole row; only equal rows share it.  Nulls are marked, as ``xxhash64`` passes over them."""
     cells = [x for c in docs.columns for x in (F.col(f"`{c}`"), F.isnull(f"`{c}`"))]
@@ -71,32 +80,31 @@ def rows_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     return docs.withColumn("_row", row_key(docs)).join(chosen, "_row").dropDuplicates(["_row"]).drop("_row")
 
 
-#: From mallopt(3): blocks of this size and more are mapped one by one, and so go back when freed.
-M_MMAP_THRESHOLD, MAPPED = -3, 256 << 10
-_SET: list[bool] = []
-
-
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run`` for a reused Python worker: memory that it freed goes back to the system instead of adding up over the stages."""
+    """``run`` for a reused Python worker: memory that it freed goes back to the system when its task ends, instead of adding up over the stages."""
 
     @functools.wraps(run)
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            libc = ctypes.CDLL(None)
-            trim = libc.malloc_trim
-            if not _SET:
-                libc.mallopt(M_MMAP_THRESHOLD, MAPPED)
-                pa.set_memory_pool(pa.system_memory_pool())
-                _SET.append(True)
-        except (AttributeError, OSError):  # another C library
-            trim = lambda _: None
         yield from run(batches)
         pa.default_memory_pool().release_unused()
-        trim(0)
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
 
     return held
 
 
+#: Bytes of an Arrow batch on its way to Python and back; the JVM holds a batch outside of its heap, the worker too.
+BATCH_BYTES = 4 << 20
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow`` in batches bounded by bytes and not by rows only; the bound is set in the session, which has it when the plan runs."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(lean(run), schema)
+
+
 #: Bytes of text that the array operations take at a time; they hold some ten numbers of 8 bytes for each.
 PART = 1 << 19
 

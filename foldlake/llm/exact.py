@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldlake.llm.common import lean, row_key, rows_of, shared_table
+from foldlake.llm.common import map_arrow, row_key, rows_of, shared_table
 
 #: Bytes of edge labels and nodes that a task's trie may hold before a subtree is spilled.
 TRIE_BYTES = 96 << 20
@@ -206,12 +206,12 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
                     trie.spill_out = []
         yield from packed(trie.walk(trie.root, b""), True)
 
-    whole = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(lean(local), schema)
+    whole = map_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col)), local, schema)
     out, deal = None, 0
     while True:
         # length and content hash together pick the task; a text is never in two tasks
         dealt = whole.withColumn("_deal", F.xxhash64(F.lit(deal), F.octet_length("body"), F.xxhash64("body"))).repartition("_deal").drop("_deal")
-        table = shared_table(dealt.mapInArrow(lean(final), schema))
+        table = shared_table(map_arrow(dealt, final, schema))
         done = table.where("body is null").select("text_sha256", F.col("best").alias("keep_id"), F.col("rows").alias("group_size"))
         out, deal = done if out is None else out.unionByName(done), deal + 1
         whole = table.where("body is not null")

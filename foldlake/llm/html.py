@@ -4,7 +4,8 @@ A tokenizer feeds a tree builder that supplies implied tags (an open ``p`` ends
 table parts end at their next sibling, everything ends at its parent's end); visibility rules drop elements that
 a browser does not show; the renderer walks the tree and emits all visible text.  Inline white space is folded, blocks
 are parted by a line break, paragraphs and headings by an empty line, list items carry a bullet or
-number and are indented by depth, table cells are padded to columns, preformatted text is kept as it is.
+number and are indented by depth, table cells are padded to columns (a cell of several columns or rows covers them),
+preformatted text is kept as it is.  Tables are laid out from the innermost outwards, however deep they are nested.
 
 Defined cases: null and empty pages give an empty text; unclosed or stray tags, cut-off tags and comments never fail;
 null ids and repeated rows get a row each; an empty table gives no rows; other columns are not read.  Depth is bounded
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldlake.llm.common import lean
+from foldlake.llm.common import map_arrow
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,6 +51,8 @@ IMPLIED = {
     "rt": (frozenset(["rt", "rp"]), frozenset(["ruby"])),
     "rp": (frozenset(["rt", "rp"]), frozenset(["ruby"])),
 }
+#: Most columns and rows that a cell covers.
+WIDEST, LONGEST = 1000, 65534
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BUTTON_SCOPE = frozenset("button table td th caption html template object".split())
 
@@ -61,10 +64,13 @@ INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hid
 
 
 class Element:
-    __slots__ = ("name", "hidden", "children", "start")
+    """``lines`` is the layout of a table once it is known; ``shut`` marks details of which the summary is shown only."""
 
-    def __init__(self, name: str, hidden: bool = False, start: int = 1):
-        self.name, self.hidden, self.children, self.start = name, hidden, [], start
+    __slots__ = ("name", "hidden", "children", "start", "across", "down", "shut", "lines")
+
+    def __init__(self, name: str, hidden: bool = False):
+        self.name, self.hidden, self.children, self.lines = name, hidden, [], None
+        self.start, self.across, self.down, self.shut = 1, 1, 1, False
 
 
 def parse(html: str) -> Element:
@@ -142,18 +148,27 @@ def parse(html: str) -> Element:
                 close_to(cut)
         elif name in HEADINGS and stack[-1].name in HEADINGS:
             close_to(len(stack) - 1)
-        hidden, start = name in HIDDEN, 1
+        e = Element(name, name in HIDDEN)
+        is_shown = False  # has the attribute "open"
         if m["attrs"] and not m["attrs"].isspace():
             for a in ATTR.finditer(m["attrs"]):
                 key = a[1].lower()
                 value = a[2] or a[3] or a[4] or ""
                 if key == "hidden" and value.lower() != "false":
-                    hidden = True
+                    e.hidden = True
                 elif key == "style" and INVISIBLE.search(unescape(value)):
-                    hidden = True
+                    e.hidden = True
+                elif key == "open":
+                    is_shown = True
                 elif key == "start" and re.fullmatch(r"-?\d{1,9}", value):
-                    start = int(value)
-        e = Element(name, hidden, start)
+                    e.start = int(value)
+                elif key in ("colspan", "rowspan") and re.fullmatch(r"\d{1,9}", value):
+                    if key == "colspan":
+                        e.across = min(max(int(value), 1), WIDEST)
+                    else:
+                        e.down = int(value) if int(value) else LONGEST  # 0: to the end
+        e.shut = name == "details" and not is_shown
+        e.hidden |= name == "dialog" and not is_shown
         stack[-1].children.append(e)
         if name in VOID:
             continue
@@ -178,6 +193,13 @@ def width(text: str) -> int:
     return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
 
 
+def shown(e: Element) -> list:
+    """What a browser shows of the children."""
+    if e.shut:
+        return [c for c in e.children if not isinstance(c, str) and c.name == "summary"][:1]
+    return e.children
+
+
 class Page:
     """Lines built from inline text and breaks."""
 
@@ -229,6 +251,20 @@ class Page:
 
 def render(root: Element) -> str:
     """Visible text of a tree."""
+    tables, stack = [], [root]
+    while stack:
+        e = stack.pop()
+        if not e.hidden:
+            if e.name == "table":
+                tables.append(e)
+            stack += [c for c in shown(e) if not isinstance(c, str)]
+    for e in reversed(tables):  # outer tables were found before their inner ones
+        e.lines = list(table_lines(e))
+    return flow(root)
+
+
+def flow(root: Element) -> str:
+    """Text of a tree whose inner tables have their lines."""
     page = Page()
     # entries: ("in", element), ("out", element, saved prefix), ("text", string, preformatted)
     work: list[tuple] = [("in", root, False, [])]
@@ -263,8 +299,9 @@ def render(root: Element) -> str:
             continue
         if e.name == "table":
             page.end(1)
-            for line in table_lines(e):
+            for line in e.lines:
                 page.put(line)
+            e.lines = None
             page.end(1)
             continue
         if e.name in BLOCK:
@@ -283,15 +320,19 @@ def render(root: Element) -> str:
             elif e.name in ("blockquote", "dd"):
                 page.prefix += "  "
             pre = pre or e.name in ("pre", "listing", "xmp", "plaintext")
-        for c in reversed(e.children):
+        for c in reversed(shown(e)):
             work.append(("text", c, pre) if isinstance(c, str) else ("in", c, pre, lists))
     page.end()
     return "\n".join(page.lines)
 
 
 def table_lines(table: Element) -> Iterator[str]:
-    """Rows with cells padded to the width of their column; a cell of several lines takes several lines."""
-    grid, outside = [], Element("div")
+    """Rows with cells padded to the width of their column; a cell of several lines takes several lines.
+
+    A cell takes the first free place of its row and covers as many columns and rows as it says.  Its text stands in the
+    row and column where it begins; what it is wider than its columns widens the last of them.
+    """
+    rows, outside = [], Element("div")
     stack = list(reversed(table.children))
     while stack:
         c = stack.pop()
@@ -309,50 +350,47 @@ def table_lines(table: Element) -> Iterator[str]:
                     if d.strip():
                         outside.children.append(d)
                 elif d.name in ("td", "th"):
-                    row.append([] if d.hidden else cell_text(d).split("\n"))
+                    row.append(d)
                 elif not d.hidden:
                     outside.children.append(d)
-            grid.append(row)
+            rows.append(row)
         elif c.name not in ("col", "colgroup"):
             outside.children.append(c)
     if outside.children and (text := cell_text(outside)):  # captions and text that stands between rows
         yield from text.split("\n")
-    columns = max(map(len, grid), default=0)
-    wide = [max((width(x) for row in grid if k < len(row) for x in row[k]), default=0) for k in range(columns)]
-    for row in grid:
-        for i in range(max(map(len, row), default=0)):
-            line = []
-            for k, cell in enumerate(row):
-                x = cell[i] if i < len(cell) else ""
-                line.append(x + " " * (wide[k] - width(x)))
+    grid: list[list[tuple[int, int, list[str]]]] = []  # per row: first column, columns, lines
+    covered: dict[int, int] = {}  # column -> rows that a cell above still covers
+    for row in rows:
+        placed, at, below = [], 0, {k: n - 1 for k, n in covered.items() if n > 1}
+        for d in row:
+            while covered.get(at, 0):
+                at += 1
+            placed.append((at, d.across, [] if d.hidden else cell_text(d).split("\n")))
+            for k in range(at, at + d.across):
+                if d.down > 1:
+                    below[k] = d.down - 1
+            at += d.across
+        grid.append(placed)
+        covered = below
+    wide: dict[int, int] = {}
+    for at, across, lines in sorted(((a, n, t) for placed in grid for a, n, t in placed), key=lambda c: c[1]):
+        need = max(map(width, lines), default=0) - sum(wide.get(k, 0) + 3 for k in range(at, at + across - 1))
+        wide[at + across - 1] = max(wide.get(at + across - 1, 0), need)
+    for placed in grid:
+        for i in range(max((len(lines) for *_, lines in placed), default=0)):
+            line, at = [], 0
+            for first, across, lines in placed:
+                line += [" " * wide.get(k, 0) for k in range(at, first)]
+                x = lines[i] if i < len(lines) else ""
+                line.append(x + " " * (sum(wide.get(k, 0) + 3 for k in range(first, first + across)) - 3 - width(x)))
+                at = first + across
             yield " | ".join(line).rstrip()
 
 
-#: Tables nested deeper than this are laid out as plain blocks, so the stack stays bounded.
-NESTED = 20
-
-
-def cell_text(cell: Element, _depth: list[int] = [0]) -> str:
+def cell_text(cell: Element) -> str:
     body = Element("div")
     body.children = cell.children
-    _depth[0] += 1
-    try:
-        if _depth[0] > NESTED:
-            flatten(body)
-        return render(body)
-    finally:
-        _depth[0] -= 1
-
-
-def flatten(root: Element) -> None:
-    stack = [root]
-    while stack:
-        e = stack.pop()
-        for c in e.children:
-            if not isinstance(c, str):
-                if c.name == "table":
-                    c.name = "div"
-                stack.append(c)
+    return flow(body)
 
 
 def visible_text(html: str | None) -> str:
@@ -378,4 +416,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", o
                 }
                 yield pa.RecordBatch.from_arrays([part.column(0), *(made[o]() for o in outputs)], names=[id_col, *outputs])
 
-    return source.mapInArrow(lean(run), schema)
+    return map_arrow(source, run, schema)

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldlake.llm.common import lean
+from foldlake.llm.common import map_arrow
 
 #: Bits of a character in an n-gram code; code points are folded into them by a hash.
 BITS = 16
@@ -109,7 +109,7 @@ def learn(docs: DataFrame, lang_col: str, text_col: str, top: int, longest: int,
         for lang, c in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c)), pa.array(list(c), pa.int64()), pa.array(list(c.values()), pa.int64())], names=["lang", "code", "n"])
 
-    totals = picked.mapInArrow(lean(count), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    totals = map_arrow(picked, count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     best = totals.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "code"))), 1, top).alias("best"))
     # languages x top numbers
     return {r.lang: np.array([x.code for x in r.best], np.int64) for r in best.collect()}
@@ -150,7 +150,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], passed: dict[str,
                 sure = np.where(has, score, 0.0) if names else np.zeros(n)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), pa.array(pred, pa.string()), pa.array(sure.astype(float))], names=[*carried, "lang_pred", "score"])
 
-    return source.mapInArrow(lean(run), schema)
+    return map_arrow(source, run, schema)
 
 
 def identify(docs: DataFrame, teach: Column, passed: dict[str, Column], lang_col: str = "lang", text_col: str = "text", top: int = 300, longest: int = 3, sample_per_lang: int = 2000) -> DataFrame:

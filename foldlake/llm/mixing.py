@@ -5,6 +5,8 @@ cumulative tokens up to it divided by the source's target.  All documents are or
 order is truncated at the total budget, so every source is served in proportion to its target.  A source whose
 target exceeds its size is passed again (in another order) up to ``epochs`` times.
 
+The order by finish time is a global range sort of which only one range is sorted: the histogram of even ranges (steps)
+says in which the budget ends, those before it are taken whole and those after it not, with the result of sorting all.
 Both running sums are taken without a source or the whole order in one task: documents fall into even
 cells of their order's hash, cells get the sum of those before, and finish times fall into even steps
 (each step holds about the same number of tokens), of which only the one in which the budget ends is summed row by row.
@@ -24,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldlake.llm.common import drop_table, flat, lean, shared_table, slices, word_runs
+from foldlake.llm.common import drop_table, flat, map_arrow, shared_table, slices, word_runs
 
-#: Even cells of the shuffled order within a source, and steps of virtual time per unit.
-CELLS, STEPS = 512, 2048
+#: Rows to a cell of the shuffled order within a source, and to a step of virtual time; both numbers follow the table.
+ROWS, FEWEST, MOST = 20_000, 256, 200_000
 
 
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, key: list[str]) -> DataFrame:
@@ -44,7 +46,7 @@ def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, key: lis
                 crc = [zlib.crc32(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array(size), pa.array(crc, pa.int64()), *map(part.column, key)], names=["doc_id", "source", "size", "_crc", *key])
 
-    return source.mapInArrow(lean(run), ", ".join([f"doc_id {kind}, source string, size long, _crc long", *(f"{k} {source.schema[k].dataType.simpleString()}" for k in key)]))
+    return map_arrow(source, run, ", ".join([f"doc_id {kind}, source string, size long, _crc long", *(f"{k} {source.schema[k].dataType.simpleString()}" for k in key)]))
 
 
 def fair_targets(sizes: list[int], weights: list[float], budget: float, cap: float) -> list[float]:
@@ -75,7 +77,10 @@ def mix(docs: DataFrame, weights: list[float], budget_ratio: float = 1.5, epochs
     own = [key_col] if key_col else []
     base = sized(docs, id_col, text_col, source_col, own)
     base = shared_table(base)  # a few numbers a row: the texts are read once
-    totals = [(s, int(n)) for s, n in base.groupBy("source").agg(F.sum("size")).collect()]
+    found = [(s, int(n), k) for s, n, k in base.groupBy("source").agg(F.sum("size"), F.count("*")).collect()]
+    totals, counts = [(s, n) for s, n, _ in found], [k for *_, k in found]
+    n_cells = min(max(FEWEST, -(-max(counts, default=0) // ROWS)), MOST)
+    n_steps = min(max(FEWEST, -(-sum(counts) // ROWS)), MOST)
     totals.sort(key=lambda x: (x[0] is None, (x[0] or "").encode("utf-32-be")))
     sizes = [n for _, n in totals]
     targets = fair_targets(sizes, [weights[i % len(weights)] for i in range(len(totals))], budget_ratio * sum(sizes), float(epochs))
@@ -85,7 +90,9 @@ def mix(docs: DataFrame, weights: list[float], budget_ratio: float = 1.5, epochs
     rows = base.join(known, base["source"].eqNullSafe(known["_source"])).drop("_source")
     passes = F.least(F.lit(epochs), F.greatest(F.lit(1), F.ceil(F.col("target") / F.col("source_size")).cast("int")))
     rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), passes - 1)))
-    rows = rows.withColumn("_mix", F.xxhash64(F.lit(seed), "epoch", "doc_id")).withColumn("_cell", F.pmod("_mix", F.lit(CELLS)).cast("int"))
+    # rows without an id are told apart by their text
+    rows = rows.withColumn("_mix", F.xxhash64(F.lit(seed), "epoch", "doc_id", F.when(F.isnull("doc_id"), F.col("_crc"))))
+    rows = rows.withColumn("_cell", F.pmod("_mix", F.lit(n_cells)).cast("int"))
     key = ["source", "epoch", "_cell"]
     cells = rows.groupBy(key).agg(F.sum("size").alias("_sum"))
     before = Window.partitionBy("source").orderBy("epoch", "_cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -95,10 +102,10 @@ def mix(docs: DataFrame, weights: list[float], budget_ratio: float = 1.5, epochs
     right = cells.toDF("_s", "_e", "_c", "_before")
     rows = rows.join(right, rows["source"].eqNullSafe(right["_s"]) & (rows["epoch"] == right["_e"]) & (rows["_cell"] == right["_c"])).drop("_s", "_e", "_c")
     finish = F.when(F.col("target") > 0, (F.col("_before") + F.col("_in")) / F.col("target")).otherwise(F.lit(0.0))
-    rows = rows.withColumn("finish", finish).withColumn("_step", F.least(F.floor(F.col("finish") * STEPS), F.lit(4 * STEPS)).cast("int"))
+    rows = rows.withColumn("finish", finish).withColumn("_step", F.least(F.floor(F.col("finish") * n_steps), F.lit(4 * n_steps)).cast("int"))
     rows = shared_table(rows.select("doc_id", "source", "size", "source_size", "target", "epoch", "finish", "_crc", "_mix", "_step", *own))
     drop_table(base)
-    # where does the budget end?  at most 4 x STEPS + 1 numbers
+    # where does the budget end?  at most 4 x n_steps + 1 numbers
     steps, taken, cut = sorted((k, int(n)) for k, n in rows.groupBy("_step").agg(F.sum("size")).collect()), 0, None
     for k, n in steps:
         if taken + n > budget:
@@ -118,8 +125,9 @@ RESULT = ("doc_id", "source", "size", "source_size", "target", "epoch", "finish"
 
 
 def taken(mixed: DataFrame) -> DataFrame:
-    """One row per document: ``doc_id, size, source_size, target, taken``."""
-    out = mixed.groupBy("doc_id", "source", "size", "source_size", "target", "_crc").agg(F.sum(F.when(F.col("chosen"), F.col("size")).otherwise(0)).alias("_all"), F.sum(F.when(F.col("epoch") == 0, 1).otherwise(0)).alias("_rows"))
-    # rows that repeat id and text are told apart again, with their takings shared between them
+    """One row per document: ``doc_id, size, source_size, target, taken``; what is taken is whole copies of the document."""
+    out = mixed.groupBy("doc_id", "source", "size", "source_size", "target", "_crc").agg(F.sum(F.col("chosen").cast("long")).alias("_copies"), F.sum(F.when(F.col("epoch") == 0, 1).otherwise(0)).alias("_rows"))
+    # rows that repeat id and text are told apart again: each has its share of the copies, the first ones what is left over
     out = out.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_rows").cast("int"))))
-    return out.select("doc_id", "size", "source_size", "target", (F.floor(F.col("_all") / F.col("_rows"))).cast("long").alias("taken"))
+    own = F.floor(F.col("_copies") / F.col("_rows")) + F.when(F.col("_k") <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
+    return out.select("doc_id", "size", "source_size", "target", (own * F.col("size")).cast("long").alias("taken"))

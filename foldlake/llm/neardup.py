@@ -36,14 +36,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldlake.llm.common import components, flat, lean, mix, powers, runs_hash, shared_table, slices, word_runs
+from foldlake.llm.common import components, flat, map_arrow, mix, powers, runs_hash, shared_table, slices, small, word_runs
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 #: 64-bit words of an odd sketch.
 SKETCH = 8
-#: Rows (24 bytes each) up to which a table of keys is broadcast.
-BROADCAST_ROWS = 400_000
 #: Open sets that may hold a shingle for it to count as rare.
 RARE = 32
 
@@ -114,7 +112,7 @@ def sketch(docs: DataFrame, words: int, bands: int, rows: int, seed: int, id_col
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), part.column("doc_id"), part.column("t"), pa.array(np.diff(offsets)), *(pa.array(p) for p in fingerprint(value, offsets)), *lists], names=[x.split(" ")[0] for x in schema.split(", ")])
                 row += n
 
-    return source.mapInArrow(lean(run), schema)
+    return map_arrow(source, run, schema)
 
 
 def fingerprint(value: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -137,7 +135,7 @@ def sets_of(found: DataFrame, words: int) -> DataFrame:
                 made = pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(value.view(np.int64)))], names=["node", "set"])
                 yield made.filter(pa.array(fingerprint(value, offsets)[0] == part.column("f1").to_numpy()))
 
-    return found.mapInArrow(lean(run), "node long, set array<long>")
+    return map_arrow(found, run, "node long, set array<long>")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -230,6 +228,5 @@ def rare_shingles(sets: DataFrame) -> DataFrame:
 
 
 def if_small(df: DataFrame) -> DataFrame:
-    """``df`` as a table, to be broadcast if it has at most BROADCAST_ROWS rows."""
-    table = shared_table(df)
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    """``df`` as a table, to be broadcast if it is small."""
+    return small(shared_table(df))

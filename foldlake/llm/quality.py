@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldlake.llm.common import flat, lean, mix, powers, row_key, runs_hash, shared_table, slices, word_runs
+from foldlake.llm.common import flat, map_arrow, mix, powers, row_key, runs_hash, shared_table, slices, word_runs
 
 SYMBOLS = b"#*$%&|<>"
 IS_SYMBOL = np.zeros(256, bool)
@@ -121,7 +121,7 @@ def profile(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + part.num_rows)), part.column("doc_id"), part.column("host"), *(pa.array(m[c]) for c in COUNTS), pa.array(m["text_hash"]), *lists], names=[x.split(" ")[0] for x in schema.split(", ")])
                 row += part.num_rows
 
-    return source.mapInArrow(lean(run), schema)
+    return map_arrow(source, run, schema)
 
 
 def frequent_lines(rows: DataFrame, min_docs: int, max_share: float) -> DataFrame:
@@ -180,4 +180,4 @@ def clean(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHAR
             columns = [pa.array(texts, pa.string()) if c == "text" else pa.array(chars, pa.int64()) if c == "n_chars" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return out.mapInArrow(lean(run), schema)
+    return map_arrow(out, run, schema)

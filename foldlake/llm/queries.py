@@ -38,7 +38,7 @@ def op4_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.preferences(chat.pair_neighbours(read_table(spark, sf_dir, "conversations")))
+    return chat.preferences(chat.pair_replies(read_table(spark, sf_dir, "conversations")))
 
 
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,13 +80,19 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 
 PREFERENCE_SQL = """
-WITH turns AS (
-  SELECT conv_id // 2 AS pair_id, CASE WHEN conv_id % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS side, conv_id, turn, coalesce(role, 'unknown') AS role,
-    '<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS content
-  FROM conversations),
+WITH ends AS (SELECT conv_id, max(turn) FILTER (role = 'assistant') AS cut, max(turn) AS top FROM conversations GROUP BY conv_id),
+reply AS (
+  SELECT conv_id, coalesce(text, '') AS text FROM conversations WHERE role = 'assistant' AND turn IS NOT NULL AND conv_id IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, coalesce(text, '') DESC) = 1),
+sides AS (
+  SELECT conv_id AS pair_id, 'chosen' AS side, conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT c.conv_id, 'rejected', c.conv_id, turn, role, text FROM conversations c JOIN ends e ON e.conv_id IS NOT DISTINCT FROM c.conv_id WHERE cut IS NULL OR turn IS NULL OR turn < cut
+  UNION ALL SELECT e.conv_id, 'rejected', r.conv_id, coalesce(cut, top + 1, 0), 'assistant', r.text FROM ends e JOIN reply r ON r.conv_id = xor(e.conv_id, 1)),
+turns AS (
+  SELECT pair_id, side, conv_id, turn, coalesce(role, 'unknown') AS role, '<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS content FROM sides),
 placed AS (
   SELECT *, row_number() OVER w - 1 AS pos, coalesce(sum(length(content)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, content)),
+  FROM turns WINDOW w AS (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role, sha256(content))),
 met AS (
   SELECT pair_id, pos, count(*) FILTER (side = 'chosen') = 1 AND count(*) FILTER (side = 'rejected') = 1 AND count(DISTINCT content) = 1 AS same
   FROM placed GROUP BY pair_id, pos),

@@ -6,12 +6,12 @@ point of a shard with room.  With ``slack=0`` the bounds are the floor and ceili
 differ by one at most; with more slack less keys move when a shard is added.
 
 The flow needs only the number of keys on each arc (shards x vnodes numbers, whatever the input), so it is
-settled once on those: arcs are served in ring order, and the keys of one arc that a shard takes are a run of the
+settled once on those on the driver (a million numbers at most): arcs are served in ring order, and the keys of one arc that a shard takes are a run of the
 arc's keys in hash order.  The result is a small table of runs; every row finds its run by its rank within
 its arc, which is the only shuffle (thousands of even groups, no group of a shard's size in a task).
 
-Defined cases: a null text has size 1 (0 bytes plus 1) and the crc32 of no bytes; a null id is a key like any
-other; rows that repeat an id lie on the same arc next to each other and each get a slot; an empty table gives no rows;
+Defined cases: a null text has size 1 (0 bytes plus 1) and the crc32 of no bytes; a row with a null id is a key of its
+own; rows that repeat an id lie on the same arc next to each other and each get a slot; an empty table gives no rows;
 other columns are not read.
 """
 
@@ -25,6 +25,9 @@ from pyspark.sql import functions as F
 
 from foldlake.llm.common import shared_table
 
+#: Rows to an arc, of which a window holds one: the number of virtual nodes follows the table unless it is given.
+ARC_ROWS = 100_000
+
 
 def ring(shards: int, vnodes: int) -> tuple[np.ndarray, np.ndarray]:
     """Ascending signed 64-bit points and the shard that owns each."""
@@ -64,13 +67,17 @@ def settle(owner: np.ndarray, counts: np.ndarray, room: list[int]) -> list[tuple
     return runs
 
 
-def assign(docs: DataFrame, shards: int = 16, vnodes: int = 256, slack: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def assign(docs: DataFrame, shards: int = 16, vnodes: int | None = None, slack: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, size, text_crc32, shard, slot``."""
     spark = docs.sparkSession
-    points, owner = ring(shards, vnodes)
     body = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.monotonically_increasing_id().alias("_no"))
+    # rows without an id have no place of their own: their number spreads them
+    rows = shared_table(rows.withColumn("_at", F.xxhash64(F.lit("key"), "doc_id", F.when(F.isnull("doc_id"), F.col("_no")))).drop("_no"))  # five numbers a row: the texts are read once
+    if vnodes is None:
+        vnodes = min(max(256, -(-rows.count() // (shards * ARC_ROWS))), 1 << 16)
+    points, owner = ring(shards, vnodes)
     # the arc of a hash by a guess over even cells and a search among the points of the cell
-    rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.xxhash64(F.lit("key"), F.col(id_col)).alias("_at"))
     cells = 1 << int(np.ceil(np.log2(len(points))))
     shift = 64 - int(np.log2(cells))
     low = np.searchsorted(points, (np.arange(cells, dtype=np.int64) << shift) + np.int64(-(2**63)), "left")
@@ -81,7 +88,6 @@ def assign(docs: DataFrame, shards: int = 16, vnodes: int = 256, slack: float =
     rows = rows.withColumn("_cell", cell).join(F.broadcast(table), "_cell")
     first = F.col("_low") + F.size(F.filter("_points", lambda p: p < F.col("_at")))
     rows = rows.withColumn("_arc", F.when(first == len(points), 0).otherwise(first)).drop("_cell", "_low", "_points")
-    rows = shared_table(rows)  # five numbers a row: the texts are read once
     counts = np.zeros(len(points), np.int64)
     for arc, n in rows.groupBy("_arc").count().collect():  # shards x vnodes rows at most
         counts[arc] = n

@@ -34,14 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldlake.llm.common import flat, lean, mix, powers, shared_table, slices
+from foldlake.llm.common import flat, map_arrow, mix, powers, shared_table, slices
 
 #: Bytes of the k-gram that anchors a string.
 GRAM = 48
 #: Stretches of one anchor beyond which it is dealt in bands, and starts to a band.
 HOT, BAND = 2000, 8
 #: Bytes of distinct stretches sorted at a time, and of those that a task deals at a time.
-BLOCK, SHARE = 1 << 19, 4 << 20
+BLOCK, SHARE = 1 << 18, 2 << 20
 #: Anchors (16 bytes each) and texts up to which the small side of a join is broadcast.
 BROADCAST_ROWS = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -195,7 +195,7 @@ def anchored(texts: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", 1 << 18):
                 data, offsets = flat(part.column("text"))
                 text, first, last, place, hashed = anchors(data, offsets, length, gram)
                 at = pa.array(np.searchsorted(text, np.arange(part.num_rows + 1)).astype(np.int32))
@@ -203,7 +203,7 @@ def anchored(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + part.num_rows)), part.column("sha"), *lists], names=["row", "sha", *names])
                 row += part.num_rows
 
-    return texts.mapInArrow(lean(run), "row long, sha string, hashes array<long>, firsts array<int>, lasts array<int>, places array<int>")
+    return map_arrow(texts, run, "row long, sha string, hashes array<long>, firsts array<int>, lasts array<int>, places array<int>")
 
 
 def stretches(held: DataFrame, length: int) -> DataFrame:
@@ -258,7 +258,7 @@ def stretches(held: DataFrame, length: int) -> DataFrame:
         for k in range(0, len(rows), 5000):
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[k : k + 5000]), kinds)], names=["deal", "row", "first", "body", "again", "begins", "ends"])
 
-    return held.mapInArrow(lean(run), "deal long, row long, first int, body binary, again boolean, begins array<int>, ends array<int>")
+    return map_arrow(held, run, "deal long, row long, first int, body binary, again boolean, begins array<int>, ends array<int>")
 
 
 def sort_block(groups: list[dict[bytes, list]], length: int) -> Iterator[tuple[int, list[int], list[int]]]:
@@ -333,7 +333,7 @@ def repeats(dealt: DataFrame, length: int) -> DataFrame:
             groups.append(group)
         yield from flush()
 
-    return dealt.mapInArrow(lean(run), "row long, begins array<int>, ends array<int>")
+    return map_arrow(dealt, run, "row long, begins array<int>, ends array<int>")
 
 
 def united(begins: list[int], ends: list[int]) -> list[tuple[int, int]]:
@@ -399,4 +399,4 @@ def remove(docs: DataFrame, length: int = 200, gram: int = GRAM, outputs: tuple[
             if out:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(list(c), kinds[o][1]) for o, c in zip(outputs, zip(*out)))], names=["doc_id", *outputs])
 
-    return rows.mapInArrow(lean(run), "doc_id long, " + ", ".join(f"{o} {kinds[o][0]}" for o in outputs))
+    return map_arrow(rows, run, "doc_id long, " + ", ".join(f"{o} {kinds[o][0]}" for o in outputs))
