@@ -71,11 +71,54 @@ def vector_bytes(nodes: pd.Series, counters: pd.Series) -> pd.Series:
     return pd.Series([encoding.encode_vector(dict(zip(map(str, n), map(int, c)))) for n, c in zip(nodes, counters)])
 
 
+@F.pandas_udf(T.MapType(T.StringType(), T.LongType()))
+def vector_parse(data: pd.Series) -> pd.Series:
+    """The version vector of canonical bytes; null where they are cut off, have bytes left over, or are not canonical."""
+
+    def one(b):
+        try:
+            vector = encoding.decode_vector(bytes(b))
+        except (ValueError, UnicodeDecodeError):
+            return None
+        return vector if encoding.encode_vector(vector) == bytes(b) else None
+
+    return data.map(one)
+
+
 @F.pandas_udf(T.BinaryType())
 def blind_id(key: pd.Series, chunk_id: pd.Series) -> pd.Series:
     return pd.Series([crypto.blind_id(bytes(k), bytes(c)) for k, c in zip(key, chunk_id)])
 
 
+@F.pandas_udf(T.BinaryType())
+def verifier(key: pd.Series) -> pd.Series:
+    """What two sides compare to know that they hold the same folder key."""
+    return key.map(lambda k: crypto.verifier(bytes(k)))
+
+
+@F.pandas_udf(T.BinaryType())
+def passphrase_key(passphrase: pd.Series, salt: pd.Series) -> pd.Series:
+    return pd.Series([crypto.passphrase_key(p, bytes(s)) for p, s in zip(passphrase, salt)])
+
+
+@F.pandas_udf(T.StringType())
+def recovery_code(secret: pd.Series) -> pd.Series:
+    return secret.map(lambda b: encoding.recovery_code(bytes(b)))
+
+
+@F.pandas_udf(T.BinaryType())
+def read_recovery_code(code: pd.Series) -> pd.Series:
+    """The 32-byte key of a recovery code; null for any other text."""
+
+    def one(c):
+        try:
+            return encoding.read_recovery_code(c, 32)
+        except ValueError:
+            return None
+
+    return code.map(one)
+
+
 @F.pandas_udf(T.StringType())
 def base32(data: pd.Series) -> pd.Series:
     return data.map(lambda b: encoding.base32_id(bytes(b)))
@@ -120,6 +163,52 @@ def reassembled(chunks: DataFrame, key: str) -> DataFrame:
     return chunks.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "bytes"))), lambda x: x["bytes"]).alias("_c")).select(key, F.aggregate("_c", F.lit(b""), lambda t, x: F.concat(t, x)).alias("bytes"))
 
 
+def catalogs(rows: DataFrame, key: str) -> DataFrame:
+    """One catalog per key (``key, catalog``) of rows ``path, manifest_id`` (hex), ``length``; a folder's catalog is one value by its nature."""
+
+    @F.pandas_udf(T.BinaryType())
+    def encoded(entries: pd.Series) -> pd.Series:
+        return entries.map(lambda x: encoding.encode_catalog([(encoding.REGULAR, e["path"], 0o644, "", [(bytes.fromhex(e["manifest_id"]), int(e["length"]))]) for e in x]))
+
+    return rows.groupBy(key).agg(F.collect_list(F.struct("path", "manifest_id", "length")).alias("_e")).select(key, encoded("_e").alias("catalog"))
+
+
+def catalog_entries(catalogs: DataFrame, key: str) -> DataFrame:
+    """Rows of catalogs (``key, catalog``): ``key, kind, path, mode, target, chunk_id, length``; a damaged catalog fails the job."""
+    schema = f"{key} {catalogs.schema[key].dataType.simpleString()}, kind int, path string, mode int, target string, chunk_id string, length long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for k, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for kind, path, mode, target, chunks in encoding.decode_catalog(body):
+                    out += [(k, kind, path, mode, target, c.hex(), n) for c, n in chunks] or [(k, kind, path, mode, target, None, None)]
+            kinds = [batch.schema.field(0).type, pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64()]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=[key, "kind", "path", "mode", "target", "chunk_id", "length"])
+
+    return catalogs.select(key, "catalog").mapInArrow(run, schema)
+
+
+def imported(rows: DataFrame, key: str, body: str, index: DataFrame, now_ms: int, params: chunking.Params = chunking.TEXT) -> tuple[DataFrame, DataFrame]:
+    """Contents cut and put into a chunk index (``chunk_id, length, last_seen_ms``): references and the index after it."""
+    refs = chunked(rows, key, body, params)
+    put = index.unionByName(refs.select("chunk_id", "length", F.lit(now_ms).cast("bigint").alias("last_seen_ms")))
+    return refs, put.groupBy("chunk_id").agg(F.any_value("length").alias("length"), F.max("last_seen_ms").alias("last_seen_ms"))
+
+
+def stored(data: Column, key: bytes, chunk_id: Column) -> Column:
+    """What is stored of a chunk: the smaller of compressed and raw bytes, sealed; a struct of ``codec`` and ``sealed``."""
+    z = compress(data)
+    return F.struct(z["codec"].alias("codec"), crypto.seal(z["data"], key, chunk_id).alias("sealed"))
+
+
+def read_verified(codec: Column, sealed: Column, key: bytes, chunk_id: Column, limit: int = 1 << 26) -> Column:
+    """The content of a stored chunk: opened, decompressed and hashed again; null where any of it fails."""
+    plain = decompress(codec, F.coalesce(crypto.open_(sealed, key, chunk_id), F.lit(b"")), F.lit(limit))
+    return F.when(F.unhex(F.sha2(plain, 256)) == chunk_id, plain)
+
+
 def parse_size(text: Column) -> Column:
     """Bytes of ``12``, ``3KB``, ``1 mb`` ... (steps of 1000); 0 for the empty text, null for anything else or too much."""
     t = F.trim(text)
@@ -138,5 +227,5 @@ def format_size(n: Column) -> Column:
 
 def register(spark: SparkSession) -> None:
     """Make the byte-level functions callable from SQL."""
-    for name, f in {"nfc": nfc, "blake3": blake3, "compress_smaller": compress, "decompress_bounded": decompress, "manifest_identity": identity, "vector_bytes": vector_bytes, "blind_id": blind_id, "base32": base32, "clean_path": clean_path}.items():
+    for name, f in {"nfc": nfc, "blake3": blake3, "compress_smaller": compress, "decompress_bounded": decompress, "manifest_identity": identity, "vector_bytes": vector_bytes, "vector_parse": vector_parse, "blind_id": blind_id, "verifier": verifier, "passphrase_key": passphrase_key, "recovery_code": recovery_code, "read_recovery_code": read_recovery_code, "base32": base32, "clean_path": clean_path}.items():
         spark.udf.register(name, f)

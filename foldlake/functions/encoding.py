@@ -119,14 +119,15 @@ def node_id(public_key_info: bytes) -> str:
     return base32_id(hashlib.sha256(public_key_info).digest())
 
 
-def recovery_code(secret: bytes, group: int = 4) -> str:
-    """A secret as dashed upper-case base32."""
-    text = base64.b32encode(secret).decode().rstrip("=")
-    return "-".join(text[i : i + group] for i in range(0, len(text), group))
-
-
-def read_recovery_code(code: str) -> bytes:
-    text = "".join(c for c in code.upper() if c.isalnum())
-    return base64.b32decode(text + "=" * (-len(text) % 8))
-
-
+def recovery_code(secret: bytes) -> str:
+    """A key as unpadded upper-case base32."""
+    return base64.b32encode(secret).decode().rstrip("=")
+
+
+def read_recovery_code(code: str, length: int | None = None) -> bytes:
+    """The key of a code, which may be in lower case and stand between spaces; a ``length`` is demanded of the key if given."""
+    text = code.strip().upper()
+    key = base64.b32decode(text + "=" * (-len(text) % 8))
+    if length is not None and len(key) != length:
+        raise ValueError(f"code of {len(key)} bytes instead of {length}")
+    return key

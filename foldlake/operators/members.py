@@ -5,26 +5,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldlake.session import settled
+
 READER, WRITER, HOLDER = 0, 1, 2
 NODE_ID = r"^[a-z2-7]{52}$"
 
 
-def closure(entries: DataFrame, founder: int, rounds: int = 10_000) -> DataFrame:
+#: Entries up to which a roster is closed on the driver; a larger one is closed by joins, with the same result.
+LOCAL_ENTRIES = 20_000
+
+
+def closure(entries: DataFrame, founder: int, rounds: int = 10_000, local: int = LOCAL_ENTRIES) -> DataFrame:
     """Accepted roster entries: the founder's own entry, then entries signed by an accepted writer, to the fixpoint.
 
-    One recursive query; only writers extend the frontier, and of several entries for a node the one accepted first
-    (in the fewest rounds, then by the smaller signer) counts.
+    Only writers extend the frontier, and each node is accepted once: by the entry of the first round that has one, then of the
+    smaller signer.  Entries that sign each other in a circle end the search like any others.
     """
     spark = entries.sparkSession
-    entries.where("sig_ok").createOrReplaceTempView("_roster_entries")
-    accepted = spark.sql(f"""
-        WITH RECURSIVE accepted(node_id, added_by, role, depth) MAX RECURSION LEVEL {rounds} AS (
-          SELECT node_id, added_by, role, 0 FROM _roster_entries WHERE node_id = {founder} AND added_by = {founder} AND role = {WRITER}
-          UNION ALL
-          SELECT e.node_id, e.added_by, e.role, a.depth + 1 FROM _roster_entries e JOIN accepted a ON e.added_by = a.node_id
-          WHERE a.role = {WRITER} AND e.node_id <> e.added_by)
-        SELECT * FROM accepted""")
-    return accepted.groupBy("node_id").agg(F.min(F.struct("depth", "added_by", "role")).alias("_e")).select("node_id", "_e.added_by", "_e.role", "_e.depth")
+    entries = settled(entries.where("sig_ok").select("node_id", "added_by", "role"))
+    own = (F.col("node_id") == founder) & (F.col("added_by") == founder) & (F.col("role") == WRITER)
+    first = entries.where(own).distinct().withColumn("depth", F.lit(0))
+    rest = entries.where(F.col("node_id") != F.col("added_by"))
+    if entries.count() <= local:
+        signed: dict = {}
+        for e in rest.collect():
+            signed.setdefault(e["added_by"], []).append(e)
+        accepted = {e["node_id"]: (e["added_by"], e["role"], 0) for e in first.collect()}
+        frontier, depth = list(accepted), 0
+        while frontier and (depth := depth + 1) <= rounds:
+            new = sorted(((e["added_by"], e["node_id"], e["role"]) for s in frontier for e in signed.get(s, ()) if e["node_id"] not in accepted), reverse=True)
+            new = {n: (s, role, depth) for s, n, role in new}
+            accepted |= new
+            frontier = [n for n, (_, role, _) in new.items() if role == WRITER]
+        return spark.createDataFrame([(n, *e) for n, e in accepted.items()], first.schema)
+    accepted, frontier = settled(first), first
+    for depth in range(1, rounds + 1):
+        signers = frontier.where(F.col("role") == WRITER).select(F.col("node_id").alias("added_by"))
+        new = rest.join(signers, "added_by", "left_semi").join(accepted.select("node_id"), "node_id", "left_anti")
+        new = new.groupBy("node_id").agg(F.min(F.struct("added_by", "role")).alias("_e")).select("node_id", "_e.added_by", "_e.role", F.lit(depth).alias("depth"))
+        frontier = settled(new)
+        if frontier.isEmpty():
+            break
+        accepted = settled(accepted.union(frontier))
+    return accepted
 
 
 def founder(group: Column) -> Column:
@@ -129,3 +152,34 @@ def gossip_round(held: DataFrame, links: DataFrame, cap: int = 4096) -> DataFram
     new = sent.join(held.select(F.col("node_id").alias("peer"), "entry"), ["peer", "entry"], "left_anti")
     few = new.groupBy("peer").agg(F.count("*").alias("_n")).where(F.col("_n") <= cap).select("peer")
     return new.join(few, "peer", "left_semi")
+
+
+def responsive(offers: DataFrame, held: DataFrame) -> DataFrame:
+    """Offered folders (``share_id, verifier``) whose verifier is ours (``share_id, verifier, holder``); an empty one never matches."""
+    mine = held.select("share_id", F.col("verifier").alias("_v"), "holder")
+    both = offers.where(F.length("verifier") > 0).join(mine, "share_id")
+    return both.where(F.col("verifier") == F.col("_v")).select("share_id", "verifier", "holder")
+
+
+def wire_entries(entries: DataFrame) -> DataFrame:
+    """Roster entries off the wire: a role that does not fit a byte is no entry."""
+    return entries.where(F.col("role") <= 255).select("network_id", "node_id", "role", "added_by", "added_at_ms")
+
+
+def adverts(folders: DataFrame) -> DataFrame:
+    """Per peer, what it offers by folder id: ``verifiers`` and ``holders`` as maps; a folder without an id is left out."""
+    named = folders.where(F.length("folder_id") > 0)
+    as_map = lambda c: F.map_from_entries(F.array_sort(F.collect_set(F.struct("folder_id", c))))
+    return named.groupBy("peer_id").agg(as_map("verifier").alias("verifiers"), as_map("holder").alias("holders"))
+
+
+def browsed(entries: DataFrame, me: str) -> DataFrame:
+    """Peers seen on the local network (``node_id, ipv4, ipv6, port``): others with a proper id and an address, IPv4 first."""
+    host = F.coalesce(F.get(F.filter("ipv4", lambda x: x.isNotNull()), F.lit(0)), F.get(F.filter("ipv6", lambda x: x.isNotNull()), F.lit(0)))
+    at = F.when(host.contains(":"), F.concat(F.lit("["), host, F.lit("]"))).otherwise(host)
+    return entries.where((F.col("node_id") != me) & valid_node(F.col("node_id")) & host.isNotNull()).select("node_id", F.concat(at, F.lit(":"), F.col("port").cast("string")).alias("addr"))
+
+
+def skewed(sent_ms: Column, now_ms: Column, limit_ms: int = 5000) -> Column:
+    """Is a peer's clock off?  Null where it sent no time."""
+    return F.when(sent_ms != 0, F.abs(now_ms - sent_ms) >= limit_ms)

@@ -11,11 +11,12 @@ import hashlib
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldlake.functions.encoding import sized
 from foldlake.operators.state import numbered
+from foldlake.session import settled
 
 LEAF_DOMAIN, NODE_DOMAIN, EMPTY_DOMAIN = b"foldlake/leaf/v1\0", b"foldlake/node/v1\0", b"foldlake/empty/v1\0"
 BLOCK_BITS = 12
@@ -40,8 +41,29 @@ def empty_root(digest: Callable[[bytes], bytes] = sha, domain: bytes = EMPTY_DOM
     return digest(domain)
 
 
-def root(leaves: DataFrame, digest: Callable[[bytes], bytes] = sha) -> DataFrame:
-    """One row ``root`` (hex), ``leaves``; input ``path, manifest_id`` (hex), ``deleted``, one leaf a path, tombstones included."""
+def varint(n: Column) -> Column:
+    """Unsigned variable-length bytes of a number below 2^28."""
+    byte = lambda x: F.unhex(F.lpad(F.hex(x), 2, "0"))
+    part = lambda k: F.shiftright(n, 7 * k)
+    more = lambda k: byte(part(k) % 128 + 128)
+    out = F.concat(more(0), more(1), more(2), byte(part(3)))
+    for k in (2, 1, 0):
+        out = F.when(n < 1 << 7 * (k + 1), F.concat(*map(more, range(k)), byte(part(k)))).otherwise(out)
+    return out
+
+
+def leaf_digest(path: Column, manifest_id: Column, deleted: Column) -> Column:
+    """``leaf_hash`` with SHA-256 as an expression; ``manifest_id`` in hex."""
+    body = F.encode(path, "UTF-8")
+    parts = (F.lit(LEAF_DOMAIN), varint(F.octet_length(body).cast("bigint")), body, F.unhex(manifest_id), F.when(deleted, F.lit(b"\1")).otherwise(F.lit(b"\0")))
+    return F.unhex(F.sha2(F.concat(*parts), 256))
+
+
+def roots(leaves: DataFrame, by: str | None = None, digest: Callable[[bytes], bytes] = sha) -> DataFrame:
+    """``root`` (hex) and ``leaves`` of each group; input ``path, manifest_id`` (hex), ``deleted``, one leaf a path, tombstones included.
+
+    Other digests than SHA-256 hash the leaves in Python.
+    """
 
     @F.pandas_udf("binary")
     def hashed(path: pd.Series, manifest_id: pd.Series, deleted: pd.Series) -> pd.Series:
@@ -49,15 +71,24 @@ def root(leaves: DataFrame, digest: Callable[[bytes], bytes] = sha) -> DataFrame
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i")
-        return pd.DataFrame({"i": [int(pdf["i"].iloc[0]) >> BLOCK_BITS], "h": [reduce_level([bytes(x) for x in pdf["h"]], digest)]})
-
-    ordered = numbered(leaves.select("path", "manifest_id", "deleted"), ["path"], 0, "i")
-    level = ordered.select("i", hashed("path", "manifest_id", "deleted").alias("h"))
-    count = leaves.count()
-    n = max(count, 1)
+        return pd.DataFrame({"g": pdf["g"].iloc[:1], "i": [int(pdf["i"].iloc[0]) >> BLOCK_BITS], "h": [reduce_level([bytes(x) for x in pdf["h"]], digest)]})
+
+    group = F.lit(0).cast("bigint") if by is None else F.col(by).cast("bigint")
+    ordered = numbered(leaves.select(group.alias("g"), "path", "manifest_id", "deleted"), ["g", "path"], 0, "i")
+    columns = [F.col(c) for c in ("path", "manifest_id", "deleted")]
+    first = settled(ordered.groupBy("g").agg(F.min("i").alias("_first"), F.count("*").alias("leaves")))
+    n = first.agg(F.max("leaves")).first()[0] or 1
+    # one row a group, of which a folder has as many as it has snapshots
+    level = ordered.join(first, "g").select("g", (F.col("i") - F.col("_first")).alias("i"), (leaf_digest if digest is sha else hashed)(*columns).alias("h"))
     while True:
-        level = level.withColumn("b", F.shiftright("i", BLOCK_BITS)).groupBy("b").applyInPandas(block, "i long, h binary")
+        level = level.withColumn("b", F.shiftright("i", BLOCK_BITS)).groupBy("g", "b").applyInPandas(block, "g long, i long, h binary")
         n = -(-n // (1 << BLOCK_BITS))
         if n == 1:
             break
-    return level.agg(F.lower(F.hex(F.first("h"))).alias("root")).select(F.coalesce("root", F.lit(empty_root(digest).hex())).alias("root"), F.lit(count).cast("bigint").alias("leaves"))
+    return level.join(first, "g").select(F.col("g").alias(by or "_g"), F.lower(F.hex("h")).alias("root"), "leaves")
+
+
+def root(leaves: DataFrame, digest: Callable[[bytes], bytes] = sha) -> DataFrame:
+    """One row ``root, leaves``; without leaves the root of nothing."""
+    one = roots(leaves, None, digest).agg(F.first("root").alias("root"), F.first("leaves").alias("leaves"))
+    return one.select(F.coalesce("root", F.lit(empty_root(digest).hex())).alias("root"), F.coalesce("leaves", F.lit(0)).cast("bigint").alias("leaves"))

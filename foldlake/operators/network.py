@@ -26,9 +26,14 @@ def bounds(network: str, bits: int) -> tuple[int, int]:
 
 
 def ip_int(ip: Column) -> Column:
-    """IPv4 text as a number, null if it is none."""
-    part = lambda i: F.regexp_extract(ip, IPV4, i).cast("bigint")
-    return F.when(ip.rlike(IPV4), ((part(1) * 256 + part(2)) * 256 + part(3)) * 256 + part(4))
+    """IPv4 text as a number, null if it is none.  One pattern test and one fold over four parts, so ranges can repeat it."""
+    parts = F.transform(F.split(ip, r"\."), lambda x: x.cast("bigint"))
+    return F.when(ip.rlike(IPV4), F.aggregate(parts, F.lit(0).cast("bigint"), lambda t, x: t * 256 + x))
+
+
+def numbered_ip(rows: DataFrame, ip: str = "ip") -> DataFrame:
+    """``rows`` with the address's number as ``_n``, worked out once: the array keeps the optimizer from copying it into every test."""
+    return rows.withColumn("_n", F.explode(F.array(ip_int(F.col(ip)))))
 
 
 def inside(number: Column, *names: str) -> Column:
@@ -57,23 +62,21 @@ def ip_class(ips: pd.Series) -> pd.Series:
     return ips.map(one)
 
 
-def address_state(ip: Column, port: Column, kind: Column) -> Column:
-    """``ok`` or the first rule an announced IPv4 address breaks."""
-    n = ip_int(ip)
+def address_state(n: Column, port: Column, kind: Column) -> Column:
+    """``ok`` or the first rule an announced IPv4 address (its number) breaks."""
     return (
         F.when(n.isNull(), "bad ip").when(inside(n, "loopback", "unspecified", "link_local", "multicast"), "non-routable")
         .when(~port.between(1, 65535), "bad port").when(~kind.isin(*TYPES), "bad type").otherwise("ok")
     )
 
 
-def routable(ip: Column) -> Column:
-    n = ip_int(ip)
+def routable(n: Column) -> Column:
     return F.coalesce(n.isNotNull() & ~inside(n, *[x for x in RANGES if x != "cgnat"]), F.lit(False))
 
 
-def address_type(ip: Column) -> Column:
+def address_type(n: Column) -> Column:
     """``lan`` for private and carrier-grade addresses, else ``public``."""
-    return F.when(inside(ip_int(ip), "private_10", "private_172", "private_192", "cgnat"), "lan").otherwise("public")
+    return F.when(inside(n, "private_10", "private_172", "private_192", "cgnat"), "lan").otherwise("public")
 
 
 def dialable(addresses: DataFrame, subnets: DataFrame) -> DataFrame:
@@ -81,22 +84,55 @@ def dialable(addresses: DataFrame, subnets: DataFrame) -> DataFrame:
 
     Cells turn the containment into an equality; a subnet of n cells is expanded n times (65,536 at most).
     """
-    a = addresses.withColumn("_n", ip_int(F.col("ip")))
-    public = a.where(routable(F.col("ip")))
+    a = numbered_ip(addresses)
+    public = a.where(routable(F.col("_n")))
     private = a.where(inside(F.col("_n"), "private_10", "private_172", "private_192")).withColumn("_cell", F.shiftright("_n", 16))
     nets = subnets.select("lo", "hi").withColumn("_cell", F.explode(F.sequence(F.shiftright("lo", 16), F.shiftright("hi", 16))))
     local = private.join(nets, (private["_cell"] == nets["_cell"]) & F.col("_n").between(F.col("lo"), F.col("hi")), "left_semi")
     return public.drop("_n").unionByName(local.drop("_n", "_cell"))
 
 
+def dial_candidates(addresses: DataFrame, subnets: DataFrame) -> DataFrame:
+    """Addresses to dial after a lookup (``id, place, ip, port, kind``): valid, not from STUN and dialable; ``place`` keeps their order."""
+    ok = numbered_ip(addresses).where((F.col("kind") != "stun") & (address_state(F.col("_n"), F.col("port"), F.col("kind")) == "ok")).drop("_n")
+    return dialable(ok, subnets)
+
+
+def candidates(addresses: DataFrame) -> DataFrame:
+    """Candidates that are valid, and which of them can be reached from outside: ``id, ip, port, kind, routable``."""
+    rows = numbered_ip(addresses)
+    return rows.where(address_state(F.col("_n"), F.col("port"), F.col("kind")) == "ok").select("id", "ip", "port", "kind", routable(F.col("_n")).alias("routable"))
+
+
+def server_url(url: Column, scheme: str) -> Column:
+    """``host`` and ``pin`` of ``scheme://host:port?id=<node>``; null for anything else, also for a path or a user."""
+    from foldlake.operators.members import NODE_ID
+
+    node = NODE_ID.strip("^$")
+    whole = rf"^{scheme}://([^/?#@:\[\]]+:[0-9]+|\[[0-9a-fA-F:.]+\]:[0-9]+)\?(?:[^#]*&)?id=({node})(?:&[^#]*)?(?:#.*)?$"
+    return F.when(url.rlike(whole), F.struct(F.regexp_extract(url, whole, 1).alias("host"), F.regexp_extract(url, whole, 2).alias("pin")))
+
+
 def clamp_ttl(ttl: Column, default: int = 600, low: int = 60, high: int = 3600) -> Column:
     return F.when(ttl <= 0, default).otherwise(F.least(F.greatest(ttl, F.lit(low)), F.lit(high)))
 
 
-def registry(announces: DataFrame, now: int) -> DataFrame:
-    """Live registry: the last announcement of each node whose expiry lies after ``now`` (expired exactly at it)."""
+def registry(announces: DataFrame, now: int | Column | DataFrame) -> DataFrame:
+    """Live registry: the last announcement of each node whose expiry lies after ``now`` (expired exactly at it).
+
+    ``now`` is a number, or a table of one row and column that names it.
+    """
     last = announces.groupBy("node_id").agg(F.max_by(F.struct("at", "ttl", "address"), "at").alias("_a")).select("node_id", "_a.*")
-    return last.withColumn("expires_at", F.col("at") + clamp_ttl(F.col("ttl"))).where(F.col("expires_at") > now)
+    last = last.withColumn("expires_at", F.col("at") + clamp_ttl(F.col("ttl")))
+    if isinstance(now, DataFrame):
+        clock = now.toDF("_now").limit(1)
+        return last.join(F.broadcast(clock), F.col("expires_at") > F.col("_now")).drop("_now")
+    return last.where(F.col("expires_at") > now)
+
+
+def swept(entries: DataFrame, now: int) -> DataFrame:
+    """What a sweep leaves of a registry (``node_id, expires_at``)."""
+    return entries.where(F.col("expires_at") > now)
 
 
 def capped_registry(announces: DataFrame, capacity: int) -> DataFrame:
@@ -107,10 +143,11 @@ def capped_registry(announces: DataFrame, capacity: int) -> DataFrame:
     return announces.join(let, "node_id", "left").withColumn("accepted", F.coalesce("_ok", F.lit(False))).drop("_ok")
 
 
-def token_bucket(events: DataFrame, rps: float, burst: float, key: str = "key", at: str = "at_ms") -> DataFrame:
+def token_bucket(events: DataFrame, rps: float, burst: float, key: str = "key", at: str = "at_ms", idle_ms: int | None = None) -> DataFrame:
     """``allowed`` of every event: a bucket of each key starts full, refills with time and gives a token an event.
 
-    A fold in time order; events of a key stream through in sorted batches, so a hot key needs no more memory.
+    A fold in time order; events of a key stream through in sorted batches, so a hot key needs no more memory.  A key that was
+    idle for longer than ``idle_ms`` has been swept and starts full again.
     """
     order = events.select("id", key, at)
     schema = order.schema
@@ -120,7 +157,7 @@ def token_bucket(events: DataFrame, rps: float, burst: float, key: str = "key",
         for pdf in batches:
             allowed = []
             for k, t in zip(pdf[key], pdf[at]):
-                if k != now:
+                if k != now or (idle_ms is not None and t - last > idle_ms):
                     now, tokens, last = k, float(burst), t
                 tokens = min(burst, tokens + (t - last) / 1000 * rps)
                 last = t
@@ -133,6 +170,14 @@ def token_bucket(events: DataFrame, rps: float, burst: float, key: str = "key",
     return order.repartition(key).sortWithinPartitions(key, at, "id").mapInPandas(fold, out)
 
 
+def closed_connections(outcomes: DataFrame) -> DataFrame:
+    """``state`` of every message: allowed, the one that exceeded the rate and closed the connection, or lost after that."""
+    first = outcomes.where(~F.col("allowed")).groupBy("key").agg(F.min(F.struct("at_ms", "id")).alias("_end"))
+    both = outcomes.join(first, "key", "left")
+    here = F.struct("at_ms", "id")
+    return both.select("id", "key", F.when(F.col("_end").isNull() | (here < F.col("_end")), "ok").when(here == F.col("_end"), "closes").otherwise("lost").alias("state"))
+
+
 def gate(requests: DataFrame, denied_ips: DataFrame, filtered: Column, limited: Column, denied_nodes: DataFrame, node_limited: Column) -> DataFrame:
     """Outcome of every request by the first gate that stops it."""
     ips, nodes = denied_ips.select("ip", F.lit(True).alias("_ip")), denied_nodes.select("node_id", F.lit(True).alias("_node"))
@@ -152,14 +197,16 @@ def telemetry(records: DataFrame, field: str) -> DataFrame:
 
 
 def telemetry_capped(records: DataFrame, cap_bytes: int, order: str = "id") -> DataFrame:
-    """Records stored before the running size passes the cap, in insertion order (sizes are summed by range first)."""
-    from foldlake.operators.state import numbered
-
-    sized = numbered(records.withColumn("_size", F.octet_length("fields").cast("bigint")), [order], 0, "_i").withColumn("_cell", F.floor(F.col("_i") / 4096))
-    cells = sized.groupBy("_cell").agg(F.sum("_size").alias("_s"))
-    before = cells.select("_cell", F.coalesce(F.sum("_s").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    own = F.sum("_size").over(Window.partitionBy("_cell").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0))
-    return sized.withColumn("_own", own).join(before, "_cell").where(F.col("_own") + F.col("_b") <= cap_bytes).select(*records.columns)
+    """Records stored before the running size passes the cap, in insertion order.
+
+    Sizes are summed by partition of a range first; only the sums of the partitions are put in one order.
+    """
+    from foldlake.operators.state import ranged
+
+    sized, parts = ranged(records.withColumn("_size", F.octet_length("fields").cast("bigint")), [order])
+    before = parts(F.sum("_size"))
+    own = F.sum("_size").over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return sized.withColumn("_own", own).join(F.broadcast(before), "_part").where(F.col("_own") + F.col("_before") <= cap_bytes).select(*records.columns)
 
 
 def backoff(attempts: DataFrame, first: int = 1, most: int = 60) -> DataFrame:

@@ -75,14 +75,16 @@ def usage_after_forgetting(current: DataFrame, snapshots: DataFrame, leaves: Dat
     snapshot that holds it, or never if the current state does.
     """
     death = snapshots.groupBy("root_hash").agg(F.min("snap_seq").alias("death")).join(snapshots, "root_hash").select("snap_seq", "death")
-    held = leaves.where(~F.col("deleted")).join(F.broadcast(death), "snap_seq").groupBy("manifest_id").agg(F.max("death").alias("death"))
+    held = leaves.where(~F.col("deleted")).join(death, "snap_seq").groupBy("manifest_id").agg(F.max("death").alias("death"))
     now = current.where(~F.col("deleted")).select("manifest_id", F.lit(2**62).alias("death"))
     by_manifest = held.union(now).groupBy("manifest_id").agg(F.max("death").alias("death"))
     by_chunk = manifest_chunks.join(by_manifest, "manifest_id").groupBy("chunk_id").agg(F.max("death").alias("death"), F.any_value("length").alias("length"))
     dying = by_chunk.groupBy("death").agg(F.sum("length").alias("bytes"))
-    steps = snapshots.select(F.col("snap_seq").alias("forgotten")).union(snapshots.sparkSession.range(1).select(F.lit(0).cast("bigint")))
-    # both sides have one row a snapshot
-    return steps.join(dying, F.col("death") > F.col("forgotten"), "left").groupBy("forgotten").agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("used"))
+    steps = snapshots.select(F.col("snap_seq").alias("death")).union(snapshots.sparkSession.range(1).select(F.lit(0).cast("bigint")))
+    # what dies after step k: a running sum from the end, over one row a snapshot
+    both = steps.distinct().withColumn("_step", F.lit(True)).join(dying, "death", "full_outer")
+    later = Window.orderBy(F.desc("death")).rowsBetween(Window.unboundedPreceding, -1)
+    return both.withColumn("used", F.coalesce(F.sum("bytes").over(later), F.lit(0))).where("_step").select(F.col("death").alias("forgotten"), "used")
 
 
 def prune_to_fit(usage: DataFrame, quota: int) -> DataFrame:
@@ -93,9 +95,3 @@ def prune_to_fit(usage: DataFrame, quota: int) -> DataFrame:
     out = usage.agg(fit.alias("_f"), F.max(F.struct("forgotten", "used")).alias("_l"))
     best = F.coalesce("_f", "_l")
     return out.select(best["forgotten"].alias("forgotten"), best["used"].alias("used"), F.col("_f").isNotNull().alias("fits"))
-
-
-def pack(chunks: DataFrame, order: list[str], target: int) -> DataFrame:
-    """Pack-file number of every chunk: a file rolls over at the multiple of ``target`` bytes of the running size."""
-    running = F.sum("length").over(Window.partitionBy("stream").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    return chunks.withColumn("pack", F.floor(F.coalesce(running, F.lit(0)) / target))

@@ -35,4 +35,35 @@ def cuts(headers: DataFrame) -> DataFrame:
 def forget(snapshots: DataFrame, leaves: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
     """Headers and leaves without every snapshot of a root."""
     dead = snapshots.where(F.col("root_hash") == root).select("snap_seq")
-    return snapshots.join(F.broadcast(dead), "snap_seq", "left_anti"), leaves.join(F.broadcast(dead), "snap_seq", "left_anti")
+    return snapshots.join(dead, "snap_seq", "left_anti"), leaves.join(dead, "snap_seq", "left_anti")
+
+
+def cut(snapshots: DataFrame, leaves: DataFrame, current: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Headers and leaves after a cut of the current rows: nothing changes when the latest root is theirs already.
+
+    Leaves are appended: a table partitioned by ``snap_seq`` gets one partition more.
+    """
+    last = snapshots.agg(F.max(F.struct("snap_seq", "root_hash")).alias("_l")).select(F.coalesce("_l.snap_seq", F.lit(0)).alias("_seq"), F.col("_l.root_hash").alias("_root"))
+    new = set_root(current).join(F.broadcast(last)).where(~F.col("root_hash").eqNullSafe(F.col("_root")))
+    header = new.select((F.col("_seq") + 1).cast("bigint").alias("snap_seq"), "root_hash", F.when(F.col("_seq") > 0, F.col("_seq")).cast("bigint").alias("parent_seq"), "manifest_n")
+    added = current.join(F.broadcast(header.select("snap_seq"))).select("snap_seq", "path", "manifest_id", "deleted")
+    return snapshots.unionByName(header), leaves.unionByName(added)
+
+
+def get(snapshots: DataFrame, leaves: DataFrame, root: str) -> DataFrame:
+    """The most recent snapshot of a root with its parent's root, one row a leaf."""
+    head = by_root(with_parent(snapshots), root)
+    return head.select("snap_seq", "root_hash", "parent_root").join(leaves, "snap_seq")
+
+
+def diff_roots(snapshots: DataFrame, leaves: DataFrame, before: str, after: str) -> DataFrame:
+    """Changes between the snapshots of two roots; a root that is not there is an error."""
+    from foldlake.operators.state import diff
+
+    sides = []
+    for root in (before, after):
+        head = by_root(snapshots, root).select("snap_seq")
+        if head.isEmpty():
+            raise LookupError(f"no snapshot of root {root}")
+        sides.append(leaves.join(head, "snap_seq", "left_semi"))
+    return diff(*sides)

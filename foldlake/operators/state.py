@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,26 +83,53 @@ def upsert(current: DataFrame, batch: DataFrame, next_seq: int) -> DataFrame:
     return action(changed, "written").unionByName(action(same, "kept"))
 
 
+def ranged(df: DataFrame, order: list[str]) -> tuple[DataFrame, Callable[[Column], DataFrame]]:
+    """Rows settled in ranges of an order (``_part``), and a function for the running total of an aggregate before each range.
+
+    The totals are one row a partition, which bounds what is put in one order and broadcast.
+    """
+    # settled: the ranges are drawn from a sample, and two runs of it could cut at different rows
+    rows = settled(df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_part", F.spark_partition_id()))
+
+    def before(total: Column) -> DataFrame:
+        sums = rows.groupBy("_part").agg(total.alias("_n"))
+        return sums.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+
+    return rows, before
+
+
 def numbered(df: DataFrame, order: list[str], first: int, name: str) -> DataFrame:
     """Gapless numbers in a total order without a single sorted partition.
 
     Rows are range-partitioned by ``order``; each partition numbers its own rows, after the counts of those before.
     """
-    # settled: the ranges are drawn from a sample, and two runs of it could cut at different rows
-    ranged = settled(df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_part", F.spark_partition_id()))
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
+    rows, before = ranged(df, order)
     own = F.row_number().over(Window.partitionBy("_part").orderBy(*order)).cast("bigint")
-    return ranged.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn(name, F.col("_own") + F.col("_before") + (first - 1)).drop("_part", "_own", "_before")
+    return rows.withColumn("_own", own).join(F.broadcast(before(F.count("*"))), "_part").withColumn(name, F.col("_own") + F.col("_before") + (first - 1)).drop("_part", "_own", "_before")
 
 
-def tombstone(current: DataFrame, gone: DataFrame, now_ms: int) -> DataFrame:
-    """Soft deletes: the content id stays, the expiry is set; a tombstone that is there stays as it is."""
-    out = current.join(gone.select("path", F.lit(True).alias("_gone")), "path", "left")
+def tombstone(current: DataFrame, gone: DataFrame, now_ms: int, strict: bool = False) -> DataFrame:
+    """Soft deletes: the content id stays, the expiry is set; a tombstone that is there stays as it is.
+
+    With ``strict`` an unknown path fails the job; ``unknown_paths`` lists them.
+    """
+    out = current.join(gone.select("path", F.lit(True).alias("_gone")), "path", "full_outer" if strict else "left")
+    if strict:
+        known = F.when(F.col("deleted").isNotNull(), F.col("path")).otherwise(F.raise_error(F.concat(F.lit("unknown path: "), F.col("path"))))
+        out = out.withColumn("path", known)
     fresh = F.coalesce("_gone", F.lit(False)) & ~F.col("deleted")
     return out.select("path", "manifest_id", "seq", (F.col("deleted") | fresh).alias("deleted"), F.when(fresh, F.lit(now_ms + TOMBSTONE_DAYS * 86_400_000)).alias("expires_ms"))
 
 
+def unknown_paths(current: DataFrame, gone: DataFrame) -> DataFrame:
+    return gone.select("path").distinct().join(current.select("path"), "path", "left_anti")
+
+
+def stat(manifests: DataFrame, path: str) -> DataFrame:
+    """The stat signature of one path, without its chunks: filter and columns reach the scan."""
+    return manifests.where(F.col("path") == path).select("path", *SIGNATURE, "deleted")
+
+
 def sweep_tombstones(manifests: DataFrame, now_ms: int, safe_seq: int) -> DataFrame:
     """Rows that stay: live ones and tombstones that are not expired or above the sequence all peers have confirmed."""
     return manifests.where(~(F.col("deleted") & (F.col("expires_ms") <= now_ms) & (F.col("seq") <= safe_seq)))
@@ -136,8 +165,3 @@ def summary(manifests: DataFrame) -> DataFrame:
 def verified(manifests: DataFrame, contents: DataFrame) -> DataFrame:
     """Point reads with an integrity check: ``path, manifest_id, intact`` where ``contents`` has the rehashed ``computed_id``."""
     return manifests.join(contents.select("path", "computed_id"), "path", "left").select("path", "manifest_id", F.col("manifest_id").eqNullSafe(F.col("computed_id")).alias("intact"))
-
-
-def first_seen(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Distinct keys in the order of their first appearance."""
-    return rows.groupBy(key).agg(F.min(F.struct(*order)).alias("_at")).orderBy("_at").select(key)

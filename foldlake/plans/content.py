@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import hmac
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 from foldlake.functions import columns, crypto, encoding
 from foldlake.operators import merkle, vectors
-from foldlake.plans.relations import query
+from foldlake.plans.relations import query, sql_base32, sql_hmac, sql_sized, sql_varint
+from foldlake.session import settled
 from foldlake.sources import tables as t
 
 KEY = hashlib.sha256(b"an example folder key").digest()
@@ -83,7 +85,8 @@ def size_format(spark, d):
     return t.table(spark, d, "customer").select(k.alias("id"), columns.format_size(k * k * 100 + 13).alias("size"))
 
 
-@query()
+@query(f"""SELECT path, sha256(unhex('{encoding.IDENTITY_DOMAIN.hex()}' || '0100' || {sql_sized("path")} || '00' || '00' || {sql_varint("n")} || listed)) AS identity FROM manifests JOIN (
+  SELECT manifest_id, count(*) AS n, string_agg(chunk_id || {sql_varint("length")}, '' ORDER BY ord) AS listed FROM manifest_chunks GROUP BY manifest_id) USING (manifest_id)""")
 def manifest_identity(spark, d):
     """Identity of every current manifest from its ordered chunks."""
     chunks = t.manifest_chunks(spark, d).groupBy("manifest_id").agg(F.array_sort(F.collect_list(F.struct("ord", "chunk_id", "length"))).alias("listed"))
@@ -92,17 +95,64 @@ def manifest_identity(spark, d):
     return rows.select("path", F.sha2(columns.identity(F.lit(encoding.REGULAR), F.col("path"), F.lit(0o644), F.lit(""), F.col("chunks")), 256).alias("identity"))
 
 
-@query()
+#: Levels of the tree as one recursive relation: pairs of neighbours are hashed, an odd one is carried up.
+TREE = f"""hashed AS (SELECT g, path, sha256(unhex('{merkle.LEAF_DOMAIN.hex()}' || {sql_sized("path")} || manifest_id || CASE WHEN deleted THEN '01' ELSE '00' END)) AS h FROM leaf),
+tree AS (
+  SELECT g, 0 AS level, row_number() OVER (PARTITION BY g ORDER BY path) - 1 AS i, h, count(*) OVER (PARTITION BY g) AS n FROM hashed
+  UNION ALL
+  SELECT g, level + 1, i // 2, CASE WHEN count(*) = 2 THEN sha256(unhex('{merkle.NODE_DOMAIN.hex()}' || min_by(h, i) || max_by(h, i))) ELSE any_value(h) END, (any_value(n) + 1) // 2
+  FROM tree WHERE n > 1 GROUP BY g, level, i // 2)"""
+
+
+@query("SELECT h AS root, (SELECT count(*) FROM manifests) AS leaves FROM tree WHERE n = 1", "leaf AS (SELECT 0 AS g, path, manifest_id, deleted FROM manifests), " + TREE)
 def merkle_root(spark, d):
     return merkle.root(t.manifests(spark, d))
 
 
-@query()
+@query("SELECT g AS snap_seq, h AS root, (SELECT count(*) FROM snapshot_manifests s WHERE s.snap_seq = g) AS leaves FROM tree WHERE n = 1", "leaf AS (SELECT snap_seq AS g, path, manifest_id, deleted FROM snapshot_manifests), " + TREE)
+def snapshot_merkle_roots(spark, d):
+    """The ordered root of every snapshot; tombstones are leaves like others."""
+    return merkle.roots(t.snapshot_manifests(spark, d), "snap_seq")
+
+
+ENCODED = f"""encoded AS (SELECT path, {sql_varint("nodes")} || body AS code FROM (
+  SELECT path, count(*) AS nodes, string_agg({sql_sized("author")} || {sql_varint("n")}, '' ORDER BY author) AS body FROM (SELECT path, author, count(*) AS n FROM feed GROUP BY path, author) GROUP BY path))"""
+
+
+@query("SELECT path, upper(code) AS encoded FROM encoded", ENCODED)
 def vector_encoding(spark, d):
     own = vectors.from_rows(t.feed(spark, d).select("path", F.col("author").alias("node")), "path")
     return own.select("path", F.hex(columns.vector_bytes(F.map_keys("vector"), F.map_values("vector"))).alias("encoded"))
 
 
+@query("""SELECT path, CASE WHEN bad THEN NULL ELSE string_agg(author || ':' || n, ',' ORDER BY author) END AS vector FROM (SELECT path, author, count(*) AS n, strlen(path) % 3 = 0 AS bad FROM feed GROUP BY path, author) GROUP BY path, bad""")
+def vector_parse(spark, d):
+    """Canonical bytes read back; those with a byte left over are refused."""
+    own = vectors.from_rows(t.feed(spark, d).select("path", F.col("author").alias("node")), "path")
+    data = F.concat(columns.vector_bytes(F.map_keys("vector"), F.map_values("vector")), F.when(F.octet_length("path") % 3 == 0, F.lit(b"\0")).otherwise(F.lit(b"")))
+    pairs = F.transform(F.array_sort(F.map_entries(columns.vector_parse(data))), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))
+    return own.select("path", F.array_join(pairs, ",").alias("vector"))
+
+
+CATALOG = f"""catalogs AS (SELECT folder, '{encoding.CATALOG_DOMAIN.hex()}' || {sql_varint("count(*)")} || string_agg('00' || {sql_sized("path")} || {sql_varint("420")} || '00' || '01' || manifest_id || {sql_varint("c")}, '' ORDER BY path) AS body
+  FROM (SELECT split_part(path, '/', 1) AS folder, path, manifest_id, c FROM manifests WHERE NOT deleted) GROUP BY folder)"""
+
+
+def _catalogs(spark, d):
+    live = t.manifests(spark, d).where("NOT deleted")
+    return columns.catalogs(live.select(F.split_part("path", F.lit("/"), F.lit(1)).alias("folder"), "path", "manifest_id", F.col("c").alias("length")), "folder")
+
+
+@query("SELECT folder, sha256(unhex(body)) AS sha256, length(body) // 2 AS bytes FROM catalogs", CATALOG)
+def catalog_encode(spark, d):
+    return _catalogs(spark, d).select("folder", F.sha2("catalog", 256).alias("sha256"), F.octet_length("catalog").cast("bigint").alias("bytes"))
+
+
+@query("SELECT split_part(path, '/', 1) AS folder, 0 AS kind, path, 420 AS mode, '' AS target, manifest_id AS chunk_id, c AS length FROM manifests WHERE NOT deleted")
+def catalog_decode(spark, d):
+    return columns.catalog_entries(_catalogs(spark, d), "folder")
+
+
 @query("SELECT 'u' || user_id AS folder, count(DISTINCT event_id % 7) AS entries, true AS same FROM events GROUP BY user_id")
 def catalog_roundtrip(spark, d):
     """Live manifests of a folder as one catalog, decoded again; a folder's catalog is one value by its nature."""
@@ -130,13 +180,62 @@ def seal_roundtrip(spark, d):
     return sealed.select("chunk_id", crypto.open_(F.col("_s"), KEY, F.col("_id")).eqNullSafe(F.col("_b")).alias("opened"), crypto.open_(F.col("_s"), KEY, other).isNull().alias("tamper_seen"))
 
 
-@query()
+PRK = hmac.new(b"\0" * 32, KEY, hashlib.sha256).digest()
+
+
+@query(f"SELECT chunk_id, upper({sql_hmac(PRK, f"'{b'foldlake blind id'.hex()}' || chunk_id || '01'")}) AS blind_id FROM chunks")
 def blind_ids(spark, d):
     c = t.chunks(spark, d).select("chunk_id")
-    return c.select("chunk_id", F.hex(columns.blind_id(F.lit(KEY), F.unhex("chunk_id"))).alias("blind_id"))
+    return c.select("chunk_id", F.hex(crypto.blind_id_column(KEY, F.unhex("chunk_id"))).alias("blind_id"))
 
 
 @query()
+def folder_verifiers(spark, d):
+    n = t.table(spark, d, "nation").select("n_name")
+    return n.select("n_name", F.hex(columns.verifier(F.unhex(F.sha2(F.col("n_name").cast("binary"), 256)))).alias("verifier"))
+
+
+@query("SELECT chunk_id, true AS opened, true AS differs, true AS tamper_seen FROM chunks")
+def seal_mutable_roundtrip(spark, d):
+    """Randomised sealing: equal contents differ when sealed, open again, and do not under another name."""
+    c = t.chunks(spark, d).select("chunk_id", F.unhex("chunk_id").alias("_id"), F.col("plaintext_length").cast("string").cast("binary").alias("_b"))
+    once = lambda: settled(c.withColumn("_s", crypto.seal_mutable(F.col("_b"), KEY, F.col("_id"))))
+    sealed = once().join(once().select("chunk_id", F.col("_s").alias("_t")), "chunk_id")
+    other = F.unhex(F.sha2(F.col("_id"), 256))
+    return sealed.select("chunk_id", crypto.open_mutable(F.col("_s"), KEY, F.col("_id")).eqNullSafe(F.col("_b")).alias("opened"), (F.col("_s") != F.col("_t")).alias("differs"), crypto.open_mutable(F.col("_t"), KEY, other).isNull().alias("tamper_seen"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN sha256(text) END AS sha256 FROM documents WHERE text IS NOT NULL")
+def read_verified(spark, d):
+    """Stored chunks opened, decompressed and hashed again; every seventh is stored under another id and refused."""
+    docs = _docs(spark, d).where("text IS NOT NULL").select("doc_id", F.col("text").cast("binary").alias("body"))
+    own = F.unhex(F.sha2("body", 256))
+    held = docs.withColumn("_id", F.when(F.col("doc_id") % 7 != 0, own).otherwise(F.unhex(F.sha2(own, 256))))
+    held = held.select("doc_id", "_id", columns.stored(F.col("body"), KEY, F.col("_id")).alias("_s"))
+    plain = columns.read_verified(F.col("_s.codec"), F.col("_s.sealed"), KEY, F.col("_id"))
+    return held.select("doc_id", F.sha2(plain, 256).alias("sha256"))
+
+
+@query("SELECT doc_id, strlen(text) AS bytes, true AS indexed FROM documents WHERE strlen(text) > 0")
+def import_contents(spark, d):
+    """Texts cut, put into an index that holds a part of the chunks already, and accounted for there."""
+    docs = _docs(spark, d)
+    seed = columns.chunked(docs, "doc_id", "text").where("ord = 0").select("chunk_id", "length").distinct().withColumn("last_seen_ms", F.lit(5).cast("bigint"))
+    refs, index = columns.imported(docs, "doc_id", "text", seed, 9)
+    both = refs.join(index.select("chunk_id", "last_seen_ms"), "chunk_id", "left")
+    return both.groupBy("doc_id").agg(F.sum("length").alias("bytes"), F.bool_and(F.coalesce(F.col("last_seen_ms") == 9, F.lit(False))).alias("indexed"))
+
+
+@query(f"SELECT s_suppkey, upper({sql_base32('h')}) AS code, true AS same, s_suppkey % 2 = 1 AS refused FROM (SELECT s_suppkey, sha256(s_name) AS h FROM supplier)")
+def recovery_codes(spark, d):
+    """Codes of keys, read back in lower case between spaces; a key of another length is refused."""
+    s = t.table(spark, d, "supplier").select("s_suppkey", F.unhex(F.sha2(F.col("s_name").cast("binary"), 256)).alias("h"))
+    code = columns.recovery_code("h")
+    other = F.when(F.col("s_suppkey") % 2 == 1, F.substring("h", 1, 30)).otherwise(F.col("h"))
+    return s.select("s_suppkey", code.alias("code"), columns.read_recovery_code(F.concat(F.lit("  "), F.lower(code), F.lit(" "))).eqNullSafe(F.col("h")).alias("same"), columns.read_recovery_code(columns.recovery_code(other)).isNull().alias("refused"))
+
+
+@query(f"SELECT s_suppkey, {sql_base32('h')} AS node_id FROM (SELECT s_suppkey, sha256(s_name) AS h FROM supplier)")
 def node_ids(spark, d):
     s = t.table(spark, d, "supplier").select("s_suppkey", F.unhex(F.sha2(F.col("s_name").cast("binary"), 256)).alias("h"))
     return s.select("s_suppkey", columns.base32("h").alias("node_id"))

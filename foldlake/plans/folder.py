@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from foldlake.operators import reach, snapshots, state
 from foldlake.plans.relations import query
+from foldlake.session import settled
 from foldlake.sources import tables as t
 
 CUTOFF_MS, QUOTA, NOW_MS, SAFE_SEQ = 1900, 3_000_000, 1_715_000_000_000, 9_500
@@ -101,6 +102,39 @@ def tombstone_put(spark, d):
     return state.tombstone(m, m.where("seq % 3 = 0").select("path"), 1_700_000_000_000)
 
 
+@query("SELECT DISTINCT path || CASE WHEN seq % 5 = 0 THEN '~' ELSE '' END AS path FROM manifests WHERE seq % 5 = 0")
+def tombstone_unknown(spark, d):
+    """Paths to delete that the model does not have: a strict deletion fails on them."""
+    m = t.manifests(spark, d).select("path", "seq")
+    return state.unknown_paths(m, m.select(F.when(F.col("seq") % 5 == 0, F.concat("path", F.lit("~"))).otherwise(F.col("path")).alias("path")))
+
+
+@query("SELECT path, kind, mode, mtime_ns, size, inode, deleted FROM known_files WHERE path = (SELECT min(path) FROM known_files)")
+def stat_lookup(spark, d):
+    known = t.known_files(spark, d)
+    return state.stat(known, known.agg(F.min("path")).first()[0])
+
+
+@query("""SELECT path, seq, deleted FROM manifests WHERE NOT (deleted AND authored_ms + 7776000000 <= 1715000000000
+  AND seq <= (SELECT CASE WHEN bool_or(epoch IS NULL OR epoch <> 1) THEN 0 ELSE min(high_water) END FROM (SELECT 'p' || p AS peer_id FROM range(4, 19) x(p)) LEFT JOIN receipts USING (peer_id)))""")
+def tombstone_sweep_gated(spark, d):
+    """The hourly sweep: up to the sequence that every member has confirmed."""
+    from foldlake.operators import members
+
+    peers = spark.range(4, 19).select(F.concat(F.lit("p"), "id").alias("peer_id"))
+    safe = members.converged_high_water(peers, t.receipts(spark, d), 1).first()["high_water"]
+    m = t.manifests(spark, d).select("path", "seq", "deleted", (F.col("authored_ms") + state.TOMBSTONE_DAYS * 86_400_000).alias("expires_ms"))
+    return state.sweep_tombstones(m, NOW_MS, safe).drop("expires_ms")
+
+
+@query("SELECT path, manifest_id, seq % 13 <> 0 AS intact FROM manifests")
+def manifest_verify(spark, d):
+    """Rows read back with their identity worked out again; every thirteenth has other content."""
+    m = t.manifests(spark, d).select("path", "manifest_id", "c", "seq")
+    own = F.sha2(F.concat("path", F.lit(":"), F.when(F.col("seq") % 13 == 0, -1).otherwise(F.col("c"))).cast("binary"), 256)
+    return state.verified(m, m.select("path", own.alias("computed_id")))
+
+
 @query(f"SELECT path, seq, deleted FROM manifests WHERE NOT (deleted AND authored_ms + 7776000000 <= {NOW_MS} AND seq <= {SAFE_SEQ})")
 def tombstone_sweep(spark, d):
     m = t.manifests(spark, d).select("path", "seq", "deleted", (F.col("authored_ms") + state.TOMBSTONE_DAYS * 86_400_000).alias("expires_ms"))
@@ -122,10 +156,10 @@ def chunk_offsets(spark, d):
     return state.offsets(t.manifest_chunks(spark, d))
 
 
-@query("SELECT author, array_to_string(list_filter(a, lambda x: NOT list_contains(b, x)), ',') AS rest FROM (SELECT author, list(c ORDER BY seq) AS a, [1, 4, 9] AS b FROM feed WHERE seq < 200 GROUP BY author)")
+@query("SELECT path, array_to_string(list_filter(a, lambda x: NOT list_contains(b, x)), ',') AS rest FROM (SELECT path, list(c ORDER BY seq) AS a, [1, 4, 9] AS b FROM feed GROUP BY path)")
 def set_minus(spark, d):
-    own = t.feed(spark, d).where("seq < 200").groupBy("author").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "c"))), lambda x: x["c"]).alias("a"))
-    return own.select("author", F.array_join(state.set_minus(F.col("a"), F.array(*map(F.lit, (1, 4, 9)))), ",").alias("rest"))
+    own = t.feed(spark, d).groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "c"))), lambda x: x["c"]).alias("a"))
+    return own.select("path", F.array_join(state.set_minus(F.col("a"), F.array(*map(F.lit, (1, 4, 9)))), ",").alias("rest"))
 
 
 @query("SELECT snap_seq, root_hash, parent_seq, manifest_n FROM snapshots", HEADERS)
@@ -147,11 +181,53 @@ def snapshot_cut_dedup(spark, d):
 
 @query("SELECT snap_seq, path, manifest_id FROM snapshot_manifests WHERE snap_seq NOT IN (SELECT snap_seq FROM snapshots WHERE root_hash = (SELECT root_hash FROM snapshots WHERE snap_seq = 2))", HEADERS)
 def snapshot_forget(spark, d):
-    heads, leaves = t.snapshots(spark, d), t.snapshot_manifests(spark, d)
-    dead = heads.where("snap_seq = 2").select("root_hash")
-    gone = heads.join(dead, "root_hash", "left_semi").select("snap_seq")
-    return leaves.join(gone, "snap_seq", "left_anti").select("snap_seq", "path", "manifest_id")
+    heads, leaves = settled(t.snapshots(spark, d)), t.snapshot_manifests(spark, d)
+    return snapshots.forget(heads, leaves, _root(heads, 2))[1].select("snap_seq", "path", "manifest_id")
+
+
+def _root(heads, seq):
+    """The root that a caller names: one value of a header."""
+    return heads.where(F.col("snap_seq") == seq).first()["root_hash"]
+
+
+@query("SELECT snap_seq, root_hash, parent_seq, manifest_n FROM snapshots WHERE root_hash = (SELECT root_hash FROM snapshots WHERE snap_seq = 3) ORDER BY snap_seq DESC LIMIT 1", HEADERS)
+def snapshot_by_root(spark, d):
+    heads = settled(t.snapshots(spark, d))
+    return snapshots.by_root(heads, _root(heads, 3))
+
+
+@query("SELECT s.snap_seq, s.root_hash, p.root_hash AS parent_root, l.path, l.manifest_id, l.deleted FROM snapshots s LEFT JOIN snapshots p ON p.snap_seq = s.parent_seq JOIN snapshot_manifests l ON l.snap_seq = s.snap_seq WHERE s.snap_seq = 3", HEADERS)
+def snapshot_get(spark, d):
+    heads = settled(t.snapshots(spark, d))
+    return snapshots.get(heads, t.snapshot_manifests(spark, d), _root(heads, 3))
+
+
+@query("""SELECT coalesce(b.path, a.path) AS path, CASE WHEN b.path IS NULL THEN 'added' WHEN a.path IS NULL THEN 'removed' ELSE 'changed' END AS change,
+  b.manifest_id AS before_id, a.manifest_id AS after_id, b.deleted AS before_deleted, a.deleted AS after_deleted
+FROM (SELECT * FROM snapshot_manifests WHERE snap_seq = 2) b FULL JOIN (SELECT * FROM snapshot_manifests WHERE snap_seq = 3) a USING (path)
+WHERE b.path IS NULL OR a.path IS NULL OR b.manifest_id <> a.manifest_id OR b.deleted <> a.deleted""")
+def snapshot_diff_roots(spark, d):
+    """The same by roots; a root that no snapshot has is an error."""
+    heads = settled(t.snapshots(spark, d))
+    return snapshots.diff_roots(heads, t.snapshot_manifests(spark, d), _root(heads, 2), _root(heads, 3))
+
+
+CUT = """now_ AS (SELECT count(*) AS manifest_n, sum(CAST('0x' || substr(sha256(path || '=' || manifest_id || '=' || CASE WHEN deleted THEN 'true' ELSE 'false' END), 1, 15) AS BIGINT)) AS total FROM manifests),
+new_ AS (SELECT 5 AS snap_seq, sha256(manifest_n || '/' || total) AS root_hash, 4 AS parent_seq, manifest_n FROM now_ WHERE sha256(manifest_n || '/' || total) <> (SELECT root_hash FROM snapshots WHERE snap_seq = 4))"""
+
+
+@query("SELECT snap_seq, root_hash, parent_seq, manifest_n FROM snapshots UNION ALL SELECT snap_seq, root_hash, parent_seq, manifest_n FROM new_", HEADERS + ", " + CUT)
+def snapshot_cut(spark, d):
+    """Headers after two cuts of the current rows: the second finds its root there already."""
+    now = t.manifests(spark, d).select("path", "manifest_id", "deleted")
+    one = [settled(x) for x in snapshots.cut(t.snapshots(spark, d), t.snapshot_manifests(spark, d), now)]
+    return snapshots.cut(*one, now)[0]
+
 
+@query("SELECT snap_seq, path, manifest_id, deleted FROM snapshot_manifests UNION ALL SELECT snap_seq, path, manifest_id, deleted FROM manifests, new_", HEADERS + ", " + CUT)
+def snapshot_cut_leaves(spark, d):
+    now = t.manifests(spark, d).select("path", "manifest_id", "deleted")
+    return snapshots.cut(t.snapshots(spark, d), t.snapshot_manifests(spark, d), now)[1]
 
 @query("SELECT chunk_id FROM reachable")
 def reachable_chunks(spark, d):

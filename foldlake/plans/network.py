@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foldlake.operators import network
-from foldlake.plans.relations import query
+from foldlake.functions import columns
+from foldlake.operators import network, sync
+from foldlake.plans.relations import query, sql_base32
 from foldlake.sources import tables as t
 
 FIRST, SECOND = (10, 127, 169, 172, 192, 100, 8, 224, 0, 300), (0, 16, 64, 168, 254, 31)
@@ -29,8 +30,8 @@ def _addresses(spark, d):
 @query("""SELECT id, CASE WHEN bad THEN 'bad ip' WHEN special THEN 'non-routable' WHEN port NOT BETWEEN 1 AND 65535 THEN 'bad port' WHEN kind = 'other' THEN 'bad type' ELSE 'ok' END AS state,
   NOT bad AND NOT special AND NOT private AS routable, CASE WHEN NOT bad AND (private OR (a = 100 AND b BETWEEN 64 AND 127)) THEN 'lan' ELSE 'public' END AS type FROM addresses""", ADDRESSES)
 def address_validate(spark, d):
-    ip = F.col("ip")
-    return _addresses(spark, d).select("id", network.address_state(ip, F.col("port"), F.col("kind")).alias("state"), network.routable(ip).alias("routable"), network.address_type(ip).alias("type"))
+    n = F.col("_n")
+    return network.numbered_ip(_addresses(spark, d)).select("id", network.address_state(n, F.col("port"), F.col("kind")).alias("state"), network.routable(n).alias("routable"), network.address_type(n).alias("type"))
 
 
 @query("SELECT id, CASE WHEN bad THEN 'bad' WHEN special THEN 'unroutable' WHEN private THEN 'private' ELSE 'public' END AS class FROM addresses", ADDRESSES)
@@ -40,9 +41,37 @@ def address_class(spark, d):
 
 @query("SELECT id, ip FROM addresses WHERE NOT bad AND NOT special AND (NOT private OR EXISTS (SELECT 1 FROM subnets WHERE n BETWEEN lo AND hi))", ADDRESSES)
 def dialable_range_join(spark, d):
+    return network.dialable(_addresses(spark, d).select("id", "ip"), _subnets(spark, d))
+
+
+def _subnets(spark, d):
     low = F.lit(167772160) + F.col("n_nationkey") * 524288
-    nets = t.table(spark, d, "nation").select(low.cast("bigint").alias("lo"), (low + F.expr("shiftleft(1, 14 + n_nationkey % 6)") - 1).cast("bigint").alias("hi"))
-    return network.dialable(_addresses(spark, d).select("id", "ip"), nets)
+    return t.table(spark, d, "nation").select(low.cast("bigint").alias("lo"), (low + F.expr("shiftleft(1, 14 + n_nationkey % 6)") - 1).cast("bigint").alias("hi"))
+
+
+VALID = "NOT bad AND NOT special AND port BETWEEN 1 AND 65535 AND kind <> 'other'"
+
+
+@query(f"SELECT id, id % 4 AS place, ip, port, kind FROM addresses WHERE {VALID} AND kind <> 'stun' AND (NOT private OR EXISTS (SELECT 1 FROM subnets WHERE n BETWEEN lo AND hi))", ADDRESSES)
+def dial_candidates(spark, d):
+    return network.dial_candidates(_addresses(spark, d).withColumn("place", F.col("id") % 4).select("id", "place", "ip", "port", "kind"), _subnets(spark, d))
+
+
+@query(f"SELECT id, ip, port, kind, NOT private AS routable FROM addresses WHERE {VALID}", ADDRESSES)
+def candidate_filters(spark, d):
+    return network.candidates(_addresses(spark, d))
+
+
+@query(f"""SELECT id, CASE WHEN id % 6 = 0 THEN 'h' || id || ':' || (4000 + id) END AS host, CASE WHEN id % 6 = 0 THEN {sql_base32("h")} END AS pin FROM (SELECT c_custkey AS id, sha256(c_name) AS h FROM customer)""")
+def server_urls(spark, d):
+    """Server addresses with a pinned node; five of six are of another scheme, without a port, with a path, a user or a broken pin."""
+    c = t.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), columns.base32(F.unhex(F.sha2(F.col("c_name").cast("binary"), 256))).alias("pin"))
+    host = F.concat(F.lit("h"), "id", F.lit(":"), F.col("id") + 4000)
+    shape = F.element_at(F.array(
+        F.concat(F.lit("fold://"), host, F.lit("?id="), "pin"), F.concat(F.lit("http://"), host, F.lit("?id="), "pin"), F.concat(F.lit("fold://h?id="), "pin"),
+        F.concat(F.lit("fold://"), host, F.lit("/x?id="), "pin"), F.concat(F.lit("fold://me@"), host, F.lit("?id="), "pin"), F.concat(F.lit("fold://"), host, F.lit("?id=1"), "pin"),
+    ), (F.col("id") % 6 + 1).cast("int"))
+    return c.select("id", network.server_url(shape, "fold").alias("u")).select("id", "u.host", "u.pin")
 
 
 ANNOUNCES = """announces AS (SELECT event_id AS id, user_id AS node_id, event_id * 30 AS "at", event_id * 97 % 5000 - 100 AS ttl, 'a' || event_id AS address FROM events)"""
@@ -57,8 +86,14 @@ def _announces(spark, d):
 FROM (SELECT * FROM announces QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY "at" DESC) = 1) WHERE expires_at > (SELECT max("at") - 900 FROM announces)""", ANNOUNCES)
 def registry_live(spark, d):
     a = _announces(spark, d)
-    now = a.agg(F.max("at") - 900).first()[0]  # one number
-    return network.registry(a.drop("id"), now)
+    return network.registry(a.drop("id"), a.agg(F.max("at") - 900))
+
+
+@query("""SELECT node_id, expires_at FROM (
+  SELECT node_id, "at" + CASE WHEN ttl <= 0 THEN 600 ELSE least(greatest(ttl, 60), 3600) END AS expires_at FROM announces QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY "at" DESC) = 1) WHERE expires_at > 20000""", ANNOUNCES)
+def registry_swept(spark, d):
+    entries = network.registry(_announces(spark, d).drop("id"), 0)
+    return network.swept(entries.select("node_id", "expires_at"), 20_000)
 
 
 @query('SELECT id, node_id, node_id IN (SELECT node_id FROM announces GROUP BY node_id ORDER BY min("at"), min(id) LIMIT 100) AS accepted FROM announces', ANNOUNCES)
@@ -66,10 +101,39 @@ def registry_capped(spark, d):
     return network.capped_registry(_announces(spark, d), 100).select("id", "node_id", "accepted")
 
 
-@query()
+RPS, BURST, IDLE_MS = 1 / 86_400, 5.0, 8 * 3_600_000
+
+
+def _buckets(idle: str) -> str:
+    """The fold over each key's events as a recursive relation."""
+    full = f"least({BURST}::DOUBLE, CASE WHEN {idle} THEN {BURST}::DOUBLE ELSE b.tokens END + (r.at_ms - CASE WHEN {idle} THEN r.at_ms ELSE b.at_ms END)::DOUBLE / 1000 * {RPS!r}::DOUBLE)"
+    return f"""requests AS (SELECT event_id AS id, user_id AS key, epoch_us(ts) // 1000 AS at_ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events),
+buckets AS (
+  SELECT id, key, at_ms, n, {BURST}::DOUBLE - 1 AS tokens, true AS allowed FROM requests WHERE n = 1
+  UNION ALL
+  SELECT id, key, at_ms, n, CASE WHEN have >= 1 THEN have - 1 ELSE have END, have >= 1 FROM (SELECT r.*, {full} AS have FROM requests r JOIN buckets b ON r.key = b.key AND r.n = b.n + 1))"""
+
+
+def _requests(spark, d):
+    return t.table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"))
+
+
+@query("SELECT id, key, at_ms, allowed FROM buckets", _buckets("false"))
 def rate_limit_outcomes(spark, d):
-    e = t.table(spark, d, "events")
-    return network.token_bucket(e.select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms")), 1 / 86_400, 5.0)
+    return network.token_bucket(_requests(spark, d), RPS, BURST)
+
+
+@query("SELECT id, key, at_ms, allowed FROM buckets", _buckets(f"r.at_ms - b.at_ms > {IDLE_MS}"))
+def rate_limit_idle(spark, d):
+    """The same with keys that are forgotten after eight hours without a request."""
+    return network.token_bucket(_requests(spark, d), RPS, BURST, idle_ms=IDLE_MS)
+
+
+@query("""SELECT b.id, b.key, CASE WHEN f.n IS NULL OR b.n < f.n THEN 'ok' WHEN b.n = f.n THEN 'closes' ELSE 'lost' END AS state
+FROM buckets b LEFT JOIN (SELECT key, min(n) AS n FROM buckets WHERE NOT allowed GROUP BY key) f USING (key)""", _buckets("false"))
+def message_limits(spark, d):
+    """A connection that exceeds its rate is closed, and what comes after is lost."""
+    return network.closed_connections(network.token_bucket(_requests(spark, d), RPS, BURST))
 
 
 GATE = """gate AS (SELECT event_id AS id, user_id AS node_id, event_type, CASE WHEN user_id % 50 IN (3, 7) THEN 'denied' WHEN event_id % 17 = 0 THEN 'filtered' WHEN event_id % 5 = 0 THEN 'rate_limited'
@@ -134,7 +198,44 @@ def pull_order(spark, d):
     return network.pull_order(sources)
 
 
-@query()
+PAGE, ROW, REF = 1024, 96, 40
+#: Greedy paging as a recursive relation: each version opens a page, joins it, or is sliced over pages of its own.
+PAGED = f"""sized AS (SELECT split_part(path, '/', 1) AS folder, seq, CASE WHEN c = 10 THEN 60 ELSE c END AS chunks, {ROW} + {REF} * CASE WHEN c = 10 THEN 60 ELSE c END AS need,
+  row_number() OVER (PARTITION BY split_part(path, '/', 1) ORDER BY seq) AS n FROM feed),
+step AS (SELECT greatest(1, ({PAGE} - {ROW}) // {REF}) AS k),
+paged AS (
+  SELECT folder, seq, chunks, need, n, 0::BIGINT AS page, need > {PAGE} AS big, CASE WHEN need > {PAGE} THEN 0 ELSE need END AS used, CASE WHEN need > {PAGE} THEN (chunks + k - 1) // k ELSE 0 END AS next FROM sized, step WHERE n = 1
+  UNION ALL
+  SELECT s.folder, s.seq, s.chunks, s.need, s.n, CASE WHEN p.used = 0 THEN p.next WHEN p.used + s.need > {PAGE} THEN p.page + 1 ELSE p.page END AS page, s.need > {PAGE},
+    CASE WHEN s.need > {PAGE} THEN 0 WHEN p.used = 0 OR p.used + s.need > {PAGE} THEN s.need ELSE p.used + s.need END,
+    CASE WHEN s.need > {PAGE} THEN CASE WHEN p.used = 0 THEN p.next WHEN p.used + s.need > {PAGE} THEN p.page + 1 ELSE p.page END + (s.chunks + k - 1) // k ELSE 0 END
+  FROM sized s JOIN paged p ON s.folder = p.folder AND s.n = p.n + 1, step),
+pages AS (
+  SELECT folder, page, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS rows, 0::BIGINT AS chunk_from, sum(chunks)::BIGINT AS chunk_to FROM paged WHERE NOT big GROUP BY folder, page
+  UNION ALL SELECT folder, page + i, seq, seq, 1, i * k, least(chunks, (i + 1) * k) FROM paged, step, range(8) r(i) WHERE big AND i * k < chunks)"""
+
+
+def _pages(spark, d):
+    folder, chunks = F.split_part("path", F.lit("/"), F.lit(1)), F.when(F.col("c") == 10, 60).otherwise(F.col("c"))
+    feed = t.feed(spark, d).select(folder.alias("folder"), "seq", chunks.alias("chunks"))
+    return feed, network.delta_pages(feed, PAGE, ROW, REF)
+
+
+@query("SELECT folder, page, first_seq, last_seq, rows, chunk_from, chunk_to FROM pages", PAGED)
 def delta_pages(spark, d):
-    feed = t.feed(spark, d).select(F.col("author").alias("folder"), "seq", F.when(F.col("c") == 10, 300).otherwise(F.col("c")).alias("chunks"))
-    return network.delta_pages(feed, 8192, 96, 40)
+    return _pages(spark, d)[1]
+
+
+@query("""SELECT folder, page, CASE WHEN page >= 12 THEN 'too many pages' WHEN lag((last_seq, chunk_to)) OVER (PARTITION BY folder ORDER BY page) >= (last_seq, chunk_to) THEN 'stalled' ELSE 'ok' END AS state
+FROM (SELECT folder, page, CASE WHEN page % 5 = 4 THEN 0 ELSE last_seq END AS last_seq, chunk_to FROM pages)""", PAGED)
+def page_progress(spark, d):
+    """A consumer's view of the pages, some of which do not move on."""
+    broken = _pages(spark, d)[1].withColumn("last_seq", F.when(F.col("page") % 5 == 4, 0).otherwise(F.col("last_seq")))
+    return sync.page_states(broken, 12)
+
+
+@query("SELECT folder, seq, chunks AS received, true AS complete FROM paged WHERE big", PAGED)
+def pages_assembled(spark, d):
+    """Versions that came in slices, put together again."""
+    feed, pages = _pages(spark, d)
+    return sync.assembled(pages, feed.where(F.lit(ROW) + F.col("chunks") * REF > PAGE))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foldlake.operators import members, state, vectors
+from foldlake.operators import members, state, sync, vectors
 from foldlake.plans.relations import query
 from foldlake.sources import tables as t
 
@@ -79,12 +79,26 @@ def conflict_winner(spark, d):
     return vectors.winner(_by_author(spark, d).select("path", "author", "authored_ms", "manifest_id"))
 
 
-@query(f"SELECT seq, {CONFLICT_NAME} AS copy_path FROM feed WHERE seq <= 2000")
+@query(f"SELECT seq, {CONFLICT_NAME} AS copy_path FROM feed")
 def conflict_paths(spark, d):
-    f = t.feed(spark, d).where("seq <= 2000")
+    f = t.feed(spark, d)
     return f.select("seq", vectors.conflict_path(F.col("path"), F.col("author"), F.col("authored_ms")).alias("copy_path"))
 
 
+LONG = "CASE WHEN seq % 3 = 0 THEN '.rc' ELSE 'd/' END || repeat('x', seq % 270) || CASE WHEN seq % 2 = 0 THEN '.tar' ELSE '' END"
+TAIL = "'.conflict-' || strftime(make_timestamp(authored_ms * 1000), '%Y%m%dT%H%M%S.%gZ') || '-' || author"
+
+
+@query(f"""SELECT seq, dir || substr(stem, 1, greatest(255 - length(tail) - length(ext), 0)) || tail || ext AS copy_path FROM (
+  SELECT seq, tail, CASE WHEN seq % 3 = 0 THEN '' ELSE 'd/' END AS dir, CASE WHEN base LIKE '%.tar' AND base <> '.tar' THEN '.tar' ELSE '' END AS ext, CASE WHEN base LIKE '%.tar' AND base <> '.tar' THEN left(base, -4) ELSE base END AS stem
+  FROM (SELECT seq, {TAIL} AS tail, CASE WHEN seq % 3 = 0 THEN path ELSE substr(path, 3) END AS base FROM (SELECT seq, author, authored_ms, {LONG} AS path FROM feed)))""")
+def conflict_paths_long(spark, d):
+    """Names around the limit of 255 bytes, dotfiles and names without an extension among them."""
+    f, n = t.feed(spark, d), F.col("seq")
+    path = F.concat(F.when(n % 3 == 0, ".rc").otherwise("d/"), F.repeat(F.lit("x"), (n % 270).cast("int")), F.when(n % 2 == 0, ".tar").otherwise(""))
+    return f.select("seq", vectors.conflict_path(path, F.col("author"), F.col("authored_ms")).alias("copy_path"))
+
+
 @query(f"""SELECT CASE WHEN n = 1 THEN path ELSE {CONFLICT_NAME} END AS path, manifest_id, author, n > 1 AS copy
 FROM (SELECT *, row_number() OVER w AS n, first_value(manifest_id) OVER w AS best FROM by_author WHERE NOT deleted WINDOW w AS (PARTITION BY path ORDER BY authored_ms DESC, author DESC))
 WHERE n = 1 OR manifest_id <> best""", BY_AUTHOR)
@@ -124,6 +138,25 @@ def roster_closure(spark, d):
     return members.closure(t.members(spark, d), 1)
 
 
+CIRCLES = """entries AS (
+  SELECT node_id, added_by, role, sig_ok FROM members UNION ALL SELECT node_id, node_id * 2, role, true FROM members UNION ALL SELECT node_id, node_id + 1, role, node_id % 2 = 0 FROM members),
+ring AS (
+  SELECT node_id, added_by, role, 0 AS depth FROM entries WHERE sig_ok AND node_id = 1 AND added_by = 1 AND role = 1
+  UNION
+  SELECT e.node_id, 0, e.role, depth + 1 FROM entries e JOIN ring r ON e.added_by = r.node_id WHERE e.sig_ok AND r.role = 1 AND e.node_id <> e.added_by AND depth < 24),
+reached AS (SELECT node_id, any_value(role) AS role, min(depth) AS depth FROM ring GROUP BY node_id)"""
+
+
+@query("""SELECT r.node_id, min(CASE WHEN r.depth = 0 THEN 1 ELSE e.added_by END) AS added_by, r.role, r.depth FROM reached r JOIN entries e ON e.node_id = r.node_id AND e.sig_ok
+LEFT JOIN reached s ON s.node_id = e.added_by WHERE r.depth = 0 OR (s.role = 1 AND s.depth = r.depth - 1 AND e.node_id <> e.added_by) GROUP BY r.node_id, r.role, r.depth""", CIRCLES)
+def roster_circles(spark, d):
+    """A roster whose entries sign each other in circles, several of them for one node."""
+    m = t.members(spark, d)
+    k = F.col("node_id")
+    more = m.select(k, (k * 2).alias("added_by"), "role", F.lit(True).alias("sig_ok")).union(m.select(k, k + 1, "role", k % 2 == 0))
+    return members.closure(m.union(more), 1)
+
+
 ROLES = "roles AS (SELECT m.node_id, CASE WHEN m.node_id = 1 THEN 1 ELSE r.role END AS role FROM members m LEFT JOIN roster r USING (node_id))"
 
 
@@ -196,11 +229,20 @@ def roster_insert(spark, d):
 
 
 @query("""SELECT DISTINCT (n + 1) % 10 AS peer, entry FROM held_ h WHERE NOT EXISTS (SELECT 1 FROM held_ o WHERE o.n = (h.n + 1) % 10 AND o.entry = h.entry)""",
-"held_ AS (SELECT DISTINCT user_id % 10 AS n, event_id % 40 AS entry FROM events WHERE event_id <= 200)")
+"held_ AS (SELECT DISTINCT user_id % 10 AS n, event_id // 3 AS entry FROM events)")
 def gossip_round(spark, d):
-    held = t.table(spark, d, "events").where("event_id <= 200").select((F.col("user_id") % 10).alias("node_id"), (F.col("event_id") % 40).alias("entry")).distinct()
-    links = held.select("node_id").distinct().withColumn("peer", (F.col("node_id") + 1) % 10)
-    return members.gossip_round(held, links)
+    """One round over all events: an entry stands for three of them, which up to three nodes hold."""
+    held = t.table(spark, d, "events").select((F.col("user_id") % 10).alias("node_id"), F.floor(F.col("event_id") / 3).alias("entry")).distinct()
+    links = spark.range(10).select(F.col("id").alias("node_id"), ((F.col("id") + 1) % 10).alias("peer"))
+    return members.gossip_round(held, links, cap=1 << 40)
+
+
+@query("SELECT n AS node_id, count(DISTINCT entry) AS entries FROM (SELECT event_id // 3 AS entry FROM events), range(10) r(n) GROUP BY n")
+def gossip_settled(spark, d):
+    """After rounds on a ring until nothing is new every node holds every entry."""
+    held = t.table(spark, d, "events").select((F.col("user_id") % 10).alias("node_id"), F.floor(F.col("event_id") / 3).alias("entry"))
+    links = spark.range(10).select(F.col("id").alias("node_id"), ((F.col("id") + 1) % 10).alias("peer"))
+    return sync.gossip(held, links, cap=1 << 40).groupBy("node_id").agg(F.count("*").alias("entries"))
 
 
 @query("SELECT user_id % 20 AS peer_id, event_type AS direction, event_id % 2 AS epoch, event_id AS high_water, event_id AS at FROM events QUALIFY row_number() OVER (PARTITION BY user_id % 20, event_type ORDER BY event_id DESC) = 1")

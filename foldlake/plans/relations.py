@@ -48,6 +48,30 @@ reachable AS (
   SELECT DISTINCT chunk_id FROM manifest_chunks WHERE manifest_id IN (SELECT manifest_id FROM live UNION SELECT manifest_id FROM leaves))
 """
 
+
+
+def sql_varint(n: str) -> str:
+    """Hex of the variable-length bytes of a number below 16384."""
+    return f"(CASE WHEN {n} < 128 THEN printf('%02x', ({n})::BIGINT) ELSE printf('%02x%02x', ({n} % 128 + 128)::BIGINT, ({n} // 128)::BIGINT) END)"
+
+
+def sql_sized(text: str) -> str:
+    """Hex of a text behind its length."""
+    return f"({sql_varint(f'strlen({text})')} || lower(hex(encode({text}))))"
+
+
+def sql_base32(hexed: str) -> str:
+    """Unpadded lower-case base32 of 32 bytes in hex."""
+    return f"(SELECT string_agg(substr('abcdefghijklmnopqrstuvwxyz234567', (CAST('0x' || substr({hexed} || '00', 5 * i // 4 + 1, 3) AS INT) >> (7 - 5 * i % 4)) % 32 + 1, 1), '' ORDER BY i) FROM range(52) b(i))"
+
+
+def sql_hmac(key: bytes, message: str) -> str:
+    """Hex of HMAC-SHA256 of a hex text's bytes."""
+    block = key.ljust(64, b"\0")
+    inner, outer = bytes(b ^ 0x36 for b in block).hex(), bytes(b ^ 0x5C for b in block).hex()
+    return f"sha256(unhex('{outer}' || sha256(unhex('{inner}' || {message}))))"
+
+
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 

@@ -9,13 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from foldlake.operators import state, vectors
-from foldlake.operators.network import clamp_ttl
+from foldlake.operators import state, sync, vectors
+from foldlake.operators.network import clamp_ttl, telemetry_capped
 
 
 class VersionedTable:
@@ -51,6 +51,42 @@ class VersionedTable:
         return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+class DeltaTable:
+    """Rows of a replica and the cursor of the peer they came from, written as one: a version counts once both are there.
+
+    A consumer that restarts goes on from the cursor of the last complete version; a page that does not move the cursor on
+    is refused, and a page of another epoch starts from nothing known.
+    """
+
+    CURSOR = "folder string, peer_id string, epoch long, high_water long"
+
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        self.rows, self.cursors = VersionedTable(spark, f"{path.rstrip('/')}/rows", schema), VersionedTable(spark, f"{path.rstrip('/')}/cursors", self.CURSOR)
+
+    def version(self) -> int:
+        """The last version whose cursor, which is written after the rows, is complete."""
+        return max(self.cursors.versions(), default=-1)
+
+    def read(self) -> DataFrame:
+        return self.rows.read(before=self.version() + 1)
+
+    def cursor(self, folder: str, peer: str) -> tuple[int, int] | None:
+        found = self.cursors.read().where((F.col("folder") == folder) & (F.col("peer_id") == peer)).select("epoch", "high_water").first()
+        return tuple(found) if found else None
+
+    def apply(self, batch: DataFrame, folder: str, peer: str, epoch: int, high_water: int, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> bool:
+        """Apply a page; says whether it did (a page that was applied before does nothing)."""
+        at = self.cursor(folder, peer)
+        if at is not None and at[0] == epoch and high_water <= at[1]:
+            return False
+        n = self.version() + 1
+        spark = self.rows.spark
+        moved = spark.createDataFrame([(folder, peer, epoch, high_water, 0)], self.CURSOR + ", at long")
+        self.rows.write(merge(self.read(), batch), n)
+        self.cursors.write(sync.advanced(self.cursors.read(), moved), n)
+        return True
+
+
 def latest_rows(key: str, order: str) -> Callable[[DataFrame, DataFrame], DataFrame]:
     """Merge by which the row of the highest ``order`` per key stays: manifests, receipts, announcements, addresses."""
     return lambda current, batch: state.latest(current.unionByName(batch.select(*current.columns)), key, order)
@@ -75,6 +111,54 @@ def registry_rows(now: int) -> Callable[[DataFrame, DataFrame], DataFrame]:
     return merge
 
 
+def coalesced_rows(current: DataFrame, batch: DataFrame) -> DataFrame:
+    """Announcements (``folder, root, high_water, at``): the last of each folder counts, whatever came while the batch before ran."""
+    last = sync.coalesced(batch, F.lit(0)).select("folder", "root", "high_water")
+    return current.join(last.select("folder"), "folder", "left_anti").unionByName(last)
+
+
+def capped_rows(cap_bytes: int) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """Telemetry (``id, fields``) until the stored size reaches a cap; what comes after is rejected."""
+
+    def merge(current: DataFrame, batch: DataFrame) -> DataFrame:
+        held = current.agg(F.coalesce(F.sum(F.octet_length("fields")), F.lit(0))).first()[0]
+        return current.unionByName(telemetry_capped(batch.select(*current.columns), cap_bytes - held))
+
+    return merge
+
+
+def presence_rows(capacity: int) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """Live connections (``node_id, address, at``) after events (``up`` too): a node's new connection replaces its old one.
+
+    New nodes are let in while there is room, in order of time; replacing needs no room.
+    """
+
+    def merge(current: DataFrame, batch: DataFrame) -> DataFrame:
+        last = state.latest(batch.select("node_id", "address", "at", "up"), "node_id", "at")
+        stay = current.join(last.select("node_id"), "node_id", "left_anti")
+        known = last.where("up").join(current.select("node_id"), "node_id", "left_semi")
+        room = capacity - stay.count() - known.count()
+        new = last.where("up").join(current.select("node_id"), "node_id", "left_anti").orderBy("at", "node_id").limit(max(room, 0))
+        return stay.unionByName(known.unionByName(new).select(*current.columns))
+
+    return merge
+
+
+def scheduled(spark: SparkSession, every: str, job: Callable[[int], None], checkpoint: str) -> StreamingQuery:
+    """Run a job by a processing-time trigger: rescans, tombstone sweeps, announcements, roster exchange.
+
+    The stream only keeps time; a run that takes longer than the period is followed by one run, not by all that were missed.
+    """
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return clock.writeStream.foreachBatch(lambda _, number: job(number)).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+def counted(rows: DataFrame, name: str, **counters: Column) -> tuple[DataFrame, Observation]:
+    """``rows`` that are counted on their way by the job that reads them, without a job of their own."""
+    seen = Observation(name)
+    return rows.observe(seen, *(c.alias(k) for k, c in counters.items())), seen
+
+
 def debounce(events: DataFrame, gap_ms: int, watermark: str) -> DataFrame:
     """Bursts per folder once the watermark has passed their end (append mode); repeated paths of a burst count once."""
     window = F.session_window(F.col("at"), f"{gap_ms} milliseconds")

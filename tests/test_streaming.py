@@ -69,3 +69,45 @@ def test_telemetry_outcomes(spark):
     lines = spark.createDataFrame([("n1", '{"install_id": "i", "schema_version": 1, "event_millis": 5, "fields": "{}"}'), ("n1", "nonsense"), ("n1", '{"install_id": "i", "schema_version": 2, "fields": "{}"}'), ("n2", "{}")], "node_id string, value string")
     got = [r["outcome"] for r in streams.telemetry(lines, F.col("node_id") == "n1").collect()]
     assert got == ["ok", "bad request", "bad version", "denied"]
+
+
+def test_rows_and_cursor_move_together(spark, tmp_path):
+    table = streams.DeltaTable(spark, str(tmp_path), "path string, seq long")
+    merge = streams.latest_rows("path", "seq")
+    page = lambda *rows: spark.createDataFrame(rows, "path string, seq long")
+    assert table.cursor("f", "p") is None
+    assert table.apply(page(("a", 1), ("b", 2)), "f", "p", 1, 2, merge)
+    assert table.apply(page(("a", 3)), "f", "p", 1, 3, merge) and not table.apply(page(("a", 9)), "f", "p", 1, 3, merge)
+    assert table.cursor("f", "p") == (1, 3)
+    # rows without their cursor are a version that was not completed
+    table.rows.write(page(("lost", 7)), 5)
+    assert {tuple(r) for r in table.read().collect()} == {("a", 3), ("b", 2)}
+    assert table.apply(page(("c", 1)), "f", "p", 2, 1, merge)
+    assert table.cursor("f", "p") == (2, 1) and table.read().count() == 3
+
+
+def test_merges_of_announcements_presence_and_capped_telemetry(spark):
+    now = spark.createDataFrame([("f", "r0", 1)], "folder string, root string, high_water long")
+    batch = spark.createDataFrame([("f", "r1", 5, 1), ("f", "r2", 6, 2), ("g", "r3", 1, 1)], "folder string, root string, high_water long, at long")
+    assert {tuple(r) for r in streams.coalesced_rows(now, batch).collect()} == {("f", "r2", 6), ("g", "r3", 1)}
+    live = spark.createDataFrame([(1, "a", 0), (2, "b", 0)], "node_id long, address string, at long")
+    events = spark.createDataFrame([(1, "c", 5, True), (2, "b", 6, False), (3, "d", 7, True), (4, "e", 8, True)], "node_id long, address string, at long, up boolean")
+    assert {tuple(r) for r in streams.presence_rows(2)(live, events).collect()} == {(1, "c", 5), (3, "d", 7)}
+    stored = spark.createDataFrame([(1, "xxxx")], "id long, fields string")
+    more = spark.createDataFrame([(k, "yyyy") for k in range(2, 9)], "id long, fields string")
+    assert sorted(r["id"] for r in streams.capped_rows(15)(stored, more).collect()) == [1, 2, 3]
+
+
+def test_scheduled_jobs_and_counters(spark, tmp_path):
+    import time
+
+    runs = []
+    query = streams.scheduled(spark, "200 milliseconds", runs.append, str(tmp_path / "ck"))
+    end = time.time() + 30
+    while len(runs) < 2 and time.time() < end:
+        time.sleep(0.2)
+    query.stop()
+    assert runs[:2] == [0, 1]
+    rows, seen = streams.counted(spark.range(10), "served", n=F.count(F.lit(1)), top=F.max("id"))
+    rows.collect()
+    assert seen.get == {"n": 10, "top": 9}
