@@ -75,9 +75,13 @@ def row_key(docs: DataFrame) -> Column:
     return F.unhex(F.concat(half(1), half(2)))
 
 
+#: The column that a row's key goes by beside the columns of a table; the one name a table of documents must not have.
+ROW = "_foldlake_row"
+
+
 def rows_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose key is in ``chosen`` (``_row``, once each, and columns to add); of equal rows one."""
-    return docs.withColumn("_row", row_key(docs)).join(chosen, "_row").dropDuplicates(["_row"]).drop("_row")
+    """The rows of ``docs`` whose key is in ``chosen`` (``ROW``, once each, and columns to add); of equal rows one."""
+    return docs.withColumn(ROW, row_key(docs)).join(chosen, ROW).dropDuplicates([ROW]).drop(ROW)
 
 
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldlake.llm.common import map_arrow, row_key, rows_of, shared_table
+from foldlake.llm.common import ROW, map_arrow, row_key, rows_of, shared_table
 
 #: Bytes of edge labels and nodes that a task's trie may hold before a subtree is spilled.
 TRIE_BYTES = 96 << 20
@@ -228,6 +228,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def survivors(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     """The rows of ``docs`` that stay, whole and with their own columns: one of each text, also where ids are null or repeated."""
-    mine = docs.select(row_key(docs).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+    mine = docs.select(row_key(docs).alias(ROW), F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
     kept = mine.join(owners(docs, keep=keep), "text_sha256").where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    return rows_of(docs, kept.groupBy("text_sha256").agg(F.min("_row").alias("_row")).select("_row"))
+    return rows_of(docs, kept.groupBy("text_sha256").agg(F.min(ROW).alias(ROW)).select(ROW))

@@ -9,6 +9,8 @@ one that fails the base rules (fewer than ``min_words`` words, or too many words
 Lines are counted with map-side partial sums, so a line that a third of all documents hold is no hot key.
 The lines above ``min_docs`` are joined back by broadcast if they are at most ``BROADCAST_ROWS``, else by a shuffle.
 
+``clean`` needs the columns ``text`` and ``source``, keeps all others, and counts ``n_chars`` again where it cuts.
+
 Defined cases: null and empty texts have all counts 0 and fail the base rules; a null host is a host of its own; null
 ids and repeated rows get a row each; an empty table gives no rows; other columns are not read.
 """
@@ -23,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldlake.llm.common import flat, map_arrow, mix, powers, row_key, runs_hash, shared_table, slices, word_runs
+from foldlake.llm.common import ROW, flat, map_arrow, mix, powers, row_key, runs_hash, shared_table, slices, word_runs
 
 SYMBOLS = b"#*$%&|<>"
 IS_SYMBOL = np.zeros(256, bool)
@@ -150,20 +152,20 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHAR
 
 def clean(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_rest: float = 0.2, min_words: int = 50, max_repeat: float = 0.5) -> DataFrame:
     """The documents that pass, with their own columns; boilerplate lines are taken out of the texts that hold any."""
-    keyed = docs.withColumn("_row", row_key(docs))  # ids may be null or repeated; equal rows have one verdict
-    rows = shared_table(profile(keyed, id_col="_row"))
+    keyed = docs.withColumn(ROW, row_key(docs))  # ids may be null or repeated; equal rows have one verdict
+    rows = shared_table(profile(keyed, id_col=ROW))
     held = frequent_lines(rows, min_docs, max_share).groupBy("row").agg(F.sum("words").alias("lost"), F.collect_set("line_key").alias("keys"))
     passed = rows.select("row", "doc_id", "text_hash", "n_words", "n_repeat_words").join(held, "row", "left")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > int(100 * max_repeat) * F.col("n_words"))
     depleted = (F.col("n_words") - F.coalesce("lost", F.lit(0))) < min_rest * F.col("n_words")
-    passed = passed.where(~failed & ~depleted).groupBy(F.col("doc_id").alias("_row")).agg(F.first(F.coalesce("keys", F.array().cast("array<long>"))).alias("_keys"))
-    out = keyed.join(passed, "_row").drop("_row")
+    passed = passed.where(~failed & ~depleted).groupBy(F.col("doc_id").alias(ROW)).agg(F.first(F.coalesce("keys", F.array().cast("array<long>"))).alias("_foldlake_keys"))
+    out = keyed.join(passed, ROW).drop(ROW)
     names = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column("_keys").to_pylist()
+            keys = batch.column("_foldlake_keys").to_pylist()
             texts = batch.column("text").to_pylist()
             chars = batch.column("n_chars").to_pylist() if "n_chars" in names else None
             for i, k in enumerate(keys):

@@ -105,5 +105,57 @@ FROM kept JOIN lead_ USING (pair_id)
 """
 
 
+#: Words and lower case as the contracts define them.
+WORDS = "'[^\\x20\\x09-\\x0D]+'"
+LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+QUALITY_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
+words AS (SELECT r, regexp_extract_all(text, {WORDS}) AS w FROM docs),
+placed AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM words),
+windows AS (SELECT r, p, x || ' ' || lead(x, 1) OVER o || ' ' || lead(x, 2) OVER o AS s FROM placed WINDOW o AS (PARTITION BY r ORDER BY p)),
+twice AS (SELECT r, p FROM windows WHERE s IS NOT NULL QUALIFY count(*) OVER (PARTITION BY r, s) > 1),
+repeated AS (SELECT r, count(DISTINCT p + k) AS n FROM twice, (VALUES (0), (1), (2)) o(k) GROUP BY r),
+split AS (SELECT r, source, text, unnest(string_split(text, chr(10))) AS line FROM docs),
+lines AS (SELECT r, source, text, line, len(w) AS words, translate(array_to_string(w, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000') AS folded
+  FROM (SELECT *, regexp_extract_all(line, {WORDS}) AS w FROM split) WHERE len(w) > 0),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY r),
+hosts AS (SELECT source, count(DISTINCT text) AS docs FROM docs GROUP BY source),
+often AS (SELECT l.source, folded FROM lines l JOIN hosts h ON h.source IS NOT DISTINCT FROM l.source GROUP BY l.source, folded, docs HAVING count(DISTINCT text) > 5 AND count(DISTINCT text) > docs * 0.05::DOUBLE),
+lost AS (SELECT r, sum(words)::BIGINT AS n FROM lines l JOIN often o ON o.source IS NOT DISTINCT FROM l.source AND o.folded = l.folded GROUP BY r),
+base AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(d.n, 0) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words, coalesce(l.n, 0) AS n_boilerplate_words
+  FROM docs JOIN words USING (r) LEFT JOIN dup d USING (r) LEFT JOIN repeated p USING (r) LEFT JOIN lost l USING (r))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_boilerplate_words >= 0.2::DOUBLE * n_words AS kept FROM base
+"""
+#: All pairs that share a shingle, as small tables allow.
+NEAR_SQL = f"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {LOWER}), {WORDS}) AS w FROM documents),
+placed AS (SELECT r, len(w) AS n, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM docs),
+shingles AS (
+  SELECT DISTINCT r, s FROM (SELECT r, n, x || ' ' || lead(x, 1) OVER o || ' ' || lead(x, 2) OVER o || ' ' || lead(x, 3) OVER o AS s FROM placed WINDOW o AS (PARTITION BY r ORDER BY p)) WHERE s IS NOT NULL
+  UNION ALL SELECT r, array_to_string(w, ' ') FROM docs WHERE len(w) BETWEEN 1 AND 3),
+sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+common AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.r <> b.r GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reached AS (SELECT r, r AS t FROM docs UNION SELECT reached.r, b FROM reached JOIN links ON a = t),
+least AS (SELECT reached.r, min(d.doc_id) AS component_id FROM reached JOIN docs d ON d.r = t GROUP BY reached.r)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM docs LEFT JOIN sizes USING (r) JOIN least USING (r)
+"""
+#: Every string of 200 bytes by its hash, from blocks of 256 starts.
+SUFFIX_SQL = """
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+blocks AS (SELECT r, j, substr(h, 512 * j + 1, 912) AS piece FROM (SELECT r, h, unnest(range((length(h) // 2 - 199 + 255) // 256)) AS j FROM docs WHERE length(h) >= 400)),
+starts AS (SELECT r, 256 * j + o AS i, hash(substr(piece, 2 * o + 1, 400)) AS k FROM (SELECT r, j, piece, unnest(range(least(256, length(piece) // 2 - 199))) AS o FROM blocks)),
+again AS (SELECT r, i FROM starts QUALIFY count(*) OVER (PARTITION BY k) > 1),
+runs AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS g FROM (
+  SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM again)) GROUP BY r, g),
+gaps AS (SELECT r, b AS a, lead(a) OVER (PARTITION BY r ORDER BY a) AS b FROM (SELECT r, a, b FROM runs UNION ALL SELECT r, -1, 0 FROM docs)),
+kept AS (SELECT r, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, length(h) // 2) - a)), '' ORDER BY a) AS h FROM gaps JOIN docs USING (r) GROUP BY r),
+cut AS (SELECT r, sum(b - a)::BIGINT AS n, count(*) AS spans FROM runs GROUP BY r)
+SELECT doc_id, length(d.h) // 2 AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(k.h)) AS kept_sha256 FROM docs d JOIN kept k USING (r) LEFT JOIN cut USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact": EXACT_SQL, "op5_preference": PREFERENCE_SQL}
+    return {"op2_minhash": NEAR_SQL, "op3_exact": EXACT_SQL, "op5_preference": PREFERENCE_SQL, "op6_lines": QUALITY_SQL, "op8_suffix": SUFFIX_SQL}
