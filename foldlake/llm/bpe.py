@@ -30,7 +30,7 @@ from foldlake.llm.common import map_arrow
 
 _LOADED: dict[str, "WordBpe"] = {}
 #: Words remembered in a worker before its table is emptied.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 NONE = np.iinfo(np.int32).max
 #: Bits of a place in a word, in the heap of merges.
 PLACE = 40

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import tempfile
@@ -49,9 +50,33 @@ def shared_table(df: DataFrame) -> DataFrame:
     df.write.mode("error").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._foldlake_path = path
+    if _SCRATCH:
+        _SCRATCH[-1].append(back)
     return back
 
 
+_SCRATCH: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables of ``shared_table`` made inside are deleted at the end, but for those passed through what this yields."""
+    made, kept = [], []
+    _SCRATCH.append(made)
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table._foldlake_path)
+        return table
+
+    try:
+        yield keep
+    finally:
+        _SCRATCH.pop()
+        for table in made:
+            if table._foldlake_path not in kept:
+                drop_table(table)
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete a table of ``shared_table`` that no later plan reads."""
     spark, path = df.sparkSession, df._foldlake_path
@@ -63,9 +88,9 @@ def drop_table(df: DataFrame) -> None:
 BROADCAST_ROWS = 400_000
 
 
-def small(table: DataFrame) -> DataFrame:
-    """A table of ``shared_table``, to be broadcast if it has at most BROADCAST_ROWS rows."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+def small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A table of ``shared_table``, to be broadcast if it has at most so many rows."""
+    return F.broadcast(table) if table.count() <= rows else table
 
 
 def row_key(docs: DataFrame) -> Column:

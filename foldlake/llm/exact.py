@@ -66,17 +66,24 @@ def shared_prefix(a: bytes, b: bytes, start: int) -> int:
 
 
 class PatriciaTrie:
-    """A compressed radix trie of byte strings with owners; beyond its budget whole subtrees go to ``spill_out``."""
+    """A compressed radix trie of byte strings with owners; beyond its budget whole subtrees go to ``spill_out``.
+
+    The first string stays beside the trie, so every task finishes one string at least and the rounds come to an end.
+    """
 
     def __init__(self, budget: int = TRIE_BYTES, prefer=min):
         self.root, self.used, self.budget, self.prefer = Node(b""), 0, budget, prefer
+        self.first: tuple[bytes, int | None, int] | None = None
         self.spill_out: list[tuple[bytes, int | None, int]] = []  # for the caller to take
-        self.spills = 0
+        self.spills = 0  # each leaves a stub and at most one node above it, which the budget does not count
 
     def better(self, a: int | None, b: int | None) -> int | None:
         return b if a is None else a if b is None else self.prefer(a, b)
 
     def add(self, text: bytes, best: int | None, rows: int = 1) -> None:
+        if self.first is None or self.first[0] == text:
+            self.first = (text, self.better(self.first[1], best), self.first[2] + rows) if self.first else (text, best, rows)
+            return
         node, at = self.root, 0
         while True:
             if at == len(text):
@@ -99,9 +106,18 @@ class PatriciaTrie:
                 self.used += NODE_BYTES
                 child = upper
             node, at = child, at + k
-        if self.used > self.budget:
+        if self.used > self.budget + self.stubs():
             self.spill()
 
+    def stubs(self) -> int:
+        return 2 * self.spills * (NODE_BYTES + 1)
+
+    def entries(self) -> Iterator[tuple[bytes, int | None, int]]:
+        """What is in memory: each string with its identifier and rows."""
+        if self.first:
+            yield self.first
+        yield from self.walk(self.root, b"")
+
     def walk(self, node: Node, prefix: bytes) -> Iterator[tuple[bytes, int | None, int]]:
         """The strings at and below a node; ``prefix`` ends above its label."""
         stack = [(node, prefix)]
@@ -127,7 +143,7 @@ class PatriciaTrie:
     def spill(self) -> None:
         """Spill the heaviest subtrees that hold at most half of the bytes, until a quarter of the budget is free."""
         weight = self.weights()
-        while self.used > 3 * self.budget // 4:
+        while self.used > 3 * self.budget // 4 + self.stubs():
             path, prefix = [self.root], b""
             while True:
                 first, heavy = max(path[-1].children.items(), key=lambda c: weight[id(c[1])])
@@ -138,8 +154,8 @@ class PatriciaTrie:
             # a stub of one byte stays; a string that ends at it is no part of the subtree
             stub = Node(heavy.label[:1])
             freed = weight[id(heavy)] - 1 - NODE_BYTES
-            if freed < self.used // 1024:
-                self.budget = 2 * self.used  # many short strings side by side: there is no subtree to give away
+            if freed < self.used // 1024 or (weight[id(heavy)] > self.used // 2 and not heavy.children):
+                self.budget = 2 * self.used  # short strings side by side, or one that is most of all: there is no subtree to give away
                 return
             if len(heavy.label) == 1:
                 stub.best, stub.rows, heavy.rows = heavy.best, heavy.rows, 0
@@ -156,7 +172,7 @@ class PatriciaTrie:
         """Each distinct text with its identifier and rows: what is in the trie, then what is left of ``spill_out``."""
         trie = self
         while True:
-            yield from trie.walk(trie.root, b"")
+            yield from trie.entries()
             if not trie.spill_out:
                 return
             rest, trie = trie.spill_out, PatriciaTrie(self.budget, self.prefer)
@@ -192,9 +208,9 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
             for text, best in zip(batch.column(1), batch.column(0).to_pylist()):
                 trie.add((text.as_py() or "").encode(), best)
                 if trie.used > LOCAL_BYTES:
-                    yield from packed(trie.walk(trie.root, b""), False)
+                    yield from packed(trie.entries(), False)
                     trie = PatriciaTrie(1 << 62, prefer)
-        yield from packed(trie.walk(trie.root, b""), False)
+        yield from packed(trie.entries(), False)
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = PatriciaTrie(budget, prefer)
@@ -204,7 +220,7 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
                 if trie.spill_out:
                     yield from packed(trie.spill_out, False)
                     trie.spill_out = []
-        yield from packed(trie.walk(trie.root, b""), True)
+        yield from packed(trie.entries(), True)
 
     whole = map_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col)), local, schema)
     out, deal = None, 0

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldlake.llm.common import components, flat, map_arrow, mix, powers, runs_hash, shared_table, slices, small, word_runs
+from foldlake.llm.common import components, flat, map_arrow, mix, powers, runs_hash, scratch, shared_table, slices, small, word_runs
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
@@ -148,6 +148,16 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def link(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, max_odd: int = 115, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``."""
+    with scratch() as keep:
+        made, table = classes(docs, words, percent, bands, rows, max_odd, seed, id_col, text_col)
+        keep(made), keep(table)
+    out = made.select("doc_id", "n_shingles", "f1", "f2").join(table, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n_shingles") == F.col("gn")), "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def classes(docs: DataFrame, words: int, percent: int, bands: int, rows: int, max_odd: int, seed: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Tables of every document's set (``doc_id, n_shingles``, fingerprint) and of every set's ``component_id``."""
     made = shared_table(sketch(docs, words, bands, rows, seed, id_col, text_col))
     # equal sets: one node, named by a row key
     nodes = shared_table(made.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")))
@@ -209,10 +219,7 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, ro
 
     table = shared_table(nodes.join(groups.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node")))
     least = table.groupBy("component").agg(F.min("least").alias("component_id"))
-    table = table.join(least, "component").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n_shingles").alias("gn"), "component_id")
-    out = made.select("doc_id", "n_shingles", "f1", "f2").join(table, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n_shingles") == F.col("gn")), "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return made, shared_table(table.join(least, "component").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n_shingles").alias("gn"), "component_id"))
 
 
 def odd_distance(a: str, b: str) -> Column:

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldlake.llm.common import flat, map_arrow, mix, powers, shared_table, slices
+from foldlake.llm.common import flat, map_arrow, mix, powers, scratch, shared_table, slices, small
 
 #: Bytes of the k-gram that anchors a string.
 GRAM = 48
@@ -42,8 +42,8 @@ GRAM = 48
 HOT, BAND = 2000, 8
 #: Bytes of distinct stretches sorted at a time, and of those that a task deals at a time.
 BLOCK, SHARE = 1 << 18, 2 << 20
-#: Anchors (16 bytes each) and texts up to which the small side of a join is broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Repeated anchors (16 bytes each), and texts with spans, up to which these are broadcast.
+ANCHOR_ROWS, SPANS_ROWS = 1_000_000, 250_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -347,17 +347,22 @@ def united(begins: list[int], ends: list[int]) -> list[tuple[int, int]]:
 
 
 def spans(docs: DataFrame, length: int = 200, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per distinct text with a repeat: ``sha``, ``begins`` and ``ends`` of repeated strings, or ``whole``."""
+    """Table, per distinct text with a repeat: ``sha``, ``begins`` and ``ends`` of repeated strings, or ``whole``."""
+    with scratch() as keep:
+        return keep(found_spans(docs, length, gram, id_col, text_col))
+
+
+def found_spans(docs: DataFrame, length: int, gram: int, id_col: str, text_col: str) -> DataFrame:
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.octet_length("text") >= length)
     base = base.withColumn("sha", F.sha2(F.col("text").cast("binary"), 256))
     named = base.select("doc_id", "sha")
     groups = shared_table(named.groupBy(F.col("sha").alias("s")).agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")).where("n > 1"))
     extra = shared_table(named.join(groups, named["sha"] == groups["s"]).where(~F.col("doc_id").eqNullSafe(F.col("owner"))).select(F.col("doc_id").alias("_id"), "s"))
-    small = F.broadcast(extra) if extra.count() <= BROADCAST_ROWS else extra
-    texts = base.join(small, base["doc_id"].eqNullSafe(small["_id"]) & (base["sha"] == small["s"]), "left_anti")
+    few = small(extra)
+    texts = base.join(few, base["doc_id"].eqNullSafe(few["_id"]) & (base["sha"] == few["s"]), "left_anti")
     found = shared_table(anchored(texts.select("sha", "text"), length, gram))
     often = shared_table(found.select(F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"))
-    often = F.broadcast(often) if often.count() <= BROADCAST_ROWS else often
+    often = small(often, ANCHOR_ROWS)
     each = found.select("row", F.explode(F.arrays_zip("hashes", "firsts", "lasts", "places")).alias("x")).select("row", F.col("x.hashes").alias("hash"), F.col("x.firsts").alias("first"), F.col("x.lasts").alias("last"), F.col("x.places").alias("place"))
     # a text's own anchors, gathered again
     held = each.join(often, "hash").groupBy("row").agg(F.collect_list(F.struct("hash", "first", "last", "place", "n")).alias("found"))
@@ -377,7 +382,7 @@ def remove(docs: DataFrame, length: int = 200, gram: int = GRAM, outputs: tuple[
     """One row per document: id and any of ``n_bytes, n_removed, n_spans, kept_sha256, kept`` (binary), ``removed`` (spans)."""
     kinds = {"n_bytes": ("long", pa.int64()), "n_removed": ("long", pa.int64()), "n_spans": ("long", pa.int64()), "kept_sha256": ("string", pa.string()), "kept": ("binary", pa.binary()), "removed": ("array<array<int>>", pa.list_(pa.list_(pa.int32())))}
     table = spans(docs, length, gram, id_col, text_col)
-    table = F.broadcast(table) if table.count() <= BROADCAST_ROWS // 4 else table
+    table = F.broadcast(table) if table.count() <= SPANS_ROWS else table  # rows hold spans
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = base.withColumn("_sha", F.sha2(F.col("text").cast("binary"), 256))
     rows = base.join(table, base["_sha"] == table["sha"], "left").select("doc_id", "text", "begins", "ends", "whole")
