@@ -195,6 +195,12 @@ def folder_verifiers(spark, d):
     return n.select("n_name", F.hex(columns.verifier(F.unhex(F.sha2(F.col("n_name").cast("binary"), 256)))).alias("verifier"))
 
 
+@query()
+def passphrase_keys(spark, d):
+    n = t.table(spark, d, "nation").select("n_name")
+    return n.select("n_name", F.hex(columns.passphrase_key("n_name", F.unhex(F.sha2(F.col("n_name").cast("binary"), 256)))).alias("key"))
+
+
 @query("SELECT chunk_id, true AS opened, true AS differs, true AS tamper_seen FROM chunks")
 def seal_mutable_roundtrip(spark, d):
     """Randomised sealing: equal contents differ when sealed, open again, and do not under another name."""

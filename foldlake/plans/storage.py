@@ -16,6 +16,12 @@ def _pick(values, i):
     return F.element_at(F.array(*map(F.lit, values)), (i + 1).cast("int"))
 
 
+@query()
+def tree_listing(spark, d):
+    """Files below the folder of the tables; contents are not read."""
+    return fs.tree(spark, d).select("path", "size")
+
+
 @query(f"SELECT doc_id, ['regular', 'regular', 'dir', 'symlink'][doc_id % {len(MODES)} + 1] AS kind FROM documents WHERE doc_id % {len(MODES)} < 4")
 def file_kinds(spark, d):
     """Kinds by mode bits; sockets and pipes are dropped."""
