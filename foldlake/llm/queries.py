@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldlake.llm import bpe, chat, exact, html, langid, mixing, neardup, quality, ring, suffix
+from foldlake.llm import bpe, chat, exact, html, langid, mixing, neardup, periodic, quality, repair, ring, simhash, suffix
 from foldlake.llm.common import read_table
 
 MIX_WEIGHTS = [5.0, 2.0, 1.0]
@@ -63,6 +63,21 @@ def op10_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, F.coalesce(~held, F.lit(False)), {"doc_id": F.col("doc_id"), "held_out": F.coalesce(held, F.lit(False))})
 
 
+def op11_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read_table(spark, sf_dir, "conversations")
+    return repair.report(conversations, repair.damage(conversations))
+
+
+def op12_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.link(read_table(spark, sf_dir, "documents"), words=4, radius=4)
+    return out.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op13_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return periodic.digest(periodic.find(docs, {"doc_id": F.col("doc_id")}, edit=periodic.planted))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -70,7 +85,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_minhash": op2_minhash, "op3_exact": op3_exact, "op4_ring": op4_ring, "op5_preference": op5_preference, "op6_lines": op6_lines, "op7_fair": op7_fair, "op8_suffix": op8_suffix, "op9_layout": op9_layout, "op10_rank": op10_rank, "pipeline": pipeline}
+    every = (op1_bpe, op2_minhash, op3_exact, op4_ring, op5_preference, op6_lines, op7_fair, op8_suffix, op9_layout, op10_rank, op11_retained, op12_bktree, op13_blocks, pipeline)
+    return {f.__name__: f for f in every}
 
 
 EXACT_SQL = """
@@ -157,5 +173,67 @@ SELECT doc_id, length(d.h) // 2 AS n_bytes, coalesce(n, 0) AS n_removed, coalesc
 """
 
 
+def crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit."""
+    eight = "list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda d, z: xor(d >> 1, 3988292384 * (d & 1)))"
+    return f"xor(list_reduce(list_transform(range(length({text})), lambda j: ascii(substr({text}, j + 1, 1))::BIGINT), lambda c, x: {eight}, 4294967295), 4294967295)"
+
+
+#: Turn by turn: the cheapest edits (cost, audit, text) for each state, nothing yet, system, user and assistant last.
+REPAIR_SQL = f"""
+WITH RECURSIVE cells AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32_sql('name')} % 20 AS k FROM (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations)),
+rows_ AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM cells, range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)),
+placed AS (
+  SELECT *, row_number() OVER w AS i, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body,
+    CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE '-' END AS own
+  FROM rows_ WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text))),
+turns AS (
+  SELECT *, CASE WHEN body = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN body[-1] NOT IN ('.', '!', '?') THEN 't' ELSE '.' END AS fault, lag(own) OVER (PARTITION BY conv_id ORDER BY i) || own AS pair FROM placed),
+counts AS (
+  SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+    count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM turns GROUP BY conv_id),
+done(conv_id, i, e, s, u, a) AS (
+  SELECT conv_id, 0::BIGINT, {{'c': 0, 'x': '', 'r': ''}}, {{'c': 1000000000000, 'x': '', 'r': ''}}, {{'c': 2, 'x': 'I', 'r': 'user:' || chr(10)}}, {{'c': 4, 'x': 'II', 'r': 'user:' || chr(10) || 'assistant:' || chr(10)}} FROM counts
+  UNION ALL
+  SELECT conv_id, i, e, s,
+    least(u, {{'c': (least(e, s, a)).c + 2, 'x': (least({{'c': e.c, 'x': e.x || 'I', 'r': e.r}}, {{'c': s.c, 'x': s.x || 'I', 'r': s.r}}, {{'c': a.c, 'x': a.x || 'I', 'r': a.r}})).x,
+      'r': (least({{'c': e.c, 'x': e.x || 'I', 'r': e.r}}, {{'c': s.c, 'x': s.x || 'I', 'r': s.r}}, {{'c': a.c, 'x': a.x || 'I', 'r': a.r}})).r || 'user:' || chr(10)}}) AS u,
+    least(a, {{'c': u.c + 2, 'x': u.x || 'I', 'r': u.r || 'assistant:' || chr(10)}}) AS a
+  FROM (
+    SELECT d.conv_id, t.i,
+      {{'c': e.c + 3, 'x': e.x || 'D', 'r': e.r}} AS e,
+      least({{'c': s.c + 3, 'x': s.x || 'D', 'r': s.r}}, {{'c': CASE WHEN own = 's' THEN e.c + extra ELSE 1000000000000 END, 'x': e.x || 'K', 'r': e.r || role || ':' || text || chr(10)}}) AS s,
+      least({{'c': u.c + 3, 'x': u.x || 'D', 'r': u.r}}, ku, ru) AS u, least({{'c': a.c + 3, 'x': a.x || 'D', 'r': a.r}}, ka, ra) AS a
+    FROM done d JOIN (SELECT *, CASE fault WHEN 't' THEN 1 WHEN '.' THEN 0 ELSE 1000000000000 END AS extra FROM turns) t ON t.conv_id IS NOT DISTINCT FROM d.conv_id AND t.i = d.i + 1,
+    LATERAL (SELECT least(e, s, a) AS q),
+    LATERAL (SELECT {{'c': CASE WHEN own = 'u' THEN q.c + extra ELSE 1000000000000 END, 'x': q.x || 'K', 'r': q.r || role || ':' || text || chr(10)}} AS ku, {{'c': q.c + 2 + extra, 'x': q.x || 'R', 'r': q.r || 'user:' || text || chr(10)}} AS ru,
+      {{'c': CASE WHEN own = 'a' THEN u.c + extra ELSE 1000000000000 END, 'x': u.x || 'K', 'r': u.r || role || ':' || text || chr(10)}} AS ka, {{'c': u.c + 2 + extra, 'x': u.x || 'R', 'r': u.r || 'assistant:' || text || chr(10)}} AS ra))),
+best AS (SELECT c.*, least(e, a) AS b FROM done d JOIN counts c ON c.conv_id IS NOT DISTINCT FROM d.conv_id AND c.n = d.i)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(b.c, 0)::BIGINT AS cost, coalesce(b.x, '') AS audit, sha256(coalesce(b.r[:-2], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+#: Equal words of a document at every distance; stretches of them that are long enough are runs, if no shorter period holds there.
+PERIODS_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), {WORDS}) AS w, {crc32_sql('(doc_id::VARCHAR)')} AS h FROM documents),
+planted AS (
+  SELECT r, doc_id, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN list_transform(range(len(w)), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w
+  FROM (SELECT *, 1 + (len(w) - a) // (3 + h // 10 % 8) AS p FROM (SELECT *, CASE WHEN len(w) > 0 THEN h // 10 % len(w) END AS a FROM docs))),
+words AS (SELECT r, len(w) AS n, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i FROM planted),
+equal AS (SELECT a.r, b.i - a.i AS q, a.i FROM words a JOIN words b ON a.r = b.r AND a.x = b.x AND b.i > a.i AND 3 * (b.i - a.i) <= a.n),
+stretches AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS g FROM equal) GROUP BY r, q, g HAVING count(*) + q >= greatest(24, 3 * q)),
+runs AS (SELECT s.* FROM stretches s ANTI JOIN stretches t ON s.r = t.r AND t.q < s.q AND s.q % t.q = 0 AND t.start <= s.start AND t.start + t.length >= s.start + s.length),
+best AS (SELECT * FROM runs a QUALIFY row_number() OVER (PARTITION BY r ORDER BY length::DOUBLE / q DESC, start, q) = 1),
+lines AS (SELECT r, count(*) AS n, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS t FROM runs GROUP BY r),
+dropped AS (SELECT DISTINCT r, unnest(range(start + q, start + length)) AS i FROM runs),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS t FROM words ANTI JOIN dropped USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n, 0) AS n_runs, start, length, q AS period, 1000 * length // q AS exponent_milli, sha256(coalesce(l.t, '')) AS runs_sha256, sha256(coalesce(k.t, '')) AS collapsed_sha256
+FROM planted LEFT JOIN lines l USING (r) LEFT JOIN best USING (r) LEFT JOIN kept k USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash": NEAR_SQL, "op3_exact": EXACT_SQL, "op5_preference": PREFERENCE_SQL, "op6_lines": QUALITY_SQL, "op8_suffix": SUFFIX_SQL}
+    return {"op2_minhash": NEAR_SQL, "op3_exact": EXACT_SQL, "op5_preference": PREFERENCE_SQL, "op6_lines": QUALITY_SQL, "op8_suffix": SUFFIX_SQL, "op11_retained": REPAIR_SQL, "op13_blocks": PERIODS_SQL}
