@@ -16,12 +16,6 @@ def _pick(values, i):
     return F.element_at(F.array(*map(F.lit, values)), (i + 1).cast("int"))
 
 
-@query()
-def tree_listing(spark, d):
-    """Files below the folder of the tables; contents are not read."""
-    return fs.tree(spark, d).select("path", "size")
-
-
 @query(f"SELECT doc_id, ['regular', 'regular', 'dir', 'symlink'][doc_id % {len(MODES)} + 1] AS kind FROM documents WHERE doc_id % {len(MODES)} < 4")
 def file_kinds(spark, d):
     """Kinds by mode bits; sockets and pipes are dropped."""
@@ -184,12 +178,12 @@ def blob_shards(spark, d):
     return t.chunks(spark, d).groupBy(F.substring("chunk_id", 1, 2).alias("shard")).agg(F.count("*").alias("blobs"), F.sum("plaintext_length").alias("bytes"))
 
 
-FOLDERS = "folders AS (SELECT n_name AS folder_id, 's' || n_nationkey AS share_id, CASE WHEN n_nationkey % 3 = 0 THEN 'k' || n_nationkey END AS key, n_nationkey % 4 = 0 AS holder, n_nationkey % 8 <> 0 AS encrypted FROM nation WHERE n_nationkey < 20)"
+FOLDERS = "folders AS (SELECT n_name AS folder_id, 's' || n_nationkey AS share_id, CASE WHEN n_nationkey % 3 = 0 THEN 'k' || n_nationkey END AS key, n_nationkey % 4 = 0 AS holder, n_nationkey % 8 <> 0 AS encrypted FROM nation)"
 
 
 def _folders(spark, d):
     k = F.col("n_nationkey")
-    return t.table(spark, d, "nation").where("n_nationkey < 20").select(F.col("n_name").alias("folder_id"), F.concat(F.lit("s"), k).alias("share_id"), F.when(k % 3 == 0, F.concat(F.lit("k"), k)).alias("key"), (k % 4 == 0).alias("holder"), (k % 8 != 0).alias("encrypted"))
+    return t.table(spark, d, "nation").select(F.col("n_name").alias("folder_id"), F.concat(F.lit("s"), k).alias("share_id"), F.when(k % 3 == 0, F.concat(F.lit("k"), k)).alias("key"), (k % 4 == 0).alias("holder"), (k % 8 != 0).alias("encrypted"))
 
 
 @query("SELECT folder_id, share_id, key, holder, encrypted FROM folders ORDER BY folder_id", FOLDERS)
@@ -205,9 +199,11 @@ def config_violations(spark, d):
 @query("""SELECT folder_id, coalesce(share, f.share_id, folder_id) AS share_id, coalesce(f.key, c.key) AS key FROM folders f FULL JOIN (
   SELECT folder_id, max_by(op, "at") FILTER (op IN ('add', 'remove')) AS there, max_by(value, "at") FILTER (op = 'share') AS share, min_by(value, "at") FILTER (op = 'key') AS key FROM changes GROUP BY folder_id) c USING (folder_id)
 WHERE coalesce(there = 'add', f.share_id IS NOT NULL)""",
-FOLDERS + """, changes AS (SELECT n_name AS folder_id, ['add', 'share', 'key', 'remove', 'share'][event_id % 5 + 1] AS op, 'v' || event_id AS value, event_id AS "at" FROM events JOIN nation ON n_nationkey = event_id % 31)""")
+FOLDERS + """, changes AS (SELECT n_name AS folder_id, ['add', 'share', 'key', 'remove', 'share'][event_id % 5 + 1] AS op, 'v' || event_id AS value, event_id AS "at" FROM events JOIN (SELECT n_nationkey, n_name FROM nation UNION ALL SELECT r_regionkey + 25, r_name || ' 2' FROM region) names ON n_nationkey = event_id % 31)""")
 def config_changes(spark, d):
     e = t.table(spark, d, "events").select((F.col("event_id") % 31).cast("int").alias("n_nationkey"), "event_id")
     op = _pick(("add", "share", "key", "remove", "share"), F.col("event_id") % 5)
-    changes = e.join(t.table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("folder_id")), "n_nationkey").select("folder_id", op.alias("op"), F.concat(F.lit("v"), "event_id").alias("value"), F.col("event_id").alias("at"))
+    # regions give the names of folders that are not there yet
+    names = t.table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("folder_id")).union(t.table(spark, d, "region").select(F.col("r_regionkey") + 25, F.concat("r_name", F.lit(" 2"))))
+    changes = e.join(names, "n_nationkey").select("folder_id", op.alias("op"), F.concat(F.lit("v"), "event_id").alias("value"), F.col("event_id").alias("at"))
     return storage.configured(_folders(spark, d).select("folder_id", "share_id", "key"), changes)

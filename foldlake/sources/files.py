@@ -1,9 +1,7 @@
-"""File trees as tables: listings, content, change events, materialised outputs, blob stores."""
+"""Files by Spark's own source, event masks, path rules, blob stores; ``trees`` is the source with modes, links and inodes."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,69 +68,76 @@ def destination(root: Column, path: Column) -> Column:
     return F.when(ok, F.concat(root, F.lit("/"), path))
 
 
-def materialise(rows: DataFrame, root: str) -> int:
-    """Write ``path, content`` rows as files below a root: all paths are tested first, files are staged, then renamed into place.
+class BlobStore:
+    """Blobs (``id`` in hex, ``data``, ``mod_ms``); a later put of an id replaces the blob.
 
-    Contents are staged as Parquet by the tasks.  Placing is a matter of one file system's names and passes through the driver a
-    file at a time, as in a restore to one machine.  Returns the number of files.
+    Every put and every delete is one numbered folder ``n=<k>`` of rows, in folders of the ids' first byte; it counts once
+    Spark has committed it, so a run that ends in between changes nothing.  Of the rows of an id the last number counts.  One writer at
+    a time.
     """
-    spark = rows.sparkSession
-    bad = rows.where(destination(F.lit(root), F.col("path")).isNull()).select("path").head(1)
-    if bad:
-        raise ValueError(f"path leaves the root: {bad[0][0]!r}")
-    stage = f"{root.rstrip('/')}/{STAGING}/{uuid.uuid4().hex}"
-    rows.select("path", "content").write.parquet(stage)
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    fs = hadoop.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    n = 0
-    for row in spark.read.parquet(stage).toLocalIterator():
-        to, part = hadoop.Path(f"{root.rstrip('/')}/{row['path']}"), hadoop.Path(f"{stage}-{n}")
-        out = fs.create(part, True)
-        out.write(bytearray(row["content"]))
-        out.close()
-        fs.mkdirs(to.getParent())
-        fs.delete(to, False)
-        fs.rename(part, to)
-        n += 1
-    fs.delete(hadoop.Path(f"{root.rstrip('/')}/{STAGING}"), True)
-    return n
-
-
-class BlobStore:
-    """Blobs (``id`` in hex, ``data``) under folders of their first byte; a later put of an id that is there changes nothing."""
 
-    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("data", T.BinaryType()), T.StructField("mod_ms", T.LongType())])
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("data", T.BinaryType()), T.StructField("mod_ms", T.LongType()), T.StructField("gone", T.BooleanType())])
+    placed = T.StructType([*schema.fields, T.StructField("n", T.LongType()), T.StructField("shard", T.StringType())])
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def all(self) -> DataFrame:
+    def _folders(self, pattern: str) -> list[int]:
         hadoop = self.spark._jvm.org.apache.hadoop.fs
-        at = hadoop.Path(self.path)
-        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
-            return self.spark.createDataFrame([], self.schema).withColumn("shard", F.lit(""))
-        return self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("shard", T.StringType())])).parquet(self.path)
+        at = hadoop.Path(f"{self.path}/n=*{pattern}")
+        found = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(at) or []
+        return sorted(int(f.getPath().toString().split("/n=")[-1].split("/")[0]) for f in found)
 
-    def put(self, blobs: DataFrame) -> None:
-        new = self.missing(blobs).groupBy("id").agg(F.min(F.struct("data", "mod_ms")).alias("_b")).select("id", "_b.*")
-        new.withColumn("shard", F.concat(F.lit("s"), F.substring("id", 1, 2))).write.mode("append").partitionBy("shard").parquet(self.path)
+    def _rows(self, shards: list[str] | None = None) -> DataFrame:
+        complete = self._folders("/_SUCCESS")
+        if not complete:
+            return self.spark.createDataFrame([], self.placed)
+        rows = self.spark.read.schema(self.placed).option("basePath", self.path).parquet(*[f"{self.path}/n={k}" for k in complete])
+        return rows if shards is None else rows.where(F.col("shard").isin(shards))
 
-    def missing(self, blobs: DataFrame) -> DataFrame:
-        return blobs.join(self.all().select("id"), "id", "left_anti")
+    def _write(self, rows: DataFrame) -> None:
+        number = max(self._folders(""), default=0) + 1
+        rows.withColumn("shard", F.concat(F.lit("s"), F.substring("id", 1, 2))).write.partitionBy("shard").parquet(f"{self.path}/n={number}")
 
-    def get(self, ids: DataFrame) -> DataFrame:
-        """Blobs of some ids; only the folders of their first bytes are read."""
-        shards = [r[0] for r in ids.select(F.concat(F.lit("s"), F.substring("id", 1, 2))).distinct().collect()]  # 256 at most
-        return self.all().where(F.col("shard").isin(shards)).join(ids.select("id"), "id", "left_semi").drop("shard")
+    def _live(self, rows: DataFrame) -> DataFrame:
+        """Ids that are there and the number of their last put; contents are not read."""
+        last = rows.groupBy("id").agg(F.max(F.struct("n", "gone")).alias("_l"))
+        return last.where(~F.col("_l.gone")).select("id", F.col("_l.n").alias("n"))
+
+    def _shards(self, ids: DataFrame) -> list[str]:
+        return [r[0] for r in ids.select(F.concat(F.lit("s"), F.substring("id", 1, 2))).distinct().collect()]  # 256 at most
+
+    def all(self) -> DataFrame:
+        rows = self._rows()
+        return rows.join(self._live(rows), ["id", "n"], "left_semi").select("id", "data", "mod_ms")
+
+    def put(self, blobs: DataFrame) -> None:
+        """Of several blobs of an id in one put the smallest content counts."""
+        self._write(blobs.groupBy("id").agg(F.min(F.struct("data", "mod_ms")).alias("_b")).select("id", "_b.*", F.lit(False).alias("gone")))
 
     def delete(self, ids: DataFrame) -> None:
-        """Rewrite the folders that hold one of the ids."""
-        from foldlake.session import settled
+        """Ids that are not there are passed over."""
+        known = self._live(self._rows(self._shards(ids))).join(ids.select("id"), "id", "left_semi")
+        self._write(known.select("id", F.lit(None).cast("binary").alias("data"), F.lit(None).cast("long").alias("mod_ms"), F.lit(True).alias("gone")))
+
+    def missing(self, ids: DataFrame) -> DataFrame:
+        return ids.join(self._live(self._rows(self._shards(ids))), "id", "left_anti")
 
-        shards = [r[0] for r in ids.select(F.concat(F.lit("s"), F.substring("id", 1, 2))).distinct().collect()]
-        kept = settled(self.all().where(F.col("shard").isin(shards)).join(ids.select("id"), "id", "left_anti"))
+    def get(self, ids: DataFrame) -> DataFrame:
+        """Blobs of some ids; only the folders of their first bytes are read."""
+        rows = self._rows(self._shards(ids)).join(ids.select("id"), "id", "left_semi")
+        return rows.join(self._live(rows), ["id", "n"], "left_semi").select("id", "data", "mod_ms")
+
+    def page(self, after: str, limit: int) -> DataFrame:
+        """``id, mod_ms`` of the first blobs behind an id, in order."""
+        rows = self._rows().where(F.col("id") > after)
+        return rows.join(self._live(rows), ["id", "n"], "left_semi").select("id", "mod_ms").orderBy("id").limit(limit)
+
+    def compact(self) -> None:
+        """Put all blobs once more, then drop the folders before, the oldest first: a delete outlives every put that it hides."""
+        before = self._folders("")
+        self._write(self.all().withColumn("gone", F.lit(False)))
         hadoop = self.spark._jvm.org.apache.hadoop.fs
-        fs = hadoop.Path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        for s in shards:
-            fs.delete(hadoop.Path(f"{self.path}/shard={s}"), True)
-        kept.write.mode("append").partitionBy("shard").parquet(self.path)
+        for k in before:
+            at = hadoop.Path(f"{self.path}/n={k}")
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)

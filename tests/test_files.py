@@ -1,6 +1,7 @@
-"""Trees, events, materialised files and blob stores on a temporary folder."""
+"""Files by Spark's own source and blob stores on a temporary folder."""
 
 import os
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -43,23 +44,43 @@ def test_events_of_new_files(spark, tmp_path):
     assert seen == ["a", "d/b"]
 
 
-def test_materialised_files_and_unsafe_paths(spark, tmp_path):
-    root = str(tmp_path / "out")
-    os.makedirs(root)
-    rows = spark.createDataFrame([("a.txt", b"1"), ("d/b.txt", b"22")], "path string, content binary")
-    assert files.materialise(rows, root) == 2
-    assert open(f"{root}/d/b.txt", "rb").read() == b"22"
-    assert not os.path.exists(f"{root}/{files.STAGING}")
-    with pytest.raises(ValueError):
-        files.materialise(rows.withColumn("path", F.concat(F.lit("../"), "path")), root)
-
-
 def test_blob_store(spark, tmp_path):
     store = files.BlobStore(spark, str(tmp_path / "blobs"))
     blobs = spark.createDataFrame([("aa01", b"1", 1), ("aa02", b"2", 1), ("ff01", b"3", 1)], "id string, data binary, mod_ms long")
+    assert store.all().count() == 0 and store.missing(blobs).count() == 3
     store.put(blobs)
-    store.put(blobs.withColumn("data", F.lit(b"other")))
-    assert sorted((r["id"], bytes(r["data"])) for r in store.get(blobs.where("id <> 'aa02'")).collect()) == [("aa01", b"1"), ("ff01", b"3")]
+    store.put(blobs.where("id = 'ff01'").withColumn("data", F.lit(b"4")).withColumn("mod_ms", F.lit(2).cast("long")))
+    rows = lambda df: sorted((r["id"], bytes(r["data"]), r["mod_ms"]) for r in df.collect())
+    assert rows(store.get(blobs.where("id <> 'aa02'"))) == [("aa01", b"1", 1), ("ff01", b"4", 2)]
     assert store.missing(spark.createDataFrame([("aa01",), ("bb01",)], "id string")).first()["id"] == "bb01"
     store.delete(blobs.where("id = 'aa01'").select("id"))
-    assert sorted(r["id"] for r in store.all().collect()) == ["aa02", "ff01"]
+    assert [r[0] for r in rows(store.all())] == ["aa02", "ff01"]
+    assert [r["id"] for r in store.page("aa", 1).collect()] == ["aa02"]
+    store.compact()
+    assert [r[0] for r in rows(store.all())] == ["aa02", "ff01"]
+    assert len(store._folders("")) == 1
+    store.put(blobs.where("id = 'aa01'"))
+    assert len(rows(store.all())) == 3
+
+
+def test_blob_store_survives_a_stop_at_every_step(spark, tmp_path, monkeypatch):
+    """Whatever a stopped delete or compaction leaves, what was there is there."""
+    store = files.BlobStore(spark, str(tmp_path / "blobs"))
+    blobs = spark.createDataFrame([(f"{k:02x}01", b"1", 1) for k in range(6)], "id string, data binary, mod_ms long")
+    store.put(blobs)
+    store.delete(blobs.where("id < '02'").select("id"))
+    want = ["0201", "0301", "0401", "0501"]
+    ids = lambda: sorted(r["id"] for r in store.all().select("id").collect())
+    # a delete that has written files but not committed them
+    store.delete(blobs.where("id = '0301'").select("id"))
+    os.remove(f"{store.path}/n=3/_SUCCESS")
+    assert ids() == want
+    store.delete(blobs.where("id = '0201'").select("id"))
+    assert store._folders("") == [1, 2, 3, 4] and ids() == want[1:]
+    # a compaction that ends after the write, and after each folder that it drops
+    before = store._folders("")
+    store._write(store.all().withColumn("gone", F.lit(False)))
+    for k in before:
+        assert ids() == want[1:]
+        shutil.rmtree(f"{store.path}/n={k}")
+    assert ids() == want[1:]
