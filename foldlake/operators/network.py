@@ -135,14 +135,6 @@ def swept(entries: DataFrame, now: int) -> DataFrame:
     return entries.where(F.col("expires_at") > now)
 
 
-def capped_registry(announces: DataFrame, capacity: int) -> DataFrame:
-    """``accepted`` of every announcement under a cap on nodes: refreshes always pass, new nodes while there is room."""
-    first = announces.groupBy("node_id").agg(F.min(F.struct("at", "id")).alias("_f"))
-    # only the first `capacity` nodes count, so this is a bounded top-k and no global sort
-    let = first.orderBy("_f").limit(capacity).select("node_id", F.lit(True).alias("_ok"))
-    return announces.join(let, "node_id", "left").withColumn("accepted", F.coalesce("_ok", F.lit(False))).drop("_ok")
-
-
 def token_bucket(events: DataFrame, rps: float, burst: float, key: str = "key", at: str = "at_ms", idle_ms: int | None = None) -> DataFrame:
     """``allowed`` of every event: a bucket of each key starts full, refills with time and gives a token an event.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foldlake.functions import columns
-from foldlake.operators import network, sync
+from foldlake.operators import folds, network, sync
 from foldlake.plans.relations import query, sql_base32
 from foldlake.sources import tables as t
 
@@ -96,9 +96,27 @@ def registry_swept(spark, d):
     return network.swept(entries.select("node_id", "expires_at"), 20_000)
 
 
-@query('SELECT id, node_id, node_id IN (SELECT node_id FROM announces GROUP BY node_id ORDER BY min("at"), min(id) LIMIT 100) AS accepted FROM announces', ANNOUNCES)
+CAPACITY, SWEEP = 4, 900
+SERVED = f"""visits AS (SELECT *, node_id % 20 AS server, id % 5 = 1 AS lookup, CASE WHEN ttl <= 0 THEN 600 ELSE least(greatest(ttl, 60), 3600) END AS lasts, row_number() OVER (PARTITION BY node_id % 20 ORDER BY "at", id) AS k FROM announces),
+served AS (
+  SELECT server, 0::BIGINT AS k, 0::BIGINT AS id, 0::BIGINT AS node_id, '' AS outcome, []::STRUCT(n BIGINT, e BIGINT)[] AS held FROM (SELECT DISTINCT server FROM visits)
+  UNION ALL
+  SELECT server, k, id, node_id, CASE WHEN lookup THEN CASE WHEN fresh THEN 'found' ELSE 'absent' END WHEN there THEN 'refreshed' WHEN len(swept) >= {CAPACITY} THEN 'full' ELSE 'new' END,
+    CASE WHEN lookup AND fresh OR NOT lookup AND NOT there AND len(swept) >= {CAPACITY} THEN swept WHEN lookup THEN list_filter(swept, lambda x: x.n <> node_id) ELSE list_filter(swept, lambda x: x.n <> node_id) || [{{'n': node_id, 'e': "at" + lasts}}] END
+  FROM (SELECT *, len(list_filter(swept, lambda x: x.n = node_id)) > 0 AS there, len(list_filter(swept, lambda x: x.n = node_id AND x.e > "at")) > 0 AS fresh
+    FROM (SELECT v.*, list_filter(s.held, lambda x: x.e > v."at" // {SWEEP} * {SWEEP}) AS swept FROM visits v JOIN served s ON v.server = s.server AND v.k = s.k + 1)))"""
+
+
+def visits(announces):
+    """Announcements and lookups of twenty servers (milliseconds)."""
+    return announces.select((F.col("node_id") % 20).alias("group"), "id", (F.col("at") * 1000).alias("at"), F.col("node_id").alias("key"), (F.col("id") % 5 == 1).alias("lookup"), (network.clamp_ttl(F.col("ttl")) * 1000).alias("ttl"))
+
+
+@query("SELECT id, server, node_id, outcome, len(held)::BIGINT AS size FROM served WHERE k > 0", f"{ANNOUNCES}, {SERVED}")
 def registry_capped(spark, d):
-    return network.capped_registry(_announces(spark, d), 100).select("id", "node_id", "accepted")
+    """A place comes free when a sweep or a lookup finds its node expired."""
+    out = folds.folded(visits(_announces(spark, d)), folds.Registry(CAPACITY, SWEEP * 1000))
+    return out.select("id", F.col("group").alias("server"), F.col("key").alias("node_id"), "outcome", "size")
 
 
 RPS, BURST, IDLE_MS = 1 / 86_400, 5.0, 8 * 3_600_000
@@ -129,6 +147,32 @@ def rate_limit_idle(spark, d):
     return network.token_bucket(_requests(spark, d), RPS, BURST, idle_ms=IDLE_MS)
 
 
+GATES, KEYS, TICK_MS = 10, 6, 3_600_000
+LIMITED = f"""asked AS (SELECT event_id AS id, user_id AS key, user_id % {GATES} AS gate, epoch_us(ts) // 1000 AS at_ms, row_number() OVER (PARTITION BY user_id % {GATES} ORDER BY epoch_us(ts) // 1000, event_id) AS k FROM events),
+limited AS (
+  SELECT gate, 0::BIGINT AS k, 0::BIGINT AS id, 0::BIGINT AS key, true AS allowed, NULL::BIGINT AS evicted, []::STRUCT(n BIGINT, t DOUBLE, l BIGINT)[] AS held FROM (SELECT DISTINCT gate FROM asked)
+  UNION ALL
+  SELECT gate, k, id, key, have >= 1, CASE WHEN full_ THEN others[1].n END, CASE WHEN full_ THEN others[2:] ELSE others END || [{{'n': key, 't': CASE WHEN have >= 1 THEN have - 1 ELSE have END, 'l': at_ms}}]
+  FROM (SELECT *, len(others) >= {KEYS} AS full_, CASE WHEN len(own) = 0 THEN {BURST}::DOUBLE ELSE least({BURST}::DOUBLE, own[1].t + (at_ms - own[1].l)::DOUBLE / 1000 * {RPS!r}::DOUBLE) END AS have
+    FROM (SELECT *, list_filter(swept, lambda x: x.n <> key) AS others, list_filter(swept, lambda x: x.n = key) AS own
+      FROM (SELECT a.*, list_filter(l.held, lambda x: x.l >= a.at_ms // {TICK_MS} * {TICK_MS} - {IDLE_MS}) AS swept FROM asked a JOIN limited l ON a.gate = l.gate AND a.k = l.k + 1))))"""
+
+
+def asked(requests):
+    """Requests at ten gates."""
+    return requests.select((F.col("key") % GATES).alias("group"), "id", F.col("at_ms").alias("at"), "key")
+
+
+LIMITER = folds.Limiter(RPS, BURST, KEYS, IDLE_MS, TICK_MS)
+
+
+@query("SELECT id, gate, key, allowed, evicted, len(held)::BIGINT AS size FROM limited WHERE k > 0", LIMITED)
+def rate_limit_bounded(spark, d):
+    """Gates that hold six keys each: a new one takes the place of the key that was quiet for longest."""
+    out = folds.folded(asked(_requests(spark, d)), LIMITER)
+    return out.select("id", F.col("group").alias("gate"), "key", "allowed", "evicted", "size")
+
+
 @query("""SELECT b.id, b.key, CASE WHEN f.n IS NULL OR b.n < f.n THEN 'ok' WHEN b.n = f.n THEN 'closes' ELSE 'lost' END AS state
 FROM buckets b LEFT JOIN (SELECT key, min(n) AS n FROM buckets WHERE NOT allowed GROUP BY key) f USING (key)""", _buckets("false"))
 def message_limits(spark, d):

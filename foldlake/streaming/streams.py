@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from foldlake.operators import state, sync, vectors
+from foldlake.operators import folds, state, sync, vectors
 from foldlake.operators.network import clamp_ttl, telemetry_capped
 
 
@@ -185,6 +186,60 @@ def token_bucket(events: DataFrame, rps: float, burst: float) -> DataFrame:
     return events.select("id", "key", "at_ms").groupBy("key").applyInPandasWithState(step, "id long, key long, at_ms long, allowed boolean", "tokens double, last long", "append", GroupStateTimeout.NoTimeout)
 
 
+class FoldProcessor(StatefulProcessor):
+    """A fold of ``operators.folds`` over a stream: entries are map state, so their number is bounded by the fold; sweeps are timers.
+
+    A sweep that no event follows happens as soon as the watermark has passed its time.
+    """
+
+    def __init__(self, fold, key_type: str, columns: list[str]):
+        self.fold, self.key_type, self.columns = fold, key_type, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.entries = handle.getMapState("entries", f"key {self.key_type}", self.fold.entry)
+
+    def held(self) -> dict:
+        found = {tuple(k)[0]: tuple(e) for k, e in self.entries.iterator()}
+        return dict(sorted(found.items(), key=lambda x: x[1][1:]))
+
+    def keep(self, before: dict, held: dict, now: int) -> None:
+        for k in before.keys() - held.keys():
+            self.entries.removeKey((k,))
+        for k, e in held.items():
+            if before.get(k) != e:
+                self.entries.updateValue((k,), e)
+        for timer in [*self.handle.listTimers()]:
+            self.handle.deleteTimer(timer)
+        if held:
+            self.handle.registerTimer((now // self.fold.sweep + 1) * self.fold.sweep)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        own = pd.concat([*rows]).sort_values(["at", "id"])
+        before = self.held()
+        held = dict(before)
+        events = zip(*(own[c].tolist() for c in self.columns))
+        out = [(key[0], *r) for r in folds.run(self.fold, held, events, 0)]
+        self.keep(before, held, int(own["at"].iloc[-1]))
+        yield folds.framed(["group", "id", "at", "key", *(c.split(" ")[0] for c in self.fold.output.split(", "))], out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, before = expiredTimerInfo.getExpiryTimeInMs(), self.held()
+        self.keep(before, self.fold.swept(before, now), now)
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def folded(events: DataFrame, fold, watermark: str = "0 seconds") -> DataFrame:
+    """Results of ``fold`` for a stream of events; needs the RocksDB state store, as all ``transformWithState`` does."""
+    own = folds.selected(events, fold)
+    kind, columns = events.schema["key"].dataType.simpleString(), own.columns[1:]
+    timed = own.withColumn("_at", F.timestamp_millis("at")).withWatermark("_at", watermark)
+    return timed.groupBy("group").transformWithStateInPandas(FoldProcessor(fold, kind, columns), folds.schema(events, fold), "Append", "EventTime")
+
+
 def telemetry(lines: DataFrame, known: Column, version: int = 1) -> DataFrame:
     """Records of a JSON line stream (``value, node_id``) with the outcome of each; the sender's id never comes from the body."""
     body = F.from_json("value", "install_id string, schema_version int, event_millis long, fields string")

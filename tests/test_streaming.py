@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from foldlake.operators import network, state, vectors
+from foldlake.operators import folds, network, state, vectors
 from foldlake.sources import tables
 from foldlake.streaming import streams
 
@@ -47,6 +47,42 @@ def test_token_bucket(spark, parts, tmp_path):
     assert got.select("allowed").distinct().count() == 2
 
 
+@pytest.fixture
+def rocks(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.set(name, before)
+
+
+@pytest.mark.parametrize("name", ["registry", "limiter"])
+def test_folds_of_streams_equal_tables(spark, parts, rocks, tmp_path, name):
+    """The same outcome for every event, and no more entries than the fold may hold."""
+    base = lambda df: df.select((F.hash("path") % 3).alias("group"), F.col("seq").alias("id"), F.col("authored_ms").alias("at"), F.abs(F.hash("path") % 40).cast("long").alias("key"), (F.col("seq") % 5 == 0).alias("lookup"), (F.col("seq") % 90 * 3_600_000).alias("ttl"))
+    fold = folds.Registry(7, 20 * 3_600_000) if name == "registry" else folds.Limiter(1 / 43_200, 2.0, 7, 40 * 3_600_000, 10 * 3_600_000)
+    got, want = appended(streams.folded(base(stream(spark, parts)), fold), tmp_path), folds.folded(base(spark.read.parquet(parts)), fold)
+    assert rows(got) == rows(want)
+    assert got.agg(F.max("size")).first()[0] == 7
+    assert got.select("outcome" if name == "registry" else "allowed").distinct().count() == (5 if name == "registry" else 2)
+    if name == "limiter":
+        assert got.where("evicted is not null").count() > 10
+
+
+def test_an_expired_node_gives_its_place_back(spark):
+    events = [(1, 0, "a", False, 100), (2, 50, "b", False, 100), (3, 120, "b", False, 100), (4, 130, "b", True, 0), (5, 140, "a", True, 0), (6, 150, "b", False, 100), (7, 1000, "c", False, 100), (8, 1050, "d", True, 0), (9, 2000, "d", False, 100)]
+    df = spark.createDataFrame([(1, *e) for e in events], "group int, id long, at long, key string, lookup boolean, ttl long")
+    got = {r["id"]: (r["outcome"], r["size"]) for r in folds.folded(df, folds.Registry(1, 1000)).collect()}
+    # an expired node keeps its place until a lookup (5) or a sweep (at 1000, at 2000) finds it
+    assert got == {1: ("new", 1), 2: ("full", 1), 3: ("full", 1), 4: ("absent", 1), 5: ("absent", 0), 6: ("new", 1), 7: ("new", 1), 8: ("absent", 1), 9: ("new", 1)}
+
+
+def test_a_bounded_limiter_forgets_the_key_quiet_for_longest(spark):
+    df = spark.createDataFrame([(1, k, at, key) for k, (at, key) in enumerate([(0, 1), (1, 2), (2, 1), (3, 3), (4, 2), (5, 1), (60_000, 1), (200_000, 1)])], "group int, id long, at long, key long")
+    got = [(r["allowed"], r["evicted"], r["size"]) for r in folds.folded(df, folds.Limiter(0.0, 1.0, 2, 100_000, 50_000)).orderBy("id").collect()]
+    assert got == [(True, None, 1), (True, None, 2), (False, None, 2), (True, 2, 2), (True, 1, 2), (True, 3, 2), (False, None, 2), (True, None, 1)]
+
+
 def test_debounce(spark, parts, tmp_path):
     pick = lambda df: df.select((F.col("seq") % 2).alias("folder"), "path", "at")
     got = appended(streams.debounce(pick(stream(spark, parts)), 1_800_000, "1 hour"), tmp_path)
