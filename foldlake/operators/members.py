@@ -5,49 +5,76 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldlake.session import settled
+from foldlake.session import release, settled
 
 READER, WRITER, HOLDER = 0, 1, 2
 NODE_ID = r"^[a-z2-7]{52}$"
 
 
-#: Entries up to which a roster is closed on the driver; a larger one is closed by joins, with the same result.
-LOCAL_ENTRIES = 20_000
+def closure(entries: DataFrame, founder: int) -> DataFrame:
+    """Accepted roster entries (``node_id, added_by, role, depth``): the founder's own entry, then entries signed by an accepted writer, to the fixpoint.
 
+    Only writers extend the frontier, and each node is accepted once: by the entry of the least depth, then of the smaller
+    signer, then role.  Joins only, and all rounds that it takes:
 
-def closure(entries: DataFrame, founder: int, rounds: int = 10_000, local: int = LOCAL_ENTRIES) -> DataFrame:
-    """Accepted roster entries: the founder's own entry, then entries signed by an accepted writer, to the fixpoint.
-
-    Only writers extend the frontier, and each node is accepted once: by the entry of the first round that has one, then of the
-    smaller signer.  Entries that sign each other in a circle end the search like any others.
+    * nodes with one entry hang from each other like a forest; doubling pointers bring each to its ``above``, the nearest node that has
+      several entries or is the founder, in as many rounds as the logarithm of the longest chain.  Circles never get there;
+    * between the nodes with several entries, which are left, the least depth that is not settled yet is settled in each round.
     """
-    spark = entries.sparkSession
     entries = settled(entries.where("sig_ok").select("node_id", "added_by", "role"))
     own = (F.col("node_id") == founder) & (F.col("added_by") == founder) & (F.col("role") == WRITER)
-    first = entries.where(own).distinct().withColumn("depth", F.lit(0))
-    rest = entries.where(F.col("node_id") != F.col("added_by"))
-    if entries.count() <= local:
-        signed: dict = {}
-        for e in rest.collect():
-            signed.setdefault(e["added_by"], []).append(e)
-        accepted = {e["node_id"]: (e["added_by"], e["role"], 0) for e in first.collect()}
-        frontier, depth = list(accepted), 0
-        while frontier and (depth := depth + 1) <= rounds:
-            new = sorted(((e["added_by"], e["node_id"], e["role"]) for s in frontier for e in signed.get(s, ()) if e["node_id"] not in accepted), reverse=True)
-            new = {n: (s, role, depth) for s, n, role in new}
-            accepted |= new
-            frontier = [n for n, (_, role, _) in new.items() if role == WRITER]
-        return spark.createDataFrame([(n, *e) for n, e in accepted.items()], first.schema)
-    accepted, frontier = settled(first), first
-    for depth in range(1, rounds + 1):
-        signers = frontier.where(F.col("role") == WRITER).select(F.col("node_id").alias("added_by"))
-        new = rest.join(signers, "added_by", "left_semi").join(accepted.select("node_id"), "node_id", "left_anti")
-        new = new.groupBy("node_id").agg(F.min(F.struct("added_by", "role")).alias("_e")).select("node_id", "_e.added_by", "_e.role", F.lit(depth).alias("depth"))
-        frontier = settled(new)
-        if frontier.isEmpty():
+    first = entries.where(own).distinct().withColumn("depth", F.lit(0).cast("long"))
+    rest = settled(entries.where((F.col("node_id") != F.col("added_by")) & (F.col("node_id") != founder)).distinct())
+    single = rest.groupBy("node_id").agg(F.count("*").alias("_n"), F.min("added_by").alias("added_by"), F.min("role").alias("role")).where("_n = 1")
+
+    # above: where the pointer is; steps: how far; through: the nodes passed on the way are writers
+    chain = settled(single.select("node_id", "added_by", "role", F.col("added_by").alias("above"), F.lit(1).cast("long").alias("steps"), F.lit(True).alias("through")))
+    last = chain.count()
+    rounds, reached = 0, -1
+    while reached != last and 1 << max(rounds - 1, 0) <= last:
+        up = chain.select(F.col("node_id").alias("above"), (F.col("through") & (F.col("role") == WRITER)).alias("_t"), F.col("above").alias("_a"), F.col("steps").alias("_s"))
+        moved = chain.join(up, "above", "left").select(
+            "node_id", "added_by", "role", F.coalesce("_a", "above").alias("above"), (F.col("steps") + F.coalesce("_s", F.lit(0))).alias("steps"), (F.col("through") & F.coalesce("_t", F.lit(True))).alias("through"),
+        )
+        before, chain = chain, settled(moved)
+        release(before)
+        rounds, reached = rounds + 1, chain.join(chain.select(F.col("node_id").alias("above")), "above", "left_anti").count()
+    ended = chain.join(chain.select(F.col("node_id").alias("above")), "above", "left_anti")
+
+    # entries of the other nodes, from where their signer's chain begins
+    others = rest.join(single.select("node_id"), "node_id", "left_anti")
+    via = ended.select(F.col("node_id").alias("added_by"), F.col("above").alias("_a"), F.col("steps").alias("_s"), (F.col("through") & (F.col("role") == WRITER)).alias("_t"))
+    straight = others.join(single.select(F.col("node_id").alias("added_by")), "added_by", "left_anti").select("node_id", "added_by", "role", F.col("added_by").alias("above"), F.lit(1).cast("long").alias("steps"))
+    open_ = settled(straight.unionByName(others.join(via, "added_by").where("_t").select("node_id", "added_by", "role", F.col("_a").alias("above"), (F.col("_s") + 1).alias("steps"))))
+    parts, offers = [settled(first)], None
+    fresh = parts[0]
+    while True:
+        writers = fresh.where(F.col("role") == WRITER).select(F.col("node_id").alias("above"), "depth")
+        new = open_.join(writers, "above").select("node_id", "added_by", "role", (F.col("depth") + F.col("steps")).alias("depth"))
+        new = new if offers is None else new.unionByName(offers)
+        # what is offered to nodes that are not settled yet
+        now = settled(_unsettled(new, parts))
+        if offers is not None:
+            release(offers)
+        offers, least = now, now.agg(F.min("depth")).first()[0]
+        if least is None:
             break
-        accepted = settled(accepted.union(frontier))
-    return accepted
+        best = offers.where(F.col("depth") == least).groupBy("node_id").agg(F.min(F.struct("added_by", "role")).alias("_e"))
+        fresh = settled(best.select("node_id", "_e.added_by", "_e.role", F.lit(least).cast("long").alias("depth")))
+        parts.append(fresh)
+    anchors = _union(parts)
+    writers = anchors.where(F.col("role") == WRITER).select(F.col("node_id").alias("above"), "depth")
+    hung = ended.where("through").join(writers, "above").select("node_id", "added_by", "role", (F.col("depth") + F.col("steps")).alias("depth"))
+    return anchors.unionByName(hung).withColumn("depth", F.col("depth").cast("int"))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    """One read of all parts' tables."""
+    return parts[0].sparkSession.read.schema(parts[0].schema).parquet(*[p._foldlake_path for p in parts])
+
+
+def _unsettled(offers: DataFrame, parts: list[DataFrame]) -> DataFrame:
+    return offers.join(_union(parts).select("node_id"), "node_id", "left_anti")
 
 
 def founder(group: Column) -> Column:

@@ -38,4 +38,13 @@ def settled(df: DataFrame) -> DataFrame:
     """``df`` written to a table in the shared folder and read back: every later use sees the same rows in the same places."""
     path = f"{shared_dir(df.sparkSession)}/foldlake-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._foldlake_path = path
+    return back
+
+
+def release(df: DataFrame) -> None:
+    """Delete a table of ``settled`` that no later plan reads."""
+    spark, path = df.sparkSession, df._foldlake_path
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)

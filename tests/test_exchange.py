@@ -9,22 +9,34 @@ from foldlake.functions import columns, crypto
 from foldlake.operators import members, network, snapshots, state, storage, sync
 
 
-def test_closure_by_joins_equals_the_driver_form(spark):
-    rng = random.Random(3)
-    rows = [(1, 1, 1, True)] + [(rng.randrange(2, 30), rng.randrange(1, 30), rng.randrange(2), rng.random() < 0.9) for _ in range(150)] + [(7, 8, 1, True), (8, 7, 1, True)]
-    entries = spark.createDataFrame(rows, "node_id long, added_by long, role int, sig_ok boolean")
-    one, two = (sorted(map(tuple, members.closure(entries, 1, local=n).select("node_id", "added_by", "role", "depth").collect())) for n in (10**6, 0))
-    accepted, depth = {1: (1, 1, 0)}, 0
-    while True:
+def plain_closure(entries, founder):
+    """Breadth first; a node by the entry of the first round that has one, then the smaller signer, then role."""
+    accepted, depth = {n: (a, role, 0) for n, a, role, ok in entries if ok and n == a == founder and role == members.WRITER}, 0
+    fresh = set(accepted)
+    while fresh:
         depth += 1
+        writers = {n for n in fresh if accepted[n][1] == members.WRITER}
         new = {}
-        for n, s, role, ok in rows:
-            if ok and n != s and n not in accepted and s in accepted and accepted[s][1] == 1:
-                new[n] = min(new.get(n, (s, role, depth)), (s, role, depth))
-        if not new:
-            break
-        accepted |= new
-    assert one == two == sorted((n, *e) for n, e in accepted.items())
+        for n, a, role, ok in entries:
+            if ok and n != a and a in writers and n not in accepted:
+                new[n] = min(new.get(n, (a, role)), (a, role))
+        accepted |= {n: (*e, depth) for n, e in new.items()}
+        fresh = set(new)
+    return sorted((n, *e) for n, e in accepted.items())
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_closure_equals_breadth_first(spark, seed):
+    rng = random.Random(seed)
+    entries = [(1, 1, 1, seed < 2)] + [(n, rng.randrange(max(1, n - 9), n) if rng.random() < 0.9 else rng.randrange(1, 220), rng.choice([0, 1, 1, 1, 2]), rng.random() < 0.97) for n in range(2, 200) for _ in range(rng.choice([1, 1, 1, 2, 3]))]
+    entries += [(300, 301, 1, True), (301, 302, 1, True), (302, 300, 1, True), (400, 400, 1, True), (1, 5, 0, True), entries[20], entries[21]]
+    df = spark.createDataFrame(entries, "node_id long, added_by long, role int, sig_ok boolean")
+    assert sorted(map(tuple, members.closure(df, 1).select("node_id", "added_by", "role", "depth").collect())) == plain_closure(entries, 1)
+
+
+def test_a_long_chain_is_closed_as_a_whole(spark):
+    chain = spark.range(1, 12_001).select(F.col("id").alias("node_id"), F.greatest(F.col("id") - 1, F.lit(1)).alias("added_by"), F.lit(1).alias("role"), F.lit(True).alias("sig_ok"))
+    assert members.closure(chain, 1).agg(F.count("*"), F.max("depth")).first()[:] == (12_000, 11_999)
 
 
 def test_strict_deletion_of_an_unknown_path_fails(spark):
