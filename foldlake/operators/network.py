@@ -2,94 +2,140 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ipaddress
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 OCTET = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-IPV4 = rf"^{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}$"
+IPV4 = rf"{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}"
 TYPES = ("lan", "public", "stun")
-#: IPv4 ranges by name (fixed values of the address registries).
+#: Address ranges by name (fixed values of the address registries); prefixes of IPv4 count within its 32 bits.
 RANGES = {
-    "unspecified": ("0.0.0.0", 32), "loopback": ("127.0.0.0", 8), "link_local": ("169.254.0.0", 16), "multicast": ("224.0.0.0", 4),
-    "private_10": ("10.0.0.0", 8), "private_172": ("172.16.0.0", 12), "private_192": ("192.168.0.0", 16), "cgnat": ("100.64.0.0", 10),
+    "unspecified": (("0.0.0.0", 32), ("::", 128)),
+    "loopback": (("127.0.0.0", 8), ("::1", 128)),
+    "link_local": (("169.254.0.0", 16), ("fe80::", 10)),
+    "multicast": (("224.0.0.0", 4), ("ff00::", 8)),
+    "private": (("10.0.0.0", 8), ("172.16.0.0", 12), ("192.168.0.0", 16), ("fc00::", 7)),
+    "cgnat": (("100.64.0.0", 10),),
 }
+SPECIAL = ("loopback", "unspecified", "link_local", "multicast")
 
 
-def bounds(network: str, bits: int) -> tuple[int, int]:
-    a, b, c, d = map(int, network.split("."))
-    low = (((a << 8) + b << 8) + c << 8) + d
-    return low, low + (1 << (32 - bits)) - 1
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def ip_int(ip: Column) -> Column:
-    """IPv4 text as a number, null if it is none.  One pattern test and one fold over four parts, so ranges can repeat it."""
-    parts = F.transform(F.split(ip, r"\."), lambda x: x.cast("bigint"))
-    return F.when(ip.rlike(IPV4), F.aggregate(parts, F.lit(0).cast("bigint"), lambda t, x: t * 256 + x))
+def ip_number(ip: Column) -> Column:
+    """An address of either family as ``hi`` and ``lo`` of its 128 bits, null if the text is none; IPv4 is as ``::ffff:a.b.c.d``.
+
+    IPv6 may have one ``::``, which stands for one group at least, an IPv4 address as its last two groups, and a zone.
+    """
+    number = F.aggregate(F.transform(F.split(ip, r"\."), lambda x: x.cast("long")), F.lit(0).cast("long"), lambda t, x: t * 256 + x)
+    mapped = F.when(ip.rlike(rf"^{IPV4}$"), F.struct(F.lit(0).cast("long").alias("hi"), (number + F.lit(0xFFFF << 32)).alias("lo")))
+    none = F.array().cast("array<string>")
+    groups_of = lambda half: F.when(F.coalesce(half, F.lit("")) == "", none).otherwise(F.split(half, ":"))
+
+    def in_groups(bare: Column) -> Column:
+        """The last two groups as such where an IPv4 address stands for them."""
+        tail = F.regexp_extract(bare, rf":({IPV4})$", 1)
+        pair = let(F.transform(F.split(tail, r"\."), lambda x: F.lpad(F.hex(x.cast("long")), 2, "0")), lambda h: F.concat(h[0], h[1], F.lit(":"), h[2], h[3]))
+        return F.when(tail != "", F.concat(F.left(bare, F.char_length(bare) - F.char_length(tail)), pair)).otherwise(bare)
+
+    def number_of(halves: Column, left: Column, right: Column) -> Column:
+        named = F.size(left) + F.size(right)
+        counts = F.when(F.size(halves) == 2, named <= 7).otherwise((F.size(halves) == 1) & (named == 8))
+        proper = counts & F.forall(F.concat(left, right), lambda g: g.rlike("^[0-9a-fA-F]{1,4}$"))
+        digits = F.array_join(F.transform(F.concat(left, F.array_repeat(F.lit("0"), 8 - named), right), lambda g: F.lpad(g, 4, "0")), "")
+        half = lambda d, at: F.conv(F.substring(d, at, 16), 16, -10).cast("long")
+        return F.when(proper, let(digits, lambda d: F.struct(half(d, 1).alias("hi"), half(d, 17).alias("lo"))))
+
+    six = let(F.split(in_groups(F.regexp_replace(ip, "%.+$", "")), "::"), lambda h: let(F.struct(groups_of(F.get(h, F.lit(0))).alias("l"), groups_of(F.get(h, F.lit(1))).alias("r")), lambda s: number_of(h, s["l"], s["r"])))
+    return F.coalesce(mapped, F.when(ip.contains(":"), six))
 
 
 def numbered_ip(rows: DataFrame, ip: str = "ip") -> DataFrame:
     """``rows`` with the address's number as ``_n``, worked out once: the array keeps the optimizer from copying it into every test."""
-    return rows.withColumn("_n", F.explode(F.array(ip_int(F.col(ip)))))
+    return rows.withColumn("_n", F.explode(F.array(ip_number(F.col(ip)))))
+
+
+def prefix_bits(net: Column, bits: Column) -> Column:
+    """Prefix length among 128 bits of a network whose text is of either family."""
+    return F.when(net.contains(":"), bits).otherwise(bits + 96)
+
+
+def masked(number: Column, bits: Column) -> Column:
+    """The first ``bits`` of a number, the rest zero."""
+    # a shift by 64 places is one by none, so whole and empty halves are told apart
+    cut = lambda x, n: F.when(n >= 64, x).when(n <= 0, F.lit(0).cast("long")).otherwise(x.bitwiseAND(F.call_function("shiftleft", F.lit(-1).cast("long"), (64 - n).cast("int"))))
+    return F.struct(cut(number["hi"], bits).alias("hi"), cut(number["lo"], bits - 64).alias("lo"))
+
+
+def fixed_number(net: str) -> int:
+    return (0xFFFF << 32) + int(ipaddress.IPv4Address(net)) if "." in net else int(ipaddress.IPv6Address(net))
 
 
 def inside(number: Column, *names: str) -> Column:
+    """Is an address in one of the named ranges?"""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
     out = F.lit(False)
-    for name in names:
-        low, high = bounds(*RANGES[name])
-        out = out | number.between(low, high)
+    for net, bits in (r for name in names for r in RANGES[name]):
+        bits, at = bits + 96 * ("." in net), fixed_number(net)
+        mask = ((1 << bits) - 1) << (128 - bits)
+        for key, shift in (("hi", 64), ("lo", 0)):
+            m, v = mask >> shift & (1 << 64) - 1, at >> shift & (1 << 64) - 1
+            test = number[key].bitwiseAND(F.lit(signed(m))) == F.lit(signed(v)) if m else None
+            both = test if key == "hi" else both if test is None else both & test
+        out = out | both
     return out
 
 
-@F.pandas_udf(T.StringType())
-def ip_class(ips: pd.Series) -> pd.Series:
-    """For IPv6 and IPv4: ``bad``, ``unroutable``, ``private`` or ``public``.  The expressions above do for IPv4."""
-    import ipaddress
-
-    def one(x):
-        try:
-            a = ipaddress.ip_address(x)
-        except ValueError:
-            return "bad"
-        if a.is_loopback or a.is_unspecified or a.is_link_local or a.is_multicast:
-            return "unroutable"
-        nets = ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16") if a.version == 4 else ("fc00::/7",)
-        return "private" if any(a in ipaddress.ip_network(n) for n in nets) else "public"
-
-    return ips.map(one)
+def ip_class(n: Column) -> Column:
+    """``bad``, ``unroutable``, ``private`` or ``public``."""
+    return F.when(n.isNull(), "bad").when(inside(n, *SPECIAL), "unroutable").when(inside(n, "private"), "private").otherwise("public")
 
 
 def address_state(n: Column, port: Column, kind: Column) -> Column:
-    """``ok`` or the first rule an announced IPv4 address (its number) breaks."""
+    """``ok`` or the first rule an announced address (its number) breaks."""
     return (
-        F.when(n.isNull(), "bad ip").when(inside(n, "loopback", "unspecified", "link_local", "multicast"), "non-routable")
+        F.when(n.isNull(), "bad ip").when(inside(n, *SPECIAL), "non-routable")
         .when(~port.between(1, 65535), "bad port").when(~kind.isin(*TYPES), "bad type").otherwise("ok")
     )
 
 
 def routable(n: Column) -> Column:
-    return F.coalesce(n.isNotNull() & ~inside(n, *[x for x in RANGES if x != "cgnat"]), F.lit(False))
+    return F.coalesce(n.isNotNull() & ~inside(n, *SPECIAL, "private"), F.lit(False))
 
 
 def address_type(n: Column) -> Column:
     """``lan`` for private and carrier-grade addresses, else ``public``."""
-    return F.when(inside(n, "private_10", "private_172", "private_192", "cgnat"), "lan").otherwise("public")
+    return F.when(inside(n, "private", "cgnat"), "lan").otherwise("public")
 
 
 def dialable(addresses: DataFrame, subnets: DataFrame) -> DataFrame:
-    """Addresses that are public, or private inside a local subnet (``lo``, ``hi``): a range join on /16 cells.
+    """Addresses that are public, or private inside a local subnet (``net, bits`` of either family).
 
-    Cells turn the containment into an equality; a subnet of n cells is expanded n times (65,536 at most).
+    Containment is an equality of prefixes: an address is cut to each prefix length that a subnet has, of which there are 129 at most.
     """
     a = numbered_ip(addresses)
     public = a.where(routable(F.col("_n")))
-    private = a.where(inside(F.col("_n"), "private_10", "private_172", "private_192")).withColumn("_cell", F.shiftright("_n", 16))
-    nets = subnets.select("lo", "hi").withColumn("_cell", F.explode(F.sequence(F.shiftright("lo", 16), F.shiftright("hi", 16))))
-    local = private.join(nets, (private["_cell"] == nets["_cell"]) & F.col("_n").between(F.col("lo"), F.col("hi")), "left_semi")
-    return public.drop("_n").unionByName(local.drop("_n", "_cell"))
+    nets = subnets.select(ip_number(F.col("net")).alias("_net"), prefix_bits(F.col("net"), F.col("bits")).cast("int").alias("_bits"))
+    nets = nets.where("_net is not null").select("_bits", masked(F.col("_net"), F.col("_bits")).alias("_prefix")).distinct()
+    lengths = F.broadcast(nets.agg(F.collect_set("_bits").alias("_lengths")))
+
+    def cut(rows: DataFrame, number: str) -> DataFrame:
+        """``rows`` once for each prefix length, with their prefix."""
+        each = rows.join(lengths).withColumn("_bits", F.explode("_lengths"))
+        return each.withColumn("_prefix", masked(F.col(number), F.col("_bits"))).drop("_lengths")
+
+    # without subnets inside of others an address matches once
+    wider = nets.select(F.col("_bits").alias("_own"), F.col("_prefix").alias("_number"))
+    inner = cut(wider, "_number").where("_bits < _own").join(nets, ["_bits", "_prefix"], "left_semi").select(F.col("_own").alias("_bits"), F.col("_number").alias("_prefix"))
+    local = cut(a.where(inside(F.col("_n"), "private")), "_n").join(nets.join(inner, ["_bits", "_prefix"], "left_anti"), ["_bits", "_prefix"], "left_semi")
+    return public.drop("_n").unionByName(local.select(*addresses.columns))
 
 
 def dial_candidates(addresses: DataFrame, subnets: DataFrame) -> DataFrame:

@@ -11,24 +11,38 @@ from foldlake.sources import tables as t
 
 FIRST, SECOND = (10, 127, 169, 172, 192, 100, 8, 224, 0, 300), (0, 16, 64, 168, 254, 31)
 KINDS = ("lan", "public", "stun", "lan", "other")
+#: IPv6 texts by number: around ``x`` (hexadecimal), and what they are.
+SIX = (
+    ("2001:db8::", "", "public"), ("2001:0DB8:0:0:", ":0:0:1", "public"), ("fd00:0:", "::7", "private"), ("fc01:", "::", "private"), ("fe80::", "", "special"), ("fe80::", "%eth0", "special"), ("ff02::", "", "special"),
+    ("::", "", "public"), ("64:ff9b::", ":8.8.4.4", "public"), ("", "::1::2", "bad"), ("1:2:3:4:5:6:7:", ":9", "bad"), ("g", "::", "bad"), ("1:2:3:4:5:6:", "::", "public"), ("1:2:3:4:5:6:7:", "::", "bad"),
+    (":", "::2", "bad"), ("2001:db8::", "%", "bad"), ("1:2:3:4:5:6:", ":1.2.3.300", "bad"), ("1", "0000::", "bad"), ("fd00:0:", ":1:2:3:4:5", "private"), ("::FFFF:10.0.0.", "f", "bad"),
+)
 ADDRESSES = f"""octets AS (
   SELECT c_custkey AS id, {list(FIRST)}[c_custkey % 10 + 1] AS a, {list(SECOND)}[c_custkey // 10 % 6 + 1] AS b, c_custkey % 256 AS c, c_custkey * 3 % 256 AS d, c_custkey * 37 % 66000 AS port,
-    {list(KINDS)}[c_custkey % 5 + 1] AS kind FROM customer),
+    {list(KINDS)}[c_custkey % 5 + 1] AS kind, c_custkey % 3 AS family, c_custkey // 3 % {len(SIX)} + 1 AS t, c_custkey % 24 + 256 AS x FROM customer),
+texts AS (SELECT *, a || '.' || b || '.' || c || '.' || d AS four, {[x[0] for x in SIX]}[t] || printf('%x', x::BIGINT) || {[x[1] for x in SIX]}[t] AS six, {[x[2] for x in SIX]}[t] AS what FROM octets),
+fours AS (SELECT *, ((a * 256::BIGINT + b) * 256 + c) * 256 + d AS n, a > 255 AS bad4, a = 127 OR (a = 169 AND b = 254) OR a BETWEEN 224 AND 239 OR (a = 0 AND b = 0 AND c = 0 AND d = 0) AS special4,
+  a = 10 OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) AS private4, a = 100 AND b BETWEEN 64 AND 127 AS cgnat4 FROM texts),
+subnets AS (SELECT 167772160 + n_nationkey * 524288 AS lo, 167772160 + n_nationkey * 524288 + (1 << (14 + n_nationkey % 6)) - 1 AS hi FROM nation),
 addresses AS (
-  SELECT *, a || '.' || b || '.' || c || '.' || d AS ip, ((a * 256::BIGINT + b) * 256 + c) * 256 + d AS n, a > 255 AS bad,
-    a = 127 OR (a = 169 AND b = 254) OR a BETWEEN 224 AND 239 OR (a = 0 AND b = 0 AND c = 0 AND d = 0) AS special, a = 10 OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) AS private FROM octets),
-subnets AS (SELECT 167772160 + n_nationkey * 524288 AS lo, 167772160 + n_nationkey * 524288 + (1 << (14 + n_nationkey % 6)) - 1 AS hi FROM nation)"""
+  SELECT id, port, kind, CASE family WHEN 0 THEN four WHEN 1 THEN six ELSE '::ffff:' || four END AS ip, CASE WHEN family = 1 THEN what = 'bad' ELSE bad4 END AS bad, CASE WHEN family = 1 THEN what = 'special' ELSE special4 END AS special,
+    CASE WHEN family = 1 THEN what = 'private' ELSE private4 END AS private, family <> 1 AND cgnat4 AS cgnat,
+    CASE WHEN family = 1 THEN what = 'private' AND t <> 4 AND EXISTS (SELECT 1 FROM nation WHERE n_nationkey % 5 = 0 AND n_nationkey + 256 = x) ELSE EXISTS (SELECT 1 FROM subnets WHERE n BETWEEN lo AND hi) END AS here FROM fours)"""
 
 
 def _addresses(spark, d):
+    """IPv4, IPv6 and IPv4 within IPv6."""
     k = F.col("c_custkey")
     pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i + 1).cast("int"))
-    ip = F.concat_ws(".", pick(FIRST, k % 10), pick(SECOND, F.floor(k / 10) % 6), k % 256, k * 3 % 256)
+    four = F.concat_ws(".", pick(FIRST, k % 10), pick(SECOND, F.floor(k / 10) % 6), k % 256, k * 3 % 256)
+    which = F.floor(k / 3) % len(SIX)
+    six = F.concat(pick([x[0] for x in SIX], which), F.lower(F.hex(k % 24 + 256)), pick([x[1] for x in SIX], which))
+    ip = F.when(k % 3 == 0, four).when(k % 3 == 1, six).otherwise(F.concat(F.lit("::ffff:"), four))
     return t.table(spark, d, "customer").select(k.alias("id"), ip.alias("ip"), (k * 37 % 66000).alias("port"), pick(KINDS, k % 5).alias("kind"))
 
 
 @query("""SELECT id, CASE WHEN bad THEN 'bad ip' WHEN special THEN 'non-routable' WHEN port NOT BETWEEN 1 AND 65535 THEN 'bad port' WHEN kind = 'other' THEN 'bad type' ELSE 'ok' END AS state,
-  NOT bad AND NOT special AND NOT private AS routable, CASE WHEN NOT bad AND (private OR (a = 100 AND b BETWEEN 64 AND 127)) THEN 'lan' ELSE 'public' END AS type FROM addresses""", ADDRESSES)
+  NOT bad AND NOT special AND NOT private AS routable, CASE WHEN NOT bad AND (private OR cgnat) THEN 'lan' ELSE 'public' END AS type FROM addresses""", ADDRESSES)
 def address_validate(spark, d):
     n = F.col("_n")
     return network.numbered_ip(_addresses(spark, d)).select("id", network.address_state(n, F.col("port"), F.col("kind")).alias("state"), network.routable(n).alias("routable"), network.address_type(n).alias("type"))
@@ -36,23 +50,28 @@ def address_validate(spark, d):
 
 @query("SELECT id, CASE WHEN bad THEN 'bad' WHEN special THEN 'unroutable' WHEN private THEN 'private' ELSE 'public' END AS class FROM addresses", ADDRESSES)
 def address_class(spark, d):
-    return _addresses(spark, d).select("id", network.ip_class("ip").alias("class"))
+    return network.numbered_ip(_addresses(spark, d)).select("id", network.ip_class(F.col("_n")).alias("class"))
 
 
-@query("SELECT id, ip FROM addresses WHERE NOT bad AND NOT special AND (NOT private OR EXISTS (SELECT 1 FROM subnets WHERE n BETWEEN lo AND hi))", ADDRESSES)
+@query("SELECT id, ip FROM addresses WHERE NOT bad AND NOT special AND (NOT private OR here)", ADDRESSES)
 def dialable_range_join(spark, d):
     return network.dialable(_addresses(spark, d).select("id", "ip"), _subnets(spark, d))
 
 
 def _subnets(spark, d):
-    low = F.lit(167772160) + F.col("n_nationkey") * 524288
-    return t.table(spark, d, "nation").select(low.cast("bigint").alias("lo"), (low + F.expr("shiftleft(1, 14 + n_nationkey % 6)") - 1).cast("bigint").alias("hi"))
+    """IPv4 networks of several lengths, and IPv6 ones of 48 bits with one of 64 inside of each."""
+    k, low = F.col("n_nationkey"), F.col("n_nationkey") * 524288
+    octet = lambda shift: F.shiftright(low, shift) % 256
+    four = F.struct(F.concat_ws(".", F.lit(10), octet(16), octet(8), F.lit(0)).alias("net"), (18 - k % 6).alias("bits"))
+    six = lambda bits: F.struct(F.concat(F.lit("fd00:0:"), F.lower(F.hex(k + 256)), F.lit("::")).alias("net"), F.lit(bits).alias("bits"))
+    nets = F.when(k % 5 == 0, F.array(four, six(48), six(64))).otherwise(F.array(four))
+    return t.table(spark, d, "nation").select(F.explode(nets).alias("s")).select("s.net", "s.bits")
 
 
 VALID = "NOT bad AND NOT special AND port BETWEEN 1 AND 65535 AND kind <> 'other'"
 
 
-@query(f"SELECT id, id % 4 AS place, ip, port, kind FROM addresses WHERE {VALID} AND kind <> 'stun' AND (NOT private OR EXISTS (SELECT 1 FROM subnets WHERE n BETWEEN lo AND hi))", ADDRESSES)
+@query(f"SELECT id, id % 4 AS place, ip, port, kind FROM addresses WHERE {VALID} AND kind <> 'stun' AND (NOT private OR here)", ADDRESSES)
 def dial_candidates(spark, d):
     return network.dial_candidates(_addresses(spark, d).withColumn("place", F.col("id") % 4).select("id", "place", "ip", "port", "kind"), _subnets(spark, d))
 

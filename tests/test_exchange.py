@@ -1,5 +1,6 @@
 """Properties and errors that the registered queries do not show: small tables, folds against plain loops."""
 
+import ipaddress
 import random
 
 import pytest
@@ -98,10 +99,40 @@ def test_scrypt_and_hmac_vectors(spark):
     assert bytes(one.select(columns.verifier(F.lit(b"k" * 32))).first()[0]) == crypto.verifier(b"k" * 32)
 
 
-def test_addresses_in_code_and_by_library(spark):
-    rows = [("10.0.0.1",), ("256.1.1.1",), ("1.2.3",), ("8.8.8.8",), ("01.2.3.4",), ("",), (None,)]
-    got = [r[0] for r in spark.createDataFrame(rows, "ip string").select(network.ip_int(F.col("ip"))).collect()]
-    assert got == [167772161, None, None, 134744072, None, None, None]
+def test_addresses_of_both_families_as_the_library_reads_them(spark):
+    rng = random.Random(4)
+    texts = ["10.0.0.1", "256.1.1.1", "1.2.3", "8.8.8.8", "01.2.3.4", "", None, "::", "::1", "1::", "::1.2.3.4", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8::", "fe80::1%eth0", "fe80::1%", "1.2.3.4%x", ":1::2", "1::2:", "1:::2", ":::", ":", "1:2:3:4:5:6:1.2.3.4", "1:2:3:4:5:6:7:1.2.3.4", "::ffff:1.2.3", "1.2.3.4::", "g::"]
+    for _ in range(1500):
+        groups = [f"{rng.getrandbits(16 if rng.random() < 0.7 else 4):x}" for _ in range(rng.choice([8, 8, 7, 6, 3, 9]))]
+        x = ":".join(groups)
+        if rng.random() < 0.6:
+            cut = rng.randrange(len(groups) + 1)
+            x = ":".join(groups[:cut]) + "::" + ":".join(groups[min(len(groups), cut + rng.randrange(3)) :])
+        if rng.random() < 0.2:
+            x = x.rsplit(":", 1)[0] + ":" + ".".join(str(rng.randrange(270)) for _ in range(4))
+        if rng.random() < 0.2:
+            at = rng.randrange(len(x) + 1)
+            x = x[:at] + rng.choice(":.%g0F") + x[at + rng.randrange(2) :]
+        texts.append(x)
+
+    def number(x):
+        try:
+            a = ipaddress.ip_address(x)
+        except ValueError:
+            return None
+        return int(a) + (0xFFFF << 32 if a.version == 4 else 0)
+
+    got = spark.createDataFrame([(x,) for x in texts], "ip string").select("ip", network.ip_number(F.col("ip")).alias("n")).collect()
+    known = [(r["ip"], None if r["n"] is None else (r["n"]["hi"] % (1 << 64) << 64) + r["n"]["lo"] % (1 << 64)) for r in got]
+    assert known == [(x, number(x)) for x in texts]
+    assert sum(n is not None for _, n in known) > 500 and sum(n is None for _, n in known) > 300
+
+
+def test_private_addresses_in_nested_subnets_count_once(spark):
+    nets = spark.createDataFrame([("10.1.0.0", 16), ("10.1.2.0", 24), ("10.1.2.0", 24), ("fd00::", 8), ("fd00:1::", 64), ("fd12::7", 128), ("192.168.9.9", 32), ("8.0.0.0", 8), ("bad", 8), ("10.9.9.9", 12)], "net string, bits int")
+    rows = [(k, ip) for k, ip in enumerate(["10.1.2.3", "10.1.2.3", "10.2.0.1", "10.3.0.1", "fd00:1::5", "fc00::1", "192.168.9.9", "192.168.9.8", "8.8.8.8", "127.0.0.1", "fe80::1", "2001:db8::1", "::ffff:10.1.9.9", "nonsense", "10.15.0.1", "10.16.0.1"])]
+    got = sorted(r["id"] for r in network.dialable(spark.createDataFrame(rows, "id int, ip string"), nets).collect())
+    assert got == [0, 1, 2, 3, 4, 6, 8, 11, 12, 14]
 
 
 def test_routes_see_only_the_past(spark):
