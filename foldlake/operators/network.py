@@ -262,15 +262,6 @@ def last_working(attempts: DataFrame) -> DataFrame:
     return last.where("_l.ok").select("peer", F.col("_l.address").alias("address"))
 
 
-def debounce(events: DataFrame, gap_ms: int = 500) -> DataFrame:
-    """Bursts of changes: a quiet time of ``gap_ms`` ends one; per folder and burst the number of distinct paths.
-
-    ``events``: ``folder, path, at`` (timestamp).
-    """
-    window = F.session_window(F.col("at"), f"{gap_ms} milliseconds")
-    return events.groupBy("folder", window.alias("w")).agg(F.count_distinct("path").alias("paths"), F.count("*").alias("events")).select("folder", F.unix_millis("w.start").alias("start_ms"), "paths", "events")
-
-
 def pull_order(sources: DataFrame) -> DataFrame:
     """Peer to ask for each chunk: holders rotate by chunk, the announcer last; a failed attempt goes on to the next.
 

@@ -109,13 +109,6 @@ def pushes(changes: DataFrame, takes_ms: int) -> DataFrame:
     return changes.select("folder", "at_ms").repartition("folder").sortWithinPartitions("folder", "at_ms").mapInPandas(fold, "folder string, run long, start_ms long")
 
 
-def rescans(folders: DataFrame, period_ms: int, jitter_ms: int) -> DataFrame:
-    """Times of the periodic scans of each folder (``folder, first_ms, last_ms``): every period plus a delay of its own."""
-    delay = F.pmod(F.conv(F.substring(F.sha2(F.col("folder").cast("binary"), 256), 1, 8), 16, 10).cast("bigint"), F.lit(jitter_ms))
-    step = F.lit(period_ms) + delay
-    return folders.select("folder", step.alias("every_ms"), F.floor((F.col("last_ms") - F.col("first_ms")) / step).alias("scans"))
-
-
 def routed(requests: DataFrame, presence: DataFrame) -> DataFrame:
     """Outcome of requests (``id, at, from_id, to_id``) by who is connected then: ``presence`` has ``node_id, at, up, address``.
 

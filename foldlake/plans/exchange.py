@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foldlake.functions import columns
-from foldlake.operators import members, network, sync
+from foldlake.operators import control, members, network, sync
 from foldlake.plans.relations import query, sql_base32
 from foldlake.sources import tables as t
 
@@ -91,10 +91,8 @@ def folder_announces(spark, d):
     SELECT event_id % 20 AS folder, epoch_us(ts) // 1000 AS at_ms, CASE WHEN epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER (PARTITION BY event_id % 20 ORDER BY ts) < 7200000 THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY folder, burst""")
 def quiesce_cuts(spark, d):
     """Snapshots after a quiet time: one per burst of a folder, when it has been quiet for two hours."""
-    e = t.table(spark, d, "events").select((F.col("event_id") % 20).alias("folder"), F.timestamp_millis(F.unix_millis(F.col("ts").cast("timestamp"))).alias("at"))
-    window = F.session_window(F.col("at"), "7200000 milliseconds")
-    burst = e.groupBy("folder", window.alias("w")).agg(F.count("*").alias("events"))
-    return burst.select("folder", F.unix_millis("w.start").alias("start_ms"), F.unix_millis("w.end").alias("cut_ms"), "events")
+    e = t.table(spark, d, "events").select((F.col("event_id") % 20).alias("folder"), F.col("event_id").alias("path"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
+    return control.bursts(e, 7_200_000).select("folder", "start_ms", (F.col("last_ms") + 7_200_000).alias("cut_ms"), "events")
 
 
 @query("""SELECT folder, 300000 + delay AS every_ms, (last_ms - first_ms) // (300000 + delay) AS scans FROM (SELECT folder, first_ms, last_ms, CAST('0x' || substr(sha256(folder), 1, 8) AS BIGINT) % 30000 AS delay
@@ -103,7 +101,29 @@ def rescan_schedule(spark, d):
     """Periodic scans: five minutes and a delay of each folder's own."""
     at = F.unix_millis(F.col("ts").cast("timestamp"))
     folders = t.table(spark, d, "events").groupBy(F.concat(F.lit("u"), F.col("user_id")).alias("folder")).agg(F.min(at).alias("first_ms"), F.max(at).alias("last_ms"))
-    return sync.rescans(folders, 300_000, 30_000)
+    return control.rescans(folders, 300_000, 30_000)
+
+
+CHANGES = "paths AS (SELECT 'u' || user_id % 40 AS folder, 'f' || event_id % 7 AS path, epoch_us(ts) // 1000 AS at_ms FROM events)"
+
+
+def _sql_bursts(gap: int) -> str:
+    return f"""(SELECT folder, path, max(at_ms) OVER (PARTITION BY folder, burst) AS last_ms FROM (
+      SELECT *, sum(fresh) OVER (PARTITION BY folder ORDER BY at_ms) AS burst FROM (SELECT *, CASE WHEN at_ms - lag(at_ms) OVER (PARTITION BY folder ORDER BY at_ms) < {gap} THEN 0 ELSE 1 END AS fresh FROM paths)))"""
+
+
+WAITS = dict(debounce_ms=7_200_000, quiesce_ms=14_400_000, period_ms=86_400_000, jitter_ms=3_600_000)
+
+
+@query(f"""SELECT DISTINCT folder, last_ms + {WAITS["debounce_ms"]} AS "at", 'scan' AS kind, path FROM {_sql_bursts(WAITS["debounce_ms"])}
+UNION ALL SELECT DISTINCT folder, last_ms + {WAITS["quiesce_ms"]}, 'snapshot', NULL FROM {_sql_bursts(WAITS["quiesce_ms"])}
+UNION ALL SELECT folder, unnest(range(first_ms + every_ms, last_ms + 1, every_ms)), 'rescan', NULL FROM (
+  SELECT folder, min(at_ms) AS first_ms, max(at_ms) AS last_ms, {WAITS["period_ms"]} + CAST('0x' || substr(sha256(folder), 1, 8) AS BIGINT) % {WAITS["jitter_ms"]} AS every_ms FROM paths GROUP BY folder)""", CHANGES)
+def control_requests(spark, d):
+    """Scans of dirty paths, snapshots and rescans of forty folders, with times that fit the events."""
+    e = t.table(spark, d, "events")
+    changes = e.select(F.concat(F.lit("u"), F.col("user_id") % 40).alias("folder"), F.concat(F.lit("f"), F.col("event_id") % 7).alias("path"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
+    return control.requests(changes, **WAITS)
 
 
 TAKES = 4 * 3_600_000

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foldlake.functions import columns
-from foldlake.operators import folds, network, sync
+from foldlake.operators import control, folds, network, sync
 from foldlake.plans.relations import query, sql_base32
 from foldlake.sources import tables as t
 
@@ -247,8 +247,8 @@ def last_working_address(spark, d):
   SELECT *, sum(fresh) OVER (PARTITION BY folder ORDER BY ts) AS burst FROM (
     SELECT event_id % 2 AS folder, ts, user_id, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY event_id % 2 ORDER BY ts)) < 600000000 THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY folder, burst""")
 def debounce_batches(spark, d):
-    e = t.table(spark, d, "events").select((F.col("event_id") % 2).alias("folder"), F.col("user_id").alias("path"), F.col("ts").cast("timestamp").alias("at"))
-    return network.debounce(e, 600_000)
+    e = t.table(spark, d, "events").select((F.col("event_id") % 2).alias("folder"), F.col("user_id").alias("path"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
+    return control.bursts(e, 600_000).select("folder", "start_ms", "paths", "events")
 
 
 @query("""SELECT chunk_no, first(peer ORDER BY tried) FILTER (ok) AS peer, coalesce(min(tried) FILTER (ok), max(tried)) AS attempts FROM (

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from foldlake.operators import folds, state, sync, vectors
+from foldlake.operators import control, folds, state, sync, vectors
 from foldlake.operators.network import clamp_ttl, telemetry_capped
 
 
@@ -160,11 +160,79 @@ def counted(rows: DataFrame, name: str, **counters: Column) -> tuple[DataFrame,
     return rows.observe(seen, *(c.alias(k) for k, c in counters.items())), seen
 
 
-def debounce(events: DataFrame, gap_ms: int, watermark: str) -> DataFrame:
-    """Bursts per folder once the watermark has passed their end (append mode); repeated paths of a burst count once."""
-    window = F.session_window(F.col("at"), f"{gap_ms} milliseconds")
-    burst = events.withWatermark("at", watermark).groupBy("folder", window.alias("w")).agg(F.size(F.collect_set("path")).cast("bigint").alias("paths"), F.count("*").alias("events"))
-    return burst.select("folder", F.unix_millis("w.start").alias("start_ms"), "paths", "events")
+class ControlLoop(StatefulProcessor):
+    """Scans, snapshots and rescans of a folder as its events come: ``operators.control.requests`` by timers."""
+
+    def __init__(self, debounce_ms: int, quiesce_ms: int, path_type: str):
+        self.debounce_ms, self.quiesce_ms, self.path_type = debounce_ms, quiesce_ms, path_type
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.dirty = handle.getMapState("dirty", f"path {self.path_type}", "at long")
+        # last event, whether its snapshot is still to come, next rescan and the time between two
+        self.clock = handle.getValueState("clock", "last long, open boolean, rescan long, every long")
+
+    def due(self, folder, clock: tuple, dirty: dict, now: int) -> tuple[tuple, list[tuple]]:
+        """What has to be asked for up to a time, in order of time."""
+        last, open_, rescan, every = clock
+        out = []
+        if dirty and last + self.debounce_ms <= now:
+            out += [(folder, last + self.debounce_ms, "scan", p) for p in dirty]
+            dirty.clear()
+        if open_ and last + self.quiesce_ms <= now:
+            out.append((folder, last + self.quiesce_ms, "snapshot", None))
+            open_ = False
+        while rescan <= now:
+            out.append((folder, rescan, "rescan", None))
+            rescan += every
+        return (last, open_, rescan, every), out
+
+    def keep(self, clock: tuple, before: set, dirty: dict) -> None:
+        for p in before - dirty.keys():
+            self.dirty.removeKey((p,))
+        for p in dirty.keys() - before:
+            self.dirty.updateValue((p,), (dirty[p],))
+        self.clock.update(clock)
+        for timer in [*self.handle.listTimers()]:
+            self.handle.deleteTimer(timer)
+        last, open_, rescan, _ = clock
+        for at in {rescan, *([last + self.debounce_ms] if dirty else []), *([last + self.quiesce_ms] if open_ else [])}:
+            self.handle.registerTimer(at)
+
+    def run(self, folder, events: list[tuple], until: int | None) -> Iterator[pd.DataFrame]:
+        clock = tuple(self.clock.get()) if self.clock.exists() else None
+        dirty = {tuple(p)[0]: tuple(e)[0] for p, e in self.dirty.iterator()}
+        before, out = set(dirty), []
+        for at, path, every in events:
+            if clock:
+                clock, more = self.due(folder, clock, dirty, at)
+                out += more
+            clock = (at, True, clock[2], clock[3]) if clock else (at, True, at + every, every)
+            dirty[path] = at
+        if until is not None:
+            clock, more = self.due(folder, clock, dirty, until)
+            out += more
+        self.keep(clock, before, dirty)
+        if out:
+            yield folds.framed(["folder", "at", "kind", "path"], out)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        own = pd.concat([*rows]).sort_values("at", kind="stable")
+        return self.run(key[0], list(zip(own["at"].tolist(), own["path"].tolist(), own["every_ms"].tolist())), None)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        return self.run(key[0], [], expiredTimerInfo.getExpiryTimeInMs())
+
+    def close(self) -> None:
+        pass
+
+
+def requests(events: DataFrame, watermark: str, debounce_ms: int = 500, quiesce_ms: int = 2000, period_ms: int = 300_000, jitter_ms: int = 30_000) -> DataFrame:
+    """``folder, at, kind, path`` of a stream of events (``folder, path, at`` in milliseconds), each once the watermark has passed its time."""
+    kind = events.schema["path"].dataType.simpleString()
+    timed = events.select("folder", "path", "at", control.step(F.col("folder"), period_ms, jitter_ms).alias("every_ms"), F.timestamp_millis("at").alias("_at")).withWatermark("_at", watermark)
+    schema = f"folder {events.schema['folder'].dataType.simpleString()}, at long, kind string, path {kind}"
+    return timed.groupBy("folder").transformWithStateInPandas(ControlLoop(debounce_ms, quiesce_ms, kind), schema, "Append", "EventTime")
 
 
 def token_bucket(events: DataFrame, rps: float, burst: float) -> DataFrame:

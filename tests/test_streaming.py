@@ -1,9 +1,11 @@
 """Streams that have read everything equal the batch form."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from foldlake.operators import folds, network, state, vectors
+from foldlake.operators import control, folds, network, state, vectors
 from foldlake.sources import tables
 from foldlake.streaming import streams
 
@@ -83,12 +85,32 @@ def test_a_bounded_limiter_forgets_the_key_quiet_for_longest(spark):
     assert got == [(True, None, 1), (True, None, 2), (False, None, 2), (True, 2, 2), (True, 1, 2), (True, 3, 2), (False, None, 2), (True, None, 1)]
 
 
-def test_debounce(spark, parts, tmp_path):
-    pick = lambda df: df.select((F.col("seq") % 2).alias("folder"), "path", "at")
-    got = appended(streams.debounce(pick(stream(spark, parts)), 1_800_000, "1 hour"), tmp_path)
-    want = network.debounce(pick(spark.read.parquet(parts)), 1_800_000)
-    closed = set(rows(got))
-    assert closed <= set(rows(want)) and len(closed) >= 0.9 * want.count()
+def test_control_loop(spark, parts, rocks, tmp_path):
+    """All requests up to the watermark, each at its time, with the dirty paths of its burst."""
+    pick = lambda df: df.select((F.col("seq") % 3).cast("string").alias("folder"), "path", F.col("authored_ms").alias("at"))
+    waits = dict(debounce_ms=3_600_000, quiesce_ms=2 * 3_600_000, period_ms=86_400_000, jitter_ms=3_600_000)
+    got = appended(streams.requests(pick(stream(spark, parts)), "0 seconds", **waits), tmp_path)
+    data = spark.read.parquet(parts)
+    end = data.agg(F.max("authored_ms")).first()[0]
+    want = control.requests(pick(data), **waits).where(F.col("at") < end)
+    assert rows(got.where(F.col("at") < end)) == rows(want)
+    assert {r["kind"] for r in want.select("kind").distinct().collect()} == {"scan", "snapshot", "rescan"} and want.where("kind = 'scan'").count() > 100
+
+
+def test_bursts_of_cells_equal_a_fold(spark):
+    rng = random.Random(7)
+    events = sorted((rng.choice("ab"), rng.randrange(6000), f"p{rng.randrange(5)}") for _ in range(300))
+    want = {}
+    for folder, at, path in events:
+        last = want.setdefault(folder, [])
+        if last and at - last[-1][1] < 37:
+            last[-1][1] = at
+        else:
+            last.append([at, at, set(), 0])
+        last[-1][2].add(path)
+        last[-1][3] += 1
+    got = control.bursts(spark.createDataFrame(events, "folder string, at long, path string"), 37).collect()
+    assert sorted((r["folder"], r["start_ms"], r["last_ms"], r["paths"], r["events"]) for r in got) == sorted((f, a, b, len(p), n) for f, x in want.items() for a, b, p, n in x)
 
 
 def test_delta_rows_take_newer_versions(spark):
