@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import ipaddress
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldlake.functions.expressions import let
+
 OCTET = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IPV4 = rf"{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}"
 TYPES = ("lan", "public", "stun")
@@ -24,11 +26,6 @@ RANGES = {
 SPECIAL = ("loopback", "unspecified", "link_local", "multicast")
 
 
-def let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """``f`` of a value that is worked out once, however often ``f`` names it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def ip_number(ip: Column) -> Column:
     """An address of either family as ``hi`` and ``lo`` of its 128 bits, null if the text is none; IPv4 is as ``::ffff:a.b.c.d``.
 

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldlake.sources.tables import leaf_digest
+from foldlake.operators import merkle
 
 
-def set_root(leaves: DataFrame, *by: str) -> DataFrame:
-    """``root_hash`` and ``manifest_n`` of each group of leaves; equal sets have equal roots whatever their order."""
-    total = F.sum(leaf_digest(F.col("path"), F.col("manifest_id"), F.col("deleted")))
-    out = leaves.groupBy(*by).agg(F.count("*").alias("manifest_n"), total.cast("decimal(38,0)").alias("_t"))
-    return out.select(*by, F.sha2(F.concat_ws("/", F.col("manifest_n").cast("string"), F.col("_t").cast("string")).cast("binary"), 256).alias("root_hash"), "manifest_n")
+def headers(leaves: DataFrame) -> DataFrame:
+    """Headers of snapshots by number: ``snap_seq, root_hash`` (the ordered Merkle root), ``parent_seq, manifest_n``."""
+    parent = F.when(F.col("snap_seq") > 1, F.col("snap_seq") - 1)
+    return merkle.roots(leaves, "snap_seq").select("snap_seq", F.col("root").alias("root_hash"), parent.alias("parent_seq"), F.col("leaves").alias("manifest_n"))
 
 
 def with_parent(snapshots: DataFrame) -> DataFrame:
@@ -44,7 +43,8 @@ def cut(snapshots: DataFrame, leaves: DataFrame, current: DataFrame) -> tuple[Da
     Leaves are appended: a table partitioned by ``snap_seq`` gets one partition more.
     """
     last = snapshots.agg(F.max(F.struct("snap_seq", "root_hash")).alias("_l")).select(F.coalesce("_l.snap_seq", F.lit(0)).alias("_seq"), F.col("_l.root_hash").alias("_root"))
-    new = set_root(current).join(F.broadcast(last)).where(~F.col("root_hash").eqNullSafe(F.col("_root")))
+    now = merkle.root(current).select(F.col("root").alias("root_hash"), F.col("leaves").alias("manifest_n"))
+    new = now.join(F.broadcast(last)).where(~F.col("root_hash").eqNullSafe(F.col("_root")))
     header = new.select((F.col("_seq") + 1).cast("bigint").alias("snap_seq"), "root_hash", F.when(F.col("_seq") > 0, F.col("_seq")).cast("bigint").alias("parent_seq"), "manifest_n")
     added = current.join(F.broadcast(header.select("snap_seq"))).select("snap_seq", "path", "manifest_id", "deleted")
     return snapshots.unionByName(header), leaves.unionByName(added)
@@ -56,14 +56,21 @@ def get(snapshots: DataFrame, leaves: DataFrame, root: str) -> DataFrame:
     return head.select("snap_seq", "root_hash", "parent_root").join(leaves, "snap_seq")
 
 
-def diff_roots(snapshots: DataFrame, leaves: DataFrame, before: str, after: str) -> DataFrame:
-    """Changes between the snapshots of two roots; a root that is not there is an error."""
-    from foldlake.operators.state import diff
-
-    sides = []
+def diff_roots(snapshots: DataFrame, tree: merkle.Tree, before: str, after: str) -> DataFrame:
+    """Changes between the snapshots of two roots, by descent through their trees (groups by ``snap_seq``); a root that is not there is an error."""
+    seqs = []
     for root in (before, after):
-        head = by_root(snapshots, root).select("snap_seq")
-        if head.isEmpty():
+        head = by_root(snapshots, root).first()
+        if head is None:
             raise LookupError(f"no snapshot of root {root}")
-        sides.append(leaves.join(head, "snap_seq", "left_semi"))
-    return diff(*sides)
+        seqs.append(head["snap_seq"])
+    return merkle.changed(*map(tree.of, seqs))
+
+
+def cut_changes(snapshots: DataFrame, tree: merkle.Tree, changes: DataFrame) -> tuple[DataFrame, merkle.Tree]:
+    """Headers and tree of a folder after a cut that hashes only the blocks of changed rows; no header is added if the latest root is theirs already."""
+    tree, _ = merkle.grown(tree, changes)
+    last = snapshots.agg(F.max(F.struct("snap_seq", "root_hash")).alias("_l")).select(F.coalesce("_l.snap_seq", F.lit(0)).alias("_seq"), F.col("_l.root_hash").alias("_root"))
+    new = tree.roots().join(F.broadcast(last)).where(~F.col("root").eqNullSafe(F.col("_root"))).join(F.broadcast(tree.leaves.agg(F.count("*").alias("manifest_n"))))
+    header = new.select((F.col("_seq") + 1).cast("bigint").alias("snap_seq"), F.col("root").alias("root_hash"), F.when(F.col("_seq") > 0, F.col("_seq")).cast("bigint").alias("parent_seq"), "manifest_n")
+    return snapshots.unionByName(header), tree

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from foldlake.functions import columns, crypto, encoding
 from foldlake.operators import merkle, vectors
-from foldlake.plans.relations import query, sql_base32, sql_hmac, sql_sized, sql_varint
+from foldlake.plans.relations import MERKLE, query, sql_base32, sql_hmac, sql_sized, sql_varint
 from foldlake.session import settled
 from foldlake.sources import tables as t
 
@@ -95,21 +95,12 @@ def manifest_identity(spark, d):
     return rows.select("path", F.sha2(columns.identity(F.lit(encoding.REGULAR), F.col("path"), F.lit(0o644), F.lit(""), F.col("chunks")), 256).alias("identity"))
 
 
-#: Levels of the tree as one recursive relation: pairs of neighbours are hashed, an odd one is carried up.
-TREE = f"""hashed AS (SELECT g, path, sha256(unhex('{merkle.LEAF_DOMAIN.hex()}' || {sql_sized("path")} || manifest_id || CASE WHEN deleted THEN '01' ELSE '00' END)) AS h FROM leaf),
-tree AS (
-  SELECT g, 0 AS level, row_number() OVER (PARTITION BY g ORDER BY path) - 1 AS i, h, count(*) OVER (PARTITION BY g) AS n FROM hashed
-  UNION ALL
-  SELECT g, level + 1, i // 2, CASE WHEN count(*) = 2 THEN sha256(unhex('{merkle.NODE_DOMAIN.hex()}' || min_by(h, i) || max_by(h, i))) ELSE any_value(h) END, (any_value(n) + 1) // 2
-  FROM tree WHERE n > 1 GROUP BY g, level, i // 2)"""
-
-
-@query("SELECT h AS root, (SELECT count(*) FROM manifests) AS leaves FROM tree WHERE n = 1", "leaf AS (SELECT 0 AS g, path, manifest_id, deleted FROM manifests), " + TREE)
+@query("SELECT h AS root, (SELECT count(*) FROM manifests) AS leaves FROM tree WHERE n = 1", "leaf AS (SELECT 0 AS g, path, manifest_id, deleted FROM manifests), " + MERKLE)
 def merkle_root(spark, d):
     return merkle.root(t.manifests(spark, d))
 
 
-@query("SELECT g AS snap_seq, h AS root, (SELECT count(*) FROM snapshot_manifests s WHERE s.snap_seq = g) AS leaves FROM tree WHERE n = 1", "leaf AS (SELECT snap_seq AS g, path, manifest_id, deleted FROM snapshot_manifests), " + TREE)
+@query("SELECT g AS snap_seq, h AS root, (SELECT count(*) FROM snapshot_manifests s WHERE s.snap_seq = g) AS leaves FROM tree WHERE n = 1", "leaf AS (SELECT snap_seq AS g, path, manifest_id, deleted FROM snapshot_manifests), " + MERKLE)
 def snapshot_merkle_roots(spark, d):
     """The ordered root of every snapshot; tombstones are leaves like others."""
     return merkle.roots(t.snapshot_manifests(spark, d), "snap_seq")

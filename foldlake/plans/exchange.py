@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foldlake.functions import columns
-from foldlake.operators import control, members, network, sync
-from foldlake.plans.relations import query, sql_base32
+from foldlake.operators import control, members, merkle, network, sync
+from foldlake.plans.relations import MERKLE, query, sql_base32
 from foldlake.sources import tables as t
 
 
@@ -75,15 +75,13 @@ def announce_coalesced(spark, d):
     return sync.coalesced(rows, F.floor(F.col("at") / 97))
 
 
-@query("""SELECT folder, sha256(n || '/' || total) AS root, 1 AS epoch, high_water FROM (SELECT split_part(path, '/', 1) AS folder, count(*) AS n, max(seq) AS high_water,
-  sum(CAST('0x' || substr(sha256(path || '=' || manifest_id || '=' || CASE WHEN deleted THEN 'true' ELSE 'false' END), 1, 15) AS BIGINT)) AS total FROM manifests GROUP BY 1)""")
+@query("SELECT folder, h AS root, 1 AS epoch, high_water FROM tree JOIN (SELECT split_part(path, '/', 1) AS folder, max(seq) AS high_water FROM manifests GROUP BY 1) ON g = folder WHERE n = 1",
+"leaf AS (SELECT split_part(path, '/', 1) AS g, path, manifest_id, deleted FROM manifests), " + MERKLE)
 def folder_announces(spark, d):
     """The periodic announcement of every folder: root, epoch and high-water mark."""
-    from foldlake.operators.snapshots import set_root
-
     m = t.manifests(spark, d).withColumn("folder", F.split_part("path", F.lit("/"), F.lit(1)))
     high = m.groupBy("folder").agg(F.max("seq").alias("high_water"))
-    return set_root(m, "folder").join(high, "folder").select("folder", F.col("root_hash").alias("root"), F.lit(1).alias("epoch"), "high_water")
+    return merkle.roots(m, "folder").join(high, "folder").select("folder", "root", F.lit(1).alias("epoch"), "high_water")
 
 
 @query("""SELECT folder, min(at_ms) AS start_ms, max(at_ms) + 7200000 AS cut_ms, count(*) AS events FROM (

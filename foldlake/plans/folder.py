@@ -4,18 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foldlake.operators import reach, snapshots, state
-from foldlake.plans.relations import query
+from foldlake.operators import merkle, reach, snapshots, state
+from foldlake.plans.relations import MERKLE, query
 from foldlake.session import settled
 from foldlake.sources import tables as t
 
 CUTOFF_MS, QUOTA, NOW_MS, SAFE_SEQ = 1900, 3_000_000, 1_715_000_000_000, 9_500
 KEYS = "path, manifest_id, c, seq, author, authored_ms, deleted"
-HEADERS = """headers AS (
-  SELECT snap_seq, count(*) AS manifest_n, sum(CAST('0x' || substr(sha256(path || '=' || manifest_id || '=' || CASE WHEN deleted THEN 'true' ELSE 'false' END), 1, 15) AS BIGINT)) AS total
-  FROM snapshot_manifests GROUP BY snap_seq),
-snapshots AS (
-  SELECT snap_seq, sha256(manifest_n || '/' || total) AS root_hash, CASE WHEN snap_seq > 1 THEN snap_seq - 1 END AS parent_seq, manifest_n FROM headers)"""
+HEADERS = f"""leaf AS (SELECT snap_seq AS g, path, manifest_id, deleted FROM snapshot_manifests UNION ALL SELECT 5, path, manifest_id, deleted FROM manifests), {MERKLE},
+roots AS (SELECT g AS snap_seq, h AS root_hash, (SELECT count(*) FROM leaf l WHERE l.g = tree.g) AS manifest_n FROM tree WHERE n = 1),
+snapshots AS (SELECT snap_seq, root_hash, CASE WHEN snap_seq > 1 THEN snap_seq - 1 END AS parent_seq, manifest_n FROM roots WHERE snap_seq < 5)"""
 
 
 @query(f"SELECT {KEYS} FROM manifests")
@@ -209,11 +207,10 @@ WHERE b.path IS NULL OR a.path IS NULL OR b.manifest_id <> a.manifest_id OR b.de
 def snapshot_diff_roots(spark, d):
     """The same by roots; a root that no snapshot has is an error."""
     heads = settled(t.snapshots(spark, d))
-    return snapshots.diff_roots(heads, t.snapshot_manifests(spark, d), _root(heads, 2), _root(heads, 3))
+    return snapshots.diff_roots(heads, merkle.planted(t.snapshot_manifests(spark, d), "snap_seq"), _root(heads, 2), _root(heads, 3))
 
 
-CUT = """now_ AS (SELECT count(*) AS manifest_n, sum(CAST('0x' || substr(sha256(path || '=' || manifest_id || '=' || CASE WHEN deleted THEN 'true' ELSE 'false' END), 1, 15) AS BIGINT)) AS total FROM manifests),
-new_ AS (SELECT 5 AS snap_seq, sha256(manifest_n || '/' || total) AS root_hash, 4 AS parent_seq, manifest_n FROM now_ WHERE sha256(manifest_n || '/' || total) <> (SELECT root_hash FROM snapshots WHERE snap_seq = 4))"""
+CUT = """new_ AS (SELECT 5 AS snap_seq, root_hash, 4 AS parent_seq, manifest_n FROM roots WHERE snap_seq = 5 AND root_hash <> (SELECT root_hash FROM snapshots WHERE snap_seq = 4))"""
 
 
 @query("SELECT snap_seq, root_hash, parent_seq, manifest_n FROM snapshots UNION ALL SELECT snap_seq, root_hash, parent_seq, manifest_n FROM new_", HEADERS + ", " + CUT)
@@ -224,6 +221,19 @@ def snapshot_cut(spark, d):
     return snapshots.cut(*one, now)[0]
 
 
+@query("SELECT snap_seq, root_hash, parent_seq, manifest_n FROM snapshots", HEADERS)
+def snapshot_cut_changes(spark, d):
+    """The four cuts by what changed since the one before: the first tree is planted, the others grow."""
+    leaves = t.snapshot_manifests(spark, d)
+    one = leaves.where("snap_seq = 1")
+    heads, tree = settled(snapshots.headers(one)), merkle.planted(one)
+    for n in (2, 3, 4):
+        old, new = (leaves.where(F.col("snap_seq") == k).select("path", "manifest_id", "deleted") for k in (n - 1, n))
+        heads, tree = snapshots.cut_changes(heads, tree, new.exceptAll(old))
+        heads = settled(heads)
+    return heads
+
+
 @query("SELECT snap_seq, path, manifest_id, deleted FROM snapshot_manifests UNION ALL SELECT snap_seq, path, manifest_id, deleted FROM manifests, new_", HEADERS + ", " + CUT)
 def snapshot_cut_leaves(spark, d):
     now = t.manifests(spark, d).select("path", "manifest_id", "deleted")

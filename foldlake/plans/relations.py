@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foldlake.operators import merkle
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 RELATIONS = """
@@ -72,6 +74,15 @@ def sql_hmac(key: bytes, message: str) -> str:
     return f"sha256(unhex('{outer}' || sha256(unhex('{inner}' || {message}))))"
 
 
+#: Levels of the tree as one recursive relation: pairs of neighbours are hashed, an odd one is carried up.
+MERKLE = f"""hashed AS (SELECT g, path, sha256(unhex('{merkle.LEAF_DOMAIN.hex()}' || {sql_sized("path")} || manifest_id || CASE WHEN deleted THEN '01' ELSE '00' END)) AS h FROM leaf),
+tree AS (
+  SELECT g, 0 AS level, row_number() OVER (PARTITION BY g ORDER BY path) - 1 AS i, h, count(*) OVER (PARTITION BY g) AS n FROM hashed
+  UNION ALL
+  SELECT g, level + 1, i // 2, CASE WHEN count(*) = 2 THEN sha256(unhex('{merkle.NODE_DOMAIN.hex()}' || min_by(h, i) || max_by(h, i))) ELSE any_value(h) END, (any_value(n) + 1) // 2
+  FROM tree WHERE n > 1 GROUP BY g, level, i // 2)"""
+
+
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 

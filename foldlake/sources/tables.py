@@ -56,21 +56,11 @@ def snapshot_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select(F.col("snap_seq").cast("bigint").alias("snap_seq"), "path", F.col("v.manifest_id").alias("manifest_id"), F.col("v.deleted").alias("deleted"))
 
 
-def leaf_digest(path, manifest_id, deleted):
-    """A leaf's share of a set root: 60 bits of its hash."""
-    text = F.concat(path, F.lit("="), manifest_id, F.lit("="), deleted.cast("string"))
-    return F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 15), 16, 10).cast("decimal(38,0)")
-
-
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headers: ``snap_seq, root_hash, parent_seq, manifest_n``.
-
-    The root is a digest of the leaf set that is summed without an order, so it aggregates in parallel; the ordered Merkle
-    root is ``operators.merkle.root``.
-    """
-    from foldlake.operators.snapshots import set_root
+    """Headers: ``snap_seq, root_hash, parent_seq, manifest_n``; the root is the ordered Merkle root."""
+    from foldlake.operators.snapshots import headers
 
-    return set_root(snapshot_manifests(spark, sf_dir), "snap_seq").select("snap_seq", "root_hash", F.when(F.col("snap_seq") > 1, F.col("snap_seq") - 1).alias("parent_seq"), "manifest_n")
+    return headers(snapshot_manifests(spark, sf_dir))
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,3 +89,54 @@ def test_merkle_root_equals_one_list(spark, n):
     hashes = [merkle.leaf_hash(p, bytes.fromhex(m), d) for p, m, d in rows]
     assert got["root"] == (merkle.reduce_level(hashes) if rows else merkle.empty_root()).hex()
     assert got["leaves"] == n
+
+
+def leaf_rows(paths, salt=""):
+    return [(p, hashlib.sha256(f"{p}{salt}".encode()).hexdigest(), len(p) % 3 == 0) for p in paths]
+
+
+def plain_root(rows):
+    return merkle.reduce_level([merkle.leaf_hash(p, bytes.fromhex(m), d) for p, m, d in sorted(rows)]).hex()
+
+
+def test_trees_grow_by_changes_and_differ_by_descent(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "BLOCK_BITS", 2)
+    schema = "path string, manifest_id string, deleted boolean"
+    rows = {p: (p, m, d) for p, m, d in leaf_rows([f"p{k:03d}" for k in range(100)])}
+    tree = merkle.planted(spark.createDataFrame(list(rows.values()), schema))
+    assert tree.roots().first()["root"] == plain_root(rows.values()) and [x.count() for x in tree.levels] == [25, 7, 2, 1]
+
+    def step(changes, most):
+        """Blocks hashed again per level, at most so many; the root is that of all rows, the diff is what has changed."""
+        nonlocal tree
+        before = dict(rows)
+        rows.update({p: (p, m, d) for p, m, d in changes})
+        old, (tree, hashed) = tree, merkle.grown(tree, spark.createDataFrame(changes, schema))
+        assert tree.roots().first()["root"] == plain_root(rows.values())
+        assert all(a <= b for a, b in zip(hashed, most)) and len(hashed) == len(most), hashed
+        assert sorted(r["path"] for r in merkle.changed(old, tree).collect()) == sorted(p for p in rows if rows[p] != before.get(p))
+        whole = merkle.planted(spark.createDataFrame(list(rows.values()), schema))
+        key = lambda t: [sorted(map(tuple, x.select("i", "h").collect())) for x in (t.leaves, *t.levels)]
+        assert key(whole) == key(tree)
+        return [x.count() for x in merkle.unequal(old, tree)]
+
+    assert step(leaf_rows(["p050"], "a"), [1, 1, 1, 1]) == [4, 4]
+    assert step(leaf_rows(["p003", "p097", "p098"], "b"), [2, 2, 2, 1]) == [8, 8]
+    assert step(leaf_rows(["p010"]), [0, 0, 0, 0]) == [0, 0]  # as it was
+    step(leaf_rows(["p0900", "zz", "p020"], "c"), [5, 3, 2, 1])  # new paths move those behind them
+    assert step([("p001", rows["p001"][1], True)], [1, 1, 1, 1]) == [4, 4]
+    step(leaf_rows([f"z{k:03d}" for k in range(300)], "d"), [77, 21, 7, 2, 1])
+    assert step(leaf_rows(["a"], "e"), [101, 26, 7, 2, 1])[0] == 402
+
+
+def test_trees_of_groups_and_of_nothing(spark):
+    rows = [(g, *x) for g, n in (("a", 1), ("b", 300), ("c", 17)) for x in leaf_rows([f"{g}{k:03d}" for k in range(n)])]
+    df = spark.createDataFrame(rows, "folder string, path string, manifest_id string, deleted boolean")
+    want = {g: plain_root([r[1:] for r in rows if r[0] == g]) for g in "abc"}
+    assert {r["folder"]: r["root"] for r in merkle.roots(df, "folder").collect()} == want
+    tree = merkle.planted(df, "folder")
+    assert {r["g"]: r["root"] for r in tree.roots().collect()} == want
+    assert merkle.changed(tree.of("a"), tree.of("c")).count() == 18
+    empty = merkle.planted(df.limit(0).drop("folder"))
+    grown, _ = merkle.grown(empty, df.where("folder = 'c'"))
+    assert grown.roots().first()["root"] == want["c"]
