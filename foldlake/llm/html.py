@@ -7,9 +7,13 @@ are parted by a line break, paragraphs and headings by an empty line, list items
 number and are indented by depth, table cells are padded to columns (a cell of several columns or rows covers them),
 preformatted text is kept as it is.  Tables are laid out from the innermost outwards, however deep they are nested.
 
+Blanks are bounded, so that a text stays of the order of its page: a block is indented by ``INDENT`` columns at most; a table
+column is widened by text up to ``WIDE`` columns, longer cells stick out; columns that no cell begins or ends in have no width; in a
+table that is wider than ``WIDE`` a stretch without text is at most ``WIDE`` columns of blanks and bars, and what follows stands that far to the left.
+
 Defined cases: null and empty pages give an empty text; unclosed or stray tags, cut-off tags and comments never fail;
 null ids and repeated rows get a row each; an empty table gives no rows; other columns are not read.  Depth is bounded
-by the input only, so tree and renderer keep their own stacks.
+by the input only, so tree and renderer keep their own stacks; the places of open elements are kept by name, so that no tag searches the stack.
 """
 
 from __future__ import annotations
@@ -17,7 +21,8 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from collections import Counter
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -53,6 +58,11 @@ IMPLIED = {
 }
 #: Most columns and rows that a cell covers.
 WIDEST, LONGEST = 1000, 65534
+#: Most columns of indentation, and of blanks in a table.
+INDENT, WIDE = 80, 200
+#: End tags of other elements do not reach beyond these.
+CELLS = frozenset("table td th template".split())
+TABLE_PARTS = frozenset("table tr tbody thead tfoot body html template".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BUTTON_SCOPE = frozenset("button table td th caption html template object".split())
 
@@ -78,15 +88,20 @@ def parse(html: str) -> Element:
     root = Element("html")
     stack, at, n = [root], 0, len(html)
     raw_end: dict[str, re.Pattern] = {}
-    is_open = Counter()  # names on the stack, so that a search for one that is not there costs nothing
+    places: dict[str, list[int]] = defaultdict(list)  # of open elements by name, ascending
+
+    def last(names: frozenset[str]) -> int:
+        """Place of the topmost open element of some names; 0 if there is none."""
+        return max((places[x][-1] for x in names if places.get(x)), default=0)
 
     def close_to(index: int) -> None:
-        is_open.subtract(e.name for e in stack[index:])
+        for e in stack[index:]:
+            places[e.name].pop()
         del stack[index:]
 
     def push(e: Element) -> None:
+        places[e.name].append(len(stack))
         stack.append(e)
-        is_open[e.name] += 1
 
     while at < n:
         lt = html.find("<", at)
@@ -106,18 +121,14 @@ def parse(html: str) -> Element:
             continue
         name = name.lower()
         if m["end"]:
-            if name == "p" and not is_open["p"]:
+            if name == "p" and not places.get("p"):
                 stack[-1].children.append(Element("p"))
             elif name == "br":
                 stack[-1].children.append(Element("br"))
-            elif is_open[name] or name in HEADINGS:
-                for k in range(len(stack) - 1, 0, -1):
-                    e = stack[k].name
-                    if e == name or (name in HEADINGS and e in HEADINGS):
-                        close_to(k)
-                        break
-                    if e in ("table", "td", "th", "template") and name not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html", "template"):
-                        break
+            else:
+                own = last(HEADINGS) if name in HEADINGS else (places.get(name) or [0])[-1]
+                if own and (name in TABLE_PARTS or last(CELLS) <= own):
+                    close_to(own)
             continue
         if name in ("html", "body", "head"):
             if name == "body":  # the head ends here, whatever it left open
@@ -129,21 +140,12 @@ def parse(html: str) -> Element:
             continue
         if len(stack) > 1 and stack[-1].name == "head" and name not in ("meta", "title", "style", "script", "base", "link", "template", "noscript", "noframes"):
             close_to(len(stack) - 1)
-        if name in ENDS_P and is_open["p"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == "p":
-                    close_to(k)
-                    break
-                if stack[k].name in BUTTON_SCOPE:
-                    break
-        if name in IMPLIED and any(is_open[x] for x in IMPLIED[name][0]):
+        if name in ENDS_P and places.get("p") and places["p"][-1] > last(BUTTON_SCOPE):
+            close_to(places["p"][-1])
+        if name in IMPLIED and any(places.get(x) for x in IMPLIED[name][0]):
             ended, stop = IMPLIED[name]
-            cut = None
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name in stop:
-                    break
-                if stack[k].name in ended:
-                    cut = k
+            floor = last(stop)
+            cut = min((own[k] for x in ended if (own := places.get(x)) and (k := bisect_right(own, floor)) < len(own)), default=None)
             if cut is not None:
                 close_to(cut)
         elif name in HEADINGS and stack[-1].name in HEADINGS:
@@ -205,7 +207,7 @@ class Page:
 
     def __init__(self) -> None:
         self.lines: list[str] = []
-        self.line = ""
+        self.line: list[str] = []  # parts of the line that is being made
         self.prefix = ""  # indentation of the block
         self.mark = ""  # a list mark for the next line
         self.gap = 0  # empty lines owed before the next text
@@ -221,7 +223,7 @@ class Page:
         tail = folded.endswith(" ")
         folded = folded[:-1] if tail else folded
         if folded:
-            self.line += (" " if self.glue and self.line else "") + folded
+            self.line.append(" " + folded if self.glue and self.line else folded)
             self.glue = tail
         elif self.line:
             self.glue = True
@@ -229,8 +231,8 @@ class Page:
     def end(self, gap: int = 0) -> None:
         """End the line; ``gap`` empty lines are owed to what follows."""
         if self.line:
-            self.put(self.line)
-            self.line = ""
+            self.put("".join(self.line))
+            self.line = []
         self.glue = False
         self.gap = max(self.gap, gap)
 
@@ -266,8 +268,8 @@ def render(root: Element) -> str:
 def flow(root: Element) -> str:
     """Text of a tree whose inner tables have their lines."""
     page = Page()
-    # entries: ("in", element), ("out", element, saved prefix), ("text", string, preformatted)
-    work: list[tuple] = [("in", root, False, [])]
+    # entries: ("in", element, preformatted, counter of the list around), ("out", element, saved prefix), ("text", string, preformatted)
+    work: list[tuple] = [("in", root, False, ())]
     while work:
         kind, *rest = work.pop()
         if kind == "text":
@@ -277,10 +279,11 @@ def flow(root: Element) -> str:
             else:
                 parts = s.replace("\r\n", "\n").split("\n")
                 for k, part in enumerate(parts):
-                    page.line += part
+                    if part:
+                        page.line.append(part)
                     if k < len(parts) - 1:
-                        page.put(page.line)
-                        page.line = ""
+                        page.put("".join(page.line))
+                        page.line = []
             continue
         if kind == "out":
             e, saved = rest
@@ -308,17 +311,17 @@ def flow(root: Element) -> str:
             page.end(1 if e.name in SPACED and not (e.name in ("ul", "ol", "menu", "dir") and lists) else 0)
             work.append(("out", e, page.prefix))
             if e.name in ("ul", "menu", "dir"):
-                lists = [*lists, None]
+                lists = (None,)
             elif e.name == "ol":
-                lists = [*lists, [e.start]]
+                lists = ([e.start],)
             elif e.name == "li":
                 counter = lists[-1] if lists else None
                 page.mark = "- " if counter is None else f"{counter[0]}. "
                 if counter is not None:
                     counter[0] += 1
-                page.prefix += " " * len(page.mark)
+                page.prefix = (page.prefix + " " * len(page.mark))[: max(INDENT, len(page.mark))]
             elif e.name in ("blockquote", "dd"):
-                page.prefix += "  "
+                page.prefix = (page.prefix + "  ")[:INDENT]
             pre = pre or e.name in ("pre", "listing", "xmp", "plaintext")
         for c in reversed(shown(e)):
             work.append(("text", c, pre) if isinstance(c, str) else ("in", c, pre, lists))
@@ -358,35 +361,87 @@ def table_lines(table: Element) -> Iterator[str]:
             outside.children.append(c)
     if outside.children and (text := cell_text(outside)):  # captions and text that stands between rows
         yield from text.split("\n")
-    grid: list[list[tuple[int, int, list[str]]]] = []  # per row: first column, columns, lines
-    covered: dict[int, int] = {}  # column -> rows that a cell above still covers
-    for row in rows:
-        placed, at, below = [], 0, {k: n - 1 for k, n in covered.items() if n > 1}
-        for d in row:
-            while covered.get(at, 0):
-                at += 1
-            placed.append((at, d.across, [] if d.hidden else cell_text(d).split("\n")))
-            for k in range(at, at + d.across):
-                if d.down > 1:
-                    below[k] = d.down - 1
-            at += d.across
-        grid.append(placed)
-        covered = below
-    wide: dict[int, int] = {}
-    for at, across, lines in sorted(((a, n, t) for placed in grid for a, n, t in placed), key=lambda c: c[1]):
-        need = max(map(width, lines), default=0) - sum(wide.get(k, 0) + 3 for k in range(at, at + across - 1))
-        wide[at + across - 1] = max(wide.get(at + across - 1, 0), need)
+    grid = placed_cells(rows)
+    # columns that no cell begins or ends in are one
+    edges = {x: k for k, x in enumerate(sorted({x for placed in grid for a, n, _ in placed for x in (a, a + n)}))}
+    grid = [[(edges[a], edges[a + n], lines) for a, n, lines in placed] for placed in grid]
+    ends = column_ends(grid, len(edges))
+    dense = not ends or ends[-1] <= WIDE
     for placed in grid:
         for i in range(max((len(lines) for *_, lines in placed), default=0)):
             line, at = [], 0
-            for first, across, lines in placed:
-                line += [" " * wide.get(k, 0) for k in range(at, first)]
+            placed = placed if dense else [c for c in placed if i < len(c[2])]
+            for first, to, lines in placed:
                 x = lines[i] if i < len(lines) else ""
-                line.append(x + " " * (sum(wide.get(k, 0) + 3 for k in range(first, first + across)) - 3 - width(x)))
-                at = first + across
+                line += blanks(ends, at, first, dense)
+                room = ends[to] - ends[first] - 3 - width(x)
+                line.append(x + " " * (room if dense else min(room, WIDE)))
+                at = to
             yield " | ".join(line).rstrip()
 
 
+def placed_cells(rows: list[list[Element]]) -> list[list[tuple[int, int, list[str]]]]:
+    """Per row the cells' first column, number of columns and lines."""
+    grid, spans = [], []  # spans: columns that cells above cover, as (first, end, last row), ascending
+    for r, row in enumerate(rows):
+        placed, at, k, below = [], 0, 0, []
+        if any(s[2] < r for s in spans):
+            spans = [s for s in spans if s[2] >= r]
+        for d in row:
+            while k < len(spans) and spans[k][0] <= at:
+                at = max(at, spans[k][1])
+                k += 1
+            placed.append((at, d.across, [] if d.hidden else cell_text(d).split("\n")))
+            if d.down > 1:
+                below.append((at, at + d.across, min(r + d.down, len(rows)) - 1))
+            at += d.across
+        grid.append(placed)
+        if below:
+            merged: list[tuple[int, int, int]] = []
+            for first, end, till in sorted(spans + below):
+                if merged and first <= merged[-1][1] and (till == merged[-1][2] or first < merged[-1][1]):
+                    merged[-1] = (merged[-1][0], max(end, merged[-1][1]), max(till, merged[-1][2]))
+                else:
+                    merged.append((first, end, till))
+            spans = merged
+    return grid
+
+
+def column_ends(grid: list[list[tuple[int, int, list[str]]]], columns: int) -> list[int]:
+    """Where each column begins: the widths of those before, with a bar behind each.  Narrow cells first; what a wide one lacks goes to its last column."""
+    wide, sums = [0] * columns, [0] * (columns + 1)  # sums: a binary indexed tree over the widths
+
+    def widen(k: int, by: int) -> None:
+        wide[k] += by
+        k += 1
+        while k <= columns:
+            sums[k] += by
+            k += k & -k
+
+    def before(k: int) -> int:
+        out = 0
+        while k:
+            out += sums[k]
+            k -= k & -k
+        return out
+
+    for first, to, lines in sorted((c for placed in grid for c in placed), key=lambda c: c[1] - c[0]):
+        need = min(max(map(width, lines), default=0), WIDE) - (before(to - 1) - before(first) + 3 * (to - 1 - first))
+        if need > wide[to - 1]:
+            widen(to - 1, need - wide[to - 1])
+    ends = [0]
+    for w in wide:
+        ends.append(ends[-1] + w + 3)
+    return ends
+
+
+def blanks(ends: list[int], at: int, to: int, dense: bool) -> list[str]:
+    """Empty columns; no more than WIDE of the last ones in a table that is not dense."""
+    if not dense:
+        at = max(at, bisect_right(ends, ends[to] - WIDE, at, to))
+    return [" " * (ends[k + 1] - ends[k] - 3) for k in range(at, to)]
+
+
 def cell_text(cell: Element) -> str:
     body = Element("div")
     body.children = cell.children

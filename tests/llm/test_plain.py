@@ -6,6 +6,7 @@ import unicodedata
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from foldlake.llm import bpe, exact, html, langid, mixing, ring
@@ -167,6 +168,37 @@ def test_nested_and_spanning_tables():
     assert html.visible_text("<details><summary>s</summary>no</details><details open><summary>t</summary>yes</details><dialog>no</dialog>") == "s\nt\nyes"
 
 
+HOSTILE = {
+    "wide cells": "<table>" + "<tr><td colspan=1000>a<td colspan=1000>b" * 6000,
+    "wide row": "<table><tr>" + "<td colspan=1000>a" * 12_000,
+    "cells to the end": "<table>" + "<tr><td rowspan=0>x<td>y" * 10_000,
+    "bullets": "<ul><li>a" * 27_000,
+    "numbers": "<ol><li>a" * 27_000,
+    "paragraph outside of a button": "<p><button>" + "<div>" * 50_000 + "x",
+    "end tags kept by a cell": "<b><table><td>" + "<i>" * 30_000 + "</b>" * 30_000 + "x",
+    "long line": "<b>a</b> " * 27_000,
+    "quotes": "<blockquote>a" * 20_000,
+    "one long cell": "<table><tr><td>" + "x" * 50_000 + "<td>b" + "<tr><td>a<td>b" * 14_000,
+    "nested": "<table><tr><td>a<td>" * 10_000,
+    "a long cell beside many": "<table><tr>" + "<td>a" * 1000 + "<td>" + "b<br>" * 40_000,
+    "items": "<li>" * 60_000 + "x",
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_pages_end_soon_with_texts_of_their_order(name):
+    page, began = HOSTILE[name], time.time()
+    text = html.visible_text(page)
+    assert text and len(text) < 60 * len(page) and time.time() - began < 30
+    assert max(map(len, text.split("\n"))) <= len(page)
+
+
+def test_uncovered_columns_have_no_width():
+    assert html.visible_text("<table><tr><td colspan=1000>a<td>b<tr><td>c<td colspan=999>d<td>e</table>") == "a     | b\nc | d | e"
+    deep = html.visible_text("<ul><li>" * 200 + "x")
+    assert deep == " " * (html.INDENT - 2) + "- x"
+
+
 def plain_text(page):
     """Text of pages made of paragraphs, breaks and lists only."""
     out = []
