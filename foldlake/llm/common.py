@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foldlake.session import shared_dir
+
 #: Bytes that end a word: space and 0x09 to 0x0D.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 IS_SPACE = np.zeros(256, bool)
@@ -31,18 +32,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a private one only where it is unset."""
-    context = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not path:
-        if not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="foldlake-shared-")
-        context.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
 def shared_table(df: DataFrame) -> DataFrame:
     """Write ``df`` to a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -95,7 +84,10 @@ def small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def row_key(docs: DataFrame) -> Column:
     """128-bit hash of a whole row; only equal rows share it.  Nulls are marked, as ``xxhash64`` passes over them."""
-    cells = [x for c in docs.columns for x in (F.col(f"`{c}`"), F.isnull(f"`{c}`"))]
+    # maps and what holds them have no hash of their own
+    unhashed = ("map<", "variant")
+    cell = lambda f: F.to_json(F.struct(F.col(f"`{f.name}`"))) if any(x in f.dataType.simpleString() for x in unhashed) else F.col(f"`{f.name}`")
+    cells = [x for f in docs.schema for x in (cell(f), F.isnull(F.col(f"`{f.name}`")))]
     half = lambda seed: F.lpad(F.hex(F.xxhash64(F.lit(seed), *cells)), 16, "0")
     return F.unhex(F.concat(half(1), half(2)))
 

@@ -6,7 +6,7 @@ parameter) and the number of rows.  The same trie runs first over every input ta
 once however often it holds it, and a group of copies that holds a third of all rows arrives at its owner as one
 string per input task.
 
-When a trie outgrows its budget, the heaviest subtrees are spilled: their strings leave the task as rows of a table
+When a trie outgrows its budget, which stubs count in too, the heaviest subtrees are spilled: their strings leave the task as rows of a table
 in the shared folder, and so does every later string that ends below one.  Spilled rows are dealt
 again in another round, by another hash, until none is left.  Nothing is kept on a machine's own disk, so a lost executor
 costs its tasks only.  A subtree hangs at a branching node, however long the prefix that its strings share.
@@ -14,7 +14,8 @@ costs its tasks only.  A subtree hangs at a branching node, however long the pre
 Defined cases: null counts as the empty text, and empty texts equal each other; a null id orders before all others for
 ``keep="largest"`` and after all for ``keep="smallest"``, so it stays only where all ids of the group are null; a row that
 repeats an id and text is a copy like any other, and both rows carry the same verdict; an empty table gives no
-rows; other columns are not read.  A text larger than the budget is held whole.
+rows; other columns are not read.  A text larger than the budget is held whole, one at a time; the stubs below the root
+(256 at most) may take 100 KB more than a smaller budget.
 """
 
 from __future__ import annotations
@@ -72,10 +73,10 @@ class PatriciaTrie:
     """
 
     def __init__(self, budget: int = TRIE_BYTES, prefer=min):
-        self.root, self.used, self.budget, self.prefer = Node(b""), 0, budget, prefer
+        self.root, self.used, self.budget, self.limit, self.prefer = Node(b""), 0, budget, budget, prefer
         self.first: tuple[bytes, int | None, int] | None = None
         self.spill_out: list[tuple[bytes, int | None, int]] = []  # for the caller to take
-        self.spills = 0  # each leaves a stub and at most one node above it, which the budget does not count
+        self.spills = 0
 
     def better(self, a: int | None, b: int | None) -> int | None:
         return b if a is None else a if b is None else self.prefer(a, b)
@@ -106,12 +107,9 @@ class PatriciaTrie:
                 self.used += NODE_BYTES
                 child = upper
             node, at = child, at + k
-        if self.used > self.budget + self.stubs():
+        if self.used > self.limit:
             self.spill()
 
-    def stubs(self) -> int:
-        return 2 * self.spills * (NODE_BYTES + 1)
-
     def entries(self) -> Iterator[tuple[bytes, int | None, int]]:
         """What is in memory: each string with its identifier and rows."""
         if self.first:
@@ -141,22 +139,21 @@ class PatriciaTrie:
         return out
 
     def spill(self) -> None:
-        """Spill the heaviest subtrees that hold at most half of the bytes, until a quarter of the budget is free."""
+        """Spill the heaviest subtrees that hold at most half of the bytes, or mostly one label, until a quarter of the budget is free."""
         weight = self.weights()
-        while self.used > 3 * self.budget // 4 + self.stubs():
+        while self.used > 3 * self.budget // 4:
             path, prefix = [self.root], b""
             while True:
                 first, heavy = max(path[-1].children.items(), key=lambda c: weight[id(c[1])])
-                if weight[id(heavy)] <= self.used // 2 or not heavy.children:
+                if weight[id(heavy)] <= self.used // 2 or not heavy.children or len(heavy.label) > weight[id(heavy)] // 2:
                     break
                 path.append(heavy)
                 prefix += heavy.label
             # a stub of one byte stays; a string that ends at it is no part of the subtree
             stub = Node(heavy.label[:1])
             freed = weight[id(heavy)] - 1 - NODE_BYTES
-            if freed < self.used // 1024 or (weight[id(heavy)] > self.used // 2 and not heavy.children):
-                self.budget = 2 * self.used  # short strings side by side, or one that is most of all: there is no subtree to give away
-                return
+            if not freed:  # stubs only
+                break
             if len(heavy.label) == 1:
                 stub.best, stub.rows, heavy.rows = heavy.best, heavy.rows, 0
             self.spill_out += self.walk(heavy, prefix)
@@ -167,6 +164,7 @@ class PatriciaTrie:
                 weight[id(n)] -= freed
             self.used -= freed
             self.spills += 1
+        self.limit = max(self.budget, self.used + self.budget // 4)
 
     def owners(self) -> Iterator[tuple[bytes, int | None, int]]:
         """Each distinct text with its identifier and rows: what is in the trie, then what is left of ``spill_out``."""

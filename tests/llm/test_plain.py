@@ -127,6 +127,23 @@ def test_trie_of_texts_that_share_a_long_prefix():
     assert {t: (b, n) for t, b, n in trie.owners()} == {t: (texts.index(t), 1 + (k < 50)) for k, t in enumerate(texts)}
 
 
+def test_a_trie_stays_within_its_budget():
+    """Short strings side by side, one long string among short ones, and a long prefix of all: the budget does not grow."""
+    rng = random.Random(2)
+    short = [rng.randbytes(rng.randrange(1, 12)) for _ in range(30_000)]
+    long = [bytes([7]) * 500_000 + rng.randbytes(4) for _ in range(3)]
+    for texts in (short, short[:5000] + long + short[5000:9000], long * 2 + [b"x"]):
+        trie, most = exact.PatriciaTrie(budget=200_000), 0
+        for k, t in enumerate(texts):
+            trie.add(t, k)
+            most = max(most, trie.used)
+        assert trie.spills > 0 and trie.budget == 200_000 and most <= 200_000 + 103_000
+        first = {}
+        for k, t in enumerate(texts):
+            first.setdefault(t, k)
+        assert {t: b for t, b, _ in trie.owners()} == first and sum(n for *_, n in trie.owners()) == len(texts)
+
+
 def test_exact_dedup_in_rounds(spark):
     """A budget that spills most texts gives what a large one gives."""
     docs = tables(spark)[0]
@@ -242,6 +259,16 @@ def test_clashing_columns_of_pages_and_turns(spark):
     assert chat.preferences(chat.pair_replies(hard.limit(0))).count() == 0
 
 
+def test_pipeline_on_columns_of_any_type(spark):
+    import corpus_pipeline
+
+    extra = spark.createDataFrame(tables(spark)[0].collect(), tables(spark)[0].schema).select("*", F.create_map(F.lit("k"), "source").alias("m"), F.array(F.struct(F.create_map(F.lit(1), "lang"))).alias("deep"), F.struct("text").alias("s"), F.parse_json(F.lit("{}")).alias("v"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, extra, "")
+        assert out.schema.simpleString() == extra.schema.simpleString(), name
+        assert out.count() == stage(spark, extra.select("doc_id", "text", "lang", "source", "n_chars"), "").count(), name
+
+
 def test_pipeline_on_hard_rows(spark):
     import corpus_pipeline
 
