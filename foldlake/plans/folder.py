@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foldlake.operators import merkle, reach, snapshots, state
+from foldlake.operators import bloom, merkle, reach, snapshots, state
 from foldlake.plans.relations import MERKLE, query
 from foldlake.session import settled
 from foldlake.sources import tables as t
@@ -293,6 +293,16 @@ def missing_chunks(spark, d):
     return reach.missing_chunks(wanted, t.chunks(spark, d).where("blob_id < 12"))
 
 
+@query("SELECT DISTINCT chunk_id FROM manifest_chunks WHERE manifest_id IN (SELECT manifest_id FROM live) AND chunk_id NOT IN (SELECT chunk_id FROM chunks WHERE blob_id < 12)")
+def missing_chunks_bloom(spark, d):
+    """The same by a Bloom filter of the chunk index, which was built in two parts."""
+    wanted = t.manifest_chunks(spark, d).join(state.live(t.manifests(spark, d)), "manifest_id", "left_semi")
+    index = settled(t.chunks(spark, d).where("blob_id < 12").select("chunk_id", "blob_id"))
+    blocks = bloom.blocks_for(index.count())
+    parts = [bloom.built(index.where(rule), "chunk_id", blocks) for rule in ("blob_id < 6", "blob_id >= 6")]
+    return bloom.missing(wanted, index, "chunk_id", settled(bloom.merged(*parts)), blocks)
+
+
 @query("SELECT chunk_id, max(length + 1000 * ord) AS last_seen_ms, any_value(length) AS length FROM manifest_chunks GROUP BY chunk_id")
 def chunk_dedup_upsert(spark, d):
     return t.manifest_chunks(spark, d).groupBy("chunk_id").agg(F.max(F.col("length") + 1000 * F.col("ord")).alias("last_seen_ms"), F.any_value("length").alias("length"))

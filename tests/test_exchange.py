@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foldlake.functions import columns, crypto
-from foldlake.operators import members, network, snapshots, state, storage, sync
+from foldlake.operators import bloom, members, network, snapshots, state, storage, sync
 
 
 def plain_closure(entries, founder):
@@ -140,3 +140,17 @@ def test_routes_see_only_the_past(spark):
     asked = spark.createDataFrame([(i, at, 2, 1) for i, at in enumerate((9, 10, 19, 20, 30))] + [(9, 25, 1, 1)], "id long, at long, from_id long, to_id long")
     got = {r["id"]: (r["outcome"], r["address"]) for r in sync.routed(asked, presence).collect()}
     assert got == {0: ("unavailable", None), 1: ("brokered", "a"), 2: ("brokered", "a"), 3: ("brokered", "b"), 4: ("unavailable", None), 9: ("unavailable", None)}
+
+
+@pytest.mark.parametrize("n", [0, 1, 20_000])
+def test_bloom_filter_knows_its_ids_and_few_others(spark, n):
+    ids = spark.range(n).select(F.sha2(F.col("id").cast("string"), 256).alias("c"))
+    others = spark.range(50_000, 60_000).select(F.sha2(F.col("id").cast("string"), 256).alias("c"))
+    blocks = bloom.blocks_for(n)
+    filters = bloom.merged(bloom.built(ids.where("c < '8'"), "c", blocks), bloom.built(ids.where("c >= '8'"), "c", blocks)).cache()
+    assert bloom.maybe(ids, "c", filters, blocks).where("_may").count() == n
+    wrong = bloom.maybe(others, "c", filters, blocks).where("_may").count()
+    assert wrong < 30  # some 0.1 % at 16 bits an id
+    assert filters.count() <= blocks
+    wanted = others.unionByName(ids.limit(100)).unionByName(others.limit(5))
+    assert sorted(r["c"] for r in bloom.missing(wanted, ids, "c", filters, blocks).collect()) == sorted(r["c"] for r in others.collect())
