@@ -71,13 +71,13 @@ def destination(root: Column, path: Column) -> Column:
 class BlobStore:
     """Blobs (``id`` in hex, ``data``, ``mod_ms``); a later put of an id replaces the blob.
 
-    Every put and every delete is one numbered folder ``n=<k>`` of rows, in folders of the ids' first byte; it counts once
-    Spark has committed it, so a run that ends in between changes nothing.  Of the rows of an id the last number counts.  One writer at
+    Every put and every delete is one numbered folder ``n=<k>`` of rows in order of ids, with the ids' first byte as ``shard``; it
+    counts once Spark has committed it, so a run that ends in between changes nothing.  Of the rows of an id the last number counts.  One writer at
     a time.
     """
 
     schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("data", T.BinaryType()), T.StructField("mod_ms", T.LongType()), T.StructField("gone", T.BooleanType())])
-    placed = T.StructType([*schema.fields, T.StructField("n", T.LongType()), T.StructField("shard", T.StringType())])
+    placed = T.StructType([*schema.fields, T.StructField("shard", T.StringType()), T.StructField("n", T.LongType())])
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -97,7 +97,8 @@ class BlobStore:
 
     def _write(self, rows: DataFrame) -> None:
         number = max(self._folders(""), default=0) + 1
-        rows.withColumn("shard", F.concat(F.lit("s"), F.substring("id", 1, 2))).write.partitionBy("shard").parquet(f"{self.path}/n={number}")
+        # in order of ids, so that files and row groups are passed over by their least and largest shard and id
+        rows.withColumn("shard", F.concat(F.lit("s"), F.substring("id", 1, 2))).repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{self.path}/n={number}")
 
     def _live(self, rows: DataFrame) -> DataFrame:
         """Ids that are there and the number of their last put; contents are not read."""
@@ -124,7 +125,7 @@ class BlobStore:
         return ids.join(self._live(self._rows(self._shards(ids))), "id", "left_anti")
 
     def get(self, ids: DataFrame) -> DataFrame:
-        """Blobs of some ids; only the folders of their first bytes are read."""
+        """Blobs of some ids; of the files only row groups with their first bytes are read."""
         rows = self._rows(self._shards(ids)).join(ids.select("id"), "id", "left_semi")
         return rows.join(self._live(rows), ["id", "n"], "left_semi").select("id", "data", "mod_ms")
 
