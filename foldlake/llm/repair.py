@@ -110,6 +110,10 @@ def kinds(df: DataFrame) -> tuple[str, pa.DataType]:
     return df.schema["conv"].dataType.simpleString(), to_arrow_type(df.schema["conv"].dataType)
 
 
+def arrow(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+
 def chunks(turns: DataFrame) -> DataFrame:
     """Chunks of turns in order (``conv, part, chunk``): initials, faults, roles, texts, and first, last and number of turn numbers."""
     rows = turns.select(F.col("conv_id").alias("conv"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"))
@@ -126,27 +130,33 @@ def chunks(turns: DataFrame) -> DataFrame:
     names = [x.split(" ")[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, size, before, held = TaskContext.get().partitionId(), 0, 0, None, []
+        part, number, size, before, held, out = TaskContext.get().partitionId(), 0, 0, None, [], []
         types = [id_type, pa.int32(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), *[pa.int64()] * 3]
 
-        def made() -> pa.RecordBatch:
-            conv, turns_, roles, texts, faults = held[0][0], *zip(*(r[1:] for r in held))
+        def chunk() -> tuple:
+            _, turns_, roles, texts, faults = zip(*held)
             known = [t for t in turns_ if t is not None]
-            values = [conv, part, number, "".join(r[0] if r[:1] in ("s", "u", "a") else "-" for r in roles), "".join(faults), list(roles), list(texts), known[0] if known else None, known[-1] if known else None, len(set(known))]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=names)
+            initials = "".join(r[0] if r[:1] in ("s", "u", "a") else "-" for r in roles)
+            return held[0][0], part, number, initials, "".join(faults), roles, texts, known[0] if known else None, known[-1] if known else None, len(set(known))
 
+        waiting = 0  # bytes of text in finished chunks
         for batch in batches:
             for conv, turn, role, sha, own, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and (conv != held[0][0] or len(held) >= ROWS or size >= BYTES):
-                    yield made()
-                    number, size, held = number + 1, 0, []
+                    out.append(chunk())
+                    number, waiting, size, held = number + 1, waiting + size, 0, []
+                    if waiting >= BYTES or len(out) >= ROWS:
+                        yield arrow(out, types, names)
+                        out, waiting = [], 0
                 if own != "b" and (conv, turn, role, sha) == before:
                     own = "d"
                 before = (conv, turn, role, sha)
                 held.append((conv, turn, role, text, own))
                 size += len(text)
         if held:
-            yield made()
+            out.append(chunk())
+        if out:
+            yield arrow(out, types, names)
 
     return map_arrow(rows.repartitionByRange(*order).sortWithinPartitions(*order), run, schema)
 
@@ -177,21 +187,20 @@ def audited(parts: DataFrame) -> DataFrame:
             at = to
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def out() -> pa.RecordBatch:
-            columns = list(zip(*cut(held)))
-            types = [id_type, pa.int32(), pa.int64(), pa.string(), *[pa.int64()] * 6]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
-
+        held, out, types = [], [], [id_type, pa.int32(), pa.int64(), pa.string(), *[pa.int64()] * 6]
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and row[0] != held[0][0]:
-                    yield out()
+                    out += cut(held)
                     held = []
+                    if len(out) >= 1000:
+                        yield arrow(out, types, names)
+                        out = []
                 held.append(row)
         if held:
-            yield out()
+            out += cut(held)
+        if out:
+            yield arrow(out, types, names)
 
     narrow = parts.select("conv", "part", "chunk", "initials", "faults", "first", "last", "turns")
     return map_arrow(narrow.repartition("conv").sortWithinPartitions("conv", "part", "chunk"), run, schema)
@@ -259,10 +268,7 @@ def hashed(parts: DataFrame, pieces: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, audit, digest, first = [], [], hashlib.sha256(), True
 
-        def made() -> pa.RecordBatch:
-            types = [id_type, *[pa.int64()] * 6, pa.string(), pa.string()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
-
+        types = [id_type, *[pa.int64()] * 6, pa.string(), pa.string()]
         for conv, piece, lines, counts in edited(batches):
             audit.append(piece)
             for line in lines:
@@ -272,10 +278,10 @@ def hashed(parts: DataFrame, pieces: DataFrame) -> DataFrame:
                 out.append((conv, *counts, "".join(audit), digest.hexdigest()))
                 audit, digest, first = [], hashlib.sha256(), True
                 if len(out) >= 1000:
-                    yield made()
+                    yield arrow(out, types, names)
                     out = []
         if out:
-            yield made()
+            yield arrow(out, types, names)
 
     schema = f"conv_id {kind}, " + ", ".join(f"{c} long" for c in names[1:7]) + ", audit string, repaired_sha256 string"
     return map_arrow(in_order(parts, pieces), run, schema)
