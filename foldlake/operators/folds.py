@@ -1,4 +1,5 @@
-"""Folds over events in order, with entries by key that are bounded in number: the registry of a server, the limiter of a gate.
+"""Folds over events in order, with entries by key that are bounded in number: the registry and the
+broker of a server, the limiter of a gate.
 
 A fold holds a dictionary of entries for each group (a server, a gate) and gives every event a result.  ``folded`` runs it over a table: groups
 stream through sorted partitions, memory is that of one group's entries.  ``streams.folded`` runs the same steps over a stream, with the
@@ -81,6 +82,48 @@ class Limiter:
         return bool(allowed), evicted, len(held)
 
 
+@dataclass(frozen=True)
+class Broker:
+    """Connections of a server that holds ``capacity`` nodes, and the requests that it brokers between them; entries: ``conn``, the live one.
+
+    ``kind`` of an event: up, down, request or malformed.  A node that is connected replaces its connection even if there is no room; a
+    new one is refused then.  The end of a connection that was replaced changes nothing.  A request comes over its node's live connection and needs
+    one of its target, which is another node; a malformed message is answered with an error, and the connection stays.  ``outcome``:
+    connected, replaced or refused; closed or stale; brokered, unavailable or not connected; bad request.  ``other`` is the connection that was replaced
+    or that a request goes to, ``size`` the number of connections after the event.
+    """
+
+    capacity: int
+    sweep: int = 31_536_000_000
+    columns = ("kind string", "conn long", "target long")
+    entry = "conn long, since long"
+    output = "outcome string, other long, size long"
+
+    def swept(self, held: dict, at: int) -> dict:
+        return held
+
+    def step(self, held: dict, event: int, at: int, key: object, kind: str, conn: int, target: int) -> tuple:
+        own, other = held.get(key), None
+        if kind == "up":
+            if own is None and len(held) >= self.capacity:
+                outcome = "refused"
+            else:
+                outcome, other = ("connected", None) if own is None else ("replaced", own[0])
+                held[key] = (conn, at)
+        elif own is None or own[0] != conn:
+            outcome = "stale" if kind == "down" else "not connected"
+        elif kind == "down":
+            del held[key]
+            outcome = "closed"
+        elif kind == "malformed":
+            outcome = "bad request"
+        elif target == key or target not in held:
+            outcome = "unavailable"
+        else:
+            outcome, other = "brokered", held[target][0]
+        return outcome, other, len(held)
+
+
 def run(fold, held: dict, events: Iterator[tuple], tick: int) -> Iterator[tuple]:
     """Results of a group's events; ``held`` ends as the entries that are left, ``tick`` is the time of the last sweep."""
     for event, at, key, *more in events:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foldlake.plans import content, exchange, folder, network, peers, storage, trees  # noqa: F401  fills the registry
+from foldlake.plans import content, exchange, folder, network, pages, peers, storage, trees  # noqa: F401  fills the registry
 from foldlake.plans.relations import ORACLES, QUERIES, Query
 
 

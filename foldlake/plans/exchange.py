@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foldlake.functions import columns
-from foldlake.operators import control, members, merkle, network, sync
+from foldlake.operators import control, folds, members, merkle, network, sync
 from foldlake.plans.relations import MERKLE, query, sql_base32
 from foldlake.sources import tables as t
 
@@ -160,6 +160,35 @@ def signal_routes(spark, d):
     return sync.routed(asked, presence)
 
 
+PLACES = 3
+#: Connections and requests of a server's nodes in order, as a recursive relation; a connection is named by a span of the node's events.
+BROKER = f"""visits AS (SELECT event_id AS id, user_id AS node, user_id // 5 AS server, CASE event_id % 6 WHEN 0 THEN 'up' WHEN 1 THEN 'up' WHEN 2 THEN 'down' WHEN 3 THEN 'malformed' ELSE 'request' END AS kind,
+  CASE WHEN event_id % 6 = 2 THEN event_id + 300 ELSE event_id END // 1000 AS conn, user_id // 5 * 5 + event_id % 5 AS target, row_number() OVER (PARTITION BY user_id // 5 ORDER BY event_id) AS k FROM events),
+brokered AS (
+  SELECT server, 0::BIGINT AS k, 0::BIGINT AS id, 0::BIGINT AS node, '' AS outcome, NULL::BIGINT AS other, []::STRUCT(n BIGINT, c BIGINT)[] AS held FROM (SELECT DISTINCT server FROM visits)
+  UNION ALL
+  SELECT server, k, id, node, CASE WHEN kind = 'up' THEN CASE WHEN own IS NOT NULL THEN 'replaced' WHEN len(was) >= {PLACES} THEN 'refused' ELSE 'connected' END
+      WHEN own IS DISTINCT FROM conn THEN CASE kind WHEN 'down' THEN 'stale' ELSE 'not connected' END WHEN kind = 'down' THEN 'closed' WHEN kind = 'malformed' THEN 'bad request' WHEN target = node OR goes IS NULL THEN 'unavailable' ELSE 'brokered' END,
+    CASE WHEN kind = 'up' THEN own WHEN kind = 'request' AND own = conn AND target <> node THEN goes END,
+    CASE WHEN kind = 'up' AND (own IS NOT NULL OR len(was) < {PLACES}) THEN list_filter(was, lambda x: x.n <> node) || [{{'n': node, 'c': conn}}] WHEN kind = 'down' AND own = conn THEN list_filter(was, lambda x: x.n <> node) ELSE was END
+  FROM (SELECT v.*, l.held AS was, list_filter(l.held, lambda x: x.n = v.node)[1].c AS own, list_filter(l.held, lambda x: x.n = v.target)[1].c AS goes FROM visits v JOIN brokered l ON v.server = l.server AND v.k = l.k + 1))"""
+
+
+def connections(events):
+    """Connections and requests of servers with five nodes each."""
+    e, u = F.col("event_id"), F.col("user_id")
+    kind = F.when(e % 6 < 2, "up").when(e % 6 == 2, "down").when(e % 6 == 3, "malformed").otherwise("request")
+    conn = F.floor(F.when(e % 6 == 2, e + 300).otherwise(e) / 1000)
+    return events.select(F.floor(u / 5).alias("group"), e.alias("id"), e.alias("at"), u.alias("key"), kind.alias("kind"), conn.alias("conn"), (F.floor(u / 5) * 5 + e % 5).alias("target"))
+
+
+@query("SELECT id, server, node, outcome, other, len(held)::BIGINT AS size FROM brokered WHERE k > 0", BROKER)
+def signal_broker(spark, d):
+    """Connections of a server with three places, what replaces and what is refused, and the requests over them."""
+    out = folds.folded(connections(t.table(spark, d, "events")), folds.Broker(PLACES))
+    return out.select("id", F.col("group").alias("server"), F.col("key").alias("node"), "outcome", "other", "size")
+
+
 NODE = sql_base32("sha256(s_name)")
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foldlake.operators import control, folds, network, state, vectors
+from foldlake.plans.exchange import connections
 from foldlake.sources import tables
 from foldlake.streaming import streams
 
@@ -71,6 +72,24 @@ def test_folds_of_streams_equal_tables(spark, parts, rocks, tmp_path, name):
         assert got.where("evicted is not null").count() > 10
 
 
+def test_a_broker_of_a_stream_equals_that_of_a_table(spark, parts, rocks, tmp_path):
+    pick = lambda df: connections(df.select(F.col("seq").alias("event_id"), (F.col("seq") * 7 % 23).alias("user_id")))
+    got, want = appended(streams.folded(pick(stream(spark, parts)), folds.Broker(3)), tmp_path), folds.folded(pick(spark.read.parquet(parts)), folds.Broker(3))
+    assert rows(got) == rows(want) and got.select("outcome").distinct().count() == 9 and got.agg(F.max("size")).first()[0] == 3
+
+
+def test_a_broker_replaces_at_capacity_and_refuses_new_nodes(spark):
+    events = [
+        (1, "a", "up", 1, None, "connected", None, 1), (2, "b", "up", 2, None, "connected", None, 2), (3, "c", "up", 3, None, "refused", None, 2), (4, "c", "request", 3, "a", "not connected", None, 2),
+        (5, "a", "up", 4, None, "replaced", 1, 2), (6, "a", "down", 1, None, "stale", None, 2), (7, "b", "request", 2, "a", "brokered", 4, 2), (8, "b", "request", 2, "b", "unavailable", None, 2),
+        (9, "b", "malformed", 2, None, "bad request", None, 2), (10, "b", "request", 2, "x", "unavailable", None, 2), (11, "a", "down", 4, None, "closed", None, 1), (12, "b", "request", 2, "a", "unavailable", None, 1), (13, "c", "up", 5, None, "connected", None, 2),
+    ]
+    df = spark.createDataFrame([(1, k, k, *e[:4]) for k, *e in events], "group int, id long, at long, key string, kind string, conn long, target string")
+    broker = folds.Broker(2)
+    got = [(r["outcome"], r["other"], r["size"]) for r in folds.folded(df, broker).orderBy("id").collect()]
+    assert got == [tuple(e[5:]) for e in events]
+
+
 def test_an_expired_node_gives_its_place_back(spark):
     events = [(1, 0, "a", False, 100), (2, 50, "b", False, 100), (3, 120, "b", False, 100), (4, 130, "b", True, 0), (5, 140, "a", True, 0), (6, 150, "b", False, 100), (7, 1000, "c", False, 100), (8, 1050, "d", True, 0), (9, 2000, "d", False, 100)]
     df = spark.createDataFrame([(1, *e) for e in events], "group int, id long, at long, key string, lookup boolean, ttl long")
