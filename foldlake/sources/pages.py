@@ -41,19 +41,22 @@ MOST = 1 << 62
 def publish(feed: DataFrame, root: str, epoch: int, budget: int, row_bytes: int, chunk_bytes: int) -> int:
     """Write the feed (``seq``, the columns of a version, ``chunks``) and its page headers; gives the number of the new version.
 
-    ``seq`` is unique.  Rows and headers are sorted, so a consumer opens only the row groups behind its cursor.
+    ``seq`` is unique.  Rows and headers are sorted, so a consumer opens only the row groups behind its cursor.  Pages are packed in blocks of
+    consecutive versions, one task each: the last page of a block may have room left.
     """
     if budget < row_bytes:
         raise ValueError("a page must have room for a version without chunks")
     spark, root = feed.sparkSession, root.rstrip("/")
     number = max(versions(root), default=-1) + 1
-    feed.select(*STORED[:-1], F.coalesce("chunks", F.array().cast(CHUNKS)).alias("chunks")).orderBy("seq").write.mode("overwrite").parquet(f"{root}/v{number}/rows")
-    rows = spark.read.parquet(f"{root}/v{number}/rows").select("seq", F.size("chunks").cast("bigint").alias("chunks"))
-    headers = delta_pages(rows.withColumn("folder", F.lit("")), budget, row_bytes, chunk_bytes)
+    own = feed.select(*STORED[:-1], F.coalesce("chunks", F.array().cast(CHUNKS)).alias("chunks"))
+    ranged = own.repartitionByRange("seq").sortWithinPartitions("seq").withColumn("block", F.spark_partition_id())
+    ranged.write.mode("overwrite").parquet(f"{root}/v{number}/rows")
+    rows = spark.read.parquet(f"{root}/v{number}/rows").select("block", "seq", F.size("chunks").cast("bigint").alias("chunks"))
+    headers = delta_pages(rows.withColumn("folder", F.col("block").cast("string")), budget, row_bytes, chunk_bytes)
     sliced = headers.join(rows.select(F.col("seq").alias("last_seq"), F.col("chunks").alias("_all")), "last_seq")
     more = (F.col("first_seq") == F.col("last_seq")) & (F.col("chunk_to") < F.col("_all"))
-    out = sliced.select("page", F.lit(epoch).cast("bigint").alias("epoch"), "last_seq", F.when(more, F.col("chunk_to")).otherwise(0).alias("chunk"))
-    out.orderBy("page").write.mode("overwrite").parquet(f"{root}/v{number}/pages")
+    out = sliced.select(F.lit(epoch).cast("bigint").alias("epoch"), "last_seq", F.when(more, F.col("chunk_to")).otherwise(0).alias("chunk"))
+    out.orderBy("last_seq", F.when(F.col("chunk") == 0, MOST).otherwise(F.col("chunk"))).write.mode("overwrite").parquet(f"{root}/v{number}/pages")
     return number
 
 

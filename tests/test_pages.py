@@ -107,7 +107,7 @@ def test_bad_pages_are_refused(spark, tmp_path):
     with pytest.raises(ValueError, match="room"):
         pages.publish(feed(spark, *VERSIONS), root, 1, 5, 10, 20)
     publish(spark, root, 1, VERSIONS)
-    stuck = spark.createDataFrame([(0, 1, 4, 4), (1, 1, 4, 4)], "page long, epoch long, last_seq long, chunk long")
+    stuck = spark.createDataFrame([(1, 4, 4), (1, 4, 4)], "epoch long, last_seq long, chunk long")
     stuck.coalesce(1).write.mode("overwrite").parquet(f"{root}/v0/pages")
     with pytest.raises(ValueError, match="does not move on"):
         pages.PageStream({"path": root}).latestOffset()
@@ -115,6 +115,22 @@ def test_bad_pages_are_refused(spark, tmp_path):
         pages.PageStream({"path": root, "pages": "0"})
 
 
+def test_pages_of_several_blocks(spark, tmp_path):
+    root, replica = str(tmp_path / "peer"), Replica(spark, str(tmp_path / "own"), "f", "p")
+    many = [version(k, k % 7) for k in range(1, 60)]
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        publish(spark, root, 1, many)
+    finally:
+        spark.conf.set(name, before)
+    assert spark.read.parquet(f"{root}/v0/rows").select("block").distinct().count() > 1
+    cursors = [(r["last_seq"], r["chunk"] or pages.MOST) for r in spark.read.parquet(f"{root}/v0/pages").collect()]
+    assert len(set(cursors)) == len(cursors) and max(cursors) == (59, pages.MOST)
+    assert replica.pull(root, 20) == (1, 59, 0) and lists(replica) == want(*many)
+
+
 def test_an_empty_feed_and_local_rows(spark, tmp_path):
     root, replica = str(tmp_path / "peer"), Replica(spark, str(tmp_path / "own"), "f", "p")
     publish(spark, root, 1, [])
