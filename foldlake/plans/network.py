@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import shutil
+import uuid
+
 from pyspark.sql import functions as F
 
 from foldlake.functions import columns
 from foldlake.operators import control, folds, network, sync
 from foldlake.plans.relations import query, sql_base32
+from foldlake.session import settled, shared_dir
 from foldlake.sources import tables as t
+from foldlake.sources import trees
+from foldlake.streaming.ingest import TelemetryStore
 
 FIRST, SECOND = (10, 127, 169, 172, 192, 100, 8, 224, 0, 300), (0, 16, 64, 168, 254, 31)
 KINDS = ("lan", "public", "stun", "lan", "other")
@@ -230,6 +236,28 @@ def telemetry_capped(spark, d):
     return network.telemetry_capped(t.table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("props").alias("fields")), 20_000).select("id")
 
 
+DISK = 3000
+
+
+@query(f"""SELECT id, CASE WHEN judged <> 'ok' THEN judged WHEN before >= {DISK} THEN 'full' ELSE 'ok' END AS outcome, CASE WHEN judged = 'ok' AND before < {DISK} THEN fields END AS fields FROM (
+  SELECT *, coalesce(sum(CASE WHEN judged = 'ok' THEN strlen(fields) ELSE 0 END) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (
+    SELECT event_id AS id, props AS fields, CASE WHEN user_id % 5 = 3 THEN 'denied' WHEN event_id % 9 = 4 OR props IS NULL THEN 'bad request' WHEN event_id % 10 = 3 THEN 'bad version' ELSE 'ok' END AS judged FROM events))""")
+def telemetry_ingested(spark, d):
+    """Lines that come as a stream, in two runs of it: the outcome of each, and what is stored until the cap is reached."""
+    root = f"{shared_dir(spark)}/foldlake-{uuid.uuid4().hex}"
+    e = F.col("event_id")
+    body = F.to_json(F.struct(F.concat(F.lit("i"), "user_id").alias("install_id"), F.when(e % 10 == 3, 2).otherwise(1).alias("schema_version"), e.alias("event_millis"), F.col("props").alias("fields")))
+    lines = t.table(spark, d, "events").select(e.alias("id"), F.col("user_id").alias("node_id"), F.when(e % 9 == 4, "{").otherwise(body).alias("value"))
+    half = (lines.agg(F.max("id")).first()[0] or 0) // 2
+    store = TelemetryStore(spark, f"{root}/store", DISK, lambda: F.col("node_id") % 5 != 3)
+    for part in (lines.where(F.col("id") <= half), lines.where(F.col("id") > half)):
+        part.write.mode("append").parquet(f"{root}/lines")
+        store.fed_by(spark.readStream.schema(lines.schema).parquet(f"{root}/lines"), f"{root}/checkpoint").awaitTermination()
+    out = settled(store.outcomes().join(store.records().select("id", "fields"), "id", "left"))
+    shutil.rmtree(trees.local(root))
+    return out
+
+
 @query("""SELECT peer, "at", CAST(CASE WHEN ok THEN 0 ELSE least(pow(2, least(sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY peer, island ORDER BY "at"), 30) - 1), 60) END AS BIGINT) AS wait
 FROM (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY peer ORDER BY "at") AS island FROM attempts)""",
 """attempts AS (SELECT user_id AS peer, event_id AS "at", event_type = 'purchase' AS ok FROM events)""")

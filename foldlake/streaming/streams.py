@@ -308,9 +308,9 @@ def folded(events: DataFrame, fold, watermark: str = "0 seconds") -> DataFrame:
     return timed.groupBy("group").transformWithStateInPandas(FoldProcessor(fold, kind, columns), folds.schema(events, fold), "Append", "EventTime")
 
 
-def telemetry(lines: DataFrame, known: Column, version: int = 1) -> DataFrame:
-    """Records of a JSON line stream (``value, node_id``) with the outcome of each; the sender's id never comes from the body."""
+def telemetry(lines: DataFrame, known: Column, version: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Records of a JSON line stream (``value, node_id``, columns to keep) with the outcome of each; the sender's id never comes from the body."""
     body = F.from_json("value", "install_id string, schema_version int, event_millis long, fields string")
-    rows = lines.select("node_id", known.alias("_known"), body.alias("b"))
+    rows = lines.select(*keep, "node_id", known.alias("_known"), body.alias("b"))
     outcome = F.when(~F.col("_known"), "denied").when(F.col("b.install_id").isNull() | F.col("b.fields").isNull(), "bad request").when(F.col("b.schema_version") != version, "bad version").otherwise("ok")
-    return rows.select("node_id", "b.*", outcome.alias("outcome"))
+    return rows.select(*keep, "node_id", "b.*", outcome.alias("outcome"))
