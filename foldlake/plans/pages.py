@@ -18,7 +18,7 @@ from foldlake.streaming.replica import Replica
 
 #: A page takes a version of two chunks; one of three comes in two slices.
 BUDGET, ROW, REF = 200, 96, 40
-BATCH = 2000
+BATCH = 700
 
 
 def side(spark, d, every: int) -> DataFrame:
