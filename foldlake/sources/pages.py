@@ -2,7 +2,8 @@
 
 A peer publishes the versions of a folder together with the headers of its pages (``publish``).  A consumer's offset is its cursor: the epoch of
 the peer's index, the last sequence, and within a version whose chunk list spans pages the chunks that it has.  Each trigger moves the
-cursor on by ``pages`` pages at most.  The cursor and not a page's number says what comes next, so pages may be cut
+cursor on by ``pages`` pages at most; with ``grow`` by as many as the stream has taken before, if that is more, so that a consumer who rewrites
+its table at each batch does so a logarithmic number of times.  The cursor and not a page's number says what comes next, so pages may be cut
 anew when the feed has grown; a cursor of another epoch starts from nothing.
 
 Every ``publish`` writes a version of its own, and an offset names the version that it is read from, so a batch that runs again reads
@@ -36,6 +37,8 @@ STORED = ["seq", "path", "manifest_id", "vector", "author", "authored_ms", "dele
 
 #: Behind every number of chunks.
 MOST = 1 << 62
+#: Pages of a task at most, and bytes of a row group: a task decodes little beside its own rows.
+TASK, GROUP = 4096, 1 << 20
 
 
 def publish(feed: DataFrame, root: str, epoch: int, budget: int, row_bytes: int, chunk_bytes: int) -> int:
@@ -50,13 +53,13 @@ def publish(feed: DataFrame, root: str, epoch: int, budget: int, row_bytes: int,
     number = max(versions(root), default=-1) + 1
     own = feed.select(*STORED[:-1], F.coalesce("chunks", F.array().cast(CHUNKS)).alias("chunks"))
     ranged = own.repartitionByRange("seq").sortWithinPartitions("seq").withColumn("block", F.spark_partition_id())
-    ranged.write.mode("overwrite").parquet(f"{root}/v{number}/rows")
+    ranged.write.mode("overwrite").option("parquet.block.size", GROUP).parquet(f"{root}/v{number}/rows")
     rows = spark.read.parquet(f"{root}/v{number}/rows").select("block", "seq", F.size("chunks").cast("bigint").alias("chunks"))
     headers = delta_pages(rows.withColumn("folder", F.col("block").cast("string")), budget, row_bytes, chunk_bytes)
     sliced = headers.join(rows.select(F.col("seq").alias("last_seq"), F.col("chunks").alias("_all")), "last_seq")
     more = (F.col("first_seq") == F.col("last_seq")) & (F.col("chunk_to") < F.col("_all"))
     out = sliced.select(F.lit(epoch).cast("bigint").alias("epoch"), "last_seq", F.when(more, F.col("chunk_to")).otherwise(0).alias("chunk"))
-    out.orderBy("last_seq", F.when(F.col("chunk") == 0, MOST).otherwise(F.col("chunk"))).write.mode("overwrite").parquet(f"{root}/v{number}/pages")
+    out.orderBy("last_seq", F.when(F.col("chunk") == 0, MOST).otherwise(F.col("chunk"))).write.mode("overwrite").option("parquet.block.size", GROUP).parquet(f"{root}/v{number}/pages")
     return number
 
 
@@ -88,6 +91,7 @@ class PageStream(DataSourceStreamReader):
         self.pages, self.parts = int(options.get("pages", 64)), int(options.get("parts", 16))
         if self.pages < 1 or self.parts < 1:
             raise ValueError("pages and parts must be positive")
+        self.grow, self.taken = options.get("grow", "false").lower() == "true", 0
         self.at = {"version": int(options.get("version", -1)), "epoch": int(options.get("epoch", -1)), "seq": int(options.get("seq", -1)), "chunk": int(options.get("chunk", 0))}
 
     def initialOffset(self) -> dict:
@@ -113,7 +117,7 @@ class PageStream(DataSourceStreamReader):
         version, at = found[-1], self.at
         first = next(iter(self.headers(version, at["epoch"], (-1, 0))), None)
         after = (at["seq"], at["chunk"]) if first and first[0] == at["epoch"] else (-1, 0)
-        for epoch, seq, chunk in islice(self.headers(version, at["epoch"], after), self.pages):
+        for epoch, seq, chunk in islice(self.headers(version, at["epoch"], after), max(self.pages, self.taken if self.grow else 0)):
             at = {"version": version, "epoch": epoch, "seq": seq, "chunk": chunk}
         return at
 
@@ -122,13 +126,18 @@ class PageStream(DataSourceStreamReader):
         if all(start[k] == end[k] for k in ("epoch", "seq", "chunk")):
             return []
         after = (start["seq"], start["chunk"]) if start["epoch"] == end["epoch"] else (-1, 0)
-        upto, cuts = (end["seq"], end["chunk"]), []
-        for _, seq, chunk in self.headers(end["version"], end["epoch"], after):
-            cuts.append((seq, chunk))
-            if cuts[-1] == upto:
-                break
-        step = -(-len(cuts) // self.parts)
-        cuts = [*cuts[step - 1 : -1 : step], upto]
+        upto = end["seq"], end["chunk"]
+
+        def between() -> Iterator[tuple[int, int]]:
+            for _, seq, chunk in self.headers(end["version"], end["epoch"], after):
+                yield seq, chunk
+                if (seq, chunk) == upto:
+                    break
+
+        pages = sum(1 for _ in between())
+        self.taken += pages
+        step = max(1, min(TASK, -(-pages // self.parts)))
+        cuts = [*islice(between(), step - 1, max(pages - 1, 0), step), upto]
         return [Stretch(end["version"], end["epoch"], a, b) for a, b in zip([after, *cuts], cuts)]
 
     def read(self, part: Stretch) -> Iterator[tuple]:
@@ -161,7 +170,7 @@ class PageSource(DataSource):
         return PageStream(self.options)
 
 
-def stream(spark: SparkSession, root: str, pages: int = 64, **cursor: int) -> DataFrame:
-    """Slices behind a cursor (``epoch``, ``seq``, ``chunk``), ``pages`` pages a trigger."""
+def stream(spark: SparkSession, root: str, pages: int = 64, grow: bool = False, **cursor: int) -> DataFrame:
+    """Slices behind a cursor (``epoch``, ``seq``, ``chunk``), ``pages`` pages a trigger, or with ``grow`` as many as were taken before."""
     spark.dataSource.register(PageSource)
-    return spark.readStream.format("pages").option("pages", pages).options(**{k: str(v) for k, v in cursor.items()}).load(root)
+    return spark.readStream.format("pages").option("pages", pages).option("grow", grow).options(**{k: str(v) for k, v in cursor.items()}).load(root)

@@ -96,10 +96,13 @@ class Replica(DeltaTable):
         return slices.where(single).select(*columns).unionByName(joined.where(complete).select(*columns))
 
     def follow(self, root: str, pages_: int = 64, once: bool = False) -> StreamingQuery:
-        """Start the stream behind the cursor of the table; ``once`` stops it after one batch."""
+        """Start the stream behind the cursor of the table; ``once`` stops it after one batch.
+
+        The first batch has ``pages_`` pages at most.  Each batch rewrites the rows, so a later one may take as many as those before it together.
+        """
         at = self.position()
         cursor = dict(zip(("epoch", "seq", "chunk"), at)) if at else {}
-        writer = pages.stream(self.spark, root, pages_, **cursor).writeStream.foreachBatch(lambda batch, _: self.step(batch) and None)
+        writer = pages.stream(self.spark, root, pages_, grow=True, **cursor).writeStream.foreachBatch(lambda batch, _: self.step(batch) and None)
         writer = writer.option("checkpointLocation", self.checkpoint)
         return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="0 seconds")).start()
 

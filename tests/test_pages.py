@@ -138,3 +138,27 @@ def test_an_empty_feed_and_local_rows(spark, tmp_path):
     assert replica.pull(root) is None and replica.read().count() == 1
     with pytest.raises(ValueError, match="already"):
         replica.begin(replica.read())
+
+
+def test_batches_grow_with_what_was_taken(spark, tmp_path):
+    """A table that is rewritten at each batch is rewritten a logarithmic number of times."""
+    root, replica = str(tmp_path / "peer"), Replica(spark, str(tmp_path / "own"), "f", "p")
+    many = [version(k, k % 7) for k in range(1, 40)]
+    publish(spark, root, 1, many)
+    total = spark.read.parquet(f"{root}/v0/pages").count()
+    stream, at, sizes, rows = pages.PageStream({"path": root, "pages": "2", "parts": "3", "grow": "true"}), None, [], []
+    while (end := stream.latestOffset()) != at:
+        before, at = at or stream.initialOffset(), end
+        parts = stream.partitions(before, end)
+        assert len(parts) <= 3 + 1
+        rows += [r for p in parts for r in stream.read(p)]
+        sizes.append(stream.taken)
+    assert sizes[-1] == total and sizes[:4] == [2, 4, 8, 16] and len(sizes) <= total.bit_length()
+    got = {}
+    for r in rows:
+        assert len(got.setdefault(r[0], [])) == r[9]
+        got[r[0]] += r[7]
+    assert got == {v[0]: v[7] for v in many}
+    # the pull of a replica has batches of that kind
+    assert replica.pull(root, 2) == (1, 39, 0) and lists(replica) == want(*many)
+    assert replica.version() + 1 <= len(sizes)
