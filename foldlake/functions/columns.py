@@ -218,9 +218,11 @@ def parse_size(text: Column) -> Column:
     return F.when(t == "", F.lit(0).cast("bigint")).otherwise(F.try_multiply(digits.try_cast("bigint"), factor))
 
 
-def format_size(n: Column) -> Column:
+def format_size(n: Column, largest: str = "TB") -> Column:
+    """Size with one decimal in steps of 1000; above ``largest`` no other unit is taken."""
+    steps = ((10**3, "KB"), (10**6, "MB"), (10**9, "GB"), (10**12, "TB"))
     out = F.format_string("%dB", n)
-    for limit, unit in ((10**3, "KB"), (10**6, "MB"), (10**9, "GB"), (10**12, "TB")):
+    for limit, unit in steps[: [u for _, u in steps].index(largest) + 1]:
         out = F.when(n < limit, out).otherwise(F.format_string(f"%.1f{unit}", n / limit))
     return out
 

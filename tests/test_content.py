@@ -1,9 +1,10 @@
 """Content queries without SQL against plain Python over the same tables, and published digests."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from foldlake.functions import chunking, crypto
+from foldlake.functions import chunking, columns, crypto
 from foldlake.functions.digest import blake3
 from foldlake.plans import catalog
 from tests.test_encodings import slow_boundaries
@@ -55,3 +56,16 @@ def test_keys_of_folders(spark, sf):
     assert got == {n: crypto.verifier(hashlib.sha256(n.encode()).digest()).hex().upper() for n in names}
     keys = {r.n_name: r.key for r in QUERIES["passphrase_keys"](spark, sf).where(F.col("n_name") < "C").collect()}
     assert keys == {n: crypto.passphrase_key(n, hashlib.sha256(n.encode()).digest()).hex().upper() for n in names if n < "C"}
+
+
+def test_sizes_beyond_a_terabyte_equal_sql(spark, tmp_path):
+    """From a key of 100,000 on sizes reach 10**12, which the SQL writes in GB; the function writes TB unless told otherwise."""
+    keys = [1, 3, 99_999, 100_000, 123_456, 899_999, 900_000]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM read_parquet('{tmp_path}/customer.parquet/*.parquet')")
+    want = dict(con.execute(catalog.oracle_sql()["size_format"]).fetchall())
+    assert {r["id"]: r["size"] for r in QUERIES["size_format"](spark, str(tmp_path)).collect()} == want
+    assert want[100_000] == "1000.0GB"
+    n = spark.createDataFrame([(10**12,), (10**12 - 10**9,)], "n long")
+    assert [r[0] for r in n.select(columns.format_size(F.col("n"))).collect()] == ["1.0TB", "999.0GB"]
