@@ -1,7 +1,7 @@
 """File trees as a Spark data source: ``tree`` lists a tree, streams its changes and takes rows as files.
 
 ``binaryFile`` has neither modes, inodes and link targets nor an account of what it could not read, so this source goes to the file system
-itself.  Driver and executors must see the root under one path (a mounted share); a listing is one task a subtree, a change stream one
+itself.  Driver and executors must see the root under one path (a mounted share); a listing is one task a subtree or a share of one, a change stream one
 task a bucket of top folders, and files are staged and placed by tasks.
 
 Listing (``spark.read.format("tree").load(root)``): one row a path below the root with ``path, kind, mode, size, mtime_ns, inode, target,
@@ -23,6 +23,8 @@ import stat
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import ExitStack
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -38,6 +40,8 @@ EVENTS = "path string, kind string, op int, mode int, size long, mtime_ns long,
 ENTRY = pa.schema([("path", pa.string()), ("kind", pa.string()), ("mode", pa.int32()), ("size", pa.int64()), ("mtime_ns", pa.int64()), ("inode", pa.int64()), ("target", pa.string()), ("error", pa.string())])
 #: Rows and bytes of content of a batch on its way to Spark.
 ROWS, BYTES = 4096, 4 << 20
+#: Entries that the driver looks at before it leaves the rest to tasks; files that a task has open while they go to disk.
+LOOK, OPEN = 1 << 14, 128
 
 
 def local(path: str) -> str:
@@ -77,9 +81,14 @@ def names(root: str, folder: str) -> tuple[list[str], str | None]:
         return [], e.strerror
 
 
-def walk(root: str, folder: str, deep: bool) -> Iterator[tuple]:
-    """Rows of what is in a folder, and below it if ``deep``; a folder that cannot be read has its row with the error."""
+def walk(root: str, folder: str, deep: bool, share: int = 0, of: int = 1) -> Iterator[tuple]:
+    """Rows of what is in a folder, and below it if ``deep``; a folder that cannot be read has its row with the error.
+
+    Of ``of`` walks each takes its ``share`` of the folder's own entries, by their names, with what is below them.
+    """
     below, error = names(root, folder)
+    if of > 1:
+        below = [p for p in below if zlib.crc32(os.fsencode(p)) % of == share]
     todo = below[::-1]
     if error and folder:
         yield (*entry(root, folder)[:7], error)
@@ -104,10 +113,15 @@ def check_root(root: str) -> str:
 class Subtree(InputPartition):
     folder: str
     deep: bool
+    share: int = 0
+    of: int = 1
 
 
 class TreeReader(DataSourceReader):
-    """A partition for each subtree: the driver opens folders from the root down until there are enough, and lists no others."""
+    """``parts`` partitions at most: the driver opens folders from the root down while it has few to look at.
+
+    Below, a partition takes a share of a folder's entries, so neither a wide folder nor many small ones make it one task or a task each.
+    """
 
     def __init__(self, options: dict[str, str]):
         self.root, self.content, self.parts = local(options["path"]), options.get("content", "false").lower() == "true", int(options.get("parts", 256))
@@ -125,15 +139,35 @@ class TreeReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         check_root(self.root)
-        level, out = [""], []
+        level, out, seen = [""], [], 0
         while level and len(out) + len(level) < self.parts:
+            below = []
+            for folder in level:
+                for e in self.opened(folder):
+                    seen += 1
+                    if seen > LOOK:
+                        break
+                    below += [e] if e else []
+            if seen > LOOK or len(out) + len(level) + len(below) > self.parts:
+                break
             out += [Subtree(folder, False) for folder in level]
-            level = [p for folder in level for p in names(self.root, folder)[0] if self.wanted(p) and os.path.isdir(f"{self.root}/{p}") and not os.path.islink(f"{self.root}/{p}")]
-        return out + [Subtree(folder, True) for folder in level]
+            level = sorted(below)
+        of = max(1, (self.parts - len(out)) // max(1, len(level)))
+        return out + [Subtree(folder, True, share, of) for folder in level for share in range(of)]
+
+    def opened(self, folder: str) -> Iterator[str | None]:
+        """For each entry of a folder its path if it is a folder to go into; nothing of one that cannot be read."""
+        try:
+            with os.scandir(f"{self.root}/{folder}" if folder else self.root) as found:
+                for e in found:
+                    path = f"{folder}/{e.name}" if folder else e.name
+                    yield path if e.name != STAGING and e.is_dir(follow_symlinks=False) and self.wanted(path) else None
+        except OSError:
+            return
 
     def rows(self, part: Subtree) -> Iterator[tuple]:
         opened = part.folder
-        for row in walk(self.root, opened, part.deep):
+        for row in walk(self.root, opened, part.deep, part.share, part.of):
             # a folder that is a partition of its own is listed here, by the folder that it is in, with what its partition will find
             if row[1] == "dir" and not part.deep and row[0] != opened:
                 row = (*row[:7], names(self.root, row[0])[1])
@@ -276,22 +310,28 @@ class TreeWriter(DataSourceArrowWriter):
         task = f"{self.stage}/{uuid.uuid4().hex}"
         os.mkdir(task, mode=0o700)
         n, rows = 0, []
-        for batch in batches:
-            for row in batch.to_pylist():
-                path, kind, deleted = row["path"], row.get("kind") or "regular", bool(row.get("deleted"))
-                inside(self.root, path)
-                target = row.get("target") if kind == "symlink" else None
-                if kind == "symlink" and not deleted:
-                    lands = os.path.normpath(os.path.join(os.path.dirname(path), target or "/"))
-                    if lands.startswith("/") or lands.split("/")[0] == "..":
-                        raise ValueError(f"link target leaves the root: {path!r}")
-                body = None if deleted or kind != "regular" or row.get("content") is None else f"{task}/{n}"
-                if body:
-                    with open(body, "wb") as f:
+        for part in (b.slice(k, OPEN) for b in batches for k in range(0, b.num_rows, OPEN)):
+            with ExitStack() as files:
+                held = []
+                for row in part.to_pylist():
+                    path, kind, deleted = row["path"], row.get("kind") or "regular", bool(row.get("deleted"))
+                    inside(self.root, path)
+                    target = row.get("target") if kind == "symlink" else None
+                    if kind == "symlink" and not deleted:
+                        lands = os.path.normpath(os.path.join(os.path.dirname(path), target or "/"))
+                        if lands.startswith("/") or lands.split("/")[0] == "..":
+                            raise ValueError(f"link target leaves the root: {path!r}")
+                    body = None if deleted or kind != "regular" or row.get("content") is None else f"{task}/{n}"
+                    if body:
+                        held.append(f := files.enter_context(open(body, "wb")))
                         f.write(row["content"])
-                        os.fsync(f.fileno())
-                rows.append((path, "deleted" if deleted else kind, row.get("mode"), target, body))
-                n += 1
+                        f.flush()
+                    rows.append((path, "deleted" if deleted else kind, row.get("mode"), target, body))
+                    n += 1
+                # all are written before the first is forced to disk, so they share the journal's commits
+                if held:
+                    with ThreadPoolExecutor(8) as pool:
+                        list(pool.map(lambda f: os.fsync(f.fileno()), held))
         manifest = f"{task}/manifest"
         feather.write_feather(pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(PLACING)], schema=PLACING), manifest)
         return Staged(manifest, len(rows))

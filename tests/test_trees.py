@@ -148,3 +148,34 @@ def test_resume(spark, tmp_path, monkeypatch):
     listed = {r["path"]: bytes(r["content"]) for r in trees.listing(spark, root, content=True).where("kind = 'regular'").collect()}
     assert listed == {f"d{k % 3}/f{k}": b"%d" % k for k in range(30)}
     assert trees.resume(spark, root) == 0
+
+
+@pytest.mark.parametrize("parts, look", [(1, 1 << 14), (8, 1 << 14), (64, 1 << 14), (64, 30), (1000, 10), (1000, 1 << 14)])
+def test_partitions_do_not_grow_with_the_tree(tmp_path, monkeypatch, parts, look):
+    """Wide folders and many empty ones are spread over a bounded number of tasks, each path in one of them."""
+    for k in range(400):
+        put(str(tmp_path), f"s{k % 5}/f{k}")
+        os.makedirs(f"{tmp_path}/s{k % 5}/e{k}")
+    put(str(tmp_path), "s1/e1/deep/x"), put(str(tmp_path), "top")
+    monkeypatch.setattr(trees, "LOOK", look)
+    reader = trees.TreeReader({"path": str(tmp_path), "parts": str(parts)})
+    split = [[r[0] for r in reader.rows(p)] for p in reader.partitions()]
+    assert len(split) <= parts
+    want = sorted(os.path.relpath(os.path.join(at, x), tmp_path) for at, dirs, plain in os.walk(tmp_path) for x in dirs + plain)
+    assert sorted(p for rows in split for p in rows) == want
+    if parts == 64:
+        assert max(map(len, split)) < 40  # no folder of 160 entries is one task
+
+
+def test_files_are_forced_to_disk_before_the_commit(tmp_path, monkeypatch):
+    """Every staged file is synced once, whole, after all those that are open with it were written."""
+    import pyarrow as pa
+
+    synced, sync = {}, os.fsync
+    monkeypatch.setattr(os, "fsync", lambda fd: (synced.__setitem__(os.readlink(f"/proc/self/fd/{fd}"), os.fstat(fd).st_size), sync(fd)) and None)
+    writer = trees.TreeWriter({"path": str(tmp_path), "place": "later", "job": "j"})
+    bodies = [b"x" * k for k in range(300)]
+    staged = writer.write(iter([pa.RecordBatch.from_pydict({"path": [f"f{k}" for k in range(300)], "content": bodies})]))
+    assert staged.files == 300 and sorted(synced.values()) == list(range(300))
+    writer.commit([staged])
+    assert trees.place(str(tmp_path), staged.manifest) == 300 and open(f"{tmp_path}/f299", "rb").read() == bodies[299]
