@@ -175,12 +175,17 @@ def gossip_round(held: DataFrame, links: DataFrame, cap: int = 4096) -> DataFram
 
     ``held``: ``node_id, entry``; ``links``: ``node_id, peer``.
     """
-    sent = links.join(held, "node_id").select("peer", "entry").distinct()
-    new = sent.join(held.select(F.col("node_id").alias("peer"), "entry"), ["peer", "entry"], "left_anti")
+    new = lacking(held, held, links)
     few = new.groupBy("peer").agg(F.count("*").alias("_n")).where(F.col("_n") <= cap).select("peer")
     return new.join(few, "peer", "left_semi")
 
 
+def lacking(sent: DataFrame, held: DataFrame, links: DataFrame) -> DataFrame:
+    """Entries (``peer, entry``) of ``sent`` (``node_id, entry``) that reach a neighbour who does not hold them."""
+    come = links.join(sent, "node_id").select("peer", "entry").distinct()
+    return come.join(held.select(F.col("node_id").alias("peer"), "entry"), ["peer", "entry"], "left_anti")
+
+
 def responsive(offers: DataFrame, held: DataFrame) -> DataFrame:
     """Offered folders (``share_id, verifier``) whose verifier is ours (``share_id, verifier, holder``); an empty one never matches."""
     mine = held.select("share_id", F.col("verifier").alias("_v"), "holder")

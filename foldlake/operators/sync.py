@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldlake.session import settled
+from foldlake.session import release, settled
 
 MAX_PAGES = 1 << 20
 
@@ -124,13 +124,25 @@ def routed(requests: DataFrame, presence: DataFrame) -> DataFrame:
 
 
 def gossip(held: DataFrame, links: DataFrame, cap: int = 4096, rounds: int = 1000) -> DataFrame:
-    """Holdings (``node_id, entry``) once rounds of exchange bring nothing new."""
-    from foldlake.operators.members import gossip_round
+    """Holdings (``node_id, entry``) once rounds of exchange bring nothing new.
 
-    held = settled(held.select("node_id", "entry").distinct())
+    A round sends only what the round before brought, as neighbours have the rest, and writes only what is new.  A node above the cap
+    stays above it, because what it lacks can only grow: it is left out from then on.
+    """
+    from foldlake.operators.members import lacking
+
+    spark, parts = held.sparkSession, [settled(held.select("node_id", "entry").distinct())]
     for _ in range(rounds):
-        new = settled(gossip_round(held, links, cap))
+        known = spark.read.schema(parts[0].schema).parquet(*(p._foldlake_path for p in parts))
+        come = lacking(parts[-1], known, links).select(F.col("peer").alias("node_id"), "entry")
+        new = settled(come.select(*(F.col(f.name).cast(f.dataType) for f in parts[0].schema)))
+        over = new.groupBy("node_id").agg(F.count("*").alias("_n")).where(F.col("_n") > cap).select("node_id")
+        if not over.isEmpty():
+            over = settled(over)
+            links = settled(links.join(over.withColumnRenamed("node_id", "peer"), "peer", "left_anti"))
+            all_, new = new, settled(new.join(over, "node_id", "left_anti"))
+            release(all_)
         if new.isEmpty():
-            return held
-        held = settled(held.union(new.select(F.col("peer").alias("node_id"), "entry")))
+            return known
+        parts.append(new)
     raise RuntimeError("gossip did not settle")

@@ -86,6 +86,27 @@ def test_gossip_reaches_everyone_and_stops_at_the_cap(spark):
     assert sync.gossip(held, links, cap=5).count() == 40
 
 
+@pytest.mark.parametrize("cap", [4096, 6, 3])
+def test_gossip_writes_each_holding_once(spark, monkeypatch, cap):
+    """Rounds of whole sets give the same; a node that was above the cap gets nothing later, however little is new then."""
+    ring = [(n, (n + 1) % 6) for n in range(6)] + [(0, 3), (4, 2)]
+    start = {n: {n * 10 + e for e in range(1 + n % 4)} | {100} for n in range(6)}
+    held = {n: set(x) for n, x in start.items()}
+    while True:
+        new = {p: set().union(*(held[n] for n, q in ring if q == p)) - held[p] for p in held}
+        new = {p: x for p, x in new.items() if 0 < len(x) <= cap}
+        if not new:
+            break
+        for p, x in new.items():
+            held[p] |= x
+    written, settled = [], sync.settled
+    monkeypatch.setattr(sync, "settled", lambda df: (out := settled(df), written.append(out.count()))[0])
+    got = sync.gossip(spark.createDataFrame([(n, e) for n, x in start.items() for e in x], "node_id long, entry long"), spark.createDataFrame(ring, "node_id long, peer long"), cap=cap)
+    assert sorted(map(tuple, got.collect())) == sorted((n, e) for n, x in held.items() for e in x)
+    if cap == 4096:
+        assert sum(written) == got.count()
+
+
 def test_scrypt_and_hmac_vectors(spark):
     """RFC 7914 gives no vector for these parameters, so the standard library is the second source; RFC 4231 case 2 for HMAC."""
     import hashlib
