@@ -34,6 +34,16 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Bytes of an Arrow batch on its way to a Python worker.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Bounds batches for Python by bytes and not by rows only; the session has the bound when a plan runs."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` written to a table in the shared folder and read back: every later use sees the same rows in the same places."""
     path = f"{shared_dir(df.sparkSession)}/foldlake-{uuid.uuid4().hex}"

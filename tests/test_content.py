@@ -1,6 +1,7 @@
 """Content queries without SQL against plain Python over the same tables, and published digests."""
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,3 +70,18 @@ def test_sizes_beyond_a_terabyte_equal_sql(spark, tmp_path):
     assert want[100_000] == "1000.0GB"
     n = spark.createDataFrame([(10**12,), (10**12 - 10**9,)], "n long")
     assert [r[0] for r in n.select(columns.format_size(F.col("n"))).collect()] == ["1.0TB", "999.0GB"]
+
+
+def test_batches_of_texts_are_bounded_by_bytes(spark, tmp_path):
+    """A worker takes a few MB of long texts at a time, and not 10,000 rows of them."""
+    spark.range(64).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 1 << 20).alias("text")).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    rows = QUERIES["compress_roundtrip"](spark, str(tmp_path))
+
+    @F.pandas_udf("long")
+    def size(x: pd.Series) -> pd.Series:
+        return pd.Series([len(x)] * len(x))
+
+    assert rows.count() == 64
+    assert spark.read.parquet(str(tmp_path / "documents.parquet")).select(size("text").alias("n")).agg(F.max("n")).first()[0] <= 8
