@@ -2,8 +2,8 @@
 
 A peer publishes the versions of a folder together with the headers of its pages (``publish``).  A consumer's offset is its cursor: the epoch of
 the peer's index, the last sequence, and within a version whose chunk list spans pages the chunks that it has.  Each trigger moves the
-cursor on by ``pages`` pages at most; with ``grow`` by as many as the stream has taken before, if that is more, so that a consumer who rewrites
-its table at each batch does so a logarithmic number of times.  The cursor and not a page's number says what comes next, so pages may be cut
+cursor on by ``pages`` pages at most; with ``grow`` by that many times the pages that the stream has taken before (true: once), if that is more, so
+that a consumer who rewrites its table at each batch does so a logarithmic number of times.  The cursor and not a page's number says what comes next, so pages may be cut
 anew when the feed has grown; a cursor of another epoch starts from nothing.
 
 Every ``publish`` writes a version of its own, and an offset names the version that it is read from, so a batch that runs again reads
@@ -91,7 +91,10 @@ class PageStream(DataSourceStreamReader):
         self.pages, self.parts = int(options.get("pages", 64)), int(options.get("parts", 16))
         if self.pages < 1 or self.parts < 1:
             raise ValueError("pages and parts must be positive")
-        self.grow, self.taken = options.get("grow", "false").lower() == "true", 0
+        grow = str(options.get("grow", "false")).lower()
+        self.grow, self.taken = {"false": 0, "true": 1}[grow] if grow in ("false", "true") else int(grow), 0
+        if self.grow < 0:
+            raise ValueError("grow must not be negative")
         self.at = {"version": int(options.get("version", -1)), "epoch": int(options.get("epoch", -1)), "seq": int(options.get("seq", -1)), "chunk": int(options.get("chunk", 0))}
 
     def initialOffset(self) -> dict:
@@ -117,7 +120,7 @@ class PageStream(DataSourceStreamReader):
         version, at = found[-1], self.at
         first = next(iter(self.headers(version, at["epoch"], (-1, 0))), None)
         after = (at["seq"], at["chunk"]) if first and first[0] == at["epoch"] else (-1, 0)
-        for epoch, seq, chunk in islice(self.headers(version, at["epoch"], after), max(self.pages, self.taken if self.grow else 0)):
+        for epoch, seq, chunk in islice(self.headers(version, at["epoch"], after), max(self.pages, self.taken * self.grow)):
             at = {"version": version, "epoch": epoch, "seq": seq, "chunk": chunk}
         return at
 
@@ -170,7 +173,7 @@ class PageSource(DataSource):
         return PageStream(self.options)
 
 
-def stream(spark: SparkSession, root: str, pages: int = 64, grow: bool = False, **cursor: int) -> DataFrame:
-    """Slices behind a cursor (``epoch``, ``seq``, ``chunk``), ``pages`` pages a trigger, or with ``grow`` as many as were taken before."""
+def stream(spark: SparkSession, root: str, pages: int = 64, grow: int = 0, **cursor: int) -> DataFrame:
+    """Slices behind a cursor (``epoch``, ``seq``, ``chunk``), ``pages`` pages a trigger, or ``grow`` times as many as were taken before."""
     spark.dataSource.register(PageSource)
     return spark.readStream.format("pages").option("pages", pages).option("grow", grow).options(**{k: str(v) for k, v in cursor.items()}).load(root)

@@ -21,6 +21,8 @@ class Replica(DeltaTable):
     replaced in between, and those of another epoch, are dropped.  ``lists`` holds the chunk list of every manifest received.
     """
 
+    #: A batch may take this many times the pages before it: the table is rewritten for each eightfold of what has come.
+    GROW = 7
     LIST = f"seq bigint, manifest_id string, chunks {pages.CHUNKS}"
 
     def __init__(self, spark: SparkSession, path: str, folder: str, peer: str):
@@ -98,11 +100,11 @@ class Replica(DeltaTable):
     def follow(self, root: str, pages_: int = 64, once: bool = False) -> StreamingQuery:
         """Start the stream behind the cursor of the table; ``once`` stops it after one batch.
 
-        The first batch has ``pages_`` pages at most.  Each batch rewrites the rows, so a later one may take as many as those before it together.
+        The first batch has ``pages_`` pages at most.  Each batch rewrites the rows, so a later one may take ``GROW`` times those before it together.
         """
         at = self.position()
         cursor = dict(zip(("epoch", "seq", "chunk"), at)) if at else {}
-        writer = pages.stream(self.spark, root, pages_, grow=True, **cursor).writeStream.foreachBatch(lambda batch, _: self.step(batch) and None)
+        writer = pages.stream(self.spark, root, pages_, grow=self.GROW, **cursor).writeStream.foreachBatch(lambda batch, _: self.step(batch) and None)
         writer = writer.option("checkpointLocation", self.checkpoint)
         return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="0 seconds")).start()
 

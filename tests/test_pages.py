@@ -162,3 +162,16 @@ def test_batches_grow_with_what_was_taken(spark, tmp_path):
     # the pull of a replica has batches of that kind
     assert replica.pull(root, 2) == (1, 39, 0) and lists(replica) == want(*many)
     assert replica.version() + 1 <= len(sizes)
+
+
+def test_a_replica_rewrites_its_table_for_each_eightfold(spark, tmp_path):
+    root, replica = str(tmp_path / "peer"), Replica(spark, str(tmp_path / "own"), "f", "p")
+    many = [version(k, k % 7) for k in range(1, 40)]
+    publish(spark, root, 1, many)
+    total = spark.read.parquet(f"{root}/v0/pages").count()
+    assert 16 < total <= 128
+    # 2, 16, all
+    assert replica.pull(root, 2) == (1, 39, 0) and lists(replica) == want(*many)
+    assert replica.version() + 1 == 3
+    with pytest.raises(ValueError, match="negative"):
+        pages.PageStream({"path": root, "grow": "-1"})
