@@ -22,7 +22,7 @@ def _folder(spark) -> str:
 def _done(root: str, out: DataFrame) -> DataFrame:
     """The rows, settled, after which the folder that they were read from can go."""
     out = settled(out)
-    shutil.rmtree(trees.local(root))
+    trees.remove(out.sparkSession, root)
     return out
 
 

@@ -27,6 +27,7 @@ from concurrent.futures import ThreadPoolExecutor
 from contextlib import ExitStack
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.feather as feather
 from pyspark.sql import DataFrame, SparkSession
@@ -487,6 +488,33 @@ def placed(spark: SparkSession, root: str, job: str) -> int:
     return n
 
 
+def remove(spark: SparkSession, root: str) -> None:
+    """Remove a tree: what a listing finds in its tasks, then the few folders that several tasks have shared on the driver."""
+    base = local(root)
+
+    def run(frames: Iterator) -> Iterator:
+        folders, n = [], 0
+        for pdf in frames:
+            for path, kind in zip(pdf["path"], pdf["kind"]):
+                if kind == "dir":
+                    folders.append(path)
+                    continue
+                n += 1
+                try:
+                    os.unlink(f"{base}/{path}")
+                except FileNotFoundError:
+                    pass  # an attempt before has removed it
+        for path in reversed(folders):
+            try:
+                os.rmdir(f"{base}/{path}")
+            except OSError:
+                pass  # not empty: other tasks have a share of it
+        yield pd.DataFrame({"n": [n]})
+
+    listing(spark, root).select("path", "kind").mapInPandas(run, "n long").agg(F.sum("n")).first()
+    shutil.rmtree(base)
+
+
 def resume(spark: SparkSession, root: str) -> int:
     """End what earlier runs have left, while none is at work: jobs that were staged as a whole are placed, others are removed."""
     base, n = local(root), 0

@@ -179,3 +179,16 @@ def test_files_are_forced_to_disk_before_the_commit(tmp_path, monkeypatch):
     assert staged.files == 300 and sorted(synced.values()) == list(range(300))
     writer.commit([staged])
     assert trees.place(str(tmp_path), staged.manifest) == 300 and open(f"{tmp_path}/f299", "rb").read() == bodies[299]
+
+
+def test_a_tree_is_removed_by_tasks(spark, tmp_path, monkeypatch):
+    """The driver is left with folders only; links are removed and not followed."""
+    root = str(tmp_path / "in")
+    for k in range(300):
+        put(root, f"s{k % 3}/f{k}")
+    put(root, "s1/deep/er/x"), put(root, ".staging/j/y"), put(str(tmp_path), "out/kept")
+    os.makedirs(f"{root}/s0/empty"), os.symlink("../../out", f"{root}/s2/link")
+    left, rmtree = [], trees.shutil.rmtree
+    monkeypatch.setattr(trees.shutil, "rmtree", lambda at: (left.extend(os.path.join(a, f) for a, _, fs in os.walk(at) for f in fs), rmtree(at)) and None)
+    trees.remove(spark, f"file://{root}")
+    assert left == [f"{root}/.staging/j/y"] and os.listdir(tmp_path) == ["out"] and os.listdir(tmp_path / "out") == ["kept"]
