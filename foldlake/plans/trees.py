@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldlake.plans.relations import query
-from foldlake.session import settled, shared_dir
+from foldlake.session import release, settled, shared_dir
 from foldlake.sources import tables as t
 from foldlake.sources import trees
 from foldlake.sources.files import BlobStore
@@ -76,9 +76,14 @@ def tree_events(spark, d):
     k = F.col("doc_id") % 9
     docs = t.table(spark, d, "documents").select(k.alias("k"), F.concat("source", F.lit("/d"), "doc_id").alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
 
+    def step(batch: DataFrame, n: int) -> None:
+        batch = settled(batch)  # read once for both sides of the join
+        trees.with_renames(batch).write.mode("overwrite").parquet(f"{seen}/v{n}")
+        release(batch)
+
     def look() -> None:
         stream = trees.changes(spark, root, state)
-        stream.writeStream.foreachBatch(lambda batch, n: trees.with_renames(batch).write.mode("overwrite").parquet(f"{seen}/v{n}")).option("checkpointLocation", f"{seen}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+        stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{seen}-checkpoint").trigger(availableNow=True).start().awaitTermination()
 
     trees.materialise(docs.where("k <> 4").select("path", "content", F.lit(0o644).alias("mode")), root)
     look()

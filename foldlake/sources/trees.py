@@ -2,7 +2,7 @@
 
 ``binaryFile`` has neither modes, inodes and link targets nor an account of what it could not read, so this source goes to the file system
 itself.  Driver and executors must see the root under one path (a mounted share); a listing is one task a subtree or a share of one, a change stream one
-task a bucket of top folders, and files are staged and placed by tasks.
+task a bucket of paths, and files are staged and placed by tasks.
 
 Listing (``spark.read.format("tree").load(root)``): one row a path below the root with ``path, kind, mode, size, mtime_ns, inode, target,
 error`` (and ``content`` of regular files with the option of that name).  Folders named ``.staging`` are passed over wherever they are.  A folder that
@@ -208,7 +208,10 @@ class Bucket(InputPartition):
 
 
 class TreeStream(DataSourceStreamReader):
-    """Changes between one listing and the next; ``parts`` buckets by the name of the top entry, which a path never changes."""
+    """Changes between one listing and the next; ``parts`` buckets by the first two names of a path, which it never changes.
+
+    So a wide top folder is spread over the buckets; each lists its names and looks at those of its own.
+    """
 
     def __init__(self, options: dict[str, str]):
         self.root, self.state, self.parts = local(options["path"]), local(options["state"]), int(options.get("parts", 16))
@@ -227,28 +230,35 @@ class TreeStream(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         return [Bucket(k, start["listing"], end["listing"]) for k in range(self.parts)] if start != end else []
 
+    def kept(self, version: int, number: int) -> str:
+        """Where a bucket's listing is; with other buckets its name is another, so they are not taken for these."""
+        return f"{self.state}/v{version}/{number}-of-{self.parts}"
+
     def stored(self, version: int, number: int) -> dict[str, tuple]:
-        path = f"{self.state}/v{version}/{number}"
         if not version:
             return {}
+        path = self.kept(version, number)
         return {row[0]: row for row in zip(*(c.to_pylist() for c in feather.read_table(path, memory_map=False).columns))}
 
     def listed(self, part: Bucket, before: dict[str, tuple]) -> dict[str, tuple]:
         """The listing of a bucket at the end of a batch, as its first reader found it."""
-        path = f"{self.state}/v{part.end}/{part.number}"
+        path = self.kept(part.end, part.number)
         if os.path.exists(path):
             return self.stored(part.end, part.number)
-        rows, shut = {}, []
-        for top in names(check_root(self.root), "")[0]:
-            if zlib.crc32(top.encode()) % self.parts != part.number:
-                continue
-            first = entry(self.root, top)
-            if first is None:
-                continue
-            rows[top] = first
-            if first[1] == "dir":
-                rows |= {r[0]: r for r in walk(self.root, top, True)}
-        shut = tuple(p + "/" for p, r in rows.items() if r[7] is not None)
+        with os.scandir(check_root(self.root)) as found:
+            tops = sorted((e.name, e.is_dir(follow_symlinks=False)) for e in found if e.name != STAGING)
+        rows, closed = {}, set()
+        for top, folder in tops:
+            own = zlib.crc32(os.fsencode(top)) % self.parts == part.number
+            first = entry(self.root, top) if own else None
+            if first:
+                rows[top] = first
+            for r in walk(self.root, top, True, part.number, self.parts) if folder else ():
+                if own or r[0] != top:
+                    rows[r[0]] = r
+                if r[7] is not None:
+                    closed.add(r[0])
+        shut = tuple(p + "/" for p in closed)
         if shut:
             # what was known below a folder that cannot be read now stays as it was
             rows |= {p: r for p, r in before.items() if p.startswith(shut) and p not in rows}

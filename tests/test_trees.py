@@ -192,3 +192,34 @@ def test_a_tree_is_removed_by_tasks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(trees.shutil, "rmtree", lambda at: (left.extend(os.path.join(a, f) for a, _, fs in os.walk(at) for f in fs), rmtree(at)) and None)
     trees.remove(spark, f"file://{root}")
     assert left == [f"{root}/.staging/j/y"] and os.listdir(tmp_path) == ["out"] and os.listdir(tmp_path / "out") == ["kept"]
+
+
+def test_a_wide_folder_is_spread_over_the_buckets(tmp_path, monkeypatch):
+    root = str(tmp_path / "in")
+    for k in range(400):
+        put(root, f"s/f{k}")
+    put(root, "s/d/deep/x"), put(root, "top")
+    stream = trees.TreeStream({"path": root, "state": str(tmp_path / "state"), "parts": "8"})
+    events = lambda a, b: [[(e[0], e[2]) for e in stream.read(p)] for p in stream.partitions({"listing": a}, {"listing": b})]
+    first = events(0, 1)
+    assert max(map(len, first)) < 100
+    want = sorted(os.path.relpath(os.path.join(at, x), root) for at, dirs, plain in os.walk(root) for x in dirs + plain)
+    assert sorted(e for part in first for e in part) == [(p, files.CREATE) for p in want]
+    os.unlink(f"{root}/s/f7"), put(root, "s/f400"), put(root, "s/d/deep/x", b"1")
+    assert sorted(e for part in events(1, 2) for e in part) == [("s/d/deep/x", files.WRITE), ("s/f400", files.CREATE), ("s/f7", files.REMOVE)]
+    # no bucket takes what is in a folder that cannot be read for gone, nor says anything of the folder twice
+    open_ = os.scandir
+
+    def shut(path):
+        if str(path).endswith("/s"):
+            raise PermissionError(13, "Permission denied")
+        return open_(path)
+
+    monkeypatch.setattr(os, "scandir", shut)
+    os.unlink(f"{root}/s/f8"), os.unlink(f"{root}/top"), os.chmod(f"{root}/s", 0o700)
+    assert sorted(e for part in events(2, 3) for e in part) == [("s", files.CHMOD), ("top", files.REMOVE)]
+    monkeypatch.undo()
+    assert [e for part in events(3, 4) for e in part] == [("s/f8", files.REMOVE)]
+    with pytest.raises(FileNotFoundError):
+        other = trees.TreeStream({"path": root, "state": str(tmp_path / "state"), "parts": "4"})
+        [e for p in other.partitions({"listing": 4}, {"listing": 5}) for e in other.read(p)]
